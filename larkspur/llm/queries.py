@@ -2,5 +2,29 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from . import token_counts, token_files
+from .common import scratch
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), scratch(spark, "token-files")
+    manifest = token_files.write_token_files(docs, out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_token_files(spark, out, manifest, docs.schema["doc_id"].dataType.simpleString())
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+QUERIES: dict = {
+    "op1_token_files": op1_token_files,
+    "op8_token_counts": op8_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
