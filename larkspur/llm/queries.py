@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts, token_files
+from . import decontamination, oracle, quality_rules, token_counts, token_files
 from .common import scratch
 
 
@@ -19,12 +19,26 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out, manifest, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash", "spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": oracle.quality_sql(),
+    "op7_decontamination": oracle.contamination_sql(),
+}
