@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, oracle, quality_rules, token_counts, token_files
+from . import decontamination, language_id, oracle, quality_rules, token_counts, token_files
 from .common import scratch
 
 
@@ -32,11 +33,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out)
+    return language_id.identify(docs, labelled, carry=[F.col("doc_id"), held_out.alias("held_out")])
+
+
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": oracle.quality_sql(),
