@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, oracle, quality_rules, token_counts, token_files
+from . import decontamination, language_id, oracle, quality_rules, token_counts, token_files, url_filters
 from .common import scratch
 
 
@@ -24,6 +24,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the contract.
+URL_RULES = [
+    url_filters.Rule("block", "net", "/"),
+    url_filters.Rule("allow", "example.net", "/en/"),
+    url_filters.Rule("block", "example.com", "/de/"),
+    url_filters.Rule("allow", "org", "/fr/"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash", "spans")
@@ -43,6 +56,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filters": op6_url_filters,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
