@@ -14,7 +14,8 @@ it) and adds up where each shard starts.
 
 The library encodes each word once per worker while its memo has room, and the ids of a text are the
 joined ids of its words: neither the tokenizer's normalizer nor its patterns reach over ASCII white
-space. The memo is a cache of bounded size, not a limit.
+space. Words of plain characters go straight to the library's model, part by part, others through
+its whole pipeline. The memo is a cache of bounded size, not a limit.
 
 Results in odd cases: a null or empty text has only the end id; rows with a null id come first,
 repeated rows stay, ties are ordered by text; an empty table gives no shards and an empty result;
@@ -23,8 +24,10 @@ other columns are ignored; texts of any length are handled whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words whose ids a worker remembers; beyond, a memo is emptied and filled anew.
+#: Words whose ids a worker remembers, in a newer and an older memo each.
 MEMO_WORDS = 300_000
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 64
@@ -45,27 +48,55 @@ class WordEncoder:
     """Ids of a text as little-endian bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # The short way for words of plain characters: cut by the tokenizer's own pattern, and give
+        # each part to the tokenizer's model once. It holds for the pipeline of steps named here.
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.short = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        if self.short:
+            self.find = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+            self.plain = regex.compile(r"[!-~¡-¬®-įı-ɏ]+").fullmatch  # no white space, combining or format characters
+            self.added = [x["content"] for x in spec["added_tokens"]]
+            self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def part(self, text: str) -> bytes:
+        mapped = text if text.isascii() else self.to_bytes(text)[0][0]
+        found = array("H" if self.kind.itemsize == 2 else "I", [x.id for x in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        if len(self.parts) >= MEMO_WORDS:
+            self.parts.clear()
+        self.parts[text] = found
+        return found
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8")
+        if self.short and self.plain(text) and not any(x in text for x in self.added):
+            get = self.parts.get
+            return b"".join([get(x) or self.part(x) for x in self.find(text.lower())])
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [x for x in words if x not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(words)
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-        for word, x in zip(new, found):
-            self.memo[word] = np.asarray(x.ids, self.kind).tobytes()
+        new = words - self.words.keys()
+        if len(self.words) + len(new) > MEMO_WORDS:
+            self.old, self.words, new = self.words, {}, words
+        for x in new:
+            found = self.old.get(x)
+            self.words[x] = self.word(x) if found is None else found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.encode("utf-8").split() for x in texts]
         self.learn({w for words in split for w in words})
-        get = self.memo.__getitem__
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
