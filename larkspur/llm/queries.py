@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, oracle, quality_rules, token_counts, token_files, url_filters
+from . import decontamination, language_id, near_duplicates, oracle, quality_rules, token_counts, token_files, url_filters
 from .common import scratch
 
 
@@ -20,6 +20,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out, manifest, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
+    "op2_near_duplicates": op2_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
     "op7_decontamination": op7_decontamination,
@@ -62,6 +67,7 @@ QUERIES: dict = {
     "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": oracle.near_duplicates_sql(),
     "op5_quality_rules": oracle.quality_sql(),
     "op7_decontamination": oracle.contamination_sql(),
 }
