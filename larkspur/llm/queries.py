@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_duplicates, oracle, quality_rules, token_counts, token_files, url_filters
+from . import decontamination, language_id, near_duplicates, oracle, pii, quality_rules, token_counts, token_files, url_filters
 from .common import scratch
 
 
@@ -57,6 +57,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, labelled, carry=[F.col("doc_id"), held_out.alias("held_out")])
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
@@ -65,6 +69,7 @@ QUERIES: dict = {
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": oracle.near_duplicates_sql(),
