@@ -39,11 +39,31 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Words whose ids a worker remembers, in a newer and an older memo each.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 64
 
 
+class Memo(dict):
+    """Values made on demand; of two generations, the older is dropped when the newer is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Ids of a text as little-endian bytes."""
 
@@ -55,9 +75,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memo(self.word), Memo(self.part)
         # The short way for words of plain characters: cut by the tokenizer's own pattern, and give
         # each part to the tokenizer's model once. It holds for the pipeline of steps named here.
         spec = json.loads(self.tokenizer.to_str())
@@ -72,32 +90,26 @@ class WordEncoder:
 
     def part(self, text: str) -> bytes:
         mapped = text if text.isascii() else self.to_bytes(text)[0][0]
-        found = array("H" if self.kind.itemsize == 2 else "I", [x.id for x in self.tokenizer.model.tokenize(mapped)]).tobytes()
-        if len(self.parts) >= MEMO_WORDS:
-            self.parts.clear()
-        self.parts[text] = found
-        return found
+        return array("H" if self.kind.itemsize == 2 else "I", [x.id for x in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def word(self, raw: bytes) -> bytes:
+        if self.short:
+            if raw.isalpha():  # ASCII letters are one part
+                return self.parts[raw.lower().decode("ascii")]
+            if raw[:-1].isalpha() and raw[-1:] in b".,;:!?":
+                return self.parts[raw[:-1].lower().decode("ascii")] + self.parts[raw[-1:].decode("ascii")]
         text = raw.decode("utf-8")
         if self.short and self.plain(text) and not any(x in text for x in self.added):
-            get = self.parts.get
-            return b"".join([get(x) or self.part(x) for x in self.find(text.lower())])
+            return b"".join([self.parts[x] for x in self.find(text.lower())])
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words - self.words.keys()
-        if len(self.words) + len(new) > MEMO_WORDS:
-            self.old, self.words, new = self.words, {}, words
-        for x in new:
-            found = self.old.get(x)
-            self.words[x] = self.word(x) if found is None else found
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [x.encode("utf-8").split() for x in texts]
-        self.learn({w for words in split for w in words})
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get, out = self.words.__getitem__, []
+        for x in texts:
+            out.append(b"".join(map(get, x.encode("utf-8").split())))
+            self.words.trim()
+            self.parts.trim()
+        return out
 
 
 @lru_cache(maxsize=2)
