@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES, prepared
 from .quality_rules import Rules
 
 
@@ -94,3 +95,19 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FR
 groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 {final or "SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN sizes USING (doc_id) JOIN groups USING (doc_id)"}
 """
+
+
+def licence_sql(percent: int = 80) -> str:
+    """op3."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, found))}])" for name, found, _, _ in prepared(TEMPLATES, percent))
+    return rf"""
+WITH t(name, bigrams) AS (VALUES {rows}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+seg AS (SELECT DISTINCT r, unnest(list_append(string_split(x, chr(10)), x)) AS s FROM d),
+w AS (SELECT r, regexp_extract_all(s, '[a-z0-9]+') AS w FROM seg),
+b AS (SELECT r, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
+hit AS (SELECT r, name, 2.0 * len(list_intersect(g, bigrams)) / (len(g) + len(bigrams)) AS dice FROM b, t WHERE 200 * len(list_intersect(g, bigrams)) >= {percent} * (len(g) + len(bigrams))),
+per AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, max(dice) AS best FROM hit GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences, round(coalesce(best, 0)::DOUBLE, 6) AS best_dice FROM d LEFT JOIN per USING (r)
+"""

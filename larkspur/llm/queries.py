@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_duplicates, oracle, pii, quality_rules, token_counts, token_files, url_filters
+from . import decontamination, language_id, license_scan, near_duplicates, oracle, pii, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters
 from .common import scratch
 
 
@@ -24,6 +24,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding them gives the text back (null: empty)."""
+    path, docs = public_tokenizers.path("piece_bpe_32k.model"), table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    encoded = sentencepiece_codec.encode_texts(docs, path, [F.col("doc_id"), F.xxhash64(text).alias("text_hash")])
+    decoded = sentencepiece_codec.decode_ids(encoded, path, out_col="decoded")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"), "ids")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -64,6 +77,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_license_scan": op3_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filters": op6_url_filters,
     "op7_decontamination": op7_decontamination,
@@ -73,6 +88,7 @@ QUERIES: dict = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": oracle.near_duplicates_sql(),
+    "op3_license_scan": oracle.licence_sql(),
     "op5_quality_rules": oracle.quality_sql(),
     "op7_decontamination": oracle.contamination_sql(),
 }
