@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: text, addresses, coordinates, reference systems and similarity."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators of the table engine. Each takes a DataFrame and gives one; none runs a job unless it says so."""

@@ -1 +1 @@
-"""See the package README."""
+"""Pipeline definitions, their compilation to DataFrame plans, and runs."""
