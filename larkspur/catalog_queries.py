@@ -1,11 +1,512 @@
-"""Registered queries of the table engine and their SQL."""
+"""Registered queries of the table engine and their SQL.
 
-from __future__ import annotations
+The tables hold no addresses or coordinates, so `addr` and `geo` derive them from `customer` and
+`nation` by the same formulas in Spark and in SQL.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import address, crs, geo, text
+from .operators import cleaning, dedup, profile, validate
+from .operators.rows import ROW
+from .plans import compiler, examples
+from .plans.definition import Step
+from .sources.writers import safe_for_csv
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def step(frame: DataFrame, kind: str, **config) -> DataFrame:
+    """One step as a pipeline would run it."""
+    from .plans.definition import STEPS, read_options
+
+    done = compiler.apply_step(frame, Step("s", kind, "s", True, read_options(STEPS[kind], config, kind)))
+    return done.frame
+
+
+def addr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # one row a nation
+    k = F.col("c_custkey") - F.col("c_custkey") % 3
+    number = (k % 220 + 1).cast("string")
+    code = F.when(F.col("c_custkey") % 5 == 0, F.lit("D-")).otherwise("")
+    return c.select(
+        F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("record_id"),
+        F.element_at(F.array(F.concat(F.lit("Hauptstr. "), number), F.concat(F.lit("Hauptstrasse "), number), F.concat(F.lit("HAUPTSTRASSE "), number), F.concat(F.lit("  Hauptstraße  "), number, F.lit(" "))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("street"),
+        F.when(F.col("c_custkey") % 2 == 0, F.upper("n_name")).otherwise(F.lower("n_name")).alias("city"),
+        F.when(F.col("c_custkey") % 17 == 0, F.lit(None)).when(F.col("c_custkey") % 13 == 0, "bad").otherwise(F.concat(code, (10000 + k * 7919 % 80000).cast("string"))).alias("postal_code"),
+        F.element_at(F.array(*map(F.lit, ("DE", "deu", "Deutschland", "D", "NL"))), (F.col("c_custkey") % 5 + 1).cast("int")).alias("country"),
+    )
+
+
+def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("point_id"),
+        ((F.col("c_custkey") * 7919) % 40000 / F.lit(100.0) - 200).alias("latitude"),
+        ((F.col("c_custkey") * 104729) % 50000 / F.lit(100.0) - 250).alias("longitude"),
+    )
+
+
+ADDR = """addr AS (
+  SELECT 'c-' || c_custkey AS record_id,
+    [ 'Hauptstr. ' || n, 'Hauptstrasse ' || n, 'HAUPTSTRASSE ' || n, '  Hauptstraße  ' || n || ' ' ][(c_custkey % 4 + 1)::INT] AS street,
+    CASE WHEN c_custkey % 2 = 0 THEN upper(n_name) ELSE lower(n_name) END AS city,
+    CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'bad' ELSE CASE WHEN c_custkey % 5 = 0 THEN 'D-' ELSE '' END || (10000 + k * 7919 % 80000) END AS postal_code,
+    ['DE', 'deu', 'Deutschland', 'D', 'NL'][(c_custkey % 5 + 1)::INT] AS country
+  FROM (SELECT *, c_custkey - c_custkey % 3 AS k, ((c_custkey - c_custkey % 3) % 220 + 1)::VARCHAR AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)
+)"""
+GEO = """geo AS (
+  SELECT c_custkey AS point_id, ((c_custkey * 7919) % 40000) / 100.0::DOUBLE - 200 AS latitude, ((c_custkey * 104729) % 50000) / 100.0::DOUBLE - 250 AS longitude FROM customer
+)"""
+#: The country code and what the address step makes of `addr`, in SQL.
+CODE = "CASE lower(country) WHEN 'de' THEN 'DE' WHEN 'deu' THEN 'DE' WHEN 'deutschland' THEN 'DE' WHEN 'nl' THEN 'NL' WHEN 'd' THEN NULL END"
+CLEAN = f"""clean AS (
+  SELECT *, CASE WHEN code_d = 'NL' THEN CASE WHEN length(upper(bare)) = 6 THEN upper(bare)[1:4] || ' ' || upper(bare)[5:] ELSE upper(bare) END ELSE regexp_replace(bare, '[^0-9]', '', 'g') END AS plz
+  FROM (SELECT *, {CODE} AS code, coalesce({CODE}, 'DE') AS code_d, regexp_replace(postal_code, '^(D|DE|A|AT|CH)[- ]', '') AS bare,
+    regexp_replace(replace(replace(lower(trim(street)), 'ß', 'ss'), 'hauptstrasse', 'hauptstr.'), ' +', ' ', 'g') AS road FROM addr)
+),
+norm AS (
+  SELECT record_id, street, city, postal_code, country, street AS street_original, 'Hauptstraße' AS street_normalized, regexp_extract(road, '([0-9]+)$', 1) AS house_number_normalized,
+    city AS city_original, array_to_string(list_transform(string_split(lower(city), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS city_normalized,
+    postal_code AS postal_code_original, plz AS postal_code_normalized,
+    coalesce(CASE code_d WHEN 'NL' THEN regexp_full_match(plz, '[0-9]{{4}} [A-Z]{{2}}') ELSE regexp_full_match(plz, '[0-9]{{5}}') END, false) AS postal_code_valid, code AS country_normalized
+  FROM clean
+)"""
+VALID = "coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)"
+SWAP = "coalesce(longitude BETWEEN -90 AND 90 AND latitude BETWEEN -180 AND 180, false)"
+CHECKED = f"""checked AS (
+  SELECT *, CASE WHEN NOT {VALID} AND {SWAP} THEN longitude ELSE latitude END AS latitude_validated, CASE WHEN NOT {VALID} AND {SWAP} THEN latitude ELSE longitude END AS longitude_validated,
+    {VALID} OR {SWAP} AS coordinates_valid, NOT {VALID} AND {SWAP} AS coordinates_swapped,
+    CASE WHEN {VALID} THEN NULL WHEN {SWAP} THEN 'coordinates_swapped' ELSE 'outside_valid_range' END AS coordinate_issue FROM geo
+)"""
+
+
+# --- projection and cleaning -------------------------------------------------------------------
+
+
+@register("select_rename", "SELECT o_custkey AS o_orderkey, o_orderkey AS o_custkey, o_totalprice AS price FROM orders")
+def select_rename(spark, d):
+    f = step(table(spark, d, "orders"), "select_columns", columns=["o_orderkey", "o_custkey", "o_totalprice"])
+    return step(f, "rename_columns", mapping={"o_orderkey": "o_custkey", "o_custkey": "o_orderkey", "o_totalprice": "price"})
+
+
+@register("cast_types", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice::VARCHAR = o_totalprice::VARCHAR AS same, try_cast(o_orderstatus AS BIGINT) AS o_orderstatus, o_orderdate::DATE AS o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS num, CASE WHEN o_orderkey % 2 = 0 THEN true END AS flag FROM orders")
+def cast_types(spark, d):
+    f = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") == F.col("o_totalprice")).alias("same"), "o_orderstatus", "o_orderdate", F.when(F.col("o_orderkey") % 3 == 0, "1d").otherwise(F.col("o_orderkey").cast("string")).alias("num"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("yes").alias("flag"))
+    return step(f, "cast_types", mapping={"o_orderkey": "string", "o_orderstatus": "integer", "o_orderdate": "date", "num": "integer", "flag": "boolean"})
+
+
+@register("trim_whitespace", r"WITH " + ADDR + r" SELECT record_id, trim(regexp_replace(street, '\s+', ' ', 'g')) AS street FROM addr")
+def trim_ws(spark, d):
+    return step(addr(spark, d), "trim_whitespace", columns=["street"]).select("record_id", "street")
+
+
+@register("normalize_unicode", r"SELECT conv_id, turn, nullif(trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f-\x9f]', ' ', 'g'), '\s+', ' ', 'g')), '') AS text FROM conversations")
+def unicode_step(spark, d):
+    return step(table(spark, d, "conversations").select("conv_id", "turn", "text"), "normalize_unicode", columns=["text"])
+
+
+@register("replace_values", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def replace_step(spark, d):
+    return step(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "replace_values", columns=["o_orderstatus"], mapping={"F": "final", "O": None})
+
+
+@register("parse_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders")
+def parse_dates(spark, d):
+    day = F.col("o_orderdate")
+    forms = [F.date_format(day, p) for p in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "yyyy/MM/dd")]
+    shown = F.when(F.col("o_orderkey") % 7 == 0, "no date").otherwise(F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    return step(table(spark, d, "orders").select("o_orderkey", shown.alias("day")), "parse_dates", columns=["day"])
+
+
+HOLES = "holes AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 5 < 2 THEN NULL ELSE event_type END AS event_type FROM events)"
+
+
+def holes(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 >= 2, F.col("event_type")).alias("event_type"))
+
+
+@register("missing_fill", f"WITH {HOLES} SELECT event_id, coalesce(value, 0) AS value, event_type FROM holes")
+def missing_fill(spark, d):
+    return step(holes(spark, d), "handle_missing_values", columns=["value"], strategy="fill", value=0)
+
+
+@register("missing_drop", f"WITH {HOLES} SELECT * FROM holes WHERE value IS NOT NULL AND event_type IS NOT NULL")
+def missing_drop(spark, d):
+    return step(holes(spark, d), "handle_missing_values", strategy="drop")
+
+
+@register("forward_fill", f"WITH {HOLES} SELECT event_id, last_value(value IGNORE NULLS) OVER w AS value, last_value(event_type IGNORE NULLS) OVER w AS event_type FROM holes WINDOW w AS (ORDER BY event_id)")
+def forward_fill(spark, d):
+    f = holes(spark, d).withColumn(ROW, F.col("event_id"))
+    return step(f, "handle_missing_values", columns=["value", "event_type"], strategy="forward_fill").drop(ROW)
+
+
+@register("backward_fill", f"WITH {HOLES} SELECT event_id, last_value(value IGNORE NULLS) OVER w AS value, last_value(event_type IGNORE NULLS) OVER w AS event_type FROM holes WINDOW w AS (ORDER BY event_id DESC)")
+def backward_fill(spark, d):
+    f = holes(spark, d).withColumn(ROW, F.col("event_id"))
+    return step(f, "handle_missing_values", columns=["value", "event_type"], strategy="backward_fill").drop(ROW)
+
+
+def _filters() -> None:
+    lines = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity"
+    parts = "SELECT p_partkey, p_name, p_type FROM part WHERE"
+    for op, sql, value in (("eq", "= 25", 25), ("ne", "<> 25", 25), ("gt", "> 40", 40), ("gte", ">= 40", 40), ("lt", "< 10", 10), ("lte", "<= 10", 10)):
+        register(f"filter_{op}", f"{lines} {sql}")(lambda spark, d, op=op, value=value: step(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "filter_rows", column="l_quantity", operator=op, value=value))
+    register("filter_contains", f"{parts} contains(p_name, '1')")(lambda spark, d: step(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "filter_rows", column="p_name", operator="contains", value="1"))
+    register("filter_in", "SELECT * FROM nation WHERE n_regionkey IN (1, 3)")(lambda spark, d: step(table(spark, d, "nation"), "filter_rows", column="n_regionkey", operator="in", value=[1, 3]))
+    register("filter_is_null", f"WITH {HOLES} SELECT * FROM holes WHERE value IS NULL")(lambda spark, d: step(holes(spark, d), "filter_rows", column="value", operator="is_null"))
+
+
+_filters()
+
+
+def _calculations() -> None:
+    source = f"WITH {HOLES} SELECT event_id, "
+    for op, sql, columns in (
+        ("concat", "concat_ws('-', event_id::VARCHAR, event_type)", ["event_id", "event_type"]),
+        ("coalesce", "coalesce(event_type, 'none')", ["event_type", "other"]),
+        ("lower", "lower(event_type)", ["event_type"]),
+        ("upper", "upper(event_type)", ["event_type"]),
+        ("length", "length(event_type)::BIGINT", ["event_type"]),
+    ):
+        register(f"calculate_{op}", f"{source}{sql} AS made FROM holes")(
+            lambda spark, d, op=op, columns=columns: step(holes(spark, d).withColumn("other", F.lit("none")), "add_calculated_column", output_column="made", operation=op, columns=columns, separator="-").select("event_id", "made")
+        )
+
+
+_calculations()
+
+# --- addresses ---------------------------------------------------------------------------------
+
+
+@register("normalize_address", f"WITH {ADDR}, {CLEAN} SELECT * FROM norm")
+def normalize_address(spark, d):
+    return step(addr(spark, d), "normalize_address")
+
+
+@register("validate_postal_code", f"WITH {ADDR} SELECT record_id, regexp_full_match(regexp_replace(regexp_replace(postal_code, '^D-', ''), '[^0-9]', '', 'g'), '[0-9]{{5}}') AS ok FROM addr")
+def validate_postal(spark, d):
+    return step(addr(spark, d), "validate_postal_code", output_column="ok").select("record_id", "ok")
+
+
+@register("country_code", f"WITH {ADDR} SELECT record_id, {CODE} AS code FROM addr")
+def country_code(spark, d):
+    return addr(spark, d).select("record_id", address.normalize_country_code(F.col("country")).alias("code"))
+
+
+@register("matching_key", r"SELECT doc_id, regexp_replace(replace(replace(replace(replace(lower(text), 'ß', 'ss'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), '[^a-z0-9]', '', 'g') AS key FROM documents")
+def matching_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.matching_key(F.col("text")).alias("key"))
+
+
+@register("sha256_text", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
+def sha256_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
+# --- coordinates -------------------------------------------------------------------------------
+
+
+@register("validate_coordinates", f"WITH {GEO}, {CHECKED} SELECT * FROM checked")
+def validate_coordinates(spark, d):
+    return step(geo_points(spark, d), "validate_coordinates")
+
+
+DISTANCE = "2 * 6371008.8 * asin(sqrt(pow(sin((radians(52.52) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(52.52)) * pow(sin((radians(13.405) - radians(longitude)) / 2), 2)))"
+
+
+@register("calculate_distance", f"WITH {GEO} SELECT point_id, CASE WHEN {VALID} THEN round({DISTANCE}, 2) END AS metres FROM geo")
+def calculate_distance(spark, d):
+    f = step(geo_points(spark, d), "calculate_distance", reference_latitude=52.52, reference_longitude=13.405)
+    return f.select("point_id", F.round("distance_meters", 2).alias("metres"))
+
+
+@register("bounding_box", f"WITH {GEO} SELECT point_id, {VALID} AND latitude BETWEEN 0 AND 60 AND longitude BETWEEN -20 AND 40 AS inside FROM geo")
+def bounding_box(spark, d):
+    return geo_points(spark, d).select("point_id", geo.in_bounding_box(F.col("latitude"), F.col("longitude"), 0, -20, 60, 40).alias("inside"))
+
+
+@register("spatial_grid", f"WITH {GEO} SELECT point_id, CASE WHEN {VALID} THEN 'grid-' || floor((latitude + 90) / 0.5)::BIGINT || '-' || floor((longitude + 180) / 0.5)::BIGINT END AS cell FROM geo")
+def spatial_grid(spark, d):
+    return geo_points(spark, d).select("point_id", geo.spatial_group(F.col("latitude"), F.col("longitude"), 0.5).alias("cell"))
+
+
+GEOHASH_SQL = f"""WITH RECURSIVE {GEO},
+bits AS (
+  SELECT point_id, latitude, longitude, 0 AS n, -90.0::DOUBLE AS a, 90.0::DOUBLE AS b, -180.0::DOUBLE AS c, 180.0::DOUBLE AS e, 0 AS v, '' AS hash FROM geo WHERE {VALID}
+  UNION ALL
+  SELECT point_id, latitude, longitude, n + 1,
+    CASE WHEN n % 2 = 1 AND latitude >= (a + b) / 2 THEN (a + b) / 2 ELSE a END, CASE WHEN n % 2 = 1 AND latitude < (a + b) / 2 THEN (a + b) / 2 ELSE b END,
+    CASE WHEN n % 2 = 0 AND longitude >= (c + e) / 2 THEN (c + e) / 2 ELSE c END, CASE WHEN n % 2 = 0 AND longitude < (c + e) / 2 THEN (c + e) / 2 ELSE e END,
+    CASE WHEN n % 5 = 4 THEN 0 ELSE v * 2 + bit END, CASE WHEN n % 5 = 4 THEN hash || '{geo.GEOHASH}'[v * 2 + bit + 1] ELSE hash END
+  FROM (SELECT *, CASE WHEN n % 2 = 0 THEN (longitude >= (c + e) / 2)::INT ELSE (latitude >= (a + b) / 2)::INT END AS bit FROM bits WHERE n < 40)
+)
+SELECT point_id, hash FROM geo LEFT JOIN (SELECT point_id, hash FROM bits WHERE n = 40) USING (point_id)"""
+
+
+@register("geohash", GEOHASH_SQL)
+def geohash(spark, d):
+    return geo_points(spark, d).select("point_id", geo.geohash(F.col("latitude"), F.col("longitude"), 8).alias("hash"))
+
+
+def _utm_sql() -> str:
+    """Zone 32N on GRS80 by the same series (tests compare it to another one)."""
+    a, f = crs.ELLIPSOIDS["GRS80"]
+    mean, alpha, _ = crs._series(f)
+    e = (f * (2 - f)) ** 0.5
+    y = " + ".join(f"{c!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, c in enumerate(alpha, 1))
+    x = " + ".join(f"{c!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, c in enumerate(alpha, 1))
+    return f"""WITH near AS (SELECT c_custkey AS point_id, 47 + (c_custkey * 7919 % 800) / 100.0::DOUBLE AS lat, 7.5 + (c_custkey * 104729 % 300) / 100.0::DOUBLE AS lon FROM customer),
+s AS (SELECT point_id, radians(lon - 9) AS turn, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t FROM near),
+u AS (SELECT point_id, atan2(t, cos(turn)) AS xi, asinh(sin(turn) / sqrt(t * t + pow(cos(turn), 2))) AS eta FROM s)
+SELECT point_id, round(500000 + {0.9996 * a * mean!r}::DOUBLE * (eta + {x}), 3) AS easting, round({0.9996 * a * mean!r}::DOUBLE * (xi + {y}), 3) AS northing FROM u"""
+
+
+@register("transform_crs", _utm_sql())
+def transform_crs(spark, d):
+    near = table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), (47 + F.col("c_custkey") * 7919 % 800 / F.lit(100.0)).alias("latitude"), (F.lit(7.5) + F.col("c_custkey") * 104729 % 300 / F.lit(100.0)).alias("longitude"))
+    return step(near, "transform_crs").select("point_id", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"))
+
+
+@register("web_mercator", f"WITH {GEO} SELECT point_id, CASE WHEN latitude BETWEEN -85 AND 85 THEN round(radians(longitude) * 6378137, 3) END AS x, CASE WHEN latitude BETWEEN -85 AND 85 THEN round(ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378137, 3) END AS y FROM geo")
+def web_mercator(spark, d):
+    f = geo_points(spark, d)
+    inside = F.col("latitude").between(-85, 85)
+    x, y = crs.transform(F.when(inside, F.col("longitude")), F.when(inside, F.col("latitude")), "EPSG:4326", "EPSG:3857")
+    return f.select("point_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@register("point_map", f"WITH {GEO} SELECT point_id, round((longitude + 180) / 360 * 600, 6) AS x, round((90 - latitude) / 180 * 320, 6) AS y FROM geo WHERE {VALID}")
+def point_map(spark, d):
+    x, y = geo.map_point(F.col("latitude"), F.col("longitude"))
+    return geo_points(spark, d).where(geo.in_range(F.col("latitude"), F.col("longitude"))).select("point_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+# --- quarantine --------------------------------------------------------------------------------
+
+
+def split(frame: DataFrame, condition: str, required: list[str] | None = None) -> DataFrame:
+    """Both branches, with the reason (null: stays)."""
+    stay, aside = validate.quarantine(frame, condition, required)
+    return validate.union_all([stay, aside])
+
+
+@register("quarantine_postal", f"WITH {ADDR}, {CLEAN} SELECT record_id, CASE WHEN NOT postal_code_valid THEN 'invalid_postal_code' END AS quarantine_reason FROM norm")
+def quarantine_postal(spark, d):
+    return split(step(addr(spark, d), "normalize_address"), "invalid_postal_code").select("record_id", "quarantine_reason")
+
+
+@register("quarantine_coordinates", f"WITH {GEO}, {CHECKED} SELECT point_id, CASE WHEN NOT coordinates_valid THEN 'invalid_coordinates' END AS quarantine_reason FROM checked")
+def quarantine_coordinates(spark, d):
+    return split(step(geo_points(spark, d), "validate_coordinates"), "invalid_coordinates").select("point_id", "quarantine_reason")
+
+
+@register("quarantine_missing", f"WITH {ADDR} SELECT *, CASE WHEN postal_code IS NULL THEN 'missing_required' END AS quarantine_reason FROM addr")
+def quarantine_missing(spark, d):
+    return split(addr(spark, d), "missing_required", ["street", "postal_code"])
+
+
+@register("quarantine_any", f"WITH {ADDR}, {CLEAN} SELECT record_id, CASE WHEN NOT postal_code_valid THEN 'any_validation_error' END AS quarantine_reason FROM norm")
+def quarantine_any(spark, d):
+    return split(step(addr(spark, d), "normalize_address"), "any_validation_error").select("record_id", "quarantine_reason")
+
+
+@register("quarantine_union", f"WITH {ADDR}, {CLEAN}, {GEO}, {CHECKED} SELECT record_id, NULL::BIGINT AS point_id, 'invalid_postal_code' AS quarantine_reason FROM norm WHERE NOT postal_code_valid UNION ALL SELECT NULL, point_id, 'invalid_coordinates' FROM checked WHERE NOT coordinates_valid")
+def quarantine_union(spark, d):
+    a = validate.quarantine(step(addr(spark, d), "normalize_address"), "invalid_postal_code")[1].select("record_id", "quarantine_reason")
+    b = validate.quarantine(step(geo_points(spark, d), "validate_coordinates"), "invalid_coordinates")[1].select("point_id", "quarantine_reason")
+    return validate.union_all([a, b])
+
+
+# --- duplicates --------------------------------------------------------------------------------
+
+
+def matching(**more) -> dedup.Matching:
+    return dedup.Matching(["street_normalized", "postal_code_normalized", "city_normalized"], ["postal_code_normalized"], {"street_normalized": 0.5, "postal_code_normalized": 0.3, "city_normalized": 0.2}, 82, 94, **more)
+
+
+def clean_addresses(spark, d) -> DataFrame:
+    """Normalised addresses in the order of their keys."""
+    f = step(addr(spark, d), "normalize_address")
+    return f.withColumn(ROW, F.substring("record_id", 3, 20).cast("long"))
+
+
+KEYS = """keys AS (SELECT *, substr(record_id, 3)::BIGINT AS row, regexp_replace(lower(coalesce(postal_code_normalized, '')), '[^a-z0-9]', '', 'g') AS block, 'hauptstrasse' AS k0, regexp_replace(lower(city_normalized), '[^a-z0-9]', '', 'g') AS k2 FROM norm),
+pairs AS (SELECT a.block, a.row AS a, b.row AS b, a.k2 AS ka, b.k2 AS kb, a.city_normalized AS ra, b.city_normalized AS rb FROM keys a JOIN keys b ON a.block = b.block AND a.row < b.row AND a.block <> '' WHERE a.block IN (SELECT block FROM keys GROUP BY block HAVING count(*) <= 500))"""
+#: The ratio of the two cities' keys by the same bit-vector recurrence, a step for each character.
+RATIO = """steps AS (
+  SELECT ka, kb, 0 AS i, (1::HUGEINT << length(ka)) - 1 AS v FROM (SELECT DISTINCT ka, kb FROM pairs)
+  UNION ALL
+  SELECT ka, kb, i + 1, ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(ka)) - 1)
+  FROM (SELECT *, list_sum(list_transform(range(length(ka)), lambda j: CASE WHEN ka[j + 1] = kb[i + 1] THEN 1::HUGEINT << j ELSE 0::HUGEINT END))::HUGEINT AS m FROM steps WHERE i < length(kb))
+),
+ratio AS (SELECT ka, kb, (1 - (length(ka) + length(kb) - 2 * (length(ka) - bit_count(v)))::DOUBLE / (length(ka) + length(kb))) * 100 AS s FROM steps WHERE i = length(kb)),
+scored AS (SELECT block, a, b, s, round((100 * 0.5::DOUBLE + 100 * 0.3::DOUBLE + s * 0.2::DOUBLE) / (0.5::DOUBLE + 0.3::DOUBLE + 0.2::DOUBLE), 2) AS score FROM pairs JOIN ratio USING (ka, kb)),
+matched AS (SELECT *, CASE WHEN s >= 82 THEN 'street_normalized,postal_code_normalized,city_normalized' ELSE 'street_normalized,postal_code_normalized' END AS columns FROM scored WHERE score >= 82)"""
+GROUPS = """reach AS (
+  SELECT a AS x, a AS y FROM matched UNION SELECT b, b FROM matched UNION
+  SELECT r.x, CASE WHEN m.a = r.y THEN m.b ELSE m.a END FROM reach r JOIN matched m ON r.y IN (m.a, m.b)
+),
+roots AS (SELECT x AS row, min(y) AS root FROM reach GROUP BY x),
+members AS (SELECT root, k.row, k.record_id, 14 - (CASE WHEN code_missing THEN 1 ELSE 0 END) AS there FROM roots JOIN (SELECT *, country_normalized IS NULL AS code_missing FROM keys) k USING (row)),
+summary AS (SELECT root, 'dup-' || sha256(string_agg(record_id, '|' ORDER BY record_id))[1:12] AS group_id, arg_max(record_id, there::BIGINT * 1000000000 - row) AS canonical FROM members GROUP BY root),
+best AS (SELECT row, max(score) AS score FROM (SELECT a AS row, score FROM matched UNION ALL SELECT b, score FROM matched) GROUP BY row)"""
+SETUP = f"WITH RECURSIVE {ADDR}, {CLEAN}, {KEYS}"
+
+
+@register("dedup_blocks", f"{SETUP} SELECT block, count(*) AS size, count(*) > 500 AS oversized FROM keys WHERE block <> '' GROUP BY block")
+def dedup_blocks(spark, d):
+    m = matching()
+    return dedup.block_sizes(dedup.keyed(clean_addresses(spark, d), m), m)
+
+
+def _pairs(spark, d, m: dedup.Matching) -> DataFrame:
+    rows = dedup.keyed(clean_addresses(spark, d), m)
+    return dedup.scored_pairs(dedup.candidate_pairs(rows, dedup.block_sizes(rows, m)), m)
+
+
+@register("dedup_pairs_exact", f"{SETUP} SELECT a, b, CASE WHEN ra = rb THEN 100.0::DOUBLE ELSE 80.0::DOUBLE END AS score FROM pairs")
+def dedup_pairs_exact(spark, d):
+    return _pairs(spark, d, matching(mode="exact")).select("a", "b", "score")
+
+
+@register("dedup_pairs_normalized", f"{SETUP} SELECT a, b, CASE WHEN ka = kb THEN 100.0::DOUBLE ELSE 80.0::DOUBLE END AS score FROM pairs")
+def dedup_pairs_normalized(spark, d):
+    return _pairs(spark, d, matching(mode="normalized")).select("a", "b", "score")
+
+
+@register("dedup_pairs_weighted", f"{SETUP}, {RATIO} SELECT a, b, score FROM scored")
+def dedup_pairs_weighted(spark, d):
+    return _pairs(spark, d, matching()).select("a", "b", "score")
+
+
+@register(
+    "detect_duplicates",
+    f"{SETUP}, {RATIO}, {GROUPS} SELECT k.record_id, group_id AS duplicate_group_id, canonical AS canonical_record_id, score AS match_score, CASE WHEN group_id IS NOT NULL THEN 'blocked match on postal_code_normalized' END AS match_reason, coalesce(score < 94, false) AS review_required "
+    "FROM keys k LEFT JOIN roots ON roots.row = k.row LEFT JOIN summary USING (root) LEFT JOIN best ON best.row = k.row",
+)
+def detect_duplicates(spark, d):
+    found = dedup.detect_duplicates(clean_addresses(spark, d), matching()).frame
+    return found.select("record_id", "duplicate_group_id", "canonical_record_id", "match_score", "match_reason", "review_required")
+
+
+@register("duplicate_groups", f"{SETUP}, {RATIO}, {GROUPS} SELECT group_id AS duplicate_group_id, bool_or(score < 94) AS review_required, max(score) AS score, count(*) AS members FROM roots JOIN summary USING (root) JOIN best USING (row) GROUP BY group_id")
+def duplicate_groups(spark, d):
+    found = dedup.detect_duplicates(clean_addresses(spark, d), matching()).frame
+    return dedup.duplicate_groups(found).select("duplicate_group_id", "review_required", "score", F.size("records").cast("long").alias("members"))
+
+
+@register("group_differences", f"{SETUP}, {RATIO}, {GROUPS} SELECT group_id AS duplicate_group_id, count(DISTINCT street) > 1 AS street, count(DISTINCT city) > 1 AS city, count(DISTINCT coalesce(country_normalized, '')) > 1 AS country_normalized FROM roots JOIN summary USING (root) JOIN keys USING (row) GROUP BY group_id")
+def group_differences(spark, d):
+    found = dedup.detect_duplicates(clean_addresses(spark, d), matching()).frame
+    return dedup.differences(dedup.duplicate_groups(found), ["street", "city", "country_normalized"])
+
+
+# --- profile -----------------------------------------------------------------------------------
+
+
+@register("profile_columns", f"""WITH {ADDR}, u AS (SELECT 'record_id' AS name, record_id AS v FROM addr UNION ALL SELECT 'street', street FROM addr UNION ALL SELECT 'city', city FROM addr UNION ALL SELECT 'postal_code', postal_code FROM addr UNION ALL SELECT 'country', country FROM addr)
+SELECT name, count(*) FILTER (v IS NULL) AS null_count, count(DISTINCT v) + max((v IS NULL)::INT) AS unique_count, min(v) AS low, max(v) AS high,
+  count(*) FILTER (name = 'postal_code' AND NOT regexp_full_match(regexp_replace(regexp_replace(v, '^D-', ''), '[^0-9]', '', 'g'), '[0-9]{{5}}')) AS invalid_count FROM u GROUP BY name""")
+def profile_columns(spark, d):
+    f = addr(spark, d)
+    counts = profile.column_counts(f)
+    flag = profile.invalid_flag(f, "postal_code", profile.Options())
+    names = F.create_map(*[x for i, c in enumerate(f.columns) for x in (F.lit(i), F.lit(c))])
+    bad = f.agg(F.count_if(flag).alias("bad"))
+    by = counts.groupBy("position").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("*").alias("unique_count"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return by.crossJoin(F.broadcast(bad)).select(names[F.col("position")].alias("name"), "null_count", "unique_count", "low", "high", F.when(names[F.col("position")] == "postal_code", F.col("bad")).otherwise(0).alias("invalid_count"))  # `bad` is one row
+
+
+@register("profile_top_values", "SELECT name, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS place FROM (SELECT 'lang' AS name, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source)) WHERE place <= 8")
+def profile_top_values(spark, d):
+    f = table(spark, d, "documents").select("lang", "source")
+    tops = profile.top_values(profile.column_counts(f), 8)
+    return tops.select(F.when(F.col("position") == 0, "lang").otherwise("source").alias("name"), "value", "n", "place")
+
+
+@register("profile_duplicates", "SELECT coalesce(sum(n), 0)::BIGINT AS duplicates FROM (SELECT count(*) AS n FROM (SELECT text, lang FROM documents) GROUP BY text, lang HAVING count(*) > 1)")
+def profile_duplicates(spark, d):
+    return profile.exact_duplicates(table(spark, d, "documents").select("text", "lang"))
+
+
+QUARTILES = "v AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem), q AS (SELECT max(CASE WHEN i = floor((n - 1) * 0.25 + 0.5) THEN x END) AS q25, max(CASE WHEN i = floor((n - 1) * 0.75 + 0.5) THEN x END) AS q75, min(x) AS low, max(x) AS high, avg(x) AS mean, median(x) AS median FROM v)"
+
+
+@register("profile_numbers", f"WITH {QUARTILES} SELECT round(low, 4) AS low, round(high, 4) AS high, round(mean, 4) AS mean, round(median, 4) AS median, round(q25, 4) AS q25, round(q75, 4) AS q75, (SELECT count(*) FROM v WHERE x < q25 - 1.5 * (q75 - q25) OR x > q75 + 1.5 * (q75 - q25)) AS outliers FROM q")
+def profile_numbers(spark, d):
+    s = profile.numeric_statistics(table(spark, d, "lineitem").select("l_extendedprice"), ["l_extendedprice"])["l_extendedprice"]
+    r = lambda x: round(x, 4)
+    return spark.createDataFrame([(r(s["min"]), r(s["max"]), r(s["mean"]), r(s["median"]), r(s["quantiles"]["q25"]), r(s["quantiles"]["q75"]), s["outlier_count"])], "low double, high double, mean double, median double, q25 double, q75 double, outliers long")
+
+
+@register("profile_quality", f"WITH {ADDR}, c AS (SELECT count(*) AS n, count(*) FILTER (postal_code IS NULL) AS nulls, count(*) FILTER (NOT regexp_full_match(regexp_replace(regexp_replace(postal_code, '^D-', ''), '[^0-9]', '', 'g'), '[0-9]{{5}}')) AS bad FROM addr) SELECT n AS rows, nulls, bad, 0::BIGINT AS duplicates, round(100 * (0.45 * (1 - nulls::DOUBLE / (n * 5)) + 0.35 * (1 - bad::DOUBLE / (n * 5)) + 0.2), 2) AS score FROM c")
+def profile_quality(spark, d):
+    p = profile.profile(addr(spark, d), profile.Options(sample_rows=1 << 62))
+    return spark.createDataFrame([(p["row_count"], p["total_null_count"], p["total_invalid_count"], p["exact_duplicate_count"], p["quality_score"])], "rows long, nulls long, bad long, duplicates long, score double")
+
+
+@register("changed_rows", r"SELECT count(*) FILTER (trim(regexp_replace(text, '\s+', ' ', 'g')) IS DISTINCT FROM text) AS changed FROM conversations")
+def changed_rows(spark, d):
+    f = table(spark, d, "conversations").withColumn(ROW, F.col("conv_id") * 1_000_000 + F.col("turn"))
+    after = step(f, "trim_whitespace", columns=["text"])
+    return spark.createDataFrame([(profile.changed_rows(f, after),)], "changed long")
+
+
+@register("csv_protect", "SELECT event_id, CASE WHEN regexp_matches(props, '^[=+@\\t\\r-]') THEN '''' || props ELSE props END AS props, '''=' || event_type AS formula FROM events")
+def csv_protect(spark, d):
+    return safe_for_csv(table(spark, d, "events").select("event_id", "props", F.concat(F.lit("="), "event_type").alias("formula")))
+
+
+@register("overview_status", "SELECT o_orderstatus AS status, count(*) AS runs, count(DISTINCT o_custkey) AS datasets, round(avg(o_totalprice), 2) AS mean_quality, max(o_orderkey) AS latest FROM orders GROUP BY o_orderstatus")
+def overview_status(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("runs"), F.count_distinct("o_custkey").alias("datasets"), F.round(F.avg("o_totalprice"), 2).alias("mean_quality"), F.max("o_orderkey").alias("latest"))
+
+
+# --- whole pipelines ---------------------------------------------------------------------------
+
+
+@register("pipeline_addresses", f"WITH {ADDR}, {CLEAN} SELECT coalesce(CASE WHEN NOT postal_code_valid THEN 'invalid_postal_code' END, 'kept') AS reason, count(*) AS rows FROM norm GROUP BY ALL")
+def flagship(spark, d):
+    """The address clean-up, both branches counted by reason."""
+    result, aside = compiler.compile_plan(addr(spark, d), examples.GERMAN_ADDRESSES)
+    both = validate.union_all([result, aside])
+    return both.groupBy(F.coalesce("quarantine_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@register("pipeline_coordinates", f"WITH {GEO}, {CHECKED} SELECT point_id, latitude_validated, longitude_validated, coordinate_issue, coordinates_valid FROM checked WHERE coordinates_valid")
+def pipeline_coordinates(spark, d):
+    result, _ = compiler.compile_plan(geo_points(spark, d), examples.COORDINATES)
+    return result.select("point_id", "latitude_validated", "longitude_validated", "coordinate_issue", "coordinates_valid")
+
+
+@register(
+    "pipeline_full",
+    f"WITH RECURSIVE {ADDR}, {CLEAN}, {KEYS}, {RATIO}, {GROUPS}, {GEO}, {CHECKED} SELECT k.record_id, k.postal_code_normalized, group_id AS duplicate_group_id, score AS match_score, coordinates_valid FROM keys k JOIN checked c ON c.point_id = k.row LEFT JOIN roots ON roots.row = k.row LEFT JOIN summary USING (root) LEFT JOIN best ON best.row = k.row WHERE postal_code_valid AND coordinates_valid",
+)
+def pipeline_full(spark, d):
+    points = geo_points(spark, d)
+    both = addr(spark, d).withColumn(ROW, F.substring("record_id", 3, 20).cast("long")).join(points, F.col(ROW) == F.col("point_id")).drop("point_id")
+    result, _ = compiler.compile_plan(both, examples.FULL_QUALITY)
+    return result.select("record_id", "postal_code_normalized", "duplicate_group_id", "match_score", "coordinates_valid")

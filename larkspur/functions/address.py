@@ -38,13 +38,13 @@ def normalize_street(value: Column) -> Column:
 
 def street_part(street: Column) -> Column:
     """Of a normalised street, what stands before the house number."""
-    return F.when(street.rlike("(?U)" + HOUSE), F.btrim(F.regexp_extract(street, "(?U)" + HOUSE, 1))).otherwise(street)
+    return F.btrim(F.regexp_replace(street, "(?U)" + HOUSE, "$1"))
 
 
 def house_number(street: Column) -> Column:
     """Of a normalised street, the house number, or null."""
     found = F.regexp_replace(F.regexp_extract(street, "(?U)" + HOUSE, 2), "(?U)\\s+", "")
-    return F.when(street.rlike("(?U)" + HOUSE), F.upper(found))
+    return F.nullif(F.upper(found), F.lit(""))
 
 
 def normalize_city(value: Column) -> Column:
@@ -61,18 +61,16 @@ def normalize_country_code(value: Column) -> Column:
 def postal_of_normalized(text: Column, code: Column) -> Column:
     """Postal code of a normalised text for a country code."""
     bare = F.regexp_replace(text, "^(?:[dD]|[dD][eE]|[aA]|[aA][tT]|[cC][hH])[-\\s]", "")
-    joined = F.upper(F.regexp_replace(bare, "(?U)\\s+", ""))
-    dutch = F.when(F.char_length(joined) == 6, F.concat_ws(" ", joined.substr(1, 4), joined.substr(5, 2))).otherwise(joined)
+    dutch = F.regexp_replace(F.upper(F.regexp_replace(bare, "(?U)\\s+", "")), "\\A(.{4})(.{2})\\z", "$1 $2")
     return F.when(code == "NL", dutch).otherwise(F.regexp_replace(bare, "(?U)\\D", ""))
 
 
 def postal_holds(postal: Column, code: Column) -> Column:
-    """Whether a normalised postal code fits its country; false for null."""
-    fits = F.lit(False)
-    for country, pattern in POSTAL_PATTERNS.items():
-        fits = F.when(code == country, postal.rlike(f"(?U)\\A(?:{pattern})\\z")).otherwise(fits)
-    other = ~code.isin(*POSTAL_PATTERNS)
-    return F.coalesce(F.when(other, postal.rlike(f"\\A(?:{OTHER_PATTERN})\\z")).otherwise(fits), F.lit(False))
+    """Whether a normalised postal code fits its country; false for null. One pattern over both
+    texts, so that neither expression is repeated where the predicate is pushed down."""
+    known = "|".join(f"{country}:(?:{pattern})" for country, pattern in POSTAL_PATTERNS.items())
+    other = f"(?!(?:{'|'.join(POSTAL_PATTERNS)}):)[^:]*:{OTHER_PATTERN}"
+    return F.coalesce(F.concat(code, F.lit(":"), postal).rlike(f"(?U)\\A(?:{known}|{other})\\z"), F.lit(False))
 
 
 def country_or_default(value: Column) -> Column:
