@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of text per Arrow batch. Python tasks hold one batch at a time, so this bounds their memory.
 TEXT_ROWS = 256
@@ -30,15 +29,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by `cut` that are still there, in order.
+_written: list[str] = []
+
+
 def cut(frame: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it back, so that no later stage depends on
     shuffle files or memory of an executor that may be lost."""
     spark = frame.sparkSession
     path = scratch(spark, name)
     frame.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of written tables."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, point: int, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables written since `point`, but for those that `keep` reads. For operators that
+    have finished with their working tables, and for pipelines between stages."""
+    used = {f.rsplit("/larkspur/", 1)[1].split("/", 1)[0] for frame in keep for f in frame.inputFiles()}
+    for path in _written[point:]:
+        if path.rsplit("/", 1)[1] not in used:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _written.remove(path)
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Lower the session's Arrow batch size to `rows`; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -47,5 +67,7 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def by_size(spark: SparkSession) -> None:
+    """Let adaptive execution merge small partitions up to the advisory size, whatever the number of
+    cores: iterative operators write many small tables, and each task there costs two files."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")

@@ -27,7 +27,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in a link (a, b); component is the smallest id reachable."""
-    now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
+    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     before = None
     while True:
         now = cut(_star(_star(now, True), False), "links")

@@ -5,15 +5,16 @@ hash permutations both the least and the greatest value are kept, so a signature
 values costs one evaluation per permutation and shingle. BANDS bands of ROWS values each make bucket
 keys; two documents of similarity 0.75 share none of the 64 buckets with a chance of 3e-8.
 
-1. One pass over the texts writes (id, digest of the set, size, band keys, 1-bit sketch).
+1. One pass over the texts writes (id, digest of the set, size, band keys, 4-bit sketch).
 2. Documents with the same set form a class, represented by its smallest id; only classes go on.
 3. Keys that two classes or more share make the candidate buckets. Pairs within a bucket are not
-   emitted: each class is compared with the bucket centre that it meets most often, and the verified
-   links give components. For buckets whose members are still in two components or more, the members
+   emitted: each bucket has a centre, the member that meets most others over all buckets; each class
+   is compared with the centre that it meets most often, and the verified links give components. For buckets whose members are still in two components or more, the members
    outside the component of the centre are compared with the centre, and what is then still
    unresolved is compared exhaustively between components, except within the bucket's largest one,
-   after a filter by size and by the sketch (a pair of similarity 0.75 fails it with a chance of
-   2e-8). So no candidate pair is lost to a cap.
+   after two filters: an exact upper bound of the intersection (shingles that no other open class has
+   cannot be shared), and the sketch (a pair of similarity 0.75 fails it with a chance of 2e-8). So
+   no candidate pair is lost to a cap.
 4. Every link is confirmed on the full sets. Sets are made again from the texts, for classes in
    candidate buckets only.
 5. Components come from alternating star steps over the link table.
@@ -29,18 +30,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import by_size, cut, drop_since, mark, small_batches
 from .components import components
 
 BANDS, ROWS = 64, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: Candidate ids up to this many are broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Of the sketch's bits, as many may differ: 320 * (0.125 + 5.5 * 0.0185).
-MOST_DIFFERENT = 72
+#: Of the sketch's values as many may differ: 320 * (0.2344 + 5.5 * 0.0237).
+MOST_DIFFERENT = 116
 
 _random = np.random.RandomState(20)
 #: Fixed values drawn from a fixed seed: multipliers and offsets of the permutations.
@@ -87,10 +88,21 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """One mixed bit of each value, in longs."""
+    """Four mixed bits of each value, in longs."""
     with np.errstate(over="ignore"):
-        bits = ((values * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+        bits = ((values * np.uint32(0x85EBCA6B)) >> np.uint32(28)).astype(np.uint8)
+    return (bits[::2] << 4 | bits[1::2]).view(np.int64)
+
+
+def different_values() -> Column:
+    """How many four-bit values of `sketch` and `sketch2` differ."""
+    total = F.lit(0)
+    for i in range(2 * PERMUTATIONS // 16):
+        x = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))
+        y = x.bitwiseOR(F.shiftright(x, 1))
+        y = y.bitwiseOR(F.shiftright(y, 2))
+        total = total + F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -136,8 +148,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the sketch are laid out for."""
     if percent < 75:
         raise ValueError("the bands are laid out for a similarity of 0.75 or more")
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    by_size(docs.sparkSession)
+    point = mark()
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(signed_rows(base, width), "signed")
 
@@ -150,8 +163,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = members.where("rep <> id").select("id").distinct()
     single = some.join(others, "id", "left_anti") if same.limit(1).count() else some
     band_rows = single.select("id", F.explode("bands").alias("key"))
-    shared = cut(band_rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre < top").select("key", "centre"), "shared-keys")
-    buckets = cut(band_rows.join(shared, "key").select("key", "id", "centre"), "buckets")
+    shared = cut(band_rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared-keys")
+    filled = cut(band_rows.join(shared, "key").select("key", "id", "size"), "bucket-members")
+    # the centre of a bucket is the member that meets most others in all its buckets: what a group's
+    # members were copied from meets more of them than they meet each other
+    degrees = filled.groupBy(F.col("id").alias("k")).agg(F.sum(F.col("size") - 1).alias("degree"))
+    ranked = cut(filled.join(degrees, F.col("id") == F.col("k")).select("key", "id", "degree"), "ranked")
+    centres = ranked.groupBy(F.col("key").alias("k")).agg((-F.max(F.struct("degree", (-F.col("id")).alias("c")))["c"]).alias("centre"))
+    buckets = cut(ranked.join(centres, F.col("key") == F.col("k")).select("key", "id", "centre"), "buckets")
 
     wanted = cut(buckets.select("id").distinct(), "wanted")
     picked = base.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
@@ -181,6 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # second: members of other components with the centres of their buckets
     rest = labelled(links)
+    if rest.isEmpty():
+        return grouped(members, components(links), id_col, point)
     centre = rest.where("id = centre").select(F.col("key").alias("k"), F.col("comp").alias("own"))
     second = rest.join(centre, F.col("key") == F.col("k")).where("comp <> own").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     second = cut(second.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -189,18 +210,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # third: all that is left between components, but for pairs within a bucket's largest component
     rest = labelled(links)
+    if rest.isEmpty():
+        return grouped(members, components(links), id_col, point)
     counts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
     largest = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x")).select(F.col("key").alias("k"), F.col("x.comp").alias("largest"))
-    full = rest.join(largest, F.col("key") == F.col("k")).drop("k").join(facts, "id")
-    full = cut(full.select("key", "id", "comp", "largest", "n", "sketch"), "open-facts")
-    few = full.where("comp <> largest").select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "comp", "n", "sketch")])
-    different = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(1, 5)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("sketch2", F.lit(0)))))
-    near = (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (different <= MOST_DIFFERENT)
+    # shingles of no other open class are in no intersection, which bounds each one from above
+    open_ids = rest.select("id").distinct()
+    alone = sets.join(open_ids, "id", "left_semi").select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("k")).where("c = 1").groupBy("k").agg(F.count("*").alias("alone"))
+    keys = rest.groupBy(F.col("id").alias("k2")).agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    bounded = facts.join(keys, F.col("id") == F.col("k2")).join(alone, F.col("id") == F.col("k"), "left").select("id", "n", "sketch", "keys", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    full = rest.join(largest, F.col("key") == F.col("k")).drop("k").join(bounded, "id")
+    full = cut(full.select("key", "id", "comp", "largest", "n", "sketch", "keys", "most"), "open-facts")
+    few = full.where("comp <> largest").select("key", *[F.col(x).alias(f"{x}2") for x in ("id", "comp", "n", "sketch", "keys", "most")])
+    near = (F.col("comp") != F.col("comp2")) & ((100 + percent) * F.least("most", "most2") >= percent * (F.col("n") + F.col("n2"))) & (different_values() <= MOST_DIFFERENT)
+    near = near & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))  # in one of the buckets that a pair shares
     third = full.join(few, "key").where(near).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
     third = cut(third.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = cut(links.unionByName(verified(third)), "verified")
 
-    found = components(links)
+    return grouped(members, components(links), id_col, point)
+
+
+def grouped(members: DataFrame, found: DataFrame, id_col: str, point: int) -> DataFrame:
+    """The result; all working tables but the two that it reads are deleted."""
+    found = cut(found, "components")
+    drop_since(members.sparkSession, point, (members, found))
     out = members.join(found.withColumnRenamed("id", "k"), F.col("rep") == F.col("k"), "left")
     component = F.coalesce("component", "rep")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -209,6 +243,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are kept, with the columns they came with; of repeated rows with one id,
     one stays."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-    return left
+    gone = cut(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[id_col] == F.col("_gone"), "left_anti")
