@@ -1,16 +1,20 @@
 """Blocked duplicate detection.
 
 Rows get a block key and comparison keys once. Only rows of blocks within the size limit meet, in an
-equi-join on the block, so the number of pairs is bounded by rows times the limit. Matches are edges
-inside a block, and the groups are closed block by block. Everything but the similarity of unequal
-keys and the closing of groups is a built-in expression.
+equi-join on the block, so the number of pairs is bounded by rows times the limit.
+
+There are two forms. The pair functions (`candidate_pairs`, `scored_pairs`) are plain joins with
+built-in expressions but for the similarity of unequal keys; they serve reports. `detect_duplicates`
+brings each block together once, in one shuffle without the blocks that are too large, streams the
+blocks through Arrow, and scores, closes and names the groups there, one block in memory at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,9 @@ from pyspark.sql import types as T
 from ..functions import similarity, text
 from .rows import ROW, dense_rows, named, require, visible
 
+#: Columns of the matches that come back from Python.
+MATCHES = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))
+MATCHES_NAMES = ["__hit", "group_id", "canonical", "score", "columns"]
 MODES = ("exact", "normalized", "fuzzy", "weighted")
 
 
@@ -70,11 +77,12 @@ def block_key(m: Matching, key) -> Column:
     return key(m.comparison_columns[0]).substr(1, 3)
 
 
-def keyed(frame: DataFrame, m: Matching) -> DataFrame:
-    """(row, block, k0.. keys, r0.. raw texts) of rows with a block."""
+def keyed(frame: DataFrame, m: Matching, *more: Column) -> DataFrame:
+    """(row, block, k0.. keys, r0.. raw texts, more) of rows with a block."""
     columns = list(dict.fromkeys([*m.comparison_columns, *m.blocking_columns]))
     require(frame, columns, "Deduplication columns not found")
-    own = frame.select(F.col(ROW).alias("row"), *[text.matching_key(named(c)).alias(f"key_{i}") for i, c in enumerate(columns)], *[named(c).cast("string").alias(f"raw_{i}") for i, c in enumerate(columns)])
+    own = frame.select(F.col(ROW).alias("row"), *[text.matching_key(named(c)).alias(f"key_{i}") for i, c in enumerate(columns)], *[named(c).cast("string").alias(f"raw_{i}") for i, c in enumerate(columns)], *more)
+    names = own.columns[1 + 2 * len(columns) :]
     place = {c: i for i, c in enumerate(columns)}
     exact = m.mode == "exact"
     return own.select(
@@ -82,6 +90,7 @@ def keyed(frame: DataFrame, m: Matching) -> DataFrame:
         block_key(m, lambda c: F.col(f"key_{place[c]}")).alias("block"),
         *[F.col(f"key_{place[c]}").alias(f"k{i}") for i, c in enumerate(m.comparison_columns)],
         *[F.coalesce(F.col(f"raw_{place[c]}"), F.lit("None")).alias(f"r{i}") for i, c in enumerate(m.comparison_columns) if exact],
+        *names,
     ).where("block <> ''")
 
 
@@ -118,21 +127,63 @@ def scored_pairs(pairs: DataFrame, m: Matching) -> DataFrame:
     return each.select("block", "a", "b", F.bround(total / F.lit(sum(weights)), 2).alias("score"), columns.alias("columns"))
 
 
-def close_groups(frame: pd.DataFrame) -> pd.DataFrame:
-    """(row, root) of one block's edges; the root is the first row of the group."""
-    parent: dict[int, int] = {}
+def column_score(mode: str, a: tuple, b: tuple) -> float:
+    """Of two (key, raw text) values."""
+    if not a[0] and not b[0]:
+        return 100.0
+    if mode == "exact":
+        return 100.0 if a[1] == b[1] else 0.0
+    if mode == "normalized" or a[0] == b[0]:
+        return 100.0 if a[0] == b[0] else 0.0
+    return similarity.ratio_of(a[0], b[0])
+
+
+def match_block(m: Matching, members: list[dict]) -> list[tuple]:
+    """The duplicates of one block, in row order: (row, group id, canonical record, score, columns)."""
+    weights = [m.weight(c) for c in m.comparison_columns]
+    total, least = sum(weights), m.minimum_score
+    parent, best = list(range(len(members))), {}
 
     def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for a, b in zip(frame["a"], frame["b"]):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    rows = list(parent)
-    return pd.DataFrame({"row": rows, "root": [root(x) for x in rows]}, dtype="int64")
+    for i, a in enumerate(members):
+        for j in range(i + 1, len(members)):
+            scores = [column_score(m.mode, x, y) for x, y in zip(a["values"], members[j]["values"])]
+            score = round(sum(s * w for s, w in zip(scores, weights)) / total, 2)
+            if score >= least:
+                mine = (score, [c for c, s in zip(m.comparison_columns, scores) if s >= least])
+                best[i], best[j] = max(best.get(i, mine), mine), max(best.get(j, mine), mine)
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    groups: dict[int, list[int]] = {}
+    for i in best:
+        groups.setdefault(root(i), []).append(i)
+    out = []
+    for found in groups.values():
+        found.sort()
+        records = [members[i]["record"] for i in found]
+        name = "dup-" + hashlib.sha256("|".join(sorted(records)).encode("utf-8", "surrogatepass")).hexdigest()[:12]
+        chosen = found[0] if m.canonical_strategy == "first" else max(found, key=lambda i: members[i]["there"])
+        out += [(members[i]["row"], name, members[chosen]["record"], *best[i]) for i in found]
+    return out
+
+
+def blocks_of(batches):
+    """Members of each block from batches in block order; one block is held at a time."""
+    block, members = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["block"] != block:
+                if len(members) > 1:
+                    yield members
+                block, members = r["block"], []
+            members.append(r)
+    if len(members) > 1:
+        yield members
 
 
 def as_text(value: Column, kind: T.DataType) -> Column:
@@ -150,8 +201,6 @@ def detect_duplicates(frame: DataFrame, m: Matching) -> Duplicates:
     blocks = block_sizes(rows, m)
     matched = scored_pairs(candidate_pairs(rows, blocks), m).where(F.col("score") >= m.minimum_score)
 
-    groups = matched.select("block", "a", "b").groupBy("block").applyInPandas(lambda f: close_groups(f), "row long, root long")
-    best = matched.select(F.explode(F.array("a", "b")).alias("row"), F.struct("score", "columns").alias("x")).groupBy("row").agg(F.max("x").alias("best"))
     if m.record_id_column in columns:
         record = as_text(named(m.record_id_column), frame.schema[m.record_id_column].dataType)
     else:
@@ -160,24 +209,30 @@ def detect_duplicates(frame: DataFrame, m: Matching) -> Duplicates:
     for c in columns:
         empty = named(c).isNull() | (F.coalesce(named(c) == "", F.lit(False)) if isinstance(frame.schema[c].dataType, T.StringType) else F.lit(False))
         there = there + F.when(empty, 0).otherwise(1)
-    facts = source.select(F.col(ROW).alias("row"), record.alias("record"), there.alias("there"))
-    members = groups.join(facts, "row").join(best, "row")
-    rank = F.struct("there", -F.col("row")) if m.canonical_strategy == "most_complete" else F.struct(-F.col("row"))
-    summary = members.groupBy("root").agg(
-        F.concat(F.lit("dup-"), F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("record")), "|"), 256), 1, 12)).alias("group_id"),
-        F.max_by("record", rank).alias("canonical"),
-    )
-    found = members.join(summary, "root").select(F.col("row").alias("__hit"), "group_id", "canonical", "best")
+    big = blocks.where("oversized").select(F.col("block").alias("big"))
+    meeting = keyed(source, m, record.alias("record"), there.alias("there")).join(big, F.col("block") == F.col("big"), "left_anti")
+    values = F.array(*[F.struct(F.col(f"k{i}").alias("k"), (F.col(f"r{i}") if m.mode == "exact" else F.lit(None).cast("string")).alias("r")) for i in range(len(m.comparison_columns))])
+    meeting = meeting.select("block", "row", "record", "there", values.alias("values")).repartition("block").sortWithinPartitions("block", "row")
+
+    def run(batches):
+        for members in blocks_of(batches):
+            for x in members:
+                x["values"] = [(v["k"], v["r"]) for v in x["values"]]
+            rows = match_block(m, members)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), MATCHES)], MATCHES_NAMES)
+
+    found = meeting.mapInArrow(run, "__hit long, group_id string, canonical string, score double, columns array<string>")
     joined = source.join(found, F.col(ROW) == F.col("__hit"), "left")
     hit = F.col("group_id").isNotNull()
     new = {
         "duplicate_group_id": F.col("group_id"),
         "record_id": record,
         "canonical_record_id": F.col("canonical"),
-        "match_score": F.col("best.score"),
+        "match_score": F.col("score"),
         "match_reason": F.when(hit, f"blocked match on {', '.join(m.blocking_columns) or 'prefix'}"),
-        "review_required": F.coalesce(F.col("best.score") < m.review_threshold, F.lit(False)),
-        "matched_columns": F.coalesce("best.columns", F.array().cast("array<string>")),
+        "review_required": F.coalesce(F.col("score") < m.review_threshold, F.lit(False)),
+        "matched_columns": F.coalesce("columns", F.array().cast("array<string>")),
     }
     order = [*[c for c in frame.columns if c not in new or c == "record_id"], *[c for c in new if c != "record_id" or c not in frame.columns]]
     out = joined.select(*[new[c].alias(c) if c in new else named(c) for c in order])
