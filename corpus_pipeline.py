@@ -13,27 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, near_duplicates, pii, quality_rules, sentencepiece_codec
-from larkspur.llm.common import cut
+from larkspur.llm.common import drop_since, mark, scratch
+
+#: Where the working tables of the stage before begin.
+_point: int | None = None
+
+
+def begin(spark: SparkSession) -> None:
+    """A stage begins when its predecessor's result is written, so what that one worked with goes."""
+    global _point
+    if _point is not None:
+        drop_since(spark, _point)
+    _point = mark()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark)
     return quality_rules.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark)
     return near_duplicates.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text."""
+    begin(spark)
     return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    begin(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
     carry = [docs["doc_id"], docs["lang"], docs["source"], docs["n_chars"]]
     encoded = sentencepiece_codec.encode_texts(docs, path, carry)
@@ -55,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    global _point
+    _point = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        path = scratch(spark, name)
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

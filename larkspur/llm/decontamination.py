@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Windows up to this many are broadcast (about 300 bytes each); beyond, the look-up is a shuffle join.
 BROADCAST_WINDOWS = 500_000
+#: Documents up to this many are broadcast to be removed (16 bytes each); beyond, the join shuffles.
+BROADCAST_DOCUMENTS = 500_000
 #: Windows of at least this many words are found by their first words.
 PREFIX = 5
 
@@ -137,7 +139,9 @@ def decontaminate(
     text = F.coalesce(F.col("_doc")[text_col].cast("string"), F.lit(""))
     same = F.col("_doc")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
     if remove == "documents":
-        return packed.join(hit, same, "left_anti").select("_doc.*")
+        hit = cut(hit.drop("_spans"), "contaminated")
+        side = F.broadcast(hit) if hit.count() <= BROADCAST_DOCUMENTS else hit
+        return packed.join(side, same, "left_anti").select("_doc.*")
     joined = packed.join(hit, same, "left")
     # words and what stands between them, in turn; the word of index k follows separator k
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
