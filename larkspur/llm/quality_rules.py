@@ -43,7 +43,7 @@ class Rules:
     repeat_pct: int = 30
     fence: int = 3
     least: int = 200
-    slack: tuple[tuple[str, int], ...] = (("symbols", 40), ("marks", 60), ("dup_lines", 300), ("repeats", 250), ("stutter", 200), ("word_length", 4000))
+    slack: tuple[tuple[str, int], ...] = (("symbols", 40), ("marks", 60), ("dup_lines", 400), ("repeats", 300), ("stutter", 200), ("word_length", 4000))
 
 
 def words_of(text: Column) -> Column:
