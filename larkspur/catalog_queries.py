@@ -14,6 +14,7 @@ from .operators import cleaning, dedup, profile, validate
 from .operators.rows import ROW
 from .plans import compiler, examples
 from .plans.definition import Step
+from .session import ship_package
 from .sources.writers import safe_for_csv
 
 QUERIES: dict = {}
@@ -31,7 +32,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def step(frame: DataFrame, kind: str, **config) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, dedup, validate
 from ..operators.profile import changed_rows
 from ..operators.rows import ROW, dense_rows
+from ..session import ship_package
 from .definition import Pipeline, Step
 
 
@@ -89,6 +90,7 @@ def apply_step(frame: DataFrame, step: Step) -> Applied:
 def compile_plan(frame: DataFrame, definition: Pipeline) -> tuple[DataFrame, DataFrame]:
     """(result, quarantine) as lazy frames."""
     aside = []
+    ship_package(frame.sparkSession)
     for step in definition.ordered():
         if step.enabled:
             done = apply_step(frame, step)
@@ -141,6 +143,7 @@ def execute(
     does not run the plan again. Without metrics, use compile_plan. `metrics` may be given so that
     they are there after an error."""
     began = time.perf_counter()
+    ship_package(frame.sparkSession)
     metrics = [] if metrics is None else metrics
     current = dense_rows(frame).persist()
     height, aside, warnings, duplicates = current.count(), [], [], 0

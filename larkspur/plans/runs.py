@@ -54,7 +54,7 @@ class Catalogue:
 
     def table(self, table: str) -> DataFrame:
         schema = TABLES[table] + ", version_at long"
-        if not Path(f"{self.root}/{table}").exists():
+        if not readers.exists(self.spark, f"{self.root}/{table}"):
             return self.spark.createDataFrame([], schema).drop("version_at")
         newest = Window.partitionBy("id").orderBy(F.desc("version_at"))
         return self.spark.read.schema(schema).json(f"{self.root}/{table}").withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "version_at")
@@ -129,7 +129,8 @@ def checksum_of(folder: Path) -> tuple[str, int]:
 
 
 def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out: str, cancelled: Callable[[], bool] | None = None, timeout_seconds: float = 900, pipeline_id: str | None = None, options: Options | None = None) -> dict:
-    """Load, profile, run, profile again, write ten artifacts, and record it all."""
+    """Load, profile, run, profile again, write ten artifacts, and record it all. `out` is a folder
+    that driver and executors share."""
     spark, data = catalogue.spark, catalogue.get("datasets", dataset_id)
     run = catalogue.append("runs", dataset_id=dataset_id, pipeline_id=pipeline_id, status="running", started_at=now(), cancel_requested=False)
     began, metrics, folder = time.perf_counter(), [], Path(out) / run["id"]

@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+#: Applications whose workers have the package.
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, once an application: they may run where the driver's
+    import path does not reach."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parent
+        if top.is_dir():  # else the package comes from such an archive already
+            archive = Path(tempfile.mkdtemp(prefix="larkspur-package-")) / "larkspur.zip"
+            with zipfile.ZipFile(archive, "w") as out:
+                for file in sorted(top.rglob("*.py")):
+                    out.write(file, file.relative_to(top.parent))
+            context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
+
 #: ANSI casts, UTC and adaptive execution are what the operators are written for.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,4 +50,4 @@ def build_session(
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    return ship_package(session)

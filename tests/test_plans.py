@@ -2,7 +2,6 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from larkspur.operators.rows import ROW
 from larkspur.plans import compiler, definition, examples
@@ -148,4 +147,23 @@ def test_registered_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert F is not None
+
+
+def test_the_package_reaches_the_workers(tmp_path):
+    """A session of the caller's own, without an import path or checkpoint folder for the workers."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from larkspur.plans import compiler, examples
+frame = spark.createDataFrame([("Größe 1", "Köln", "10115")], "street string, city string, postal_code string")
+print("ROWS", compiler.compile_plan(frame, examples.GERMAN_ADDRESSES)[0].count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
