@@ -7,20 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 #: Rows of text per Arrow batch. Python tasks hold one batch at a time, so this bounds their memory.
 TEXT_ROWS = 256
 
 
+#: The folder made for a local session without `spark.checkpoint.dir`.
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, set here only if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or the context's checkpoint
+    folder. Only a local session without either gets a temporary one."""
+    global _own_dir
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if _own_dir is None:
+            _own_dir = tempfile.mkdtemp(prefix="larkspur-")
+        found = _own_dir
     return found.rstrip("/")
 
 
@@ -60,7 +67,9 @@ def drop_since(spark: SparkSession, point: int, keep: tuple[DataFrame, ...] = ()
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`; a smaller setting stays."""
+    """Make the session fit for Python tasks on texts: the package on the workers, and an Arrow batch
+    of `rows` at most; a smaller setting stays."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
