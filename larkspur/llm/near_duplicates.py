@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Under each of `PERMUTATIONS`
 hash permutations both the least and the greatest value are kept, so a signature of twice as many
 values costs one evaluation per permutation and shingle. BANDS bands of ROWS values each make bucket
-keys; two documents of similarity 0.75 share none of the 64 buckets with a chance of 3e-8.
+keys, and four bits of every value make a sketch; two documents of similarity 0.75 share none of the 64 buckets with a chance of 3e-8.
 
 1. One pass over the texts writes (id, digest of the set, size, band keys, 4-bit sketch).
 2. Documents with the same set form a class, represented by its smallest id; only classes go on.
@@ -37,11 +37,12 @@ from .common import by_size, cut, drop_since, mark, small_batches
 from .components import components
 
 BANDS, ROWS = 64, 5
-PERMUTATIONS = BANDS * ROWS // 2
+#: The bands take the values of the first half of the permutations; the sketch takes those of all.
+PERMUTATIONS = BANDS * ROWS
 #: Candidate ids up to this many are broadcast to pick their texts (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Of the sketch's values as many may differ: 320 * (0.2344 + 5.5 * 0.0237).
-MOST_DIFFERENT = 116
+#: Of the sketch's values as many may differ: 640 * (0.2344 + 5.5 * 0.01675).
+MOST_DIFFERENT = 209
 
 _random = np.random.RandomState(20)
 #: Fixed values drawn from a fixed seed: multipliers and offsets of the permutations.
@@ -80,6 +81,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
+    values = values[: BANDS * ROWS]
     with np.errstate(over="ignore"):
         key = np.arange(1, BANDS + 1, dtype=np.uint64) * MIX
         for k in range(ROWS):
