@@ -139,8 +139,9 @@ def fences(measured: DataFrame, rules: Rules) -> DataFrame:
         return wide.groupBy(*level).agg(F.max("docs").alias(f"{tag}_docs"), *[F.max(F.when(F.col("metric") == k, limit)).alias(f"{tag}_{k}") for k in metrics])
 
     own, lang, everything = quartiles(["_lang", "_source"], "own"), quartiles(["_lang"], "lang"), quartiles([], "all")
-    joined = own.join(lang.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(everything))  # `everything` is one row
-    pick = lambda k: F.when(F.col("own_docs") >= rules.least, F.col(f"own_{k}")).when(F.col("lang_docs") >= rules.least, F.col(f"lang_{k}")).otherwise(F.col(f"all_{k}"))
+    joined = own.join(lang.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")))
+    total = everything.first()  # one row
+    pick = lambda k: F.when(F.col("own_docs") >= rules.least, F.col(f"own_{k}")).when(F.col("lang_docs") >= rules.least, F.col(f"lang_{k}")).otherwise(F.lit(total[f"all_{k}"]).cast("long"))
     return joined.select(F.col("_lang").alias("_fl"), F.col("_source").alias("_fs"), *[pick(k).alias(f"_fence_{k}") for k in metrics])
 
 
