@@ -434,9 +434,9 @@ def profile_columns(spark, d):
     counts = profile.column_counts(f)
     flag = profile.invalid_flag(f, "postal_code", profile.Options())
     names = F.create_map(*[x for i, c in enumerate(f.columns) for x in (F.lit(i), F.lit(c))])
-    bad = f.agg(F.count_if(flag).alias("bad"))
+    bad = f.agg(F.count_if(flag).alias("bad")).first()["bad"]
     by = counts.groupBy("position").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.count("*").alias("unique_count"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return by.crossJoin(F.broadcast(bad)).select(names[F.col("position")].alias("name"), "null_count", "unique_count", "low", "high", F.when(names[F.col("position")] == "postal_code", F.col("bad")).otherwise(0).alias("invalid_count"))  # `bad` is one row
+    return by.select(names[F.col("position")].alias("name"), "null_count", "unique_count", "low", "high", F.when(names[F.col("position")] == "postal_code", F.lit(bad)).otherwise(0).alias("invalid_count"))
 
 
 @register("profile_top_values", "SELECT name, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS place FROM (SELECT 'lang' AS name, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source)) WHERE place <= 8")
