@@ -97,14 +97,12 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def different_values() -> Column:
-    """How many four-bit values of `sketch` and `sketch2` differ."""
-    total = F.lit(0)
-    for i in range(2 * PERMUTATIONS // 16):
-        x = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))
-        y = x.bitwiseOR(F.shiftright(x, 1))
-        y = y.bitwiseOR(F.shiftright(y, 2))
-        total = total + F.bit_count(y.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+    """How many four-bit values of `sketch` and `sketch2` differ. Written as higher-order functions:
+    one expression for each long would make a method that the JVM does not compile."""
+    x = F.zip_with("sketch", "sketch2", lambda a, b: a.bitwiseXOR(b))
+    pairs = F.transform(x, lambda v: v.bitwiseOR(F.shiftright(v, 1)))
+    counts = F.transform(pairs, lambda v: F.bit_count(v.bitwiseOR(F.shiftright(v, 2)).bitwiseAND(F.lit(0x1111111111111111))))
+    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
 
 
 def signed_rows(docs: DataFrame, width: int) -> DataFrame:
