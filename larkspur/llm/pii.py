@@ -12,7 +12,9 @@ whatever the corpus.
 Texts are scanned in time linear in their length. Results in odd cases: a null or empty text has no
 spans; repeated rows are judged alike; an empty table gives an empty result; without candidates
 there is no classifier and only base spans; extra columns pass through `redact` and are ignored by
-`find_pii`; candidates that overlap a base span or an earlier candidate are dropped.
+`find_pii`; candidates that overlap a base span are dropped. Candidates may overlap each other: every
+one is counted and judged, and accepted ones that overlap become one span over all of them, of the
+most probable one's kind.
 """
 
 from __future__ import annotations
@@ -109,20 +111,20 @@ def iban_holds(text: str) -> bool:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]):
-    """(start, kind, end, features, votes); no two overlap each other or a base span."""
+    """(start, kind, end, features, votes) in order; none overlaps a base span, but they may overlap
+    each other."""
     found = [(m.start(1), 4, m.end(1)) for m in SECRET.finditer(text)]
     for kind, pattern in ((5, LOCAL_PHONE), (6, SSN), (7, IBAN), (8, NAME)):
         found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
     if not found:
         return
     taken = sorted((a, b) for a, _, b in base)
-    k, last = 0, 0
+    k = 0
     for start, kind, end in sorted(found):
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if start < last or k < len(taken) and taken[k][0] < end:
+        if k < len(taken) and taken[k][0] < end:
             continue
-        last = end
         yield start, kind, end, *described(text, start, kind, end)
 
 
@@ -217,10 +219,23 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     return fit(sorted((tuple(r["features"]), tuple(r["votes"]), r["n"]) for r in table))
 
 
+def merged(accepted: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of accepted (start, kind, end, probability) in order of start: those that
+    overlap are one span, of the most probable one's kind (of equal ones the longest, then the later kind)."""
+    out: list = []
+    for start, kind, end, p in accepted:
+        rank = (p, end - start, kind)
+        if out and start < out[-1][1]:
+            out[-1][1], out[-1][2] = max(out[-1][1], end), max(out[-1][2], rank)
+        else:
+            out.append([start, end, rank])
+    return [(start, rank[2], end) for start, end, rank in out]
+
+
 def spans_of(text: str, model: dict, least: float = 0.5) -> tuple[list, list]:
     """(base spans, all spans), each a list of (start, kind, end) in order."""
     base = base_spans(text)
-    more = [(a, k, b) for a, k, b, f, _ in candidates(text, base) if model.get(f, 0.0) >= least] if model else []
+    more = merged([(a, k, b, p) for a, k, b, f, _ in candidates(text, base) if (p := model.get(f, 0.0)) >= least]) if model else []
     return base, sorted(base + more) if more else base
 
 

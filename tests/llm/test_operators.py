@@ -452,6 +452,26 @@ def test_expectation_maximisation_finds_reliable_labelers():
     assert model[1,] > 0.8 and model[0,] < 0.2 and not math.isnan(model[1,])
 
 
+def test_overlapping_candidates_are_all_judged():
+    for text, kind, span in (("SSN: 123-45-6789", 6, "123-45-6789"), ("name: Jonathan Miller", 8, "Jonathan Miller"), ("iban=DE89370400440532013000", 7, "DE89370400440532013000")):
+        found = {(k, text[a:b]): f for a, k, b, f, _ in pii.candidates(text, [])}
+        assert (kind, span) in found and any(k == 4 for k, _ in found)
+        model = {f: 0.9 if k == kind else 0.1 for (k, _), f in found.items()}
+        a = text.index(span)
+        assert pii.spans_of(text, model)[1] == [(a, kind, a + len(span))]
+        assert pii.spans_of(text, {f: 0.9 if k == kind else 0.6 for (k, _), f in found.items()})[1] == [(a, kind, a + len(span))]
+        # a less probable candidate that is longer is covered too
+        assert pii.spans_of(text, {f: 0.6 if k == kind else 0.9 for (k, _), f in found.items()})[1] == [(a, 4, a + len(span))]
+    base = pii.base_spans("key=10.0.0.1/abcdefgh")
+    assert base and not list(pii.candidates("key=10.0.0.1/abcdefgh", base))
+
+
+def test_announced_spans_are_found(spark):
+    texts = [f"SSN: {100 + i}-45-{6000 + i}" for i in range(40)] + [f"iban=DE89370400440532013000 no {i}" for i in range(40)] + [f"see: something{i % 3} there" for i in range(80)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == "ssn:5:16" for i in range(40)) and all(got[i] == "iban:5:27" for i in range(40, 80)) and not any(got[i] for i in range(80, 160))
+
+
 # --- plumbing ----------------------------------------------------------------------------------
 
 
