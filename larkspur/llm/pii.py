@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -43,13 +44,30 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-
-#: Candidate patterns, words that announce personal data, and common first names.
-SECRET = re.compile(r"[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+/.~-]{8,512})")
+SPACE = re.compile("[ \u00a0]")
+
+
+def letters(*categories: str) -> str:
+    """The characters of the basic plane of some Unicode categories, as ranges of a pattern's class."""
+    out: list[list[int]] = []
+    for c in range(0x10000):
+        if unicodedata.category(chr(c)) in categories:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in out)
+
+
+#: Letters of names; marks are with the small letters, for texts in decomposed form.
+CAPITAL, SMALL = letters("Lu", "Lt"), letters("Ll", "Lm", "Lo", "Mn")
+#: Candidate patterns, words that announce personal data, and common first names. A
+#: secret is read to its end, however long.
+SECRET = re.compile(r"[:=Bb](?:(?<=[:=])[ \t]{0,3}[\"']?(?:(?i:bearer)[ \t]{1,3})?|(?<=[Bb])(?<![A-Za-z0-9_][Bb])(?i:earer)[ \t]{1,3})[\"']?([A-Za-z0-9_+/.~-]{8,}+)")
 LOCAL_PHONE = re.compile(r"\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4}(?![0-9])")
 SSN = re.compile(r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
-NAME = re.compile(r"[A-Z](?<![A-Za-z][A-Z])[a-z]{1,20} [A-Z][a-z]{2,30}(?![A-Za-z])")
+IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ \u00a0][A-Z0-9]{4}){2,7}(?:[ \u00a0][A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+NAME = re.compile(f"[{CAPITAL}](?<![{CAPITAL}{SMALL}][{CAPITAL}])[{SMALL}]{{1,20}}(?:-[{CAPITAL}][{SMALL}]{{1,20}})? ([{CAPITAL}][{SMALL}]{{2,30}}(?:-[{CAPITAL}][{SMALL}]{{1,30}})?)(?![{CAPITAL}{SMALL}])")
 ANNOUNCE = {
     "secret": ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api key", "access_key", "private_key", "bearer", "credential"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "+1"),
@@ -106,16 +124,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def iban_holds(text: str) -> bool:
+    text = SPACE.sub("", text)
     moved = text[4:] + text[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def ibans(text: str):
+    """(start, end). Words after a number in groups of four can look like more groups, so it ends with
+    the first group with which the check digits hold, or else with the last."""
+    for m in IBAN.finditer(text):
+        ends = [m.start() + x.start() for x in SPACE.finditer(m[0])] + [m.end()]
+        yield m.start(), next((b for b in ends if b - m.start() >= 15 and iban_holds(text[m.start() : b])), m.end())
+
+
+def names(text: str):
+    """(start, end) of any two words that can be a name; the second of one can be the first of the next."""
+    m = NAME.search(text)
+    while m:
+        yield m.start(), m.end()
+        m = NAME.search(text, m.start(1))
+
+
+def unmarked(word: str) -> str:
+    """Without accents, as first names are listed."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]):
     """(start, kind, end, features, votes) in order; none overlaps a base span, but they may overlap
     each other."""
     found = [(m.start(1), 4, m.end(1)) for m in SECRET.finditer(text)]
-    for kind, pattern in ((5, LOCAL_PHONE), (6, SSN), (7, IBAN), (8, NAME)):
+    for kind, pattern in ((5, LOCAL_PHONE), (6, SSN)):
         found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+    for kind, spans in ((7, ibans(text)), (8, names(text))):
+        found += [(a, kind, b) for a, b in spans]
     if not found:
         return
     taken = sorted((a, b) for a, _, b in base)
@@ -131,12 +173,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
 def described(text: str, start: int, kind: int, end: int) -> tuple[tuple, tuple]:
     """Discrete features of a candidate, and the labelers' votes."""
     span, left = text[start:end], text[max(0, start - 40) : start]
+    if kind == 7:
+        span = SPACE.sub("", span)
     size, digits = len(span), sum(c.isdigit() for c in span)
     letters = sum(c.isalpha() for c in span)
     variety = len(set(span))
     quoted = left[-1:] in ("'", '"') and text[end : end + 1] == left[-1:]
     told = any(x in left.lower() for x in ANNOUNCE[KINDS[kind]])
-    first = kind == 8 and span.split(" ")[0] in FIRST_NAMES
+    first = kind == 8 and unmarked(re.split("[ -]", span, maxsplit=1)[0]) in FIRST_NAMES
     shape = 0
     if kind == 4:
         shape = 1 if size >= 20 and digits and letters else -1 if not digits or size < 12 else 0

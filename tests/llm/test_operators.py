@@ -472,6 +472,30 @@ def test_announced_spans_are_found(spark):
     assert all(got[i] == "ssn:5:16" for i in range(40)) and all(got[i] == "iban:5:27" for i in range(40, 80)) and not any(got[i] for i in range(80, 160))
 
 
+def test_candidates_are_whole():
+    def found(text, kind):
+        return [text[a:b] for a, k, b, *_ in pii.candidates(text, pii.base_spans(text)) if k == kind]
+
+    key = "".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(23))[:900]
+    assert found(f"token = {key} end", 4) == [key]
+    assert found(f"Authorization: Bearer eyJ{key[:40]}.x-y", 4) == [f"eyJ{key[:40]}.x-y"] == found(f"send bearer  eyJ{key[:40]}.x-y", 4)
+    assert found('curl -H "authorization:bearer abcdefgh12"', 4) == ["abcdefgh12"] and found("forbearer abcdefgh12 Bearer short", 4) == []
+    assert found("Jürgen Klein und Lucía García, Élise Noël", 8) == ["Jürgen Klein", "Lucía García", "Élise Noël"]
+    assert found("Frau Anna Müller", 8) == ["Frau Anna", "Anna Müller"] and found("Ju\u0308rgen Klein", 8) == ["Ju\u0308rgen Klein"]
+    assert found("Hans-Peter Meyer-Schmidt x", 8) == ["Hans-Peter Meyer-Schmidt"] and found("iPhone Anna", 8) == []
+    for text in ("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE89\u00a03704\u00a00044\u00a00532\u00a00130\u00a000", "DE89370400440532013000", "NO93 8601 1117 947"):
+        assert found(f"IBAN {text} 2024 WORD.", 7) == [text] and found(f"x{text}", 7) == []
+    told = {text: f for text in ("mit Lucía García", "mit Ornella García") for *_, f, _ in pii.candidates(text, [])}
+    assert [f[6] for f in told.values()] == [1, 0]
+    model = {f: 0.9 for *_, f, _ in pii.candidates("Frau Anna Müller", [])}
+    assert pii.redacted("Frau Anna Müller!", pii.spans_of("Frau Anna Müller!", model)[1]) == "[NAME]!"
+
+
+def test_candidates_are_linear():
+    for text in ("=" + "a" * 400_000, "Bearer " * 60_000, "bearer" * 60_000, "Ab " * 100_000, "Äb-" * 100_000, "DE89 " + "1234 " * 80_000, "AB12 CD34 " * 40_000, ":bearer " * 50_000):
+        pii.spans_of(text, {(0,): 1.0})
+
+
 # --- plumbing ----------------------------------------------------------------------------------
 
 
