@@ -6,8 +6,14 @@ t only if their sizes differ by a factor of at most (2 - t) / t, so most templat
 size before any bigram is compared. The templates are a fixed small list and travel as a literal; a
 row is handled by itself, without any shuffle.
 
+A template that neither a line nor the whole text matches is then compared to every run of
+consecutive lines of at most twice as many words as the greatest set that can match has bigrams; the
+best run counts as one match. Runs that cannot match are passed over exactly: the text must have
+enough of the template's bigrams, and so must the run; and a run whose first or last line adds none
+is never better than the run without that line.
+
 Results in odd cases: a null or empty text, and text of less than two words, matches nothing; equal
-lines of a text count once; several templates may match one line; repeated rows give one result each;
+lines of a text count once; a wrapped licence counts once for each template, however often it is there; several templates may match one line; repeated rows give one result each;
 an empty table gives an empty result; other columns are ignored; whole texts of any length are read.
 """
 
@@ -83,22 +89,57 @@ def bigrams_of(segment: Column, least: int, most: int) -> Column:
     return F.get(bound, F.lit(0))
 
 
+def in_runs(template: Column, words: Column, grams: Column, percent: int) -> Column:
+    """The best coefficient of a template with a run of lines, or null. `words` are structs of the
+    words before (`back`) and from (`rest`) each word in its line; `grams` the bigrams by first word."""
+    need, limit = template["need"], template["limit"]
+    hit = lambda g, p: F.when(F.array_contains(template["bigrams"], g), F.struct(p.alias("p"), (p - F.get(words, p)["back"]).alias("first"), (p + 1 + F.get(words, p + 1)["rest"]).alias("end")))
+
+    def best(hits: Column) -> Column:
+        n = F.size(hits)
+        starts = lambda q: ((q == 0) | (F.get(hits, q)["first"] != F.get(hits, q - 1)["first"])) & (F.get(hits, q + need - 1)["p"] - F.get(hits, q)["first"] < limit)
+
+        def from_start(q: Column) -> Column:
+            first = F.get(hits, q)["first"]
+            ends = lambda r: ((r == n - 1) | (F.get(hits, r + 1)["end"] != F.get(hits, r)["end"])) & (F.get(hits, r)["end"] - first <= limit)
+            runs = F.transform(F.filter(F.sequence(q + need - 1, F.least(n - 1, q + limit)), ends), lambda r: F.array_distinct(F.slice(grams, first + 1, F.get(hits, r)["end"] - first - 1)))
+            sizes = F.transform(runs, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_intersect(template["bigrams"], x)).alias("common")))
+            fits = F.filter(sizes, lambda x: 200 * x["common"] >= percent * (x["n"] + template["size"]))
+            return F.array_max(F.transform(fits, lambda x: 2 * x["common"] / (x["n"] + template["size"])))
+
+        return F.when(n >= need, F.array_max(F.transform(F.filter(F.sequence(F.lit(0), n - need), starts), from_start)))
+
+    return F.get(F.transform(F.array(F.filter(F.transform(grams, hit), lambda h: h.isNotNull())), best), F.lit(0))
+
+
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of (id, n_matches, licences, best_dice): matches of distinct lines with templates, the
-    names, and the best coefficient (0 without a match)."""
+    """Rows of (id, n_matches, licences, best_dice): matches of distinct lines and of runs of lines
+    with templates, the names, and the best coefficient (0 without a match)."""
     known = prepared(templates or TEMPLATES, percent)
     least, most = min(x[2] for x in known), max(x[3] for x in known)
-    literal = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("size"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for n, b, lo, hi in known])
+    needs = [-(-percent * (lo + len(b)) // 200) for _, b, lo, _ in known]
+    literal = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("size"), F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.lit(need).alias("need"), F.lit(2 * hi).alias("limit")) for k, ((n, b, lo, hi), need) in enumerate(zip(known, needs))])
+    every = F.array(*map(F.lit, sorted({g for _, b, _, _ in known for g in b})))
     text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    sets = docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", F.transform(F.array_union(F.split("t", "\n"), F.array("t")), lambda s: bigrams_of(s, least, most)).alias("sets"))
+    sets = docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", "t", F.transform(F.array_union(F.split("t", "\n"), F.array("t")), lambda s: bigrams_of(s, least, most)).alias("sets"))
 
     def matches(found: Column) -> Column:
         n = F.size(found)
         fits = lambda t: (n >= t["low"]) & (n <= t["high"]) & (200 * F.size(F.array_intersect(t["bigrams"], found)) >= percent * (n + t["size"]))
-        dice = lambda t: F.struct(t["name"].alias("name"), (2 * F.size(F.array_intersect(t["bigrams"], found)) / (n + t["size"])).alias("dice"))
+        dice = lambda t: F.struct(t["k"].alias("k"), t["name"].alias("name"), (2 * F.size(F.array_intersect(t["bigrams"], found)) / (n + t["size"])).alias("dice"))
         return F.transform(F.filter(literal, fits), dice)
 
-    hits = sets.select("id", F.flatten(F.transform("sets", matches)).alias("hits"))
+    # the whole text is the last segment
+    hits = sets.select("id", "t", F.flatten(F.transform("sets", matches)).alias("hits"), F.array_intersect(every, F.element_at("sets", -1)).alias("here"))
+    open_ = lambda t: (t["need"] > 0) & (F.size("here") >= t["need"]) & (F.size(F.array_intersect(t["bigrams"], F.col("here"))) >= t["need"]) & ~F.exists("hits", lambda h: h["k"] == t["k"])
+    hits = hits.select("id", "t", "hits", F.when(F.contains("t", F.lit("\n")), F.filter(literal, open_)).alias("tried"))
+    lines = F.transform(F.split("t", "\n"), lambda x: F.regexp_extract_all(x, F.lit("([a-z0-9]+)")))
+    words = F.flatten(F.transform(lines, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("back"), (F.size(w) - i).alias("rest")))))
+    hits = hits.select("id", "hits", "tried", F.when(F.size("tried") > 0, words).alias("words"))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a["word"], b["word"]))
+    hits = hits.select("id", "hits", "tried", "words", F.when(F.size("tried") > 0, pairs).alias("grams"))
+    runs = F.filter(F.transform("tried", lambda t: F.struct(t["k"].alias("k"), t["name"].alias("name"), in_runs(t, F.col("words"), F.col("grams"), percent).alias("dice"))), lambda h: h["dice"].isNotNull())
+    hits = hits.select("id", F.when(F.size("tried") > 0, F.concat("hits", runs)).otherwise(F.col("hits")).alias("hits"))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), ",")
     best = F.round(F.coalesce(F.array_max(F.transform("hits", lambda h: h["dice"])), F.lit(0.0)), 6)
     return hits.select(F.col("id").alias(id_col), F.size("hits").cast("long").alias("n_matches"), names.alias("licences"), best.alias("best_dice"))

@@ -200,6 +200,43 @@ def test_licences(spark, odd, nothing):
                 assert low <= size <= high, name
 
 
+def plain_runs(text, percent=80):
+    """(template number, line or None for a run, coefficient): distinct lines and the whole text, and for the other templates the best of all runs of lines up to the limit."""
+    grams_of = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])}
+    lines = [re.findall("[a-z0-9]+", x) for x in text.lower().split("\n")]
+    out = []
+    for k, (_, grams, _, high) in enumerate(license_scan.prepared(license_scan.TEMPLATES, percent)):
+        dice = lambda w: 2 * len(grams_of(w) & set(grams)) / (len(grams_of(w)) + len(grams))  # noqa: E731, B023
+        own = [(k, x, dice(w)) for x in {*text.lower().split("\n"), text.lower()} if dice(w := re.findall("[a-z0-9]+", x)) >= percent / 100]
+        best = 0
+        for i in range(len(lines)):
+            run: list = []
+            for line in lines[i:]:
+                run = run + line
+                if len(run) > 2 * high:
+                    break
+                if (d := dice(run)) >= percent / 100:
+                    best = max(best, d)
+        out += own or [(k, None, best)] * (best > 0)
+    return out
+
+
+def test_wrapped_licences(spark):
+    r, parts = random.Random(8), [t for x in license_scan.TEMPLATES.values() for t in x]
+    def wrap(text, size): return "\n".join(" ".join(text.split()[i : i + size]) for i in range(0, len(text.split()), size))
+    def around(text): return f"{sentence(r.randint(0, 99), 150)}\nstart\n{text}\nend of it\n{sentence(r.randint(0, 99), 150)}"
+    texts = [around(wrap(parts[3], 12)), around("# " + wrap(parts[5], 7).replace("\n", "\n\n# ")), around("All rights\nreserved."), around("all rights and\nreserved."), around(wrap(" ".join(parts[6].split()[:12]), 6)), None, "\n\n"]
+    texts += [around(wrap(parts[r.choice([3, 5, 6, 9, 17])], r.randint(3, 15)).replace("the", r.choice(["the", "a"]))) for _ in range(12)] + [around(wrap(parts[9], 6) + "\n" + wrap(parts[3], 10) + "\n" + wrap(parts[9], 5))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in license_scan.scan_licences(frame).collect()}
+    assert [got[i]["licences"] for i in range(7)] == ["MIT", "Apache-2.0", "proprietary", "", "", "", ""] and got[0]["n_matches"] == 1 and got[0]["best_dice"] > 0.95
+    known = license_scan.prepared(license_scan.TEMPLATES, 80)
+    for i, text in enumerate(texts):
+        want = plain_runs(text or "")
+        assert got[i]["n_matches"] == len(want) and got[i]["best_dice"] == round(max([d for *_, d in want], default=0), 6) and got[i]["licences"] == ",".join(sorted({known[k][0] for k, *_ in want})), (i, text)
+    assert sum(x is None for t in texts for _, x, _ in plain_runs(t or "")) > 12
+
+
 # --- 4 -----------------------------------------------------------------------------------------
 
 
