@@ -5,9 +5,10 @@ with the rule's; the longest fitting rule wins. What no rule decides is judged b
 trees over lexical features, trained on labelled URLs: lengths, path depth, digit ratio, host
 entropy, parameter counts, and statistics of the host's suffix among the labelled URLs.
 
-Training is a handful of small aggregations: the labelled URLs (at most `max_training`, chosen by a
-hash of the URL) are folded to distinct feature vectors with weights, and each level of each tree is
-one grouped sum of gradients over all features and cuts. Gradients are summed as integers, so the
+The suffix statistics cover all labelled URLs; only the trees are fitted to a sample. Training is a
+handful of small aggregations: the sample (about `max_training` labelled URLs, chosen by a hash of
+the URL) is folded to distinct feature vectors with weights, and each level of each tree is one
+grouped sum of gradients over all features and cuts. Gradients are summed as integers, so the
 trees do not depend on order or partitioning. A trained model is a Column expression.
 
 Results in odd cases: a null URL, or one without `://`, has an empty host and path, no rule, and goes
@@ -29,6 +30,8 @@ from .common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Gradients are summed in units of 1 / SCALE.
 SCALE = 1_000_000
+#: Most rows, and bytes of their suffixes, of the suffix statistics that are broadcast; larger ones are shuffled.
+MOST_SUFFIXES, MOST_BYTES = 20_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -199,21 +202,22 @@ def filter_urls(
         known = read(pages, url_col).withColumn("label", verdict_of).where("label is not null")
     else:
         known = read(labelled, "url", F.col("verdict").alias("label")).where("label is not null and url is not null")
-    total = known.count()
+    known = known.withColumns({"suffix": suffix_of(F.col("host")), "y": (F.col("label") == "block").cast("int")})
+    suffixes = cut(known.groupBy("suffix").agg(F.expr("(sum(y) + 1) * 1000 div (count(*) + 2)").alias("suffix_blocked"), F.count("*").alias("suffix_seen")), "url-suffixes")
+    total, rows, size = suffixes.agg(F.coalesce(F.sum("suffix_seen"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.octet_length("suffix")), F.lit(0))).first()
+    suffixes = F.broadcast(suffixes) if rows <= MOST_SUFFIXES and size <= MOST_BYTES else suffixes.hint("merge")
     share = min(1.0, options.max_training / max(total, 1))
     sample = known.where(F.pmod(F.xxhash64("url", F.lit(6)), F.lit(1_000_003)) < int(share * 1_000_003) + (share == 1.0))
-    sample = sample.select(suffix_of(F.col("host")).alias("suffix"), (F.col("label") == "block").cast("int").alias("y"), *[v.cast("long").alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
+    sample = sample.select("suffix", "y", *[v.cast("long").alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
     names = list(lexical(F.lit(""), F.lit(""), F.lit("")))
-    sample = cut(sample.groupBy("suffix", "y", *names).agg(F.count("*").alias("w")), "url-training")
-    # at most as many suffixes as there are training URLs
-    suffixes = cut(sample.groupBy("suffix").agg(F.expr("(sum(w * y) + 1) * 1000 div (sum(w) + 2)").alias("suffix_blocked"), F.sum("w").alias("suffix_seen")), "url-suffixes")
+    sample = cut(sample.groupBy("suffix", "y", *names).agg(F.count("*").alias("w")).join(suffixes, "suffix"), "url-training")
     features = [*names, "suffix_blocked", "suffix_seen"]
     unseen = {"suffix_blocked": 500, "suffix_seen": 0}
-    model = grow(sample.join(F.broadcast(suffixes), "suffix"), features, options)
+    model = grow(sample, features, options)
 
     every = read(pages, url_col, F.col(id_col).alias("id"))
     every = every.select("id", "host", "path", "rule", suffix_of(F.col("host")).alias("suffix"), *[v.cast("long").alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
-    every = every.join(F.broadcast(suffixes), "suffix", "left").fillna(unseen)
+    every = every.join(suffixes, "suffix", "left").fillna(unseen)
     score = 1 / (1 + F.exp(-model.margin()))
     judged = every.select("id", "host", "path", "rule", score.alias("block_score"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(verdict_of, F.when(F.col("block_score") > 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")

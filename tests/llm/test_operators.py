@@ -337,6 +337,16 @@ def test_trees_learn(spark):
     assert np.mean([got[i] == v for i, _, v in rows[400:]]) > 0.97
 
 
+def test_suffix_statistics_cover_all_labelled_urls(spark, monkeypatch):
+    labelled = spark.createDataFrame([(f"http://a.d{i:03d}.com/x{k}", "block" if i % 2 else "allow") for i in range(300) for k in range(3)], "url string, verdict string")
+    pages = spark.createDataFrame([(i, f"http://b.d{i:03d}.com/y") for i in range(300)], "page_id long, url string")
+    def judged(): return {r["page_id"]: (r["verdict"], r["block_score"]) for r in url_filters.filter_urls(pages, [], labelled, options=url_filters.Boosting(max_training=100)).collect()}
+    got = judged()
+    assert all(got[i][0] == ("block" if i % 2 else "allow") for i in range(300))
+    monkeypatch.setattr(url_filters, "MOST_SUFFIXES", 10)
+    assert judged() == got
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 
 
