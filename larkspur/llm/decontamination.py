@@ -55,11 +55,12 @@ def scanned(words: Column, n: int) -> Column:
 
 
 def windows_of(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> DataFrame:
-    """Distinct windows: (words, length, items); items is the sorted set of ids as strings."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
+    """Distinct windows: (words, length, items); items is the sorted set of ids as strings.
+    Items without an id are one item, a null in the set."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     each = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.slice("w", i, size))
-    return items.select("item", F.explode(each).alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("length", F.size("words"))
+    return items.select("item", F.explode(each).alias("words")).groupBy("words").agg(F.sort_array(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"])).alias("items")).withColumn("length", F.size("words"))
 
 
 def contamination(
@@ -74,9 +75,10 @@ def contamination(
 ) -> DataFrame:
     """Rows of (id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash, spans).
 
+    Benchmark items with a null id count as one item in n_items, and are not in the list that is hashed.
     A document is contaminated if at least one word in `min_share` is hit. `text_hash` is the text's
     xxhash64 and `spans` has the windows' (first word, number of words)."""
-    windows = cut(windows_of(benchmark, size, item_col, item_text_col).withColumn("items_id", F.xxhash64("items")), "windows")
+    windows = cut(windows_of(benchmark, size, item_col, item_text_col).withColumn("items_id", F.xxhash64("items", F.exists("items", lambda x: x.isNull()))), "windows")
     lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # `size` rows at most
     classes = sorted({x for x in lengths if x < PREFIX} | {min(x for x in lengths if x >= PREFIX) for _ in [0] if any(x >= PREFIX for x in lengths)})
 

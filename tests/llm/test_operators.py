@@ -392,6 +392,24 @@ def test_decontamination(spark, odd, nothing):
         decontamination.decontaminate(odd, bench, remove="lines")
 
 
+def test_benchmark_items_without_id(spark, tmp_path):
+    import duckdb
+
+    passages = [sentence(900 + i, 20) for i in range(3)]
+    spark.createDataFrame([(None, passages[0]), (7, passages[1]), (None, passages[2]), (8, passages[2])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [passages[0], passages[0] + " x " + passages[1], passages[2], passages[1], passages[0] + " y " + passages[2], "nothing of it", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op7_decontamination(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_items"] for i in range(7)] == [1, 2, 2, 1, 2, 0, 0] and [got[i]["contaminated"] for i in range(7)] == [True] * 5 + [False] * 2
+    assert got[0]["items_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["items_sha256"] == hashlib.sha256(b"8").hexdigest()
+    base = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        base.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cursor = base.execute(queries.ORACLE_SQL["op7_decontamination"])
+    names = [c[0] for c in cursor.description]
+    assert bag(tuple(r[n] for n in names) for r in got.values()) == bag(cursor.fetchall())
+
+
 # --- 8 -----------------------------------------------------------------------------------------
 
 
