@@ -1,12 +1,15 @@
 """Blocked duplicate detection.
 
-Rows get a block key and comparison keys once. Only rows of blocks within the size limit meet, in an
-equi-join on the block, so the number of pairs is bounded by rows times the limit.
+Rows get a block key and comparison keys. Only rows of blocks within the size limit meet, so the number
+of pairs is bounded by rows times the limit.
 
 There are two forms. The pair functions (`candidate_pairs`, `scored_pairs`) are plain joins with
 built-in expressions but for the similarity of unequal keys; they serve reports. `detect_duplicates`
-brings each block together once, in one shuffle without the blocks that are too large, streams the
-blocks through Arrow, and scores, closes and names the groups there, one block in memory at a time.
+reads the input twice: a count by block finds the blocks that are too large, and one shuffle of the
+rows brings each other block together. Rows without a block, or in one that is too large, are dealt
+out evenly by that shuffle and pass by. The blocks stream through Arrow, whole rows in columns; keys
+alone become Python values, each pair of different keys is scored once however many rows have them,
+and a pair is given up as soon as it cannot reach the least score. Nothing is joined back.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import similarity, text
-from .rows import ROW, dense_rows, named, require, visible
-
-#: Columns of the matches that come back from Python.
-MATCHES = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))
-MATCHES_NAMES = ["__hit", "group_id", "canonical", "score", "columns"]
+from ..session import ship_package
+from .rows import ROW, dense_rows, named, require, visible, with_rows
+
+#: What a match adds to a row.
+MATCH = pa.schema([("group_id", pa.string()), ("canonical", pa.string()), ("score", pa.float64()), ("columns", pa.list_(pa.string()))])
+MATCH_SQL = "struct<group_id: string, canonical: string, score: double, columns: array<string>>"
+#: Blocks over the size limit up to this many are sent to all executors; beyond, the join shuffles.
+BROADCAST_BLOCKS = 10_000
 MODES = ("exact", "normalized", "fuzzy", "weighted")
 
 
@@ -79,6 +85,11 @@ def block_key(m: Matching, key) -> Column:
 
 def keyed(frame: DataFrame, m: Matching, *more: Column) -> DataFrame:
     """(row, block, k0.. keys, r0.. raw texts, more) of rows with a block."""
+    return all_keyed(frame, m, *more).where("block <> ''")
+
+
+def all_keyed(frame: DataFrame, m: Matching, *more: Column) -> DataFrame:
+    """The same of all rows; those without a block have an empty one."""
     columns = list(dict.fromkeys([*m.comparison_columns, *m.blocking_columns]))
     require(frame, columns, "Deduplication columns not found")
     own = frame.select(F.col(ROW).alias("row"), *[text.matching_key(named(c)).alias(f"key_{i}") for i, c in enumerate(columns)], *[named(c).cast("string").alias(f"raw_{i}") for i, c in enumerate(columns)], *more)
@@ -91,7 +102,7 @@ def keyed(frame: DataFrame, m: Matching, *more: Column) -> DataFrame:
         *[F.col(f"key_{place[c]}").alias(f"k{i}") for i, c in enumerate(m.comparison_columns)],
         *[F.coalesce(F.col(f"raw_{place[c]}"), F.lit("None")).alias(f"r{i}") for i, c in enumerate(m.comparison_columns) if exact],
         *names,
-    ).where("block <> ''")
+    )
 
 
 def block_sizes(rows: DataFrame, m: Matching) -> DataFrame:
@@ -138,11 +149,17 @@ def column_score(mode: str, a: tuple, b: tuple) -> float:
     return similarity.ratio_of(a[0], b[0])
 
 
-def match_block(m: Matching, members: list[dict]) -> list[tuple]:
-    """The duplicates of one block, in row order: (row, group id, canonical record, score, columns)."""
+def match_block(m: Matching, members: list[dict]) -> dict[int, tuple]:
+    """The duplicates of one block, whose members come in row order: their place in the list, and
+    (group id, canonical record, score, columns). Members with the same values are scored as one."""
     weights = [m.weight(c) for c in m.comparison_columns]
     total, least = sum(weights), m.minimum_score
-    parent, best = list(range(len(members))), {}
+    gain = [max(w, 0.0) * 100.0 for w in weights]
+    places: dict[tuple, list[int]] = {}
+    for i, x in enumerate(members):
+        places.setdefault(x["values"], []).append(i)
+    values = list(places)
+    parent, best = list(range(len(values))), {}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -150,40 +167,74 @@ def match_block(m: Matching, members: list[dict]) -> list[tuple]:
             x = parent[x]
         return x
 
-    for i, a in enumerate(members):
-        for j in range(i + 1, len(members)):
-            scores = [column_score(m.mode, x, y) for x, y in zip(a["values"], members[j]["values"])]
-            score = round(sum(s * w for s, w in zip(scores, weights)) / total, 2)
-            if score >= least:
-                mine = (score, [c for c, s in zip(m.comparison_columns, scores) if s >= least])
-                best[i], best[j] = max(best.get(i, mine), mine), max(best.get(j, mine), mine)
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
-    groups: dict[int, list[int]] = {}
+    def found(x: int, mine: tuple) -> None:
+        best[x] = max(best.get(x, mine), mine)
+
+    whole = (round(sum(100.0 * w for w in weights) / total, 2), list(m.comparison_columns))
+    for i, a in enumerate(values):
+        if len(places[a]) > 1 and whole[0] >= least:
+            found(i, whole)
+        for j in range(i + 1, len(values)):
+            scores, most = [], sum(gain)
+            for x, y, w, g in zip(a, values[j], weights, gain):
+                scores.append(column_score(m.mode, x, y))
+                most += scores[-1] * w - g
+                if most / total < least - 0.01:
+                    break
+            else:
+                score = round(sum(s * w for s, w in zip(scores, weights)) / total, 2)
+                if score >= least:
+                    mine = (score, [c for c, s in zip(m.comparison_columns, scores) if s >= least])
+                    found(i, mine), found(j, mine)
+                    x, y = root(i), root(j)
+                    parent[max(x, y)] = min(x, y)
+    groups: dict[int, list[tuple[int, int]]] = {}
     for i in best:
-        groups.setdefault(root(i), []).append(i)
-    out = []
-    for found in groups.values():
-        found.sort()
-        records = [members[i]["record"] for i in found]
+        groups.setdefault(root(i), []).extend((place, i) for place in places[values[i]])
+    out = {}
+    for some in groups.values():
+        some.sort()
+        records = [members[place]["record"] for place, _ in some]
         name = "dup-" + hashlib.sha256("|".join(sorted(records)).encode("utf-8", "surrogatepass")).hexdigest()[:12]
-        chosen = found[0] if m.canonical_strategy == "first" else max(found, key=lambda i: members[i]["there"])
-        out += [(members[i]["row"], name, members[chosen]["record"], *best[i]) for i in found]
+        chosen = some[0][0] if m.canonical_strategy == "first" else max((place for place, _ in some), key=lambda k: members[k]["there"])
+        out |= {place: (name, members[chosen]["record"], *best[i]) for place, i in some}
     return out
 
 
-def blocks_of(batches):
-    """Members of each block from batches in block order; one block is held at a time."""
-    block, members = None, []
+def with_matches(m: Matching, batches):
+    """Batches of (block, record, there, values, doc) in block order, null blocks apart, as batches of
+    doc and `__match`, what a match adds. Rows of a block that the next batch may go on with are held back."""
+
+    def done(table: pa.Table):
+        blocks = table.column("block").to_pylist()
+        keys = table.select(["record", "there", "values"]).to_pylist()
+        for x in keys:
+            x["values"] = tuple((v["k"], v["r"]) for v in x["values"])
+        rows, start = [(None, None, None, None)] * len(blocks), 0
+        while start < len(blocks):
+            end = start + 1
+            while end < len(blocks) and blocks[end] == blocks[start]:
+                end += 1
+            if blocks[start] is not None and end > start + 1:
+                for place, hit in match_block(m, keys[start:end]).items():
+                    rows[start + place] = hit
+            start = end
+        match = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), MATCH)], fields=list(MATCH))
+        yield from pa.Table.from_arrays([table.column("doc"), match], ["doc", "__match"]).combine_chunks().to_batches()
+
+    held = None
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["block"] != block:
-                if len(members) > 1:
-                    yield members
-                block, members = r["block"], []
-            members.append(r)
-    if len(members) > 1:
-        yield members
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last, at = table.column("block")[-1].as_py(), table.num_rows
+            while last is not None and at and table.column("block")[at - 1].as_py() == last:
+                at -= 1
+            held = table.slice(at) if at < table.num_rows else None
+            if at:
+                yield from done(table.slice(0, at))
+    if held is not None:
+        yield from done(held)
 
 
 def as_text(value: Column, kind: T.DataType) -> Column:
@@ -196,7 +247,11 @@ def detect_duplicates(frame: DataFrame, m: Matching) -> Duplicates:
     """The frame with duplicate_group_id, record_id, canonical_record_id, match_score, match_reason,
     review_required and matched_columns; and the matched pairs and block sizes."""
     columns = visible(frame)
-    source = frame if ROW in columns or ROW in frame.columns else dense_rows(frame)
+    ship_package(frame.sparkSession)
+    if ROW in frame.columns:
+        source = frame
+    else:  # row numbers name the records if no column does
+        source = with_rows(frame) if m.record_id_column in columns else dense_rows(frame)
     rows = keyed(source, m)
     blocks = block_sizes(rows, m)
     matched = scored_pairs(candidate_pairs(rows, blocks), m).where(F.col("score") >= m.minimum_score)
@@ -209,30 +264,30 @@ def detect_duplicates(frame: DataFrame, m: Matching) -> Duplicates:
     for c in columns:
         empty = named(c).isNull() | (F.coalesce(named(c) == "", F.lit(False)) if isinstance(frame.schema[c].dataType, T.StringType) else F.lit(False))
         there = there + F.when(empty, 0).otherwise(1)
+    doc = F.struct(*[named(c).alias(c) for c in source.columns]).alias("doc")
+    meeting = all_keyed(source, m, record.alias("record"), there.alias("there"), doc)
+    apart = F.col("block") == ""
     big = blocks.where("oversized").select(F.col("block").alias("big"))
-    meeting = keyed(source, m, record.alias("record"), there.alias("there")).join(big, F.col("block") == F.col("big"), "left_anti")
+    large = big.limit(BROADCAST_BLOCKS + 1).collect()
+    if large:
+        few = F.broadcast(big.sparkSession.createDataFrame(large, "big string")) if len(large) <= BROADCAST_BLOCKS else big
+        meeting, apart = meeting.join(few, F.col("block") == F.col("big"), "left"), apart | F.col("big").isNotNull()
     values = F.array(*[F.struct(F.col(f"k{i}").alias("k"), (F.col(f"r{i}") if m.mode == "exact" else F.lit(None).cast("string")).alias("r")) for i in range(len(m.comparison_columns))])
-    meeting = meeting.select("block", "row", "record", "there", values.alias("values")).repartition("block").sortWithinPartitions("block", "row")
-
-    def run(batches):
-        for members in blocks_of(batches):
-            for x in members:
-                x["values"] = [(v["k"], v["r"]) for v in x["values"]]
-            rows = match_block(m, members)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), MATCHES)], MATCHES_NAMES)
-
-    found = meeting.mapInArrow(run, "__hit long, group_id string, canonical string, score double, columns array<string>")
-    joined = source.join(found, F.col(ROW) == F.col("__hit"), "left")
-    hit = F.col("group_id").isNotNull()
+    meeting = meeting.select(F.when(~apart, F.col("block")).alias("block"), "row", "record", "there", values.alias("values"), "doc")
+    deal = F.when(F.col("block").isNotNull(), F.xxhash64("block")).otherwise(F.xxhash64("row", F.lit("apart")))
+    meeting = meeting.repartition(deal).sortWithinPartitions("block", "row").drop("row")
+    fields = meeting.select("doc", F.lit(None).cast(MATCH_SQL).alias("__match")).schema
+    joined = meeting.mapInArrow(lambda batches: with_matches(m, batches), fields).select("doc.*", "__match")
+    match = F.col("__match")
+    hit = match["group_id"].isNotNull()
     new = {
-        "duplicate_group_id": F.col("group_id"),
+        "duplicate_group_id": match["group_id"],
         "record_id": record,
-        "canonical_record_id": F.col("canonical"),
-        "match_score": F.col("score"),
+        "canonical_record_id": match["canonical"],
+        "match_score": match["score"],
         "match_reason": F.when(hit, f"blocked match on {', '.join(m.blocking_columns) or 'prefix'}"),
-        "review_required": F.coalesce(F.col("score") < m.review_threshold, F.lit(False)),
-        "matched_columns": F.coalesce("columns", F.array().cast("array<string>")),
+        "review_required": F.coalesce(match["score"] < m.review_threshold, F.lit(False)),
+        "matched_columns": F.coalesce(match["columns"], F.array().cast("array<string>")),
     }
     order = [*[c for c in frame.columns if c not in new or c == "record_id"], *[c for c in new if c != "record_id" or c not in frame.columns]]
     out = joined.select(*[new[c].alias(c) if c in new else named(c) for c in order])

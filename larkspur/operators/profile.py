@@ -1,8 +1,10 @@
 """Profile and quality score of a frame.
 
-Two passes over the (sampled) rows at most, whatever the number of columns: one wide aggregation of
-counts, extremes and validity, and one unpivot to (column, value) whose grouped counts give distinct
-values and top values. Only aggregates reach the driver.
+A fixed number of passes over the (sampled) rows, whatever the number of columns: one wide aggregation
+of counts, extremes and validity, one unpivot to (column, value) whose grouped counts give distinct and
+top values, three for the statistics of numbers, one for identical rows, and one look at the first
+rows. Only a column whose first values are rare costs another look. Only aggregates and the first rows
+reach the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from pyspark.sql import types as T
 from ..functions import address, geo
 from .rows import ROW, named, visible
 
+#: Up to so many rows are ranked in one task; more are dealt out by range.
+SORTED_ROWS = 1_000_000
+#: First rows that are looked at for sample values, and how many of these a column gets.
+FIRST_ROWS, SAMPLE_VALUES = 200, 5
 #: Column names that hold postal codes or coordinates.
 POSTAL_NAMES, LATITUDE_NAMES, LONGITUDE_NAMES = ("plz", "zip"), ("latitude", "lat"), ("longitude", "lon", "lng")
 
@@ -75,28 +81,60 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
     return counts.where("value is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def ranked_values(frame: DataFrame, value: dict[str, Column], ranks: dict[str, list[int]]) -> dict[str, list[float]]:
+    """The values of each column at some ranks (from 0, in ascending order without nulls). Values are
+    counted and dealt out by range; the driver gets one sum for each column and range, and only the
+    ranges that hold a rank are added up."""
+    names = list(value)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value[c].alias("v")) for i, c in enumerate(names)])).alias("x")
+    counts = frame.select(each).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+    counts = counts.repartitionByRange("i", "v").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        before: dict[str, int] = {}
+        wanted = []  # (column, range, rank, rank within the range)
+        for r in sorted(counts.groupBy("i", "part").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["i"], r["part"])):
+            c = names[r["i"]]
+            start = before.get(c, 0)
+            wanted += [(r["i"], r["part"], k, k - start) for k in set(ranks[c]) if start <= k < start + r["n"]]
+            before[c] = start + r["n"]
+        if not wanted:
+            return {c: [] for c in names}
+        picks = F.broadcast(frame.sparkSession.createDataFrame(wanted, "i int, part int, rank long, place long"))  # a few rows a column
+        running = F.sum("n").over(Window.partitionBy("i", "part").orderBy("v"))
+        some = counts.join(picks.select("i", "part").distinct(), ["i", "part"], "left_semi").withColumn("upto", running)
+        rows = some.join(picks, ["i", "part"]).where("place < upto and place >= upto - n").select("i", "rank", "v").collect()
+        found = {(r["i"], r["rank"]): r["v"] for r in rows}
+        return {c: [found[i, k] for k in ranks[c]] for i, c in enumerate(names)}
+    finally:
+        counts.unpersist()
+
+
 def numeric_statistics(frame: DataFrame, columns: list[str]) -> dict[str, dict]:
     """min, max, mean, median, quartiles by nearest rank, and values outside 1.5 quartile distances."""
     if not columns:
         return {}
     value = {c: named(c).cast("double") for c in columns}
-    first = frame.agg(*[x for i, c in enumerate(columns) for x in (F.count(named(c)).alias(f"n{i}"), F.min(value[c]).alias(f"min{i}"), F.max(value[c]).alias(f"max{i}"), F.avg(value[c]).alias(f"avg{i}"), F.percentile(value[c], 0.5).alias(f"med{i}"))]).first()
-    ranks = {}
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
-        ranks[c] = [math.floor((n - 1) * q + 0.5) / (n - 1) if n > 1 else 0.0 for q in (0.25, 0.75)]
-    second = frame.agg(*[F.percentile(value[c], F.array(*map(F.lit, ranks[c]))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    first = frame.agg(*[x for i, c in enumerate(columns) for x in (F.count(named(c)).alias(f"n{i}"), F.min(value[c]).alias(f"min{i}"), F.max(value[c]).alias(f"max{i}"), F.avg(value[c]).alias(f"avg{i}"))]).first()
+    quarter = lambda n, q: math.floor((n - 1) * q + 0.5)
+    counts = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    ranks = {c: [quarter(n, 0.25), quarter(n, 0.75), (n - 1) // 2, n // 2] if n else [] for c, n in counts.items()}
+    if max(counts.values()) > SORTED_ROWS:
+        at = ranked_values(frame, value, ranks)
+    else:  # one pass; all distinct values of a column are in one task
+        shares = {c: [k / max(counts[c] - 1, 1) for k in ranks[c]] or [0.0] for c in columns}
+        row = frame.agg(*[F.percentile(value[c], F.array(*map(F.lit, shares[c]))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        at = {c: row[f"q{i}"] for i, c in enumerate(columns)}
     bounds = {}
     for i, c in enumerate(columns):
         if first[f"n{i}"]:
-            low, high = second[f"q{i}"]
+            low, high = at[c][:2]
             bounds[c] = (low, high, low - 1.5 * (high - low), high + 1.5 * (high - low))
     third = frame.agg(*[F.count_if((value[c] < F.lit(b[2])) | (value[c] > F.lit(b[3]))).alias(f"o{columns.index(c)}") for c, b in bounds.items()]).first() if bounds else None
     finite = lambda x: x if x is None or math.isfinite(x) else None
     out = {}
     for i, c in enumerate(columns):
         if c in bounds:
-            out[c] = {"min": finite(first[f"min{i}"]), "max": finite(first[f"max{i}"]), "mean": finite(first[f"avg{i}"]), "median": finite(first[f"med{i}"]), "quantiles": {"q25": finite(bounds[c][0]), "q75": finite(bounds[c][1])}, "outlier_count": third[f"o{i}"]}
+            out[c] = {"min": finite(first[f"min{i}"]), "max": finite(first[f"max{i}"]), "mean": finite(first[f"avg{i}"]), "median": finite((at[c][2] + at[c][3]) / 2), "quantiles": {"q25": finite(bounds[c][0]), "q75": finite(bounds[c][1])}, "outlier_count": third[f"o{i}"]}
     return out
 
 
@@ -137,6 +175,19 @@ def jsonable(value):
     return value
 
 
+def sample_values(frame: DataFrame, there: dict[str, int]) -> dict[str, list]:
+    """The first values of each column; `there` has how many each column has."""
+    if not there:
+        return {}
+    head = frame.select(*[named(c) for c in there]).limit(FIRST_ROWS).collect()
+    out = {}
+    for i, c in enumerate(there):
+        out[c] = [r[i] for r in head if r[i] is not None][:SAMPLE_VALUES]
+        if len(out[c]) < min(SAMPLE_VALUES, there[c]):
+            out[c] = [r[0] for r in frame.where(named(c).isNotNull()).select(named(c)).limit(SAMPLE_VALUES).collect()]
+    return {c: [jsonable(v) for v in values] for c, values in out.items()}
+
+
 def profile(frame: DataFrame, options: Options | None = None) -> dict:
     """The whole report. The sample is persisted while the passes run over it."""
     options = options or Options()
@@ -164,17 +215,17 @@ def profile(frame: DataFrame, options: Options | None = None) -> dict:
         numbers = numeric_statistics(sample, [c for c in names if isinstance(kinds[c], T.NumericType)])
         duplicates = exact_duplicates(sample).first()["duplicates"] if rows and names else 0
         columns, nulls, invalid = [], 0, 0
+        firsts = sample_values(sample, {c: rows - row[f"null{i}"] for i, c in enumerate(names)})
         for i, c in enumerate(names):
             null_ratio, unique = row[f"null{i}"] / max(rows, 1), distinct.get(i, 0)
             nulls, invalid = nulls + row[f"null{i}"], invalid + row[f"bad{i}"]
             statistics = numbers.get(c, {})
             if _plain(kinds[c]) and row[f"min{i}"] is not None:
                 statistics = {"min": jsonable(row[f"min{i}"]), "max": jsonable(row[f"max{i}"])}
-            first = [jsonable(r[0]) for r in sample.where(named(c).isNotNull()).select(named(c)).limit(5).collect()]
             columns.append({
                 "name": c, "dtype": kinds[c].simpleString(), "null_count": row[f"null{i}"], "null_ratio": round(null_ratio, 6),
                 "unique_count": unique, "unique_ratio": round(unique / max(rows, 1), 6), "cardinality": unique, "invalid_count": row[f"bad{i}"],
-                "sample_values": first, "top_values": tops.get(i, []), "statistics": statistics,
+                "sample_values": firsts[c], "top_values": tops.get(i, []), "statistics": statistics,
                 "recommendation": recommendation(null_ratio, unique / max(rows, 1), row[f"bad{i}"], isinstance(kinds[c], T.StringType)),
             })
         size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -187,13 +238,18 @@ def profile(frame: DataFrame, options: Options | None = None) -> dict:
         sample.unpersist()
 
 
+def row_hash(names: list[str]) -> Column:
+    return F.xxhash64(*[x for c in names for x in (named(c).isNull(), named(c))])
+
+
 def changed_rows(before: DataFrame, after: DataFrame) -> int:
-    """Rows that differ by position; if columns or heights differ, the larger height. Needs ROW in both."""
+    """Rows that differ by position; if columns or heights differ, the larger height. Needs ROW in both.
+    `compiler.execute` counts steps that work row by row without this join."""
     a, b = visible(before), visible(after)
     heights = before.count(), after.count()
     if a != b or heights[0] != heights[1]:
         return max(heights)
-    side = lambda f, s: f.select(F.col(ROW).alias(s), F.xxhash64(*[named(c) for c in a]).alias(f"h_{s}"))
+    side = lambda f, s: f.select(F.col(ROW).alias(s), row_hash(a).alias(f"h_{s}"))
     both = side(before, "x").join(side(after, "y"), F.col("x") == F.col("y"))
     return both.where("h_x <> h_y").count()
 

@@ -1,7 +1,7 @@
 """Pipeline definitions to DataFrame plans.
 
 Compilation walks the ordered steps and threads one frame through them; no job runs for it, except
-where a duplicate step needs dense row numbers. `execute` adds metrics, cancel and timeout checks.
+that a duplicate step counts its blocks. `execute` adds metrics, cancel and timeout checks.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, dedup, validate
-from ..operators.profile import changed_rows
-from ..operators.rows import ROW, dense_rows
+from ..operators.profile import row_hash
+from ..operators.rows import ROW, dense_rows, visible
 from ..session import ship_package
 from .definition import Pipeline, Step
 
@@ -51,6 +51,8 @@ def _distance(f, c):
     return validate.calculate_distance(f, c["reference_latitude"], c["reference_longitude"], c["latitude_column"], c["longitude_column"], c["output_column"])
 
 
+#: A row's hash before a step, while that step is counted.
+HASH = "__row_hash"
 #: Steps that turn one frame into one frame.
 PLAIN: dict[str, Callable] = {
     "load_dataset": lambda f, c: f,
@@ -127,6 +129,12 @@ class Outcome:
     metrics: list[StepMetric]
     warnings: list[str]
     duplicate_count: int
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of the persisted frames that the results read."""
+        for frame in self.held:
+            frame.unpersist()
 
     def metrics_payload(self) -> list[dict]:
         return [{**asdict(m), "duration_seconds": round(m.duration_seconds, 6)} for m in self.metrics]
@@ -139,15 +147,16 @@ def execute(
     timeout_seconds: float = 900,
     metrics: list[StepMetric] | None = None,
 ) -> Outcome:
-    """Step by step, with row counts after each; frames are persisted between steps so that a count
-    does not run the plan again. Without metrics, use compile_plan. `metrics` may be given so that
-    they are there after an error."""
+    """Step by step, with row counts after each. A frame is persisted until the next one is there, so
+    a count does not run the plan again; `Outcome.release` lets go of the last ones. Rows that a step
+    changed are counted in the same pass as its rows, by a hash that travels with each row. Without
+    metrics, use compile_plan. `metrics` may be given so that they are there after an error."""
     began = time.perf_counter()
     ship_package(frame.sparkSession)
     metrics = [] if metrics is None else metrics
     current = dense_rows(frame).persist()
     height, aside, warnings, duplicates = current.count(), [], [], 0
-    held = [current]
+    persisted, held = current, []
     for step in definition.ordered():
         if not step.enabled:
             continue
@@ -155,20 +164,24 @@ def execute(
             raise RunCancelled("Run cancellation requested")
         if time.perf_counter() - began > timeout_seconds:
             raise RunTimedOut(f"Run exceeded {timeout_seconds:g} seconds")
-        started, before = time.perf_counter(), current
+        started, before = time.perf_counter(), persisted
         metric = StepMetric(step.id, step.type, step.name, 0.0, height, height, 0, 0)
         metrics.append(metric)
         try:
-            done = apply_step(current, step)
-            if done.frame is not current:
-                current = done.frame.persist()
-                held.append(current)
-                metric.output_rows = current.count()
-                metric.changed_rows = changed_rows(before, current)
+            names = visible(current)
+            done = apply_step(current.withColumn(HASH, row_hash(names)) if step.type in PLAIN else current, step)
             if done.quarantined is not None:
-                metric.quarantined_rows = height - metric.output_rows
+                done.quarantined.persist()
+                held.append(done.quarantined)
+                metric.quarantined_rows = done.quarantined.count()
                 if metric.quarantined_rows:
                     aside.append(done.quarantined)
+            persisted = done.frame.persist()
+            same = [c for c in visible(persisted) if c != HASH] == names
+            differs = F.count_if(F.col(HASH) != row_hash(names)) if same and HASH in persisted.columns else F.lit(0)
+            metric.output_rows, changed = persisted.agg(F.count("*"), differs).first()
+            metric.changed_rows = changed if same and metric.output_rows == height else max(height, metric.output_rows)
+            current = persisted.drop(HASH)
             if done.duplicates is not None:
                 duplicates = max(duplicates, current.where("duplicate_group_id is not null").count())
                 skipped = done.duplicates.blocks.where("oversized").count()
@@ -181,4 +194,5 @@ def execute(
             metric.duration_seconds = time.perf_counter() - started
         warnings += metric.warnings
         height = metric.output_rows
-    return Outcome(current.drop(ROW), quarantine_of(current, aside).drop(ROW), metrics, warnings, duplicates)
+        before.unpersist()
+    return Outcome(current.drop(ROW), quarantine_of(current, aside).drop(ROW), metrics, warnings, duplicates, [*held, persisted])
