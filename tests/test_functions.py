@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,7 +113,7 @@ def test_reference_systems(spark):
     ((e, n),) = values(spark, [far[0]], "x double, y double", x, y)
     assert (e, n) == pytest.approx((798812.803, 5827999.900), abs=0.01)
     with pytest.raises(NotImplementedError):
-        crs.transform(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:2154")
+        crs.transform(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:2056")
 
 
 def plain_lcs(a, b):
@@ -144,3 +145,28 @@ def test_normalisers_are_idempotent(spark, value):
     first = text.normalize_unicode(F.lit(value))
     a, b = spark.range(1).select(first.alias("a"), text.normalize_unicode(first).alias("b")).first()
     assert a == b and (a is None or not any(ord(c) < 32 for c in a))
+
+
+def test_more_systems(spark):
+    points = spark.createDataFrame([(5.0, 50.0), (2.3522, 48.8566), (13.4, 52.5), (1.716073972, 52.658007833)], "lon double, lat double")
+
+    def at(code, row):
+        x, y = crs.transform(F.col("lon"), F.col("lat"), "EPSG:4326", code)
+        return points.select(x, y).collect()[row]
+
+    assert np.allclose(at("EPSG:3035", 0), (3962799.45, 2999718.85), atol=0.01)
+    assert np.allclose(at("EPSG:2154", 1), (652469.02, 6862035.26), atol=0.05)
+    assert np.allclose(at("EPSG:27700", 3), (651409.8, 313177.4), atol=6)  # the shift is good to a few metres
+    x, y = at("EPSG:31468", 2)
+    plain = crs._transverse(F.col("lon"), F.col("lat"), crs.system("EPSG:31468"))
+    px, py = points.select(*plain).collect()[2]
+    assert 20 < math.hypot(x - px, y - py) < 300 and 4_500_000 < x < 4_700_000
+    for code in ("EPSG:3035", "EPSG:2154", "EPSG:27700", "EPSG:31466", "EPSG:31469", "EPSG:32633"):
+        there = crs.transform(F.col("lon"), F.col("lat"), "EPSG:4326", code)
+        back = points.select("lon", "lat", there[0].alias("x"), there[1].alias("y"))
+        lon, lat = crs.transform(F.col("x"), F.col("y"), code, "EPSG:4326")
+        for r in back.select("lon", "lat", lon.alias("lon2"), lat.alias("lat2")).collect():
+            assert abs(r["lon"] - r["lon2"]) < 3e-7 and abs(r["lat"] - r["lat2"]) < 3e-7, code  # the shift back is the shift reversed, good to centimetres
+    one, two = crs.transform(*crs.transform(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:31467"), "EPSG:31467", "EPSG:25832"), crs.transform(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:25832")
+    for r in points.select(one[0].alias("a"), one[1].alias("b"), two[0].alias("c"), two[1].alias("d")).collect():
+        assert math.hypot(r["a"] - r["c"], r["b"] - r["d"]) < 0.02
