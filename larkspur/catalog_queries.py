@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .functions import address, crs, geo, text
 from .operators import cleaning, dedup, profile, validate
 from .operators.rows import ROW
-from .plans import compiler, examples
+from .plans import compiler, examples, runs
 from .plans.definition import Step
-from .session import ship_package
+from .session import scratch_folder, ship_package
+from .sources import readers, writers
 from .sources.writers import safe_for_csv
 
 QUERIES: dict = {}
@@ -109,9 +110,9 @@ def select_rename(spark, d):
     return step(f, "rename_columns", mapping={"o_orderkey": "o_custkey", "o_custkey": "o_orderkey", "o_totalprice": "price"})
 
 
-@register("cast_types", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice::VARCHAR = o_totalprice::VARCHAR AS same, try_cast(o_orderstatus AS BIGINT) AS o_orderstatus, o_orderdate::DATE AS o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS num, CASE WHEN o_orderkey % 2 = 0 THEN true END AS flag FROM orders")
+@register("cast_types", "SELECT o_orderkey::VARCHAR AS o_orderkey, try_cast(o_orderstatus AS BIGINT) AS o_orderstatus, o_orderdate::DATE AS o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS num, CASE WHEN o_orderkey % 2 = 0 THEN true END AS flag FROM orders")
 def cast_types(spark, d):
-    f = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") == F.col("o_totalprice")).alias("same"), "o_orderstatus", "o_orderdate", F.when(F.col("o_orderkey") % 3 == 0, "1d").otherwise(F.col("o_orderkey").cast("string")).alias("num"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("yes").alias("flag"))
+    f = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", F.when(F.col("o_orderkey") % 3 == 0, "1d").otherwise(F.col("o_orderkey").cast("string")).alias("num"), F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("yes").alias("flag"))
     return step(f, "cast_types", mapping={"o_orderkey": "string", "o_orderstatus": "integer", "o_orderdate": "date", "num": "integer", "flag": "boolean"})
 
 
@@ -173,7 +174,7 @@ def _filters() -> None:
     parts = "SELECT p_partkey, p_name, p_type FROM part WHERE"
     for op, sql, value in (("eq", "= 25", 25), ("ne", "<> 25", 25), ("gt", "> 40", 40), ("gte", ">= 40", 40), ("lt", "< 10", 10), ("lte", "<= 10", 10)):
         register(f"filter_{op}", f"{lines} {sql}")(lambda spark, d, op=op, value=value: step(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "filter_rows", column="l_quantity", operator=op, value=value))
-    register("filter_contains", f"{parts} contains(p_name, '1')")(lambda spark, d: step(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "filter_rows", column="p_name", operator="contains", value="1"))
+    register("filter_contains", f"{parts} contains(p_name, 'ring')")(lambda spark, d: step(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), "filter_rows", column="p_name", operator="contains", value="ring"))
     register("filter_in", "SELECT * FROM nation WHERE n_regionkey IN (1, 3)")(lambda spark, d: step(table(spark, d, "nation"), "filter_rows", column="n_regionkey", operator="in", value=[1, 3]))
     register("filter_is_null", f"WITH {HOLES} SELECT * FROM holes WHERE value IS NULL")(lambda spark, d: step(holes(spark, d), "filter_rows", column="value", operator="is_null"))
 
@@ -479,10 +480,122 @@ def csv_protect(spark, d):
     return safe_for_csv(table(spark, d, "events").select("event_id", "props", F.concat(F.lit("="), "event_type").alias("formula")))
 
 
-@register("overview_status", "SELECT o_orderstatus AS status, count(*) AS runs, count(DISTINCT o_custkey) AS datasets, round(avg(o_totalprice), 2) AS mean_quality, max(o_orderkey) AS latest FROM orders GROUP BY o_orderstatus")
+RUNS = "runs AS (SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS dataset_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'queued' END AS status, o_totalprice AS quality_after, o_orderkey % 7 AS duplicate_count, o_orderkey % 3 AS quarantined_rows, lpad(o_orderkey::VARCHAR, 12, '0') AS created_at FROM orders)"
+
+
+@register("overview_status", f"WITH {RUNS} SELECT count(*) AS runs, count(DISTINCT CASE WHEN status = 'completed' THEN dataset_id END) AS datasets, round(avg(quality_after), 2) AS mean_quality, sum(duplicate_count)::BIGINT AS duplicates, sum(quarantined_rows)::BIGINT AS quarantined, max_by(id, created_at) AS latest, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled, least(count(*), 20) AS listed FROM runs")
 def overview_status(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("runs"), F.count_distinct("o_custkey").alias("datasets"), F.round(F.avg("o_totalprice"), 2).alias("mean_quality"), F.max("o_orderkey").alias("latest"))
+    key = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("queued")
+    made = table(spark, d, "orders").select(
+        key.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("dataset_id"), status.alias("status"), F.lpad(key.cast("string"), 12, "0").alias("created_at"),
+        F.lit(0.0).alias("quality_before"), F.col("o_totalprice").alias("quality_after"), (key % 7).alias("duplicate_count"), (key % 3).alias("quarantined_rows"), key.alias("output_rows"),
+    )
+    x = runs.overview(made)
+    row = (x["runs"], x["datasets"], x["mean_quality"], x["duplicates"], x["quarantined"], x["latest"], x["by_status"]["completed"], x["by_status"]["failed"], x["by_status"]["cancelled"], len(x["series"]))
+    return spark.createDataFrame([row], "runs long, datasets long, mean_quality double, duplicates long, quarantined long, latest string, completed long, failed long, cancelled long, listed long")
+
+
+# --- sources and sinks: written, read again by the library, compared to the table ----------------
+
+TYPED = "SELECT c_custkey, c_name || chr(10) || '\"' || c_mktsegment || '\", ok' AS note, c_acctbal, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey::BIGINT END AS nation FROM customer"
+
+
+def _round_trips() -> None:
+    def read_back(spark, d, sink: str, source: str):
+        c = table(spark, d, "customer")
+        note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", ok'))
+        frame = c.select("c_custkey", note.alias("note"), "c_acctbal", F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey").cast("long")).alias("nation"))
+        path = scratch_folder(spark, sink)
+        writers.write_dataset(frame, path, sink)
+        return writers.without_rows(readers.read_dataset(spark, path, source)[0]).select(frame.columns)
+
+    for name, sink, source in (("round_trip_parquet", "parquet", "parquet"), ("round_trip_jsonl", "jsonl", "jsonl"), ("round_trip_csv", "csv", "csv")):
+        register(name, TYPED)(lambda spark, d, sink=sink, source=source: read_back(spark, d, sink, source))
+
+
+_round_trips()
+
+
+@register("read_json_records", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def read_json_records(spark, d):
+    """A JSON document with `records`, over several lines."""
+    path = scratch_folder(spark, "records")
+    one = table(spark, d, "nation").agg(F.to_json(F.struct(F.collect_list(F.struct("n_nationkey", "n_name")).alias("records")), {"pretty": "true"}))  # 25 rows
+    one.coalesce(1).write.text(path)
+    return writers.without_rows(readers.read_dataset(spark, path, "json")[0])
+
+
+# --- cases that the other queries do not reach ---------------------------------------------------
+
+
+@register("validate_coordinates_text", f"WITH {GEO}, texts AS (SELECT point_id, CASE point_id % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'NaN' ELSE latitude::VARCHAR END AS latitude, longitude::VARCHAR AS longitude FROM geo), n AS (SELECT point_id, CASE WHEN point_id % 4 > 1 THEN latitude::DOUBLE END AS latitude, longitude::DOUBLE AS longitude FROM texts) SELECT point_id, {VALID} OR {SWAP} AS coordinates_valid, NOT {VALID} AND {SWAP} AS coordinates_swapped FROM n")
+def validate_coordinates_text(spark, d):
+    g = geo_points(spark, d)
+    latitude = F.when(F.col("point_id") % 4 == 0, "north").when(F.col("point_id") % 4 == 1, "NaN").otherwise(F.col("latitude").cast("string"))
+    f = g.select("point_id", latitude.alias("latitude"), F.col("longitude").cast("string").alias("longitude"))
+    return step(f, "validate_coordinates").select("point_id", "coordinates_valid", "coordinates_swapped")
+
+
+@register("coordinate_counts", f"WITH {GEO}, {CHECKED} SELECT count(*) AS rows, count(*) FILTER (coordinates_valid) AS valid, count(*) FILTER (coordinates_swapped) AS swapped FROM checked")
+def coordinate_counts(spark, d):
+    return validate.coordinate_counts(step(geo_points(spark, d), "validate_coordinates"))
+
+
+@register("cast_strict", "SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::DOUBLE AS o_custkey, o_orderdate::DATE AS o_orderdate FROM orders")
+def cast_strict(spark, d):
+    f = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderdate")
+    return step(f, "cast_types", mapping={"o_orderkey": "string", "o_custkey": "float", "o_orderdate": "date"}, strict=True)
+
+
+@register("dedup_oversized", f"{SETUP}, b AS (SELECT block, count(*) AS n FROM keys WHERE block <> '' GROUP BY block) SELECT coalesce(sum(CASE WHEN n <= 2 THEN n * (n - 1) // 2 END), 0)::BIGINT AS candidates, count(*) FILTER (n > 2) AS skipped FROM b")
+def dedup_oversized(spark, d):
+    """Blocks of more than two rows are left out."""
+    found = dedup.detect_duplicates(clean_addresses(spark, d), matching(maximum_group_size=2))
+    size = F.col("size")
+    return found.blocks.agg(F.coalesce(F.sum(F.when(~F.col("oversized"), size * (size - 1) / 2)), F.lit(0)).cast("long").alias("candidates"), F.count_if("oversized").alias("skipped"))
+
+
+@register("dedup_without_oversized", f"{SETUP}, {RATIO}, small AS (SELECT block FROM keys WHERE block <> '' GROUP BY block HAVING count(*) = 2), hits AS (SELECT a AS row FROM matched WHERE block IN (SELECT block FROM small) UNION SELECT b FROM matched WHERE block IN (SELECT block FROM small)) SELECT record_id, hits.row IS NOT NULL AS grouped FROM keys LEFT JOIN hits ON hits.row = keys.row")
+def dedup_without_oversized(spark, d):
+    found = dedup.detect_duplicates(clean_addresses(spark, d), matching(maximum_group_size=2)).frame
+    return found.select("record_id", F.col("duplicate_group_id").isNotNull().alias("grouped"))
+
+
+@register("matched_columns", f"{SETUP}, {RATIO}, ranked AS (SELECT row, columns, row_number() OVER (PARTITION BY row ORDER BY score DESC, length(columns)) AS n, max(score) OVER (PARTITION BY row) = score AS top FROM (SELECT a AS row, score, columns FROM matched UNION ALL SELECT b, score, columns FROM matched)) SELECT k.record_id, coalesce(max(columns) FILTER (top), '') AS columns FROM keys k LEFT JOIN ranked ON ranked.row = k.row GROUP BY k.record_id")
+def matched_columns(spark, d):
+    found = dedup.detect_duplicates(clean_addresses(spark, d), matching()).frame
+    return found.select("record_id", F.array_join("matched_columns", ",").alias("columns"))
+
+
+@register("profile_sampled", f"WITH {ADDR}, s AS (SELECT * FROM addr WHERE substr(record_id, 3)::BIGINT IN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 100)) SELECT (SELECT count(*) FROM addr) AS rows, count(*) AS sampled, count(*) FILTER (postal_code IS NULL) AS nulls FROM s")
+def profile_sampled(spark, d):
+    f = addr(spark, d).withColumn(ROW, F.substring("record_id", 3, 20).cast("long"))
+    p = profile.profile(f, profile.Options(sample_rows=100))
+    return spark.createDataFrame([(p["row_count"], p["sampled_rows"], p["total_null_count"])], "rows long, sampled long, nulls long")
+
+
+@register("profile_ranks", f"WITH {QUARTILES} SELECT round(q25, 4) AS q25, round(q75, 4) AS q75, round(median, 4) AS median FROM q")
+def profile_ranks(spark, d):
+    """The same quartiles by ranges, as for more rows than one task should sort."""
+    f = table(spark, d, "lineitem").select("l_extendedprice")
+    n = f.count()
+    ranks = [int((n - 1) * 0.25 + 0.5), int((n - 1) * 0.75 + 0.5), (n - 1) // 2, n // 2]
+    low, high, a, b = profile.ranked_values(f, {"x": F.col("l_extendedprice")}, {"x": ranks})["x"]
+    return spark.createDataFrame([(round(low, 4), round(high, 4), round((a + b) / 2, 4))], "q25 double, q75 double, median double")
+
+
+@register("execute_metrics", f"WITH {ADDR}, {CLEAN} SELECT count(*) AS input_rows, count(*) FILTER (postal_code_valid) AS output_rows, count(*) FILTER (NOT postal_code_valid) AS quarantined_rows, count(*) FILTER (trim(regexp_replace(street, '\\s+', ' ', 'g')) <> street) AS trimmed FROM norm")
+def execute_metrics(spark, d):
+    """Steps with their counts, as a run records them."""
+    from .plans.definition import pipeline
+
+    steps = [("trim", "trim_whitespace", {"columns": ["street"]}), ("address", "normalize_address", {}), ("check", "quarantine_invalid_rows", {"condition": "invalid_postal_code"})]
+    plan = pipeline({"name": "metrics", "steps": [{"id": i, "type": t, "name": i, "config": c} for i, t, c in steps]})
+    done = compiler.execute(addr(spark, d), plan)
+    done.release()
+    trim, _, check = done.metrics
+    return spark.createDataFrame([(trim.input_rows, check.output_rows, check.quarantined_rows, trim.changed_rows)], "input_rows long, output_rows long, quarantined_rows long, trimmed long")
 
 
 # --- whole pipelines ---------------------------------------------------------------------------

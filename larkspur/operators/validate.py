@@ -98,3 +98,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def coordinate_counts(frame: DataFrame) -> DataFrame:
+    """One row: rows, and how many of them have valid and swapped coordinates, after their validation."""
+    return frame.agg(F.count("*").alias("rows"), F.count_if("coordinates_valid").alias("valid"), F.count_if("coordinates_swapped").alias("swapped"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,18 @@ def ship_package(spark: SparkSession) -> SparkSession:
         _shipped.add(context.applicationId)
     return spark
 
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: below `spark.checkpoint.dir`, or a temporary folder
+    of a local session."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="larkspur-")
+    return f"{top.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 #: ANSI casts, UTC and adaptive execution are what the operators are written for.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
