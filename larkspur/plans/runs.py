@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 from ..operators.profile import Options, jsonable, profile
 from ..operators.rows import ROW
 from ..sources import files, readers, writers
+from ..sources.demo import demo_dataset
 from .compiler import RunCancelled, RunTimedOut, StepMetric, execute
 from .definition import Pipeline, to_yaml, warnings_of
+from .resources import ResourceMonitor
 
 STATUSES = ("queued", "running", "completed", "cancelled", "timed_out", "failed")
 #: Columns of the catalogue's tables.
@@ -78,6 +80,20 @@ class Catalogue:
             status="duplicate" if earlier else "ready", duplicate_of=earlier["id"] if earlier else None,
         )
 
+    def add_demo(self, theme: str, rows: int = 1000) -> dict:
+        """Make and register a demonstration dataset; one of the same make is not made again."""
+        name = f"demo-{theme}-{rows}"
+        there = self.table("datasets").where(F.col("name") == name).first()
+        if there is not None:
+            return there.asDict()
+        path = f"{self.root}/uploads/{uuid.uuid4().hex}/original.parquet"
+        writers.write_dataset(demo_dataset(self.spark, theme, rows), path)
+        frame = readers.read_dataset(self.spark, path, "parquet")[0]
+        return self.append(
+            "datasets", name=name, path=path, format="parquet", row_count=rows, column_count=len(frame.columns) - 1, schema_json=json.dumps(readers.schema_payload(frame)),
+            preview_json=json.dumps(readers.preview(frame)), status="ready",
+        )
+
     def profile_dataset(self, key: str, options: Options | None = None) -> dict:
         row = self.get("datasets", key)
         report = profile(readers.read_dataset(self.spark, row["path"], row["format"])[0], options)
@@ -138,7 +154,8 @@ def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out
     try:
         frame, _, _ = readers.read_dataset(spark, data["path"], data["format"])
         before = profile(frame, options)
-        done = execute(frame, definition, stopped, timeout_seconds, metrics)
+        with ResourceMonitor(spark) as used:
+            done = execute(frame, definition, stopped, timeout_seconds, metrics)
         result, aside = done.frame.persist(), done.quarantine.persist()
         after = profile(result)
         folder.mkdir(parents=True, exist_ok=True)
@@ -147,7 +164,7 @@ def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out
         writers.write_dataset(aside, str(folder / "quarantine.parquet"))
         rows_out, quarantined, seconds = result.count(), aside.count(), time.perf_counter() - began
         figures = run_figures(before["row_count"], rows_out, quarantined, seconds, before["quality_score"], after["quality_score"], data["size_bytes"], checksum_of(folder / "result.parquet")[1])
-        figures |= {"steps": done.metrics_payload(), "seconds": round(seconds, 6), "result_preview": readers.preview(result, 25), "quarantine_preview": readers.preview(aside, 25)}
+        figures |= {"steps": done.metrics_payload(), "seconds": round(seconds, 6), "resources": used.report(), "result_preview": readers.preview(result, 25), "quarantine_preview": readers.preview(aside, 25)}
         write = lambda name, text: (folder / name).write_text(text, encoding="utf-8")
         write("quality-report.json", json.dumps(jsonable({"before": before, "after": after}), ensure_ascii=False, indent=2))
         write("performance-report.json", json.dumps(jsonable(figures), ensure_ascii=False, indent=2))
@@ -160,6 +177,9 @@ def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out
         sums["checksums.sha256"] = checksum_of(folder / "checksums.sha256")
         for n, (digest, size) in sums.items():
             catalogue.append("artifacts", run_id=run["id"], name=n, path=str(folder / n), sha256=digest, size_bytes=size)
+        for held in (result, aside):
+            held.unpersist()
+        done.release()
         end = {"status": "completed", "input_rows": before["row_count"], "output_rows": rows_out, "quarantined_rows": quarantined, "duplicate_count": done.duplicate_count, "quality_before": before["quality_score"], "quality_after": after["quality_score"], "warnings": json.dumps(warnings_of(definition) + done.warnings), "metrics_json": json.dumps(jsonable(figures))}
     except RunCancelled as e:
         end = {"status": "cancelled", "errors": str(e)}

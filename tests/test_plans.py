@@ -101,6 +101,41 @@ def test_writers(spark, tmp_path):
         writers.write_dataset(frame, str(tmp_path / "x"), "xml")
 
 
+def test_fields_that_span_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"x\ny"\n2,"say ""hi"""\n3,plain\n')
+    frame = readers.read_dataset(spark, str(tmp_path / "a.csv"), "csv")[0]
+    assert [(r["id"], r["note"]) for r in frame.orderBy(ROW).collect()] == [(1, "x\ny"), (2, 'say "hi"'), (3, "plain")]
+    (tmp_path / "b.csv").write_text('id\n"1"\n')
+    assert readers.spans_lines(spark, str(tmp_path / "a.csv")) and not readers.spans_lines(spark, str(tmp_path / "b.csv"))
+
+
+def test_encodings():
+    cut = b"a" + "ü".encode() * 70_000
+    assert cut[readers.HEAD - 1 : readers.HEAD] == b"\xc3" and readers.detect_text_format(cut)[0] == "utf-8" and readers.detect_text_format(cut[: readers.HEAD - 2] + b"\xc3")[0] != "utf-8"
+    assert readers.detect_text_format(b"\xef\xbb\xbfa;b\n1;2\n") == ("utf-8-sig", ";")
+    assert [readers.java_charset(x) for x in ("utf-8", "utf-8-sig", "cp1252", "latin-1", "iso8859-15")] == ["UTF-8", "UTF-8", "windows-1252", "ISO-8859-1", "ISO-8859-15"]
+
+
+def test_plain_text_is_no_anchor():
+    p = definition.from_yaml("name: a &x b *y\nsteps: [{id: a, type: load_dataset, name: 'R & D *'}]")
+    assert p.name == "a &x b *y"
+
+
+def test_demo_data(spark, tmp_path):
+    from larkspur.sources import demo
+
+    for theme in demo.THEMES:
+        frame = demo.demo_dataset(spark, theme, 400)
+        assert frame.count() == 400 and frame.exceptAll(demo.demo_dataset(spark, theme, 400)).isEmpty()
+        notes = {r["quality_note"] for r in frame.select("quality_note").distinct().collect()}
+        assert notes == {"clean", "copy", "fault"}
+    catalogue = Catalogue(spark, str(tmp_path / "catalogue"))
+    made = catalogue.add_demo("base", 300)
+    assert catalogue.add_demo("base", 300)["id"] == made["id"] and catalogue.profile_dataset(made["id"])["row_count"] == 300
+    with pytest.raises(ValueError):
+        demo.demo_dataset(spark, "nothing")
+
+
 def test_run(spark, tmp_path):
     catalogue = Catalogue(spark, str(tmp_path / "catalogue"))
     data = catalogue.add_dataset("my data.csv", io.BytesIO(CSV.encode()))
