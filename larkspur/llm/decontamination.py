@@ -1,18 +1,21 @@
 """Benchmark decontamination (operator 7, DataFrame functions only).
 
 The benchmark's windows of `size` normalised words (an item of fewer words is one window) form a
-hash set that is broadcast behind a check of its size. The documents' words are scanned once: at
-every position the hash of the next few words is looked up, and a hit is verified word by word
-against the window. Per document the verified windows give the words that are hit, the items and the
-verdict, by which documents, or only the words hit, are removed.
+hash set that is broadcast behind a check of its size; beyond, it is looked up by a shuffle of
+(document, position, key). The documents' words are scanned once: at every position the hash of the
+next few words is looked up. Documents with a hit are read again, and the few words at each hit are
+verified against the window. So a document's words never travel with its positions, and the work is
+linear in a text's length. Per document the verified windows give the words that are hit, the items
+and the verdict, by which documents, or only the words hit, are removed.
 
 The look-up needs few passes whatever the windows' lengths: windows of five words or more are found
 by their first words, as many as the shortest of them has, and shorter windows by all of theirs.
 
 Results in odd cases: a null or empty text has no words and is never contaminated; an item without
 words has no windows; repeated rows give one result each; repeated items count by their id; an empty
-benchmark leaves every document clean; other columns are ignored by `contamination` and pass through
-`decontaminate`.
+benchmark leaves every document clean; other columns, whatever their names, are ignored by
+`contamination` and pass through `decontaminate`. Texts of any length are scanned whole, in memory of
+a few times their size.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Work, release
 
 #: What separates words once A-Z are lower-cased, and the letters themselves.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Windows up to this many are broadcast (about 300 bytes each); beyond, the look-up is a shuffle join.
-BROADCAST_WINDOWS = 500_000
+#: Windows up to this many bytes (their words, and WINDOW_BYTES each for the rest) are broadcast.
+BROADCAST_BYTES, WINDOW_BYTES = 100_000_000, 150
 #: Documents up to this many are broadcast to be removed (16 bytes each); beyond, the join shuffles.
 BROADCAST_DOCUMENTS = 500_000
 #: Windows of at least this many words are found by their first words.
@@ -78,54 +81,73 @@ def contamination(
     Benchmark items with a null id count as one item in n_items, and are not in the list that is hashed.
     A document is contaminated if at least one word in `min_share` is hit. `text_hash` is the text's
     xxhash64 and `spans` has the windows' (first word, number of words)."""
-    windows = cut(windows_of(benchmark, size, item_col, item_text_col).withColumn("items_id", F.xxhash64("items", F.exists("items", lambda x: x.isNull()))), "windows")
-    lengths = {r["length"]: r["count"] for r in windows.groupBy("length").count().collect()}  # `size` rows at most
-    classes = sorted({x for x in lengths if x < PREFIX} | {min(x for x in lengths if x >= PREFIX) for _ in [0] if any(x >= PREFIX for x in lengths)})
-
-    # what is looked up: (key, class, window), and one entry that each document meets exactly once
-    probes = None
+    work = Work(docs.sparkSession)
+    windows = work.cut(windows_of(benchmark, size, item_col, item_text_col).withColumn("items_id", F.xxhash64("items", F.exists("items", lambda x: x.isNull()))), "windows")
+    sizes = windows.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("words", ""))).alias("bytes")).collect()  # `size` rows at most
+    lengths = sorted(r["length"] for r in sizes)
+    classes = [x for x in lengths if x < PREFIX] + [x for x in lengths if x >= PREFIX][:1]
+
+    # what is looked up: (key, class, window)
+    probes = windows.where(F.lit(False)).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("class"), "words", "length", "items_id")
     for k, p in enumerate(classes):
         some = windows.where(F.col("length") == p if p < PREFIX else F.col("length") >= PREFIX)
-        some = some.select(key_of(F.col("words"), 1, p).alias("key"), F.lit(k).alias("class"), "words", "length", "items_id")
-        probes = some if probes is None else probes.unionByName(some)
-    mark = windows.sparkSession.range(1).select(F.xxhash64(F.lit("document")).alias("key"), F.lit(-1).alias("class"), F.lit(None).cast("array<string>").alias("words"), F.lit(0).alias("length"), F.lit(None).cast("long").alias("items_id"))
-    probes = mark if probes is None else probes.unionByName(mark)
-    if sum(lengths.values()) <= BROADCAST_WINDOWS:
-        probes = F.broadcast(probes)
+        probes = probes.unionByName(some.select(key_of(F.col("words"), 1, p).alias("key"), F.lit(k).alias("class"), "words", "length", "items_id"))
 
+    small = sum(r["bytes"] + WINDOW_BYTES * r["n"] for r in sizes) <= BROADCAST_BYTES
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("t")).select("id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("w"))
-    n = F.size("w")
-    count = {k: F.greatest(n - p + 1, F.lit(0)) for k, p in enumerate(classes)}
-    parts = [F.array(F.xxhash64(F.lit("document")))]
-    for k, p in enumerate(classes):
-        parts.append(F.when(n >= p, scanned(F.col("w"), p)).otherwise(F.array().cast("array<bigint>")))
-    met = base.select("id", "th", "w", F.posexplode(F.concat(*parts)).alias("at", "key")).join(probes, "key")
-    start, before = F.lit(0), F.lit(0)
-    for k in range(len(classes)):
-        start = F.when(F.col("class") == k, F.col("at") - before).otherwise(start)
-        before = before + count[k]
-    met = met.withColumn("start", start)
-    real = (F.col("class") < 0) & (F.col("at") == 0) | (F.col("class") >= 0) & (F.col("start") >= 1) & (F.slice("w", F.greatest("start", F.lit(1)), F.col("length")) == F.col("words"))
-    met = met.where(real).select("id", "th", n.cast("long").alias("n_words"), (F.col("class") < 0).alias("own"), F.when(F.col("class") >= 0, F.struct("start", "length")).alias("span"), "items_id")
-    found = met.groupBy("id", "th").agg(F.count_if("own").alias("copies"), F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items_id").alias("sets"))
-    found = cut(found, "hits")
+    base = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("th", F.xxhash64("t"))
+    worded = base.select("id", "th", words_of(F.col("t")).alias("w")).withColumn("n", F.size("w"))  # not after the explode, which would carry w
+    n = F.col("n")
+    keys = [F.when(n >= p, scanned(F.col("w"), p)).otherwise(F.array().cast("array<bigint>")) for p in classes]
+    known = probes.select("key", "class").distinct()
+    if small:
+        # one more entry that each document meets exactly once: it brings the document's own row
+        own_key = F.xxhash64(F.lit("document"))
+        known = known.unionByName(work.spark.range(1).select(own_key.alias("key"), F.lit(-1).alias("class")))
+        met = worded.select("id", "th", "n", F.posexplode(F.concat(F.array(own_key), *keys)).alias("at", "key")).join(F.broadcast(known), "key")
+        start, before = F.lit(0), F.lit(0)
+        for k, p in enumerate(classes):
+            start = F.when(F.col("class") == k, F.col("at") - before).otherwise(start)
+            before = before + F.greatest(F.col("n") - p + 1, F.lit(0))
+        met = met.withColumn("start", start).where("class < 0 and at = 0 or class >= 0 and start >= 1")
+    else:
+        met = worded.select("id", "th", "n", F.lit(None).cast("long").alias("key"), F.lit(-1).alias("class"), F.lit(0).alias("start"))
+        for k, keys_of_class in enumerate(keys):
+            some = worded.select("id", "th", F.posexplode(keys_of_class).alias("at", "key")).select("id", "th", F.lit(0).alias("n"), "key", F.lit(k).alias("class"), (F.col("at") + 1).alias("start"))
+            met = met.unionByName(some.join(known, ["key", "class"], "left_semi").select("id", "th", "n", "key", "class", "start"))
+    hit = F.when(F.col("class") >= 0, F.struct("class", "start", "key"))
+    seen = met.groupBy("id", "th").agg(F.count_if(F.col("class") < 0).alias("copies"), F.max("n").cast("long").alias("n_words"), F.collect_set(hit).alias("hits"))
+    seen = work.cut(seen, "positions")
+
+    # verification, for documents with hits
+    hits = seen.where(F.size("hits") > 0).select(F.col("id").alias("i"), F.col("th").alias("h"), "hits")
+    rows, many = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()
+    there = base.join(F.broadcast(hits) if 32 * (rows + many) <= BROADCAST_BYTES else hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
+    there = there.select("id", "th", "hits", words_of(F.col("t")).alias("w"))
+    each = there.select("id", "th", F.explode(F.transform("hits", lambda x: F.struct(x["class"], x["start"], x["key"], F.slice("w", x["start"], size).alias("found")))).alias("x")).select("id", "th", "x.*")
+    real = each.join(F.broadcast(probes) if small else probes, ["key", "class"]).where(F.slice("found", 1, F.col("length")) == F.col("words"))
+    real = real.groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.collect_set("items_id").alias("sets"))
+    real = work.cut(real, "verified")
+    found = seen.join(real, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left")
+    none = F.array().cast(real.schema["spans"].dataType)
+    found = found.select("id", "th", "copies", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("sets", F.array().cast("array<bigint>")).alias("sets"))
 
     zero = F.struct(F.lit(1).alias("next"), F.lit(0).cast("long").alias("total"))
     end = lambda s: s["start"] + s["length"]
     n_hit = F.aggregate("spans", zero, lambda a, s: F.struct(F.greatest(a["next"], end(s)).alias("next"), (a["total"] + F.greatest(F.lit(0), end(s) - F.greatest(a["next"], s["start"]))).alias("total")), lambda a: a["total"])
-    sets = windows.select("items_id", "items").dropDuplicates(["items_id"])
+    sets = windows.select("items_id", "items").dropDuplicates(["items_id"]).select("items_id", F.explode("items").alias("item"))
     items = (
         found.where(F.size("sets") > 0).select("id", "th", F.explode("sets").alias("items_id")).join(sets, "items_id")
-        .groupBy("id", "th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .select(F.col("id").alias("id2"), F.col("th").alias("th2"), "items")
+        .groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.sort_array(F.transform(F.collect_set(F.struct("item")), lambda x: x["item"])).alias("items"))
     )
     out = found.join(items, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     out = out.select("id", "th", "copies", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), "spans")
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("th").alias("text_hash"), "spans")
+    out = out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.col("th").alias("text_hash"), "spans", "copies")
+    out = work.cut(out, "contamination")
+    work.drop(keep=(out,))
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
 
 
 def decontaminate(
@@ -137,11 +159,13 @@ def decontaminate(
         raise ValueError("remove must be 'documents' or 'spans'")
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     hit = found.where("contaminated" if remove == "documents" else "n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"])
+    work = Work(docs.sparkSession)
+    hit = work.cut(hit.drop("_spans") if remove == "documents" else hit, "contaminated")
+    release(found)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
     text = F.coalesce(F.col("_doc")[text_col].cast("string"), F.lit(""))
     same = F.col("_doc")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
     if remove == "documents":
-        hit = cut(hit.drop("_spans"), "contaminated")
         side = F.broadcast(hit) if hit.count() <= BROADCAST_DOCUMENTS else hit
         return packed.join(side, same, "left_anti").select("_doc.*")
     joined = packed.join(hit, same, "left")
