@@ -10,11 +10,13 @@ A template that neither a line nor the whole text matches is then compared to ev
 consecutive lines of at most twice as many words as the greatest set that can match has bigrams; the
 best run counts as one match. Runs that cannot match are passed over exactly: the text must have
 enough of the template's bigrams, and so must the run; and a run whose first or last line adds none
-is never better than the run without that line.
+is never better than the run without that line. Comment marks are no words, so they do not matter.
 
-Results in odd cases: a null or empty text, and text of less than two words, matches nothing; equal
-lines of a text count once; a wrapped licence counts once for each template, however often it is there; several templates may match one line; repeated rows give one result each;
-an empty table gives an empty result; other columns are ignored; whole texts of any length are read.
+Results in odd cases: a null or empty text, and text of less than two words, matches nothing; lines
+with the same bigrams, and a text of one such line, count once; a wrapped licence counts once for each
+template, however often it is there; several templates may match one line, and ties do not matter, as
+all are counted; repeated rows give one result each; an empty table gives an empty result; other
+columns, whatever their names, are ignored; whole texts of any length are read.
 """
 
 from __future__ import annotations
@@ -56,7 +58,43 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "BSD-3-Clause": [
+        "Licensed under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "GPL-2.0": [
+        "Licensed under the GNU General Public License v2.0.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies.",
@@ -125,12 +163,14 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
 
     def matches(found: Column) -> Column:
         n = F.size(found)
-        fits = lambda t: (n >= t["low"]) & (n <= t["high"]) & (200 * F.size(F.array_intersect(t["bigrams"], found)) >= percent * (n + t["size"]))
-        dice = lambda t: F.struct(t["k"].alias("k"), t["name"].alias("name"), (2 * F.size(F.array_intersect(t["bigrams"], found)) / (n + t["size"])).alias("dice"))
-        return F.transform(F.filter(literal, fits), dice)
+        fits = F.filter(literal, lambda t: (n >= t["low"]) & (n <= t["high"]))
+        tried = F.transform(fits, lambda t: F.struct(t["k"].alias("k"), t["name"].alias("name"), (n + t["size"]).alias("sum"), F.size(F.array_intersect(t["bigrams"], found)).alias("common")))
+        good = F.filter(tried, lambda t: 200 * t["common"] >= percent * t["sum"])
+        return F.transform(good, lambda t: F.struct(t["k"].alias("k"), t["name"].alias("name"), (2 * t["common"] / t["sum"]).alias("dice"), F.array_sort(found).alias("set")))
 
     # the whole text is the last segment
-    hits = sets.select("id", "t", F.flatten(F.transform("sets", matches)).alias("hits"), F.array_intersect(every, F.element_at("sets", -1)).alias("here"))
+    own = F.transform(F.array_distinct(F.flatten(F.transform("sets", matches))), lambda h: F.struct(h["k"].alias("k"), h["name"].alias("name"), h["dice"].alias("dice")))
+    hits = sets.select("id", "t", own.alias("hits"), F.array_intersect(every, F.element_at("sets", -1)).alias("here"))
     open_ = lambda t: (t["need"] > 0) & (F.size("here") >= t["need"]) & (F.size(F.array_intersect(t["bigrams"], F.col("here"))) >= t["need"]) & ~F.exists("hits", lambda h: h["k"] == t["k"])
     hits = hits.select("id", "t", "hits", F.when(F.contains("t", F.lit("\n")), F.filter(literal, open_)).alias("tried"))
     lines = F.transform(F.split("t", "\n"), lambda x: F.regexp_extract_all(x, F.lit("([a-z0-9]+)")))

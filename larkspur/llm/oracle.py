@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 from .license_scan import TEMPLATES, prepared
-from .quality_rules import Rules
+from .quality_rules import METRICS, SIZES, Rules
 
 
 def quality_sql(rules: Rules = Rules(), documents: str = "documents", final: str | None = None) -> str:
     """op5: counts, sketches, fences and verdicts. `final` replaces the last SELECT (over `judged`)."""
     space = r"[^\x20\x09-\x0D]"
-    metrics = [k for k, _ in rules.slack]
-    slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.slack) + " END"
-    quart = lambda level, tag: f"""
+    column = lambda x: x.removeprefix("_")
+    value = {m.name: f"{column(m.count)} * 1000 // greatest({column(m.size)}, 1)" for m in METRICS}
+    sketched = value | {x: column(x) for x in SIZES}
+    at = lambda q: f"min(CASE WHEN run >= (docs * {q} + 3) // 4 THEN lo END) AS q{q}"
+
+    def quartiles(tag: str, *level: str) -> str:
+        cols, part = "".join(f"{x}, " for x in level), ", ".join([*level, "what"])
+        return f"""
 {tag} AS (
-  SELECT {level}, metric, max(docs) AS docs, min(CASE WHEN run >= (docs + 3) // 4 THEN lo END) AS low, min(CASE WHEN run >= (docs * 3 + 3) // 4 THEN lo END) AS high
+  SELECT {cols}what, max(docs) AS docs, {at(1)}, {at(2)}, {at(3)}
   FROM (
-    SELECT {level}, metric, bucket, sum(n) OVER (PARTITION BY {level}, metric ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {level}, metric) AS docs,
+    SELECT {cols}what, bucket, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {part}) AS docs,
       CASE WHEN bucket < 64 THEN bucket ELSE (bucket - (bucket // 32 - 1) * 32) << (bucket // 32 - 1) END AS lo
-    FROM (SELECT {level}, metric, bucket, sum(n)::BIGINT AS n FROM hist GROUP BY ALL)
-  ) GROUP BY {level}, metric
-)"""
-    fence = lambda t: f"{t}.high + greatest({rules.fence} * ({t}.high - {t}.low), {slack.replace('metric', 'own.metric')})"
-    inside = " AND ".join(f"j.f_{k} >= m.v_{k}" for k in metrics)
+    FROM (SELECT {cols}what, bucket, sum(n)::BIGINT AS n FROM hist GROUP BY ALL)
+  ) GROUP BY {part}
+)"""
+
+    chosen = lambda q: f"CASE WHEN own.docs >= {rules.least} THEN own.{q} WHEN per_lang.docs >= {rules.least} THEN per_lang.{q} ELSE everything.{q} END"
+    pick = lambda what, q, name: f"max(CASE WHEN own.what = '{what}' THEN {chosen(q)} END) AS {name}"
+    picked = [x for m in METRICS for x in (pick(m.name, "q1", f"low_{m.name}"), pick(m.name, "q3", f"high_{m.name}"))] + [pick(x, "q2", f"mid_{column(x)}") for x in SIZES]
+    inside = []
+    for m in METRICS:
+        low, high, v = f"low_{m.name}", f"high_{m.name}", f"({value[m.name]})"
+        step = lambda size: f"ceil({high} / (2 * sqrt(greatest({size}, 1)::DOUBLE)))::BIGINT" if m.mean else f"ceil(1000 / greatest({size}, 1))::BIGINT"  # noqa: B023, E731
+        width = f"{rules.fence} * greatest({high} - {low}, {step(column(m.size))}, {step('mid_' + column(m.size))})"
+        inside.append(f"{v} <= {high} + {width}" + (f" AND {v} >= {low} - {width}" if m.low else ""))
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM {documents}),
 w AS MATERIALIZED (
@@ -33,29 +46,22 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8))
 m0 AS (
   SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_marks,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines, (length(t) - length(regexp_replace(t, '([!?])[!?]+', '\1', 'g')))::BIGINT AS n_marks,
     len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1]))::BIGINT AS n_same
   FROM d JOIN w USING (r) LEFT JOIN rep USING (r)
 ),
-m AS MATERIALIZED (
-  SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_pct} * n_words AS base_failed,
-    n_symbols * 1000 // greatest(word_chars, 1) AS v_symbols, n_marks * 1000 // greatest(word_chars, 1) AS v_marks,
-    n_dup_lines * 1000 // greatest(n_lines, 1) AS v_dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS v_repeats,
-    n_same * 1000 // greatest(n_words, 1) AS v_stutter,
-    word_chars * 1000 // greatest(n_words, 1) AS v_word_length
-  FROM m0
-),
+m AS MATERIALIZED (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_pct} * n_words AS base_failed FROM m0),
 hist AS MATERIALIZED (
-  SELECT lang, source, metric, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS bucket, count(*) AS n
-  FROM ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, v_{k} AS v FROM m" for k in metrics)}) GROUP BY ALL
-),{quart("lang, source", "own")},{quart("lang", "per_lang")},{quart("1 AS one", "everything").replace("PARTITION BY 1 AS one", "PARTITION BY 1").replace("GROUP BY 1 AS one, metric", "GROUP BY metric").replace("SELECT 1 AS one, metric, max", "SELECT metric, max")},
+  SELECT lang, source, what, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS bucket, count(*) AS n
+  FROM ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS what, {v} AS v FROM m WHERE NOT base_failed" for k, v in sketched.items())}) GROUP BY ALL
+),{quartiles("own", "lang", "source")},{quartiles("per_lang", "lang")},{quartiles("everything")},
 j AS (
-  SELECT own.lang, own.source, {", ".join(f"max(CASE WHEN own.metric = '{k}' THEN CASE WHEN own.docs >= {rules.least} THEN {fence('own')} WHEN per_lang.docs >= {rules.least} THEN {fence('per_lang')} ELSE {fence('everything')} END END) AS f_{k}" for k in metrics)}
-  FROM own JOIN per_lang ON own.lang IS NOT DISTINCT FROM per_lang.lang AND own.metric = per_lang.metric JOIN everything ON own.metric = everything.metric
+  SELECT own.lang, own.source, {", ".join(picked)}
+  FROM own JOIN per_lang ON own.lang IS NOT DISTINCT FROM per_lang.lang AND own.what = per_lang.what JOIN everything ON own.what = everything.what
   GROUP BY own.lang, own.source
 ),
 judged AS (
-  SELECT m.*, NOT base_failed AND coalesce({inside}, true) AS kept
+  SELECT m.*, NOT base_failed AND coalesce({" AND ".join(inside)}, true) AS kept
   FROM m LEFT JOIN j ON m.lang IS NOT DISTINCT FROM j.lang AND m.source IS NOT DISTINCT FROM j.source
 )
 {final or "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"}
@@ -98,16 +104,25 @@ groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 
 
 def licence_sql(percent: int = 80) -> str:
-    """op3."""
+    """op3: distinct sets of lines and of the whole text, then runs of lines for templates without a match."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, found))}])" for name, found, _, _ in prepared(TEMPLATES, percent))
+    rows = ", ".join(f"({k}, {quoted(name)}, [{', '.join(map(quoted, found))}], {-(-percent * (low + len(found)) // 200)}, {2 * high})" for k, (name, found, low, high) in enumerate(prepared(TEMPLATES, percent)))
+    every = sorted({g for _, found, _, _ in prepared(TEMPLATES, percent) for g in found})
+    dice = "2.0 * len(list_intersect(g, bigrams)) / (len(g) + len(bigrams))"
+    fits = f"200 * len(list_intersect(g, bigrams)) >= {percent} * (len(g) + len(bigrams))"
     return rf"""
-WITH t(name, bigrams) AS (VALUES {rows}),
+WITH t(k, name, bigrams, need, most) AS (VALUES {rows}),
 d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 seg AS (SELECT DISTINCT r, unnest(list_append(string_split(x, chr(10)), x)) AS s FROM d),
 w AS (SELECT r, regexp_extract_all(s, '[a-z0-9]+') AS w FROM seg),
-b AS (SELECT r, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM w WHERE len(w) > 1),
-hit AS (SELECT r, name, 2.0 * len(list_intersect(g, bigrams)) / (len(g) + len(bigrams)) AS dice FROM b, t WHERE 200 * len(list_intersect(g, bigrams)) >= {percent} * (len(g) + len(bigrams))),
-per AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, max(dice) AS best FROM hit GROUP BY r)
+b AS (SELECT DISTINCT r, list_sort(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS g FROM w WHERE len(w) > 1),
+hit AS MATERIALIZED (SELECT r, k, name, {dice} AS dice FROM b, t WHERE {fits}),
+whole AS MATERIALIZED (SELECT r, x, w, list_intersect(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]), [{', '.join(map(quoted, every))}]) AS here FROM (SELECT r, x, regexp_extract_all(x, '[a-z0-9]+') AS w FROM d WHERE contains(x, chr(10)))),
+tried AS MATERIALIZED (SELECT r, k, name, bigrams, most FROM whole, t WHERE need > 0 AND len(here) >= need AND len(list_intersect(here, bigrams)) >= need AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.r = whole.r AND hit.k = t.k)),
+lines AS (SELECT r, unnest(range(1, len(l) + 1)) AS n, len(regexp_extract_all(unnest(l), '[a-z0-9]+')) AS c FROM (SELECT r, string_split(x, chr(10)) AS l FROM whole WHERE r IN (SELECT r FROM tried))),
+ends AS MATERIALIZED (SELECT r, n, c, sum(c) OVER (PARTITION BY r ORDER BY n)::BIGINT AS e FROM lines),
+runs AS (SELECT DISTINCT tried.r, k, name, bigrams, a.e - a.c + 1 AS i, z.e AS j FROM tried JOIN ends a ON a.r = tried.r AND a.c > 0 JOIN ends z ON z.r = a.r AND z.c > 0 AND z.n >= a.n AND z.e - (a.e - a.c) <= most),
+best AS (SELECT r, k, name, max({dice}) AS dice FROM (SELECT r, k, name, bigrams, list_distinct([w[p] || ' ' || w[p + 1] for p in range(i, j)]) AS g FROM runs JOIN whole USING (r)) WHERE {fits} GROUP BY ALL),
+per AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, max(dice) AS best FROM (SELECT * FROM hit UNION ALL SELECT * FROM best) GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences, round(coalesce(best, 0)::DOUBLE, 6) AS best_dice FROM d LEFT JOIN per USING (r)
 """

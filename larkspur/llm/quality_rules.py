@@ -1,17 +1,24 @@
 """Quality rules with adaptive thresholds (operator 5, DataFrame functions only).
 
 Each document is measured once. Fixed base rules reject the hopeless ones; what remains is judged by
-thresholds that follow the data. For every (language, source) and metric the measured values are
-folded to a quantile sketch: counts of logarithmic buckets, exact below 64 and within 1/32 above.
-Such sketches merge by adding counts, so tasks fold before the shuffle, the sketches of a language
-are the sums of its sources' sketches, and the result does not depend on order or partitioning. A
-source with fewer than `least` documents uses its language's sketch, and a language with fewer uses
-the sketch of everything. From the quartiles each metric gets an outlier fence, and the documents
-are filtered by a join with the fences.
+thresholds that follow the data. For every (language, source) and metric the values of the documents
+that pass the base rules are folded to a quantile sketch: counts of logarithmic buckets, exact below
+64 and within 1/32 above. Such sketches merge by adding counts, so tasks fold before the shuffle, the
+sketches of a language are the sums of its sources' sketches, and the result does not depend on order
+or partitioning. A source with fewer than `least` documents uses its language's sketch, and a language
+with fewer uses the sketch of everything.
+
+A document is an outlier if a metric lies more than `fence` widths beyond the quartiles. The width is
+the quartile distance, but no less than what can be resolved: one count in the document, and one count
+in a document of the group's median size (both from the data; for the mean word length, its standard
+error if lengths vary by half their mean). So where most documents have no symbol at all, a short text
+with two of them is no outlier. The documents are filtered by a join with the fences.
 
 Results in odd cases: a null or empty text has no words and fails the base rules; null languages or
-sources form groups of their own; repeated rows are judged alike; an empty table gives an empty
-result; extra columns pass through `quality_filter` untouched and are ignored by `quality_verdicts`.
+sources form groups of their own; repeated rows and ties are judged alike; a value on the fence stays;
+an empty table gives an empty result; extra columns, whatever their names, pass through
+`quality_filter` untouched and are ignored by `quality_verdicts`; texts of any length are read whole,
+in memory of a few times their size.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Work
 
 #: White space between words, characters that count as symbols, and as marks.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -32,18 +39,41 @@ WINDOW = 8
 
 #: Groups of fences up to this many are sent to all executors; beyond, the join shuffles.
 BROADCAST_GROUPS = 100_000
+#: Rejected documents up to this many are sent to all executors to be removed (16 bytes each).
+BROADCAST_REJECTED = 1_000_000
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A share in thousandths: `count` of `size`. `low`: too little counts as well as too much."""
+
+    name: str
+    count: str
+    size: str
+    low: bool = False
+    mean: bool = False  # a mean of `size` values instead of a share
+
+
+METRICS = (
+    Metric("symbols", "n_symbols", "word_chars"),
+    Metric("marks", "_n_marks", "word_chars"),
+    Metric("dup_lines", "n_dup_lines", "_n_lines"),
+    Metric("stutter", "_n_same", "n_words"),
+    Metric("word_length", "word_chars", "n_words", low=True, mean=True),
+)
+#: What the metrics are shares of; their medians come from sketches too.
+SIZES = ("word_chars", "_n_lines", "n_words")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words and repeat_pct are the base rules. A metric (in thousandths) is an outlier above
-    upper quartile + `fence` times the quartile distance, and at least `slack` above the quartile."""
+    """min_words and repeat_pct are the base rules; `fence` is in widths; groups of fewer than
+    `least` documents have no fences of their own."""
 
     min_words: int = 20
     repeat_pct: int = 30
-    fence: int = 3
+    fence: int = 4
     least: int = 200
-    slack: tuple[tuple[str, int], ...] = (("symbols", 40), ("marks", 60), ("dup_lines", 400), ("repeats", 300), ("stutter", 200), ("word_length", 4000))
 
 
 def words_of(text: Column) -> Column:
@@ -55,6 +85,11 @@ def count_of(text: Column, chars: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
+def crowded(text: Column, chars: str) -> Column:
+    """How many of the characters follow another of them."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"([{chars}])[{chars}]+", "$1"))
+
+
 def repeated_words(words: Column, hashes: Column) -> Column:
     """Words that lie in windows found twice or more. `hashes` has the windows' hashes in order.
 
@@ -82,7 +117,7 @@ def repeated_words(words: Column, hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, source_col: str, carry: list[Column]) -> DataFrame:
-    """One pass over the texts: the columns in `carry`, the base counts and the metrics."""
+    """One pass over the texts: the columns in `carry`, the base counts and what the metrics need."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     f = docs.select(*carry, F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"), text.alias("_text"))
     names = [x for x in f.columns if x != "_text"]
@@ -99,13 +134,22 @@ def measure(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, source_
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         repeated_words(F.col("_words"), F.col("_hashes")).alias("n_repeat_words"),
         long(F.size("_lines")).alias("_n_lines"),
-        long(count_of(F.col("_text"), MARKS)).alias("_n_marks"),
+        long(crowded(F.col("_text"), MARKS)).alias("_n_marks"),
         long(F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1)))).alias("_n_same"),
     )
-    share = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1L)").cast("long")
-    values = {"symbols": share("n_symbols", "word_chars"), "marks": share("_n_marks", "word_chars"), "dup_lines": share("n_dup_lines", "_n_lines"), "repeats": share("n_repeat_words", "n_words"), "stutter": share("_n_same", "n_words"), "word_length": share("word_chars", "n_words")}
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_pct * F.col("n_words"))
-    return f.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *[values[k].alias(f"_{k}") for k, _ in rules.slack])
+    return f.withColumn("base_failed", failed)
+
+
+def share(m: Metric) -> Column:
+    return F.expr(f"{m.count} * 1000 div greatest({m.size}, 1L)").cast("long")
+
+
+def step(m: Metric, high: Column, size: Column) -> Column:
+    """What a document of a size can resolve, in thousandths."""
+    size = F.greatest(size, F.lit(1).cast("long"))
+    found = high / (2 * F.sqrt(size.cast("double"))) if m.mean else 1000 / size
+    return F.ceil(found).cast("long")
 
 
 def bucket(v: Column) -> Column:
@@ -120,51 +164,69 @@ def lowest(b: Column) -> Column:
     return F.when(b < 64, b).otherwise(F.call_function("shiftleft", b - e * 32, e)).cast("long")
 
 
-def fences(measured: DataFrame, rules: Rules) -> DataFrame:
-    """Upper fences for each (_lang, _source) that occurs."""
-    metrics = [k for k, _ in rules.slack]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(f"_{k}")).alias("bucket")) for k in metrics])).alias("x")
-    counts = cut(measured.select("_lang", "_source", each).groupBy("_lang", "_source", "x.metric", "x.bucket").agg(F.count("*").alias("n")), "sketch")
+def fences(measured: DataFrame, rules: Rules, work: Work) -> DataFrame:
+    """For each (_lang, _source) with documents that pass the base rules: the quartiles of each metric
+    (_low_, _high_) and the median of each size (_mid_)."""
+    values = {m.name: share(m) for m in METRICS} | {x: F.col(x) for x in SIZES}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), bucket(v).alias("bucket")) for k, v in values.items()])).alias("x")
+    counts = work.cut(measured.where("not base_failed").select("_lang", "_source", each).groupBy("_lang", "_source", "x.what", "x.bucket").agg(F.count("*").alias("n")), "sketch")
+    wanted = {f"low_{m.name}": (m.name, 1) for m in METRICS} | {f"high_{m.name}": (m.name, 3) for m in METRICS} | {f"mid_{x}": (x, 2) for x in SIZES}
 
     def quartiles(level: list[str], tag: str) -> DataFrame:
-        sketch = counts.groupBy(*level, "metric", "bucket").agg(F.sum("n").alias("n")).groupBy(*level, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sum("n").alias("docs"))
+        sketch = counts.groupBy(*level, "what", "bucket").agg(F.sum("n").alias("n")).groupBy(*level, "what").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sum("n").alias("docs"))
 
         def at(q: int) -> Column:  # the least bucket up to which there are q quarters of the values
             need = F.expr(f"(docs * {q} + 3) div 4")
             zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("bucket"))
             return F.aggregate("s", zero, lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), F.when((a["bucket"] < 0) & (a["sum"] + x["n"] >= need), x["bucket"]).otherwise(a["bucket"]).alias("bucket")), lambda a: lowest(a["bucket"]))
 
-        wide = sketch.select(*level, "metric", "docs", at(1).alias("low"), at(3).alias("high"))
-        limit = F.col("high") + F.greatest(rules.fence * (F.col("high") - F.col("low")), F.element_at(F.create_map(*[F.lit(x) for pair in rules.slack for x in pair]), F.col("metric")))
-        return wide.groupBy(*level).agg(F.max("docs").alias(f"{tag}_docs"), *[F.max(F.when(F.col("metric") == k, limit)).alias(f"{tag}_{k}") for k in metrics])
+        wide = sketch.select(*level, "what", "docs", F.array(at(1), at(2), at(3)).alias("at"))
+        return wide.groupBy(*level).agg(F.max("docs").alias(f"{tag}_docs"), *[F.max(F.when(F.col("what") == k, F.col("at")[q - 1])).alias(f"{tag}_{name}") for name, (k, q) in wanted.items()])
 
     own, lang, everything = quartiles(["_lang", "_source"], "own"), quartiles(["_lang"], "lang"), quartiles([], "all")
     joined = own.join(lang.withColumnRenamed("_lang", "_l"), F.col("_lang").eqNullSafe(F.col("_l")))
     total = everything.first()  # one row
     pick = lambda k: F.when(F.col("own_docs") >= rules.least, F.col(f"own_{k}")).when(F.col("lang_docs") >= rules.least, F.col(f"lang_{k}")).otherwise(F.lit(total[f"all_{k}"]).cast("long"))
-    return joined.select(F.col("_lang").alias("_fl"), F.col("_source").alias("_fs"), *[pick(k).alias(f"_fence_{k}") for k in metrics])
+    return joined.select(F.col("_lang").alias("_fl"), F.col("_source").alias("_fs"), *[pick(k).alias(f"_{k}") for k in wanted])
 
 
-def judge(measured: DataFrame, rules: Rules) -> DataFrame:
+def judge(measured: DataFrame, rules: Rules, work: Work) -> DataFrame:
     """`measured` with kept; measured must be a written table, as it is read twice."""
-    table = cut(fences(measured, rules), "fences")
+    table = work.cut(fences(measured, rules, work), "fences")
     side = F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
     joined = measured.join(side, F.col("_lang").eqNullSafe(F.col("_fl")) & F.col("_source").eqNullSafe(F.col("_fs")), "left")
     inside = F.lit(True)
-    for k, _ in rules.slack:
-        inside = inside & (F.col(f"_{k}") <= F.col(f"_fence_{k}"))
+    for m in METRICS:
+        value, low, high = share(m), F.col(f"_low_{m.name}"), F.col(f"_high_{m.name}")
+        width = rules.fence * F.greatest(high - low, step(m, high, F.col(m.size)), step(m, high, F.col(f"_mid_{m.size}")))
+        inside = inside & (value <= high + width)
+        if m.low:
+            inside = inside & (value >= low - width)
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def quality_verdicts(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Rows of (id, counts, base_failed, kept)."""
-    rules = rules or Rules()
-    measured = cut(measure(docs, rules, text_col, lang_col, source_col, [F.col(id_col).alias("_id")]), "measured")
-    return judge(measured, rules).select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rules, work = rules or Rules(), Work(docs.sparkSession)
+    measured = work.cut(measure(docs, rules, text_col, lang_col, source_col, [F.col(id_col).alias("_id")]), "measured")
+    out = judge(measured, rules, work).select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    work.drop(keep=(out,))
+    return out
 
 
 def quality_filter(docs: DataFrame, rules: Rules | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
-    rules = rules or Rules()
-    measured = cut(measure(docs, rules, text_col, lang_col, source_col, [F.struct(*[docs[c] for c in docs.columns]).alias("_doc")]), "measured")
-    return judge(measured, rules).where("kept").select("_doc.*")
+    """The documents that are kept, with the columns they came with. What a verdict depends on (text,
+    language, source) is known by 128 bits of hashes, so no texts are written."""
+    rules, work = rules or Rules(), Work(docs.sparkSession)
+
+    def keys(field) -> list[Column]:
+        parts = [F.coalesce(field(text_col).cast("string"), F.lit("")), *[x for c in (lang_col, source_col) for x in (field(c).isNull(), field(c).cast("string"))]]
+        return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
+
+    measured = work.cut(measure(docs, rules, text_col, lang_col, source_col, [k.alias(f"_k{i}") for i, k in enumerate(keys(F.col))]), "measured")
+    rejected = work.cut(judge(measured, rules, work).where("not kept").select("_k0", "_k1").distinct(), "rejected")
+    work.drop(keep=(rejected,))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    own = keys(lambda c: F.col("_doc")[c])
+    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_REJECTED else rejected
+    return packed.join(side, (own[0] == F.col("_k0")) & (own[1] == F.col("_k1")), "left_anti").select("_doc.*")
