@@ -3,24 +3,29 @@
 Features are the 1- to 3-grams of the lower-cased letters of a text (everything else is one kind of
 gap), hashed to `buckets`. Training counts n-grams per language over labelled texts; `max_training`
 bounds how many, chosen by a hash of their text, and is the only sampling here. The smoothed
-log-probability matrix (buckets x languages) has a fixed size and is broadcast. Scoring is the
-product of each batch's sparse document-by-bucket matrix with it: the rows' bucket indices and row
-pointers in, one sum per document and language out.
+log-probability matrix (buckets x languages) has a fixed size and is broadcast with the logarithms of
+the languages' shares among the training texts, the class priors. Scoring is the product of each
+batch's sparse document-by-bucket matrix with it: the rows' bucket indices and row pointers in, one
+sum per document and language out.
 
 Texts are hashed in stretches of STRETCH characters that overlap by two, so a text of any length
 needs bounded memory. Results in odd cases: a null text, or one without a letter, is `und` with
 score 0; without training data every text is `und`; ties go to the language that sorts first;
-labels that are null are not learned; repeated rows are scored alike; other columns are ignored.
+labels that are null are not learned; an empty table gives an empty result; repeated rows are scored
+alike; columns that are not carried are ignored, and carried ones may have any name but those of the
+results, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 ORDERS = (1, 2, 3)
 STRETCH = 1 << 20
@@ -91,19 +96,27 @@ def sparse_batch(texts: list[str], bits: int):
     return runs, n_letters
 
 
-def train(labelled: DataFrame, text_col: str, label_col: str, bits: int, max_training: int) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities). The counts are folded in tasks, then by (language, bucket)."""
+Model = tuple[list[str], np.ndarray, np.ndarray]  # languages, log-probabilities, log-priors
+
+
+def train(labelled: DataFrame, text_col: str, label_col: str, bits: int, max_training: int) -> Model:
+    """The counts are folded in tasks, then by (language, bucket)."""
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    known = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(known) > MOST_LANGUAGES:  # before any task holds a table for each
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; label fewer")
+    if not known:
+        return [], np.zeros((1 << bits, 0), np.float32), np.zeros(0)
     total = rows.count()
-    if not total:
-        return [], np.zeros((1 << bits, 0), np.float32)
     share = min(1.0, max_training / total)
     rows = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_003)) < int(share * 1_000_003) + (share == 1.0))
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
+        texts_of: Counter = Counter()
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            texts_of.update(langs)
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 sums = seen.setdefault(lang, np.zeros(1 << bits, np.int64))
@@ -113,33 +126,35 @@ def train(labelled: DataFrame, text_col: str, label_col: str, bits: int, max_tra
                     sums += np.bincount(index[np.cumsum(counted, dtype=np.int8)[:-1] > 0], minlength=1 << bits)
         for lang, sums in seen.items():
             at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(sums[at])], ["lang", "bucket", "n"])
+            # the bucket -1 counts texts
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at], pa.int32()), pa.array([texts_of[lang], *sums[at]], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES} can be learned")
-    table = np.full((1 << bits, len(langs)), 0.5)
+    if not langs:
+        return [], np.zeros((1 << bits, 0), np.float32), np.zeros(0)
     at = {x: i for i, x in enumerate(langs)}
-    np.add.at(table, (counts.column("bucket").to_numpy(), [at[x] for x in counts.column("lang").to_pylist()]), counts.column("n").to_numpy())
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
+    bucket, lang, n = counts.column("bucket").to_numpy(), np.array([at[x] for x in counts.column("lang").to_pylist()]), counts.column("n").to_numpy()
+    table, texts, own = np.full((1 << bits, len(langs)), 0.5), np.zeros(len(langs)), bucket >= 0
+    table[bucket[own], lang[own]] += n[own]
+    texts[lang[~own]] = n[~own]
+    return langs, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(texts / texts.sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str, carry: list[Column]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str, carry: list[Column]) -> DataFrame:
     """The columns in `carry` with lang_pred and score."""
-    spark, (langs, table) = docs.sparkSession, model
+    spark, (langs, table, priors) = docs.sparkSession, model
     bits = int(len(table)).bit_length() - 1
     shared = spark.sparkContext.broadcast([np.ascontiguousarray(table[:, i]) for i in range(len(langs))])
-    base = docs.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_nb_text"))
-    keep = base.columns[:-1]
-    schema = base.drop("_nb_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    base = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = base.select("doc", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def score(batches):
         columns = shared.value
         for batch in batches:
-            texts = batch.column("_nb_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             runs, n_letters = sparse_batch(texts, bits)
-            sums = np.zeros((len(texts), len(columns)))
+            sums = np.zeros((len(texts), len(columns))) + priors
             for rows, index, starts, ends in runs:
                 bounds = np.ravel([starts, ends], "F")
                 for i, column in enumerate(columns):
@@ -151,10 +166,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str,
             else:
                 best, share, known = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
             names = [langs[b] if k else "und" for b, k in zip(best, known)]
-            arrays = [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(np.where(known, share, 0.0))]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(names, pa.string()), pa.array(np.where(known, share, 0.0))], ["doc", "lang_pred", "score"])
 
-    return base.mapInArrow(score, schema)
+    return base.mapInArrow(tidy(score), schema).select("doc.*", "lang_pred", "score")
 
 
 def identify(
@@ -166,7 +180,8 @@ def identify(
     bits: int = 16,
     max_training: int = 20_000,
 ) -> DataFrame:
-    """Train on `labelled`, predict for `docs`."""
+    """Train on `labelled`, predict for `docs`. Without `carry`, all columns come along but those named
+    like the results."""
     small_batches(docs.sparkSession)
     model = train(labelled, text_col, label_col, bits, max_training)
-    return predict(docs, model, text_col, carry if carry is not None else [docs[c] for c in docs.columns])
+    return predict(docs, model, text_col, carry if carry is not None else [docs[c] for c in docs.columns if c not in ("lang_pred", "score")])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import Work, small_batches, tidy
 
 #: Pre-tokens up to this many bytes are their own join key, longer ones are known by their digest.
 LONGEST_KEY = 64
@@ -102,6 +102,7 @@ def count_tokens(
 ) -> DataFrame:
     """Rows of (id, n_bytes, n_tokens, over_limit)."""
     spark = docs.sparkSession
+    work = Work(spark)
     small_batches(spark)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -126,8 +127,8 @@ def count_tokens(
             tokens = batch.column("token").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(map(key_of, tokens), pa.binary()), pa.array(split.pieces(tokens), pa.int64()), batch.column("freq")], ["key", "pieces", "freq"])
 
-    counted = base.select("text").mapInArrow(distinct, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
-    table = cut(counted.mapInArrow(pieces, "key binary, pieces long, freq long"), "pieces")
+    counted = base.select("text").mapInArrow(tidy(distinct), "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
+    table = work.cut(counted.mapInArrow(tidy(pieces), "key binary, pieces long, freq long"), "pieces")
 
     # the lowest frequency of the head: the histogram has a bounded number of rows
     level = F.when(F.col("freq") < 1024, F.col("freq")).otherwise(1024 + F.floor(F.log2(F.col("freq").cast("double")) * 16).cast("long"))
@@ -170,11 +171,13 @@ def count_tokens(
             )
 
     kind = base.schema["id"].dataType.simpleString()
-    per_doc = cut(base.mapInArrow(documents, f"row long, id {kind}, n_bytes long, head long, keys array<binary>, freqs array<long>"), "doc-pieces")
+    per_doc = work.cut(base.mapInArrow(tidy(documents), f"row long, id {kind}, n_bytes long, head long, keys array<binary>, freqs array<long>"), "doc-pieces")
     rest = per_doc.select("row", F.explode(F.arrays_zip("keys", "freqs")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.freqs").alias("n"))
     rest = rest.join(table.select("key", "pieces"), "key").select("row", (F.col("n") * F.col("pieces")).alias("part"))
     whole = per_doc.select("row", F.col("head").alias("part"), "id", "n_bytes", F.lit(True).alias("own"))
     both = whole.unionByName(rest, allowMissingColumns=True).groupBy("row").agg(
         F.sum("part").alias("n_tokens"), F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes")
     )
-    return both.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = work.cut(both.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "token-counts")
+    work.drop(keep=(out,))
+    return out

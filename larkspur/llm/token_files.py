@@ -2,24 +2,27 @@
 
 Layout below the output folder, for each shard of documents in ascending id order:
 
-* `shard-NNNNN.seq.arrow`: record batches with `ids` fixed_size_list<uint16 or uint32>[seq_len] and
+* `shard-NNNNN-TAG.seq.arrow`: record batches with `ids` fixed_size_list<uint16 or uint32>[seq_len] and
   `mask` fixed_size_list<bool>[seq_len]. All buffers are plain, so a reader that maps the file takes
   any sequence or mask by its position without a copy. The mask is false only for the padding after
   a shard's last document.
-* `shard-NNNNN.doc.arrow`: record batches of (doc, start, n_tokens), `start` counted within the shard.
+* `shard-NNNNN-TAG.doc.arrow`: record batches of (doc, start, n_tokens), `start` counted within the shard.
 
-Each shard is written under another name first and renamed when it is whole; a task that is run
-again writes the same bytes. The driver gets one small row for each shard (tokens and documents in
-it) and adds up where each shard starts.
+* `manifest.json`: for each shard its name, the tokens before it, its tokens and its documents.
+
+Every attempt of a task writes files with a tag of its own, and the manifest, which the driver writes
+last, names those of the attempts that counted. So nothing is renamed, a lost executor or a task that
+runs twice leaves no half shard that a reader could take, and files of a run before, or of attempts
+that did not count, are deleted. The driver gets one small row for each shard.
 
 The library encodes each word once per worker while its memo has room, and the ids of a text are the
 joined ids of its words: neither the tokenizer's normalizer nor its patterns reach over ASCII white
 space. Words of plain characters go straight to the library's model, part by part, others through
-its whole pipeline. The memo is a cache of bounded size, not a limit.
+its whole pipeline. The memo is a cache of bounded size, not a limit, and long words are not kept.
 
 Results in odd cases: a null or empty text has only the end id; rows with a null id come first,
-repeated rows stay, ties are ordered by text; an empty table gives no shards and an empty result;
-other columns are ignored; texts of any length are handled whole.
+repeated rows stay, ties are ordered by a hash of the text; an empty table gives no shards and an
+empty result; other columns are ignored; texts of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Words whose ids a worker remembers, in a newer and an older memo each.
 MEMO_WORDS = 400_000
+#: Longer words, in bytes, are not remembered; so a memo has at most MEMO_WORDS times a few hundred bytes.
+LONGEST_WORD = 64
 #: Sequences in a record batch.
 BATCH_SEQUENCES = 64
 
@@ -55,7 +60,8 @@ class Memo(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        self[key] = found
+        if len(key) <= LONGEST_WORD:
+            self[key] = found
         return found
 
     def trim(self) -> None:
@@ -130,13 +136,12 @@ class ShardWriter:
     def __init__(self, out_dir: str, shard: int, id_type: pa.DataType, kind: np.dtype, seq_len: int):
         self.fs, top = file_system(out_dir)
         self.fs.create_dir(top, recursive=True)
-        tag = uuid.uuid4().hex
-        self.names = {x: (f"{top}/_part-{shard:05d}-{tag}.{x}", f"{top}/shard-{shard:05d}.{x}.arrow") for x in ("seq", "doc")}
+        self.name = f"shard-{shard:05d}-{uuid.uuid4().hex}"
         self.seq_len, self.kind = seq_len, kind
         value = pa.uint16() if kind.itemsize == 2 else pa.uint32()
         self.seq_schema = pa.schema([("ids", pa.list_(value, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.doc_schema = pa.schema([("doc", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
-        self.sinks = {x: self.fs.open_output_stream(self.names[x][0]) for x in self.names}
+        self.sinks = {x: self.fs.open_output_stream(f"{top}/{self.name}.{x}.arrow") for x in ("seq", "doc")}
         self.out = {x: pa.ipc.new_file(self.sinks[x], s) for x, s in (("seq", self.seq_schema), ("doc", self.doc_schema))}
         self.held: list[bytes] = []
         self.held_bytes = self.tokens = self.docs = 0
@@ -169,10 +174,32 @@ class ShardWriter:
         if len(rest):
             full = -(-len(rest) // self.seq_len) * self.seq_len
             self._sequences(np.concatenate([rest, np.zeros(full - len(rest), self.kind)]), len(rest))
-        for x, (part, name) in self.names.items():
+        for x in self.out:
             self.out[x].close()
             self.sinks[x].close()
-            self.fs.move(part, name)
+
+
+Manifest = list[tuple[str, int, int, int]]  # name, tokens before, tokens, documents
+
+
+def write_manifest(out_dir: str, manifest: Manifest) -> None:
+    """Name the shards that count, and delete other shards that are there."""
+    from pyarrow import fs
+
+    store, top = file_system(out_dir)
+    store.create_dir(top, recursive=True)
+    with store.open_output_stream(f"{top}/manifest.json") as out:
+        out.write(json.dumps([dict(zip(("name", "before", "tokens", "documents"), m)) for m in manifest]).encode())
+    named = {f"{m[0]}.{x}.arrow" for m in manifest for x in ("seq", "doc")}
+    for info in store.get_file_info(fs.FileSelector(top)):
+        if info.base_name.startswith("shard-") and info.base_name.endswith(".arrow") and info.base_name not in named:
+            store.delete_file(info.path)
+
+
+def read_manifest(out_dir: str) -> Manifest:
+    store, top = file_system(out_dir)
+    with store.open_input_stream(f"{top}/manifest.json") as file:
+        return [(m["name"], m["before"], m["tokens"], m["documents"]) for m in json.loads(file.read())]
 
 
 def write_token_files(
@@ -183,8 +210,8 @@ def write_token_files(
     seq_len: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> list[tuple[int, int, int, int]]:
-    """Write the shards; returns (shard, tokens before it, tokens, documents) for each."""
+) -> Manifest:
+    """Write the shards and the manifest, which is returned too."""
     small_batches(docs.sparkSession)
     ordered = (
         docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -204,24 +231,25 @@ def write_token_files(
                 writer.add(batch.column("doc"), [x + end for x in enc(batch.column("text").to_pylist())])
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()), "docs": pa.array([writer.docs], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"name": pa.array([writer.name], pa.string()), "tokens": pa.array([writer.tokens], pa.int64()), "docs": pa.array([writer.docs], pa.int64())})
 
-    rows = sorted(tuple(r) for r in ordered.mapInArrow(write, "shard long, tokens long, docs long").collect())
+    rows = sorted(tuple(r) for r in ordered.mapInArrow(tidy(write), "name string, tokens long, docs long").collect())
     manifest, before = [], 0
-    for shard, tokens, n in rows:
-        manifest.append((shard, before, tokens, n))
+    for name, tokens, n in rows:
+        manifest.append((name, before, tokens, n))
         before += tokens
+    write_manifest(out_dir, manifest)
     return manifest
 
 
 class Shard:
     """One shard, opened for reading; `sequence(i)` and `mask(i)` are views of the file."""
 
-    def __init__(self, out_dir: str, shard: int):
+    def __init__(self, out_dir: str, name: str):
         from pyarrow import fs
 
         store, top = file_system(out_dir)
-        name = f"{top}/shard-{shard:05d}"
+        name = f"{top}/{name}"
         local = isinstance(store, fs.LocalFileSystem)
         self.seq, self.doc = (pa.ipc.open_file(pa.memory_map(f"{name}.{x}.arrow") if local else store.open_input_file(f"{name}.{x}.arrow")) for x in ("seq", "doc"))
         self.seq_len = self.seq.schema.field("ids").type.list_size
@@ -252,14 +280,15 @@ class Shard:
             yield self.doc.get_batch(i)
 
 
-def read_token_files(spark: SparkSession, out_dir: str, manifest: list[tuple[int, int, int, int]], id_type: str = "long", id_col: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, out_dir: str, id_type: str = "long", id_col: str = "doc_id") -> DataFrame:
     """Rows of (id, start, n_tokens, ids_crc32) from the files; start counts over all shards."""
-    shards = spark.createDataFrame([x[:2] for x in manifest], "shard long, before long").repartition(max(1, len(manifest)))
+    manifest = read_manifest(out_dir)
+    shards = spark.createDataFrame([x[:2] for x in manifest], "name string, before long").repartition(max(1, len(manifest)))
 
     def read(batches):
         for batch in batches:
-            for shard, before in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist()):
-                opened = Shard(out_dir, shard)
+            for name, before in zip(batch.column("name").to_pylist(), batch.column("before").to_pylist()):
+                opened = Shard(out_dir, name)
                 for docs in opened.documents():
                     sums = []
                     for start, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist()):
@@ -270,4 +299,4 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: list[tuple[int
                     starts = pa.array(docs.column("start").to_numpy() + before)
                     yield pa.RecordBatch.from_arrays([docs.column("doc"), starts, docs.column("n_tokens"), pa.array(sums, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(read, f"{id_col} {id_type}, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(tidy(read), f"`{id_col}` {id_type}, start long, n_tokens long, ids_crc32 long")

@@ -5,15 +5,19 @@ with the rule's; the longest fitting rule wins. What no rule decides is judged b
 trees over lexical features, trained on labelled URLs: lengths, path depth, digit ratio, host
 entropy, parameter counts, and statistics of the host's suffix among the labelled URLs.
 
-The suffix statistics cover all labelled URLs; only the trees are fitted to a sample. Training is a
-handful of small aggregations: the sample (about `max_training` labelled URLs, chosen by a hash of
-the URL) is folded to distinct feature vectors with weights, and each level of each tree is one
-grouped sum of gradients over all features and cuts. Gradients are summed as integers, so the
+The suffix statistics cover all labelled URLs; only the trees are fitted to a sample. For training,
+they are taken out of fold: URLs are dealt to FOLDS folds by their host, and a training URL sees only
+the labels of the other folds, so that no URL's own label is among its features. Training is a
+handful of small aggregations: the sample (about `max_training` distinct labelled URLs, chosen by a
+hash of the URL; repeated ones are drawn together and count by their number) is folded to distinct
+feature vectors with weights, and each level of each tree is one grouped sum of gradients over all
+features and cuts; a split's sums are its children's leaves. Gradients are summed as integers, so the
 trees do not depend on order or partitioning. A trained model is a Column expression.
 
 Results in odd cases: a null URL, or one without `://`, has an empty host and path, no rule, and goes
 to the trees; without labelled URLs of both kinds the verdict is the commoner label, or allow;
-repeated rows are judged alike; other columns are ignored; URLs of any length are read whole.
+repeated rows are judged alike; a score of exactly one half allows; an empty table gives an empty
+result; other columns, whatever their names, are ignored; URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Work
 
 #: The letters that are lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Gradients are summed in units of 1 / SCALE.
 SCALE = 1_000_000
+#: Folds of hosts for the suffix statistics of training URLs.
+FOLDS = 5
 #: Most rows, and bytes of their suffixes, of the suffix statistics that are broadcast; larger ones are shuffled.
 MOST_SUFFIXES, MOST_BYTES = 20_000, 1_000_000
 
@@ -126,41 +132,39 @@ def grow(train: DataFrame, features: list[str], options: Boosting) -> Trees:
     row = train.agg(*[F.percentile(f, F.array(*map(F.lit, quantiles)), F.col("w")).alias(f) for f in features]).first()
     cuts = {f: sorted({math.floor(x) for x in row[f]}) for f in features}
     model = Trees(math.log(ones / (n - ones)))
+    leaf = lambda g, h: {"leaf": options.rate * g / (h + options.smoothing)}
+    score = lambda g, h: g * g / (h + options.smoothing)
     for _ in range(options.trees):
         p = 1 / (1 + F.exp(-model.margin()))
         state = train.select(*features, (F.col("w") * F.round((F.col("y") - p) * SCALE).cast("long")).alias("g"), (F.col("w") * F.round(p * (1 - p) * SCALE).cast("long")).alias("h"))
         root: dict = {}
         open_nodes = {0: root}
-        for depth in range(options.depth + 1):
+        for _ in range(options.depth):
             node = Trees.value(_numbered(root, open_nodes)).cast("int").alias("node")
             sums = [F.sum("g").alias("g"), F.sum("h").alias("h")]
-            if depth < options.depth:
-                for i, f in enumerate(features):
-                    for k, c in enumerate(cuts[f]):
-                        low = F.col(f) <= c
-                        sums += [F.sum(F.when(low, F.col("g"))).alias(f"g{i}_{k}"), F.sum(F.when(low, F.col("h"))).alias(f"h{i}_{k}")]
+            for i, f in enumerate(features):
+                for k, c in enumerate(cuts[f]):
+                    low = F.col(f) <= c
+                    sums += [F.sum(F.when(low, F.col("g"))).alias(f"g{i}_{k}"), F.sum(F.when(low, F.col("h"))).alias(f"h{i}_{k}")]
             rows = {r["node"]: r for r in state.select("*", node).groupBy("node").agg(*sums).collect()}
             following: dict = {}
             for number, target in open_nodes.items():
-                r = rows.get(number)
-                g, h = (r["g"] / SCALE, r["h"] / SCALE) if r else (0.0, 0.0)
-                best = (1e-6, None)
-                for i, f in enumerate(features if r and depth < options.depth else []):
+                r = rows[number]
+                g, h = r["g"] / SCALE, r["h"] / SCALE
+                best = (1e-6, None, (0.0, 0.0))
+                for i, f in enumerate(features):
                     for k, c in enumerate(cuts[f]):
                         gl, hl = (r[f"g{i}_{k}"] or 0) / SCALE, (r[f"h{i}_{k}"] or 0) / SCALE
-                        if hl <= 0 or h - hl <= 0:
-                            continue
-                        score = lambda a, b: a * a / (b + options.smoothing)
-                        gain = score(gl, hl) + score(g - gl, h - hl) - score(g, h)
-                        if gain > best[0]:
-                            best = (gain, (f, c))
+                        if hl > 0 and h - hl > 0 and (gain := score(gl, hl) + score(g - gl, h - hl) - score(g, h)) > best[0]:
+                            best = (gain, (f, c), (gl, hl))
+                target.clear()
                 if best[1] is None:
-                    target["leaf"] = options.rate * g / (h + options.smoothing)
-                else:
-                    target["feature"], target["cut"] = best[1]
-                    target["low"], target["high"] = {}, {}
-                    following[len(following)] = target["low"]
-                    following[len(following)] = target["high"]
+                    target.update(leaf(g, h))
+                    continue
+                gl, hl = best[2]
+                target |= {"feature": best[1][0], "cut": best[1][1], "low": leaf(gl, hl), "high": leaf(g - gl, h - hl)}
+                following[len(following)] = target["low"]
+                following[len(following)] = target["high"]
             open_nodes = following
             if not open_nodes:
                 break
@@ -188,7 +192,7 @@ def filter_urls(
 ) -> DataFrame:
     """Rows of (id, host, path, rule, verdict, block_score). `labelled` has (url, verdict); without
     it the URLs that the rules decide are the labelled ones."""
-    options = options or Boosting()
+    options, work = options or Boosting(), Work(pages.sparkSession)
 
     def read(frame: DataFrame, column: str, *more: Column) -> DataFrame:
         f = frame.select(*more, F.col(column).cast("string").alias("url"))
@@ -202,22 +206,27 @@ def filter_urls(
         known = read(pages, url_col).withColumn("label", verdict_of).where("label is not null")
     else:
         known = read(labelled, "url", F.col("verdict").alias("label")).where("label is not null and url is not null")
-    known = known.withColumns({"suffix": suffix_of(F.col("host")), "y": (F.col("label") == "block").cast("int")})
-    suffixes = cut(known.groupBy("suffix").agg(F.expr("(sum(y) + 1) * 1000 div (count(*) + 2)").alias("suffix_blocked"), F.count("*").alias("suffix_seen")), "url-suffixes")
-    total, rows, size = suffixes.agg(F.coalesce(F.sum("suffix_seen"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.octet_length("suffix")), F.lit(0))).first()
+    fold = F.pmod(F.xxhash64("host", F.lit(1)), F.lit(FOLDS))
+    known = known.withColumns({"suffix": suffix_of(F.col("host")), "y": (F.col("label") == "block").cast("int"), "fold": fold})
+    of_fold = [F.struct(F.count_if(F.col("fold") == k).alias("n"), F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("y"))), F.lit(0)).alias("ones")) for k in range(FOLDS)]
+    suffixes = work.cut(known.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.array(*of_fold).alias("of_fold")), "url-suffixes")
+    total, rows, size = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.octet_length("suffix")), F.lit(0))).first()
     suffixes = F.broadcast(suffixes) if rows <= MOST_SUFFIXES and size <= MOST_BYTES else suffixes.hint("merge")
+    rate = lambda ones, n: F.floor((ones + 1) * 1000 / (n + 2)).alias("suffix_blocked")
+    own = F.col("of_fold")[F.col("fold").cast("int")]
     share = min(1.0, options.max_training / max(total, 1))
     sample = known.where(F.pmod(F.xxhash64("url", F.lit(6)), F.lit(1_000_003)) < int(share * 1_000_003) + (share == 1.0))
-    sample = sample.select("suffix", "y", *[v.cast("long").alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
+    sample = sample.select("suffix", "fold", "y", *[v.cast("long").alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
     names = list(lexical(F.lit(""), F.lit(""), F.lit("")))
-    sample = cut(sample.groupBy("suffix", "y", *names).agg(F.count("*").alias("w")).join(suffixes, "suffix"), "url-training")
-    features = [*names, "suffix_blocked", "suffix_seen"]
-    unseen = {"suffix_blocked": 500, "suffix_seen": 0}
-    model = grow(sample, features, options)
+    sample = sample.groupBy("suffix", "fold", "y", *names).agg(F.count("*").alias("w")).join(suffixes, "suffix")
+    sample = work.cut(sample.select("y", "w", *names, rate(F.col("ones") - own["ones"], F.col("n") - own["n"]), (F.col("n") - own["n"]).alias("suffix_seen")), "url-training")
+    model = grow(sample, [*names, "suffix_blocked", "suffix_seen"], options)
+    work.drop(sample)
 
     every = read(pages, url_col, F.col(id_col).alias("id"))
     every = every.select("id", "host", "path", "rule", suffix_of(F.col("host")).alias("suffix"), *[v.cast("long").alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()])
-    every = every.join(suffixes, "suffix", "left").fillna(unseen)
+    every = every.join(suffixes.drop("of_fold"), "suffix", "left").fillna({"n": 0, "ones": 0})
+    every = every.withColumns({"suffix_blocked": rate(F.col("ones"), F.col("n")), "suffix_seen": F.col("n")})
     score = 1 / (1 + F.exp(-model.margin()))
     judged = every.select("id", "host", "path", "rule", score.alias("block_score"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(verdict_of, F.when(F.col("block_score") > 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")
