@@ -9,12 +9,13 @@ features, and that classifier decides which candidates become spans. Vote patter
 few values, so all that reaches the driver is one table of counts, of at most MOST_GROUPS rows,
 whatever the corpus.
 
-Texts are scanned in time linear in their length. Results in odd cases: a null or empty text has no
+Texts of any length are scanned whole, in time linear in their length. Ties (two accepted candidates
+of one probability) go to the longer span, then the later kind. Results in odd cases: a null or empty text has no
 spans; repeated rows are judged alike; an empty table gives an empty result; without candidates
 there is no classifier and only base spans; extra columns pass through `redact` and are ignored by
-`find_pii`; candidates that overlap a base span are dropped. Candidates may overlap each other: every
-one is counted and judged, and accepted ones that overlap become one span over all of them, of the
-most probable one's kind.
+`find_pii`; candidates within a base span are dropped. Others may overlap base spans, which stay, and
+each other: every one is counted and judged, and accepted ones that overlap become one span over all
+of them, of the most probable one's kind.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Kinds in the order in which spans of one start are listed; the first four are base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "local_phone", "ssn", "iban", "name")
@@ -61,13 +62,13 @@ def letters(*categories: str) -> str:
 
 #: Letters of names; marks are with the small letters, for texts in decomposed form.
 CAPITAL, SMALL = letters("Lu", "Lt"), letters("Ll", "Lm", "Lo", "Mn")
-#: Candidate patterns, words that announce personal data, and common first names. A
-#: secret is read to its end, however long.
-SECRET = re.compile(r"[:=Bb](?:(?<=[:=])[ \t]{0,3}[\"']?(?:(?i:bearer)[ \t]{1,3})?|(?<=[Bb])(?<![A-Za-z0-9_][Bb])(?i:earer)[ \t]{1,3})[\"']?([A-Za-z0-9_+/.~-]{8,}+)")
+#: Candidate patterns, words that announce personal data, and common first names.
+#: Secrets and names are read to their end, however long.
+SECRET = re.compile(r"[:=Bb](?:(?<=[:=])[ \t]{0,3}[\"']?(?:(?i:bearer)[ \t]{1,3})?|(?<=[Bb])(?<![A-Za-z0-9_][Bb])(?i:earer)[ \t]{1,3})[\"']?([A-Za-z0-9_+/.~-]{8,}+={0,2})")
 LOCAL_PHONE = re.compile(r"\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4}(?![0-9])")
 SSN = re.compile(r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ \u00a0][A-Z0-9]{4}){2,7}(?:[ \u00a0][A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-NAME = re.compile(f"[{CAPITAL}](?<![{CAPITAL}{SMALL}][{CAPITAL}])[{SMALL}]{{1,20}}(?:-[{CAPITAL}][{SMALL}]{{1,20}})? ([{CAPITAL}][{SMALL}]{{2,30}}(?:-[{CAPITAL}][{SMALL}]{{1,30}})?)(?![{CAPITAL}{SMALL}])")
+NAME = re.compile(f"[{CAPITAL}](?<![{CAPITAL}{SMALL}][{CAPITAL}])[{SMALL}]++(?:-[{CAPITAL}][{SMALL}]++)? ([{CAPITAL}][{SMALL}]{{2,}}+(?:-[{CAPITAL}][{SMALL}]++)?)(?![{CAPITAL}{SMALL}])")
 ANNOUNCE = {
     "secret": ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api key", "access_key", "private_key", "bearer", "credential"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "+1"),
@@ -151,8 +152,8 @@ def unmarked(word: str) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]):
-    """(start, kind, end, features, votes) in order; none overlaps a base span, but they may overlap
-    each other."""
+    """(start, kind, end, features, votes) in order, but for those within a base span. They may overlap
+    base spans (a long secret can hold what reads like a card number) and each other."""
     found = [(m.start(1), 4, m.end(1)) for m in SECRET.finditer(text)]
     for kind, pattern in ((5, LOCAL_PHONE), (6, SSN)):
         found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
@@ -160,14 +161,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
         found += [(a, kind, b) for a, b in spans]
     if not found:
         return
-    taken = sorted((a, b) for a, _, b in base)
-    k = 0
+    k = reach = 0  # of the base spans that begin by then, the farthest end
     for start, kind, end in sorted(found):
-        while k < len(taken) and taken[k][1] <= start:
+        while k < len(base) and base[k][0] <= start:
+            reach = max(reach, base[k][2])
             k += 1
-        if k < len(taken) and taken[k][0] < end:
-            continue
-        yield start, kind, end, *described(text, start, kind, end)
+        if end > reach:
+            yield start, kind, end, *described(text, start, kind, end)
 
 
 def described(text: str, start: int, kind: int, end: int) -> tuple[tuple, tuple]:
@@ -257,7 +257,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([list(f) for f, _ in rows], pa.list_(pa.int32())), pa.array([list(v) for _, v in rows], pa.list_(pa.int32())), pa.array([seen[r] for r in rows], pa.int64())], ["features", "votes", "n"])
 
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = texts.mapInArrow(count, "features array<int>, votes array<int>, n long").groupBy("features", "votes").agg(F.sum("n").alias("n")).limit(MOST_GROUPS + 1).collect()
+    table = texts.mapInArrow(tidy(count), "features array<int>, votes array<int>, n long").groupBy("features", "votes").agg(F.sum("n").alias("n")).limit(MOST_GROUPS + 1).collect()
     if len(table) > MOST_GROUPS:
         raise ValueError("more groups of features and votes than the features can have")
     return fit(sorted((tuple(r["features"]), tuple(r["votes"]), r["n"]) for r in table))
@@ -288,7 +288,7 @@ def listed(spans) -> str:
 
 
 def find_pii(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of (id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
+    """Rows of (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans)."""
     small_batches(docs.sparkSession)
     model = train(docs, text_col) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -297,17 +297,18 @@ def find_pii(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id",
     def run(batches):
         known = shared.value
         for batch in batches:
-            counts, sums, every = [[] for _ in range(4)], [], []
+            counts, sums, every, totals = [[] for _ in range(4)], [], [], []
             for text in batch.column("text").to_pylist():
                 own, spans = spans_of(text, known)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in own))
                 sums.append(hashlib.sha256(listed(own).encode()).hexdigest())
                 every.append(listed(spans))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(sums, pa.string()), pa.array(every, pa.string())], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                totals.append(len(spans))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(sums, pa.string()), pa.array(every, pa.string()), pa.array(totals, pa.int64())], [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return base.mapInArrow(tidy(run), f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -333,4 +334,4 @@ def redact(docs: DataFrame, model: dict | None = None, text_col: str = "text") -
             texts = [None if x is None else redacted(x, spans_of(x, known)[1]) for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
