@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), scratch(spark, "token-files")
-    manifest = token_files.write_token_files(docs, out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return token_files.read_token_files(spark, out, manifest, docs.schema["doc_id"].dataType.simpleString())
+    token_files.write_token_files(docs, out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_token_files(spark, out, docs.schema["doc_id"].dataType.simpleString())
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +32,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back (null: empty)."""
     path, docs = public_tokenizers.path("piece_bpe_32k.model"), table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
-    encoded = sentencepiece_codec.encode_texts(docs, path, [F.col("doc_id"), F.xxhash64(text).alias("text_hash")])
-    decoded = sentencepiece_codec.decode_ids(encoded, path, out_col="decoded")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"), "ids")
+    encoded = sentencepiece_codec.encode_texts(docs, path, [F.col("doc_id"), F.xxhash64(text).alias("text_hash")], back="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"), "ids")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,10 @@ processed independently, in three steps over a table of chunks:
 1. Each chunk gives a transfer matrix from the states at its start to the states at its end, over
    scores 0 (possible) and minus infinity. A state is where the first token boundary at or after the
    cut lies, and which token ends there.
-2. The matrices of a text are combined associatively (max-plus products); only one path from the
-   first state to the end of the text is finite, and it fixes the state at every cut.
+2. The matrices are combined associatively (max-plus products): blocks of BLOCK chunks each give one
+   product, independently; the products of a stretch are chained from its first state to its last,
+   which fixes the states at the blocks' borders, as only one path is finite; and between its two
+   states each block fixes those at its cuts, independently again.
 3. Each chunk is traced back on its own between its two states, which gives its ids.
 
 The model here is a byte-pair encoding, whose segmentation is not the best-scored path of a unigram
@@ -16,52 +18,109 @@ text if and only if every two neighbours are the encoding of theirs (proved for
 with 0 for such neighbours and minus infinity for others, the only finite path of the lattice is the
 encoding. Most cuts are simple: no piece holds the two characters around a cut (as before a space),
 so a token boundary is sure there, the cut has one state, and the chunk between two such cuts is
-encoded by the library. Only a stretch without such a place for half a chunk needs the lattice.
+encoded by the library. Only a stretch without such a place for half a chunk needs the lattice. Models
+for which this does not hold (unigram, with user-defined pieces, or without byte fallback) are refused.
 
 Results in odd cases: a null or empty text has no ids and decodes to an empty text; repeated rows
-give one result each; an empty table gives an empty result; other columns are ignored by
-`encode_texts`; a text of any length is handled whole, in chunks.
+give one result each; an empty table gives an empty result; columns that are not carried are ignored
+by `encode_texts`, and carried ones may have any name but those of the results; a text of any length
+is handled whole, in chunks.
 """
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from collections import Counter
+from functools import cached_property, lru_cache, reduce
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import Work, small_batches, tidy
 
 #: Characters in a chunk; longer texts are giant.
 CHUNK = 32_768
+#: Chunks whose matrices are combined in one task.
+BLOCK = 64
+#: Pairs of neighbouring tokens, none longer than the longest piece, whose verdict a worker remembers.
+REMEMBERED = 50_000
 #: Fixed value: what stands for a space.
 SPACE = "▁"
 
 State = tuple[int, str]  # characters after the cut at which the token ends, and the token
+#: The state at a sure cut.
+SURE: State = (0, "")
 
 
 class Codec:
+    """The library's processor, and what the lattice needs, each made when it is first used: most
+    workers never see a giant text."""
+
     def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def library(self):
         import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=self.path)
+
+    @cached_property
+    def proto(self):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
-        with open(path, "rb") as file:
+        with open(self.path, "rb") as file:
             proto.ParseFromString(file.read())
-        norm = proto.normalizer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
-            raise ValueError("the codec is for models whose normalizer changes nothing but spaces")
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.prefix = SPACE if norm.add_dummy_prefix else ""
-        norm.add_dummy_prefix = False
-        self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.pieces = {p.piece for p in proto.pieces if p.type == 1}
-        self.pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.longest = max(map(len, self.pieces), default=1)
-        self.fits = lru_cache(maxsize=500_000)(self._fits)
+        return proto
+
+    def check(self) -> None:
+        """Fails for models that the scan is not exact for."""
+        norm, kinds = self.proto.normalizer_spec, pb_names(self.proto)
+        for wrong, what in (
+            (self.proto.trainer_spec.model_type != kinds["BPE"], "are byte-pair encodings"),
+            (norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces, "have a normalizer that changes nothing but spaces"),
+            (any(p.type == kinds["USER_DEFINED"] for p in self.proto.pieces), "have no user-defined pieces"),
+            (not self.proto.trainer_spec.byte_fallback, "fall back to bytes"),
+        ):
+            if wrong:
+                raise ValueError(f"the codec is for models that {what}")
+
+    @cached_property
+    def bare(self):
+        """The processor without the prefix."""
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        proto.CopyFrom(self.proto)
+        proto.normalizer_spec.add_dummy_prefix = False
+        return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+    @cached_property
+    def prefix(self) -> str:
+        return SPACE if self.proto.normalizer_spec.add_dummy_prefix else ""
+
+    @cached_property
+    def pieces(self) -> set[str]:
+        return {p.piece for p in self.proto.pieces if p.type == 1}
+
+    @cached_property
+    def pairs(self) -> set[str]:
+        return {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
+    @cached_property
+    def fits(self):
+        return lru_cache(maxsize=REMEMBERED)(self._fits)
+
+    @cached_property
+    def fits_alone(self):
+        return lru_cache(maxsize=REMEMBERED)(lambda token: len(self.bare.encode(token)) == 1)
 
     def ids(self, text: str) -> list[int]:
         """Ids of normalised text (spaces escaped, prefix there if it is wanted)."""
@@ -123,10 +182,6 @@ class Codec:
         """Whether a piece is its own encoding (some pieces are never made)."""
         return len(token) == 1 or self.fits_alone(token)
 
-    @lru_cache(maxsize=100_000)  # noqa: B019  (one codec per worker)
-    def fits_alone(self, token: str) -> bool:
-        return len(self.bare.encode(token)) == 1
-
     def matrix(self, text: str, start: int, sure: bool, stop: int, sure_end: bool) -> list[tuple[State, State]]:
         """The finite entries of a chunk's transfer matrix; `text` reaches over both cuts."""
         if sure and sure_end:
@@ -156,6 +211,12 @@ class Codec:
         return self.library.decode(ids)
 
 
+def pb_names(proto) -> dict[str, int]:
+    """Numbers of the model and piece types by name."""
+    enums = [*type(proto.trainer_spec).DESCRIPTOR.enum_types, *type(proto).DESCRIPTOR.nested_types_by_name["SentencePiece"].enum_types]
+    return {v.name: v.number for e in enums for v in e.values}
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -169,91 +230,130 @@ def product(a: list[tuple[State, State]], b: list[tuple[State, State]]) -> list[
     return sorted({(s, u) for s, t in a for u in after.get(t, ())})
 
 
-def settle(matrices: list[list[tuple[State, State]]]) -> list[State]:
-    """The state at each cut of the only finite path: products from the front, then back from the end."""
-    front = [matrices[0]]
-    for m in matrices[1:]:
-        front.append(product(front[-1], m))
-    states: list[State] = [(0, "")]
-    for k in range(len(matrices) - 1, -1, -1):
-        before = {t for s, t in front[k - 1]} if k else {(0, "")}
-        states.append(next(s for s, t in matrices[k] if t == states[-1] and s in before))
+def settle(matrices: list[list[tuple[State, State]]], first: State = SURE, last: State = SURE) -> list[State]:
+    """The state at each cut of the only finite path between two states: forward over what can be
+    reached, then back from the end."""
+    front = [{first}]
+    for m in matrices:
+        front.append({t for s, t in m if s in front[-1]})
+    states = [last]
+    for m, before in zip(reversed(matrices), reversed(front[:-1])):
+        states.append(next(s for s, t in m if t == states[-1] and s in before))
     return states[::-1]
 
 
-def encode_chunked(known: Codec, text: str, size: int) -> list[int]:
+def settle_blocks(matrices: list[list[tuple[State, State]]], size: int = BLOCK) -> list[State]:
+    """`settle` by blocks, in the order in which tasks do it."""
+    blocks = [matrices[i : i + size] for i in range(0, len(matrices), size)]
+    borders = settle([reduce(product, b) for b in blocks])
+    return [SURE, *[s for b, x, y in zip(blocks, borders, borders[1:]) for s in settle(b, x, y)[1:]]]
+
+
+def encode_chunked(known: Codec, text: str, size: int, block: int = BLOCK) -> list[int]:
     """The scan in one process, for tests and for use without Spark."""
     whole = known.normal(text)
     cuts = known.cuts(whole, size) if whole else [(0, True)]
     parts = [(a, sa, b, sb) for (a, sa), (b, sb) in zip(cuts, cuts[1:])]
     if not parts:
         return []
-    states = settle([known.matrix(whole, *p) for p in parts])
+    states = settle_blocks([known.matrix(whole, *p) for p in parts], block)
     return [i for p, s, t in zip(parts, states, states[1:]) for i in known.trace(whole, *p, s, t)]
 
 
-CHUNKS = "row long, chunk int, n_chunks int, text string, first int, sure boolean, last int, sure_end boolean"
+def written(matrix: list[tuple[State, State]]) -> str:
+    return json.dumps(matrix)
 
 
-def encode_texts(docs: DataFrame, model_path: str, carry: list[Column], text_col: str = "text", size: int = CHUNK) -> DataFrame:
-    """The columns in `carry` with `ids`, the library's ids of the whole text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = docs.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_sp_text"))
-    keep = base.columns[:-1]
-    fields = base.drop("_sp_text").withColumn("ids", F.array().cast("array<int>")).schema
+def read(matrix: str) -> list[tuple[State, State]]:
+    return [((s[0], s[1]), (t[0], t[1])) for s, t in json.loads(matrix)]
 
-    def whole(batches):
-        known = codec(model_path)
-        for batch in batches:
-            ids = known.library.encode(batch.column("_sp_text").to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
-    usual = base.where(F.char_length("_sp_text") <= size).mapInArrow(whole, fields)
-    giant = base.where(F.char_length("_sp_text") > size)
-    if giant.isEmpty():
-        return usual
+#: A stretch is a run of chunks between two sure cuts; `at` is a chunk's place in it.
+CHUNKS = "row long, chunk int, stretch int, at int, n_chunks int, text string, first int, sure boolean, last int, sure_end boolean"
 
-    def numbered(batches):  # written at once, so the numbers are fixed
-        n = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            rows = pa.array(range(n, n + batch.num_rows), pa.int64())
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([rows, *[batch.column(c) for c in batch.schema.names]], ["_sp_row", *batch.schema.names])
 
-    row_schema = giant.withColumn("_sp_row", F.lit(0).cast("long")).select("_sp_row", *giant.columns).schema
-    giants = cut(giant.mapInArrow(numbered, row_schema), "giants")
+def chunks_of(known: Codec, text: str, size: int) -> list[dict]:
+    text = known.normal(text)
+    cuts, margin, out = known.cuts(text, size), known.longest, []
+    for k, ((a, sa), (b, sb)) in enumerate(zip(cuts, cuts[1:])):
+        low = max(0, a - margin)
+        stretch = k if sa else out[-1]["stretch"]
+        out.append({"chunk": k, "stretch": stretch, "at": k - stretch, "text": text[low : b + margin], "first": a - low, "sure": sa, "last": b - low, "sure_end": sb})
+    sizes = Counter(x["stretch"] for x in out)
+    return [x | {"n_chunks": sizes[x["stretch"]]} for x in out]
 
-    def split(batches):
-        known = codec(model_path)
-        for batch in batches:
-            for row, text in zip(batch.column("_sp_row").to_pylist(), batch.column("_sp_text").to_pylist()):
-                text = known.normal(text)
-                cuts, margin = known.cuts(text, size), known.longest
-                for k, ((a, sa), (b, sb)) in enumerate(zip(cuts, cuts[1:])):
-                    low = max(0, a - margin)
-                    part = text[low : b + margin]
-                    yield pa.RecordBatch.from_pylist([{"row": row, "chunk": k, "n_chunks": len(cuts) - 1, "text": part, "first": a - low, "sure": sa, "last": b - low, "sure_end": sb}], schema)
 
-    schema = pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("text", pa.string()), ("first", pa.int32()), ("sure", pa.bool_()), ("last", pa.int32()), ("sure_end", pa.bool_())])
-    chunks = cut(giants.select("_sp_row", "_sp_text").mapInArrow(split, CHUNKS).repartition("row", "chunk"), "chunks")
+def states_of(long: DataFrame, model_path: str) -> DataFrame:
+    """(row, chunk, entry, leave): the states around each chunk of stretches of two chunks or more."""
 
     def matrices(batches):
         known = codec(model_path)
         for batch in batches:
-            found = [json.dumps(known.matrix(x["text"], x["first"], x["sure"], x["last"], x["sure_end"])) for x in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.string())], ["row", "chunk", "matrix"])
+            found = [written(known.matrix(x["text"], x["first"], x["sure"], x["last"], x["sure_end"])) for x in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "chunk", "stretch", "at")], pa.array(found, pa.string())], ["row", "chunk", "stretch", "at", "matrix"])
+
+    def products(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda x: x["at"])
+        whole = reduce(product, [read(x["matrix"]) for x in rows])
+        return pa.table({"row": [rows[0]["row"]], "stretch": pa.array([rows[0]["stretch"]], pa.int32()), "block": [rows[0]["block"]], "matrix": [written(whole)]})
+
+    def borders(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda x: x["block"])
+        states = [json.dumps(x) for x in settle([read(x["matrix"]) for x in rows])]
+        return pa.table({"row2": [x["row"] for x in rows], "stretch2": pa.array([x["stretch"] for x in rows], pa.int32()), "block2": [x["block"] for x in rows], "from": states[:-1], "to": states[1:]})
+
+    def inner(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda x: x["at"])
+        states = [json.dumps(x) for x in settle([read(x["matrix"]) for x in rows], tuple(json.loads(rows[0]["from"])), tuple(json.loads(rows[0]["to"])))]
+        return pa.table({"row2": [x["row"] for x in rows], "chunk2": pa.array([x["chunk"] for x in rows], pa.int32()), "entry": states[:-1], "leave": states[1:]})
+
+    found = long.mapInArrow(tidy(matrices), "row long, chunk int, stretch int, at int, matrix string").withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
+    blocks = found.groupBy("row", "stretch", "block").applyInArrow(products, "row long, stretch int, block long, matrix string")
+    ends = blocks.groupBy("row", "stretch").applyInArrow(borders, "row2 long, stretch2 int, block2 long, from string, to string")
+    joined = found.join(ends, (F.col("row") == F.col("row2")) & (F.col("stretch") == F.col("stretch2")) & (F.col("block") == F.col("block2"))).drop("row2", "stretch2", "block2")
+    return joined.groupBy("row", "stretch", "block").applyInArrow(inner, "row2 long, chunk2 int, entry string, leave string")
+
+
+def encode_texts(docs: DataFrame, model_path: str, carry: list[Column], text_col: str = "text", size: int = CHUNK, back: str | None = None) -> DataFrame:
+    """The columns in `carry` with `ids`, the library's ids of the whole text; with `back`, also the
+    text that they decode to, under that name."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    codec(model_path).check()
+    carried = docs.select(*carry).columns
+    if taken := {"ids", back} & set(carried):
+        raise ValueError(f"carried columns cannot be named {', '.join(sorted(taken))}")
+    base = docs.select(F.struct(*carry).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    results = ["ids", *([back] if back else [])]
+    kinds = {"ids": F.array().cast("array<int>"), back: F.lit("")}
+    fields = base.select("doc", *[kinds[x].alias(x) for x in results]).schema
 
-    def combine(key, frame):
-        import pandas as pd
+    def whole(batches):
+        known = codec(model_path)
+        for batch in batches:
+            ids = known.library.encode(batch.column("text").to_pylist(), num_threads=1)
+            texts = [pa.array([known.decode(x) if x else "" for x in ids], pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(ids, pa.list_(pa.int32())), *texts], ["doc", *results])
+
+    usual = base.where(F.char_length("text") <= size).mapInArrow(tidy(whole), fields).select("doc.*", *results)
+    giant = base.where(F.char_length("text") > size)
+    work = Work(spark)
+    giants = work.cut(giant.withColumn("giant", F.monotonically_increasing_id()), "giants")  # fixed when it is written
+    if giants.isEmpty():
+        work.drop(giants)
+        return usual
 
-        frame = frame.sort_values("chunk")
-        read = [[((s[0], s[1]), (t[0], t[1])) for s, t in json.loads(m)] for m in frame["matrix"]]
-        states = settle(read)
-        return pd.DataFrame({"row2": frame["row"], "chunk2": frame["chunk"], "entry": [json.dumps(x) for x in states[:-1]], "leave": [json.dumps(x) for x in states[1:]]})
+    def split(batches):
+        known = codec(model_path)
+        for batch in batches:
+            for row, text in zip(batch.column("giant").to_pylist(), batch.column("text").to_pylist()):
+                for x in chunks_of(known, text, size):
+                    yield pa.RecordBatch.from_pylist([x | {"row": row}], schema)
 
-    found = chunks.mapInArrow(matrices, "row long, chunk int, matrix string")
-    path = found.groupBy("row").applyInPandas(combine, "row2 long, chunk2 int, entry string, leave string")
+    schema = pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("stretch", pa.int32()), ("at", pa.int32()), ("n_chunks", pa.int32()), ("text", pa.string()), ("first", pa.int32()), ("sure", pa.bool_()), ("last", pa.int32()), ("sure_end", pa.bool_())])
+    chunks = work.cut(giants.select("giant", "text").mapInArrow(tidy(split), CHUNKS).repartition("row", "chunk"), "chunks")
+    long = chunks.where("n_chunks > 1")
+    states = work.cut(states_of(long, model_path), "states") if not long.isEmpty() else None
 
     def traced(batches):
         known = codec(model_path)
@@ -261,11 +361,16 @@ def encode_texts(docs: DataFrame, model_path: str, carry: list[Column], text_col
             ids = [known.trace(x["text"], x["first"], x["sure"], x["last"], x["sure_end"], tuple(json.loads(x["entry"])), tuple(json.loads(x["leave"]))) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["row", "chunk", "ids"])
 
-    joined = chunks.join(path, (F.col("row") == F.col("row2")) & (F.col("chunk") == F.col("chunk2"))).drop("row2", "chunk2", "n_chunks")
-    parts = joined.mapInArrow(traced, "row long, chunk int, ids array<int>").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("x"))
-    parts = parts.select(F.col("row").alias("_sp_row2"), F.flatten(F.col("x.ids")).alias("ids"))
-    long_ones = giants.drop("_sp_text").join(parts, F.col("_sp_row") == F.col("_sp_row2")).select(*keep, "ids")
-    return usual.unionByName(long_ones)
+    sure = F.lit(json.dumps(SURE))
+    ready = chunks.where("n_chunks = 1").withColumns({"entry": sure, "leave": sure})
+    if states is not None:
+        ready = ready.unionByName(long.join(states, (F.col("row") == F.col("row2")) & (F.col("chunk") == F.col("chunk2"))).drop("row2", "chunk2"))
+    parts = ready.mapInArrow(tidy(traced), "row long, chunk int, ids array<int>").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("x"))
+    parts = parts.select("row", F.flatten(F.col("x.ids")).alias("ids"))
+    done = work.cut(giants.drop("text").join(parts, F.col("giant") == F.col("row")).select("doc", "ids"), "giant-ids")
+    work.drop(keep=(done,))
+    done = (decode_ids(done, model_path, out_col=back) if back else done).select("doc.*", *results)
+    return usual.unionByName(done)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -280,4 +385,4 @@ def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_co
             texts = [known.decode(x) if x else "" for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
-    return encoded.mapInArrow(run, encoded.withColumn(out_col, F.lit("")).schema)
+    return encoded.mapInArrow(tidy(run), encoded.withColumn(out_col, F.lit("")).schema)
