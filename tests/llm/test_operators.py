@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm import components, decontamination, language_id, license_scan, near_duplicates, pii, quality_rules, queries, sentencepiece_codec, token_counts, token_files, url_filters
-from larkspur.llm.common import cut, drop_since, mark, scratch
+from larkspur.llm.common import Work, release, scratch
 
 WORDS = "the and of thing other ering tion ation small large blue green river mountain über straße niño élan data model train".split()
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, id string, key string, w string, _doc string"
@@ -27,10 +29,14 @@ def sentence(seed: int, n: int) -> str:
     return " ".join(r.choice(WORDS) + (r.choice(["", "", ".", ",", "\n"])) for _ in range(n))
 
 
+def upper(text: str) -> str:
+    return "".join(c.upper() if c.isascii() else c for c in text)
+
+
 def odd_texts() -> list:
     base = sentence(1, 60)
     return [
-        None, "", " \n\t ", "one", "one two three four", base, base, base.upper(), base + " more words here", sentence(2, 3000),
+        None, "", " \n\t ", "one", "one two three four", base, base, upper(base), base + " more words here", sentence(2, 3000),
         "mail a.b@c.example.com or +1 (212) 555-0199, 10.0.0.1, 4111 1111 1111 1111", 'token = "0123456789abcdef0123456789abcdef01234567" here',
         "x" * 5000, "日本語のテキスト🙂 mixed ﬁ \x00 <|endoftext|> end", "a\u0085b\u00a0c d\x1ce", "Released under the MIT License.\n" + sentence(3, 40), sentence(4, 13), "!!! ??? ###",
     ]
@@ -67,7 +73,8 @@ def test_token_files(spark, odd, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, out = Tokenizer.from_file(path), scratch(spark, "test-files")
     manifest = token_files.write_token_files(odd, out, path, end_id=1, seq_len=64)
-    got = token_files.read_token_files(spark, out, manifest).collect()
+    assert manifest == token_files.read_manifest(out)
+    got = token_files.read_token_files(spark, out).collect()
     want = Counter()
     for doc, text in pairs_of(odd):
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [1]
@@ -81,8 +88,12 @@ def test_token_files(spark, odd, nothing):
     assert len(shard.sequence(0)) == 64 and isinstance(shard.seq.schema.field("ids").type, pa.FixedSizeListType)
     last = -(-manifest[0][2] // 64) - 1
     assert sum(shard.mask(last).to_pylist()) == manifest[0][2] - 64 * last
-    empty = token_files.write_token_files(nothing, scratch(spark, "test-files"), path)
-    assert empty == [] and token_files.read_token_files(spark, out, empty).count() == 0
+    # another run into the same folder replaces the files
+    again = token_files.write_token_files(odd.where("doc_id < 3").coalesce(1), out, path)
+    names = {x.name for x in Path(out).iterdir() if not x.name.startswith(".")}
+    assert names == {"manifest.json"} | {f"{m[0]}.{x}.arrow" for m in again for x in ("seq", "doc")} and token_files.read_token_files(spark, out).count() == 3
+    empty = scratch(spark, "test-files")
+    assert token_files.write_token_files(nothing, empty, path) == [] and token_files.read_token_files(spark, empty).count() == 0
 
 
 def test_memo_is_only_a_cache(monkeypatch):
@@ -90,7 +101,10 @@ def test_memo_is_only_a_cache(monkeypatch):
     texts = [t for t in odd_texts() if t]
     whole = token_files.WordEncoder(path)(texts)
     monkeypatch.setattr(token_files, "MEMO_WORDS", 3)
-    assert token_files.WordEncoder(path)(texts) == whole
+    encoder = token_files.WordEncoder(path)
+    assert encoder(texts) == whole
+    encoder(["y" * 10_000, "z" * 65, "short"])
+    assert max(map(len, encoder.words)) <= token_files.LONGEST_WORD and b"short" in encoder.words
 
 
 # --- 2 -----------------------------------------------------------------------------------------
@@ -148,11 +162,37 @@ def test_near_duplicates_odd(odd, nothing):
     assert by[0]["n_shingles"] == by[1]["n_shingles"] == by[2]["n_shingles"] == 0 and by[0]["component_id"] == 0 and by[1]["kept"] and by[2]["kept"]
     assert by[3]["n_shingles"] == 1 and by[6]["component_id"] == by[5]["component_id"] == 5
     kept = near_duplicates.keep_one(odd)
-    assert kept.columns == odd.columns and 5 in {r["doc_id"] for r in kept.collect()}
+    counts = Counter(r["doc_id"] for r in kept.collect())
+    assert kept.columns == odd.columns and counts[5] == 1 and not counts[6] and not counts[7] and all(counts[i] == 1 for i in (0, 1, 2, 3))
     with pytest.raises(ValueError):
         near_duplicates.near_duplicates(odd, percent=50)
 
 
+def test_repeated_ids(spark):
+    a, b, c = sentence(41, 60), sentence(42, 60), sentence(43, 60)
+    rows = [(1, a), (5, a), (5, b), (9, b + " two more"), (7, c), (7, c), (8, upper(c)), (None, a), (3, ""), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_gone": F.lit(1), "th": F.lit("x"), "i": F.lit(2), "own_id": F.lit(3)}).repartition(3)
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(frame).collect())
+    assert got == Counter({(1, 1, True): 1, (5, 1, False): 2, (9, 1, False): 1, (7, 7, True): 2, (8, 7, False): 1, (None, None, True): 1, (3, 3, True): 2})
+    kept = near_duplicates.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (5, b), (7, c), (None, a), (3, ""), (3, "")])
+
+
+def test_busy_centres_are_dealt_out(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(x if r.random() > 0.012 else f"slip{r.randint(0, 99)}" for x in base)) for i in range(150)] + [(200 + i, sentence(i, 50)) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_duplicates, "PER_COPY", 7)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates.near_duplicates(frame).collect()}
+    assert got == plain_groups(docs)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates.near_duplicates(frame).collect()}
+    assert got == plain_groups(docs)
+    assert {x["doc_id"] for x in near_duplicates.keep_one(frame).collect()} == {d for d, (_, c) in got.items() if d == c}
+
+
 def test_min_max_signatures_estimate():
     r = random.Random(5)
     a = np.array([r.getrandbits(64) for _ in range(600)], np.uint64)
@@ -179,8 +219,16 @@ def test_components(spark):
             seen |= group
             if len(group) > 1:
                 want |= dict.fromkeys(group, min(group))
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    work = Work(spark)
+    def frame(some): return spark.createDataFrame(some, "a long, b long")
+    got = {r["id"]: r["component"] for r in components.components(frame(links), work).collect()}
     assert got == want
+    # bit by bit, with earlier links contracted
+    labels = None
+    for k in range(4):
+        labels = work.cut(components.contracted(labels, frame(links[k::4]), work), "labels")
+    assert {r["rep"]: r["component"] for r in labels.collect()} == want and labels.count() == len(want)
+    assert components.components(frame(links).limit(0), work).count() == 0
 
 
 # --- 3 -----------------------------------------------------------------------------------------
@@ -269,14 +317,48 @@ def test_products_are_associative(codec):
     assert product(product(a, b), c) == product(a, product(b, c))
 
 
-def test_sentencepiece(spark, odd, nothing, codec):
+def test_blocks_are_the_chain(codec):
+    r = random.Random(3)
+    for _ in range(6):
+        text = "".join(r.choice(["er", "re", "in", "the", "ent", "on"]) for _ in range(400))
+        for block in (2, 3, 64):
+            assert sentencepiece_codec.encode_chunked(codec, text, 40, block) == codec.library.encode(text)
+
+
+def test_sentencepiece(spark, odd, nothing, codec, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
+    r = random.Random(5)
+    unsure = "".join(r.choice(["er", "re", "in", "the", "ent", "on"]) for _ in range(2000))  # no sure cut
+    frame = odd.unionByName(spark.createDataFrame([(77, unsure), (78, unsure + " and " + unsure[:900])], "doc_id long, text string"), allowMissingColumns=True)
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", 4)
     for size in (sentencepiece_codec.CHUNK, 100):
-        encoded = sentencepiece_codec.encode_texts(odd, path, [F.col("doc_id"), F.col("text")], size=size)
-        rows = sentencepiece_codec.decode_ids(encoded, path, out_col="back").collect()
-        assert bag((r["doc_id"], list(r["ids"])) for r in rows) == bag((d, codec.library.encode(t)) for d, t in pairs_of(odd))
-        assert all(r["back"] == (r["text"] or "") for r in rows)
+        encoded = sentencepiece_codec.encode_texts(frame, path, [F.col("doc_id"), F.col("text"), F.lit(1).alias("giant"), F.lit(2).alias("row"), F.lit(3).alias("doc")], size=size, back="back")
+        rows = encoded.collect()
+        assert bag((x["doc_id"], list(x["ids"])) for x in rows) == bag((d, codec.library.encode(t)) for d, t in pairs_of(frame))
+        assert all(x["back"] == (x["text"] or "") and (x["giant"], x["row"], x["doc"]) == (1, 2, 3) for x in rows)
+        plain = sentencepiece_codec.encode_texts(frame, path, [F.col("doc_id")], size=size)
+        assert plain.columns == ["doc_id", "ids"] and bag(map(tuple, plain.collect())) == bag((x["doc_id"], x["ids"]) for x in rows)
+        assert bag((x["doc_id"], x["again"]) for x in sentencepiece_codec.decode_ids(plain, path, out_col="again").collect()) == bag(pairs_of(frame))
     assert sentencepiece_codec.encode_texts(nothing, path, [F.col("doc_id")]).count() == 0
+    with pytest.raises(ValueError):
+        sentencepiece_codec.encode_texts(odd, path, [F.col("id").alias("ids")])
+
+
+def test_other_models_are_refused(codec, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    def changed(change):
+        proto = pb.ModelProto()
+        proto.CopyFrom(codec.proto)
+        change(proto)
+        path = tmp_path / "other.model"
+        path.write_bytes(proto.SerializeToString())
+        return sentencepiece_codec.Codec(str(path))
+
+    changed(lambda p: None).check()
+    for change in (lambda p: setattr(p.trainer_spec, "model_type", 1), lambda p: setattr(p.trainer_spec, "byte_fallback", False), lambda p: setattr(p.pieces[500], "type", 4), lambda p: setattr(p.normalizer_spec, "remove_extra_whitespaces", True)):
+        with pytest.raises(ValueError):
+            changed(change).check()
 
 
 # --- 5 -----------------------------------------------------------------------------------------
@@ -299,10 +381,28 @@ def test_quality(spark, odd, nothing):
         assert tuple(got[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == plain_quality(t or ""), i
     assert not got[len(odd_texts()) + 2]["kept"] and sum(got[1000 + i]["kept"] for i in range(250)) > 240
     kept = quality_rules.quality_filter(odd)
-    assert kept.columns == odd.columns and kept.count() <= odd.count()
+    stay = [(r["doc_id"], r["n_words"]) for r in quality_rules.quality_verdicts(odd).where("kept").collect()]
+    assert kept.columns == odd.columns and bag((r["doc_id"], plain_quality(r["text"] or "")[0]) for r in kept.collect()) == bag(stay)
     assert quality_rules.quality_verdicts(odd).count() == odd.count() and quality_rules.quality_verdicts(nothing).count() == 0 and quality_rules.quality_filter(nothing).count() == 0
 
 
+def test_fences_follow_the_data(spark):
+    """The same document is an outlier where texts are even, and none where they spread."""
+    r = random.Random(14)
+    def text(size, symbols): return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(*size))) + "#" * (r.random() < symbols) for _ in range(200))
+    rows = [(i, text((5, 5), 0), "en", "s") for i in range(300)] + [(1000 + i, text((3 + i % 5, 6 + i % 5), (i % 10) / 20), "de", "s") for i in range(300)]
+    odd = [text((9, 9), 0), text((5, 5), 0.3), text((5, 5), 0)]
+    rows += [(5000 + 10 * k + j, t, lang, "s") for k, lang in enumerate(("en", "de")) for j, t in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.quality_verdicts(frame).collect()}
+    assert [got[5000 + j] for j in range(3)] == [False, False, True] and all(got[5010 + j] for j in range(3))
+    assert all(v for k, v in got.items() if k < 5000)
+    # too few documents of a language: the fences of everything
+    few = frame.withColumn("lang", F.when(F.col("doc_id") < 5000, F.col("lang")).otherwise("fr"))
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.quality_verdicts(few).collect()}
+    assert got[5002] and got[5012]
+
+
 def test_sketch_buckets(spark):
     values = list(range(300)) + [2**k + d for k in range(9, 40) for d in (-1, 0, 1)]
     got = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket(F.col("v")).alias("b")).select("v", "b", quality_rules.lowest(F.col("b")).alias("low")).collect()
@@ -338,15 +438,79 @@ def test_trees_learn(spark):
 
 
 def test_suffix_statistics_cover_all_labelled_urls(spark, monkeypatch):
-    labelled = spark.createDataFrame([(f"http://a.d{i:03d}.com/x{k}", "block" if i % 2 else "allow") for i in range(300) for k in range(3)], "url string, verdict string")
+    labelled = spark.createDataFrame([(f"http://h{k}.d{i:03d}.com/x{k}", "block" if i % 2 else "allow") for i in range(300) for k in range(6)], "url string, verdict string")
     pages = spark.createDataFrame([(i, f"http://b.d{i:03d}.com/y") for i in range(300)], "page_id long, url string")
-    def judged(): return {r["page_id"]: (r["verdict"], r["block_score"]) for r in url_filters.filter_urls(pages, [], labelled, options=url_filters.Boosting(max_training=100)).collect()}
+    def judged(): return {r["page_id"]: (r["verdict"], r["block_score"]) for r in url_filters.filter_urls(pages, [], labelled, options=url_filters.Boosting(max_training=300)).collect()}
     got = judged()
     assert all(got[i][0] == ("block" if i % 2 else "allow") for i in range(300))
     monkeypatch.setattr(url_filters, "MOST_SUFFIXES", 10)
     assert judged() == got
 
 
+def plain_features(url):
+    found = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+    host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in found[1]), found[2]) if found else ("", "")
+    bits = 0.0
+    for c in dict.fromkeys(host):
+        p = host.count(c) / max(len(host), 1)
+        bits = bits - p * math.log2(p)
+    return host, [len(url), len(host), host.count("."), host.count("-"), path.count("/"), 1000 * sum(c in "0123456789" for c in url) // max(len(url), 1), math.floor(1000 * bits), url.count("=")]
+
+
+def plain_boosting(rows, y, options):
+    """Scores of rows by trees grown one row at a time: rows are (features, training or not)."""
+    train = [i for i, (_, t) in enumerate(rows) if t]
+    cuts = []
+    for f in range(len(rows[0][0])):
+        values = sorted(rows[i][0][f] for i in train)
+        cuts.append(sorted({math.floor(np.percentile(values, 100 * k / (options.cuts + 1))) for k in range(1, options.cuts + 1)}))
+    ones = sum(y[i] for i in train)
+    margin = [math.log(ones / (len(train) - ones))] * len(rows)
+    for _ in range(options.trees):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [round((a - b) * 1e6) / 1e6 for a, b in zip(y, p)], [round(b * (1 - b) * 1e6) / 1e6 for b in p]
+        score = lambda some: sum(g[i] for i in some) ** 2 / (sum(h[i] for i in some) + options.smoothing)  # noqa: E731, B023
+
+        def grow(some, every, depth):
+            best = (1e-6, None)
+            for f in range(len(cuts)) if depth else ():
+                for c in cuts[f]:
+                    low, high = [i for i in some if rows[i][0][f] <= c], [i for i in some if rows[i][0][f] > c]
+                    if low and high and (gain := score(low) + score(high) - score(some)) > best[0] + 1e-12:  # noqa: B023
+                        best = (gain, (f, c, low, high))
+            if best[1] is None:
+                for i in every:
+                    margin[i] += options.rate * sum(g[j] for j in some) / (sum(h[j] for j in some) + options.smoothing)  # noqa: B023
+                return
+            f, c, low, high = best[1]
+            grow(low, [i for i in every if rows[i][0][f] <= c], depth - 1)
+            grow(high, [i for i in every if rows[i][0][f] > c], depth - 1)
+
+        grow(train, range(len(rows)), options.depth)
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def test_urls_against_plain_trees(spark):
+    r = random.Random(21)
+    def url(bad): return f"http{'s' * r.randint(0, 1)}://{r.choice(['www.', 'm.', ''])}{'ads-' * (bad and r.random() < 0.7)}n{r.randint(0, 30)}.{r.choice(['alpha', 'beta', 'gamma'])}.{r.choice(['com', 'org'])}/{'7' * r.randint(0, 4) + '/x' * r.randint(0, 3)}{'?a=1&b=2' if bad and r.random() < 0.6 else ''}"
+    labelled = [(u, bad) for i in range(300) for bad in [i % 3 == 0] for u in [url(bad)]]
+    pages = [url(i % 2) for i in range(80)] + ["http://never.seen.example/1", "no scheme"]
+    options = url_filters.Boosting(trees=4)
+    frame = spark.createDataFrame([(u, "block" if bad else "allow") for u, bad in labelled], "url string, verdict string")
+    got = {x["page_id"]: x for x in url_filters.filter_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), [], frame, options=options).collect()}
+    hosts = sorted({plain_features(u)[0] for u, _ in labelled})
+    fold = dict(spark.createDataFrame([(h,) for h in hosts], "h string").select("h", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(url_filters.FOLDS))).collect())
+    def suffix(host): return ".".join(host.split(".")[-2:])
+    def stats(host, out):
+        own = [bad for u, bad in labelled for x in [plain_features(u)[0]] if suffix(x) == suffix(host) and (out is None or fold[x] != out)]
+        return [(sum(own) + 1) * 1000 // (len(own) + 2), len(own)]
+    rows = [(x + stats(h, fold[h]), True) for u, _ in labelled for h, x in [plain_features(u)]] + [(x + stats(h, None), False) for u in pages for h, x in [plain_features(u)]]
+    want = plain_boosting(rows, [int(bad) for _, bad in labelled] + [0] * len(pages), options)[len(labelled):]
+    assert all(abs(got[i]["block_score"] - w) < 1e-4 and got[i]["verdict"] == ("block" if w > 0.5 else "allow") for i, w in enumerate(want))
+    assert 10 < sum(w > 0.5 for w in want) < 70
+    assert url_filters.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 
 
@@ -392,6 +556,26 @@ def test_decontamination(spark, odd, nothing):
         decontamination.decontaminate(odd, bench, remove="lines")
 
 
+def test_decontamination_without_broadcast(spark, odd, monkeypatch):
+    r = random.Random(15)
+    items = [(i, sentence(300 + i, 25)) for i in range(6)] + [(7, "tiny"), (8, "short item of five words"), (None, sentence(310, 20))]
+    docs = [(i, f"{sentence(i, 60)} {items[i % 9][1]} {sentence(i + 50, 40)}") for i in range(18)] + [(30, sentence(99, 200)), (31, None), (0, f"{sentence(0, 60)} {items[0][1]} {sentence(50, 40)}"), (None, items[1][1])]
+    docs.append((40, " ".join(r.choice(WORDS) for _ in range(1_000_000)) + " " + items[2][1] + " " + " ".join(r.choice(WORDS) for _ in range(100_000))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    want = bag(map(tuple, decontamination.contamination(frame, bench).select(*columns).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_DOCUMENTS", 0)
+    found = decontamination.contamination(frame, bench)
+    assert bag(map(tuple, found.select(*columns).collect())) == want
+    big = found.where("doc_id = 40").first()
+    assert big["n_words"] > 1_100_000 and 20 <= big["n_hit"] < 2000 and not big["contaminated"]
+    clean = decontamination.decontaminate(frame, bench)
+    assert clean.count() == sum(n for x, n in want.items() if "False" in x)
+    assert decontamination.contamination(odd, bench).count() == odd.count()
+
+
 def test_benchmark_items_without_id(spark, tmp_path):
     import duckdb
 
@@ -446,10 +630,58 @@ def test_language(spark, odd, nothing):
     assert np.mean([got[i][0] == x for i, _, x in rows[200:]]) > 0.97
     assert all(got[i] == ("und", 0.0) for i in (900, 901, 902)) and all(0 <= s <= 1 for _, s in got.values())
     assert language_id.identify(odd, odd, carry=[F.col("doc_id"), F.col("score").alias("given")]).count() == odd.count()
+    named = odd.withColumns({"lang_pred": F.lit(1), "_nb_text": F.lit(2)})
+    out = language_id.identify(named, odd)
+    assert out.count() == odd.count() and out.columns == [c for c in named.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
     assert {x["lang_pred"] for x in language_id.identify(odd, nothing, carry=[F.col("doc_id")]).collect()} == {"und"}
     assert language_id.identify(nothing, odd, carry=[F.col("doc_id")]).count() == 0
 
 
+def plain_bayes(docs, labelled, bits=16):
+    """Language and share of each text, one character at a time."""
+    def buckets(text):
+        low = [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32, 32, 32]
+        for i in range(len(low) - 3):
+            h = 0
+            for k in range(3):
+                h = (h * 0x85EBCA77 * (k > 0) + (low[i + k] + k + 1) * 0x9E3779B1) % 2**32
+                yield ((h ^ h >> 15) * 0xC2B2AE3D) % 2**32 >> 32 - bits
+
+    counts, texts = defaultdict(Counter), Counter()
+    for text, lang in labelled:
+        counts[lang].update(buckets(text))
+        texts[lang] += 1
+    out = []
+    for text in docs:
+        if not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        sums = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + 0.5 * 2**bits
+            sums[lang] = math.log(texts[lang] / sum(texts.values())) + sum(math.log((counts[lang][b] + 0.5) / total) for b in buckets(text))
+        best = max(sums, key=sums.get)
+        out.append((best, 1 / sum(math.exp(max(x - sums[best], -700)) for x in sums.values())))
+    return out
+
+
+def test_language_against_plain_bayes(spark, nothing):
+    r = random.Random(16)
+    words = {"en": "the and of with river".split(), "de": "der und über straße mit".split(), "fr": "les dans être garçon où".split()}
+    def text(lang, n): return " ".join(r.choice(words[lang]) for _ in range(n))
+    labelled = [(text(x, 12), x) for x, n in (("en", 30), ("de", 12), ("fr", 6)) for _ in range(n)]
+    docs = [text(x, n) for x in words for n in (1, 2, 5)] + ["und le the", "x", "", "12 !?", "É", "Straße 7\nthe", "de " * 400, "日本 the", "a" * 3]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    train = spark.createDataFrame(labelled, "text string, lang string").repartition(3)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language_id.identify(frame, train).collect()}
+    for i, (lang, share) in enumerate(plain_bayes(docs, labelled)):
+        assert got[i][0] == lang and abs(got[i][1] - share) < 1e-3, docs[i]
+    assert language_id.identify(nothing, train).count() == 0
+    many = spark.range(300).select(F.lit("x").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        language_id.identify(frame, many)
+
+
 def test_language_stretches(monkeypatch):
     texts = [sentence(i, 40) for i in range(5)] + ["", "a", "Straße " * 50]
     sums = lambda: [sum(zlib.crc32(np.asarray(index[a:b]).tobytes()) if k == 0 else int(index[a:b].sum()) for k in (1,) for (rows, index, starts, ends) in language_id.sparse_batch([t], 16)[0] for a, b in zip(starts, ends)) for t in texts]
@@ -527,8 +759,9 @@ def test_overlapping_candidates_are_all_judged():
         assert pii.spans_of(text, {f: 0.9 if k == kind else 0.6 for (k, _), f in found.items()})[1] == [(a, kind, a + len(span))]
         # a less probable candidate that is longer is covered too
         assert pii.spans_of(text, {f: 0.6 if k == kind else 0.9 for (k, _), f in found.items()})[1] == [(a, 4, a + len(span))]
-    base = pii.base_spans("key=10.0.0.1/abcdefgh")
-    assert base and not list(pii.candidates("key=10.0.0.1/abcdefgh", base))
+    text = "key=10.0.0.1/abcdefgh or +1 (212) 555-0199"
+    base = pii.base_spans(text)
+    assert len(base) == 2 and [(k, text[a:b]) for a, k, b, *_ in pii.candidates(text, base)] == [(4, "10.0.0.1/abcdefgh")]
 
 
 def test_announced_spans_are_found(spark):
@@ -556,6 +789,128 @@ def test_candidates_are_whole():
     assert pii.redacted("Frau Anna Müller!", pii.spans_of("Frau Anna Müller!", model)[1]) == "[NAME]!"
 
 
+def planted_pii(seed, n):
+    """Texts with (start, kind, end) of what was put in, and look-alikes that are none."""
+    r = random.Random(seed)
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    b64 = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(k))
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    first, last = sorted(pii.FIRST_NAMES), "Miller Schmidt Garcia Dubois Klein Weber Moreau Torres Fischer Brown Lefèvre Núñez Großmann".split()
+    def iban():
+        body = digits(18)
+        check = 98 - int(body + "131400") % 97
+        text = f"DE{check:02d}{body}"
+        return text if r.random() < 0.5 else " ".join(text[i:i + 4] for i in range(0, 22, 4))
+    real = {
+        4: lambda: (r.choice(["api_key = ", "token: ", "password=", 'secret = "', "Authorization: Bearer ", "access_key="]), r.choice([hexa(40), b64(32) + "1", b64(60) + "7", hexa(r.choice([900, 4000]))])),
+        5: lambda: (r.choice(["phone ", "call ", "Tel: ", "", "mobile "]), f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        6: lambda: (r.choice(["SSN ", "SSN: ", "social security number "]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
+        7: lambda: (r.choice(["IBAN ", "account ", "IBAN: ", ""]), iban()),
+        8: lambda: (r.choice(["Herr ", "Mr. ", "Dear ", "by ", "name: ", "Frau ", ""]), f"{r.choice(first)} {r.choice(last)}"),
+    }
+    decoy = [lambda: f"commit {hexa(40)}", lambda: f"see: something{r.randint(0, 9)}", lambda: f"at 12:{digits(2)}:{digits(2)}", lambda: "Big River", lambda: f"Chapter {r.choice(['Two', 'Three', 'Four'])}", lambda: "New York", lambda: f"part {digits(3)}-{digits(2)}-{digits(3)}", lambda: f"AB12 CDEF {digits(4)} {digits(4)} {digits(3)}", lambda: "value=enabled", lambda: "url=https://example.org/path/to/page", lambda: f"ratio={digits(1)}.{digits(6)}"]
+    words = "the small house near a river was painted blue and green before they moved further away".split()
+    out = []
+    for _ in range(n):
+        text, truth = "", []
+        for _ in range(r.randint(1, 5)):
+            text += " ".join(r.choice(words) for _ in range(r.randint(4, 12))) + " "
+            x = r.random()
+            if x < 0.4:
+                kind = r.choice(list(real))
+                lead, value = real[kind]()
+                text += lead
+                truth.append((len(text), kind, len(text) + len(value)))
+                text += value + ('"' if lead.endswith('"') else "") + r.choice([" ", ", ", ". "])
+            elif x < 0.8:
+                text += r.choice(decoy)() + r.choice([" ", ", "])
+        out.append((text, truth))
+    return out
+
+
+def model_of(texts):
+    seen = Counter((f, v) for t in texts for *_, f, v in pii.candidates(t, pii.base_spans(t)))
+    return pii.fit(sorted((f, v, n) for (f, v), n in seen.items()))
+
+
+def test_recall_and_precision():
+    """Against planted truth: a span is found if it is covered whole."""
+    docs = planted_pii(1, 2000)
+    model, want, hit, got = model_of([t for t, _ in docs]), Counter(), Counter(), Counter()
+    for text, truth in docs:
+        base, spans = pii.spans_of(text, model)
+        for a, k, b in truth:
+            want[k] += 1
+            hit[k] += any(x <= a and b <= y for x, _, y in spans)
+        for a, k, b in spans:
+            if (a, k, b) not in base:
+                got[k, any(a < y and b > x for x, _, y in truth)] += 1
+    for k in range(4, 9):
+        assert want[k] > 200 and hit[k] >= 0.97 * want[k] and got[k, True] >= 0.97 * (got[k, True] + got[k, False]), pii.KINDS[k]
+
+
+def plain_candidates(text):
+    """Every span that a kind's description fits, tried at every position."""
+    out = []
+    letter = lambda c: unicodedata.category(c) in ("Lu", "Lt", "Ll", "Lm", "Lo", "Mn")
+    at = lambda i: text[i] if 0 <= i < len(text) else " "
+    free = 0  # the next name begins with the last one's second word at the earliest
+    for i in range(len(text)):
+        if (m := re.match(r"\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4}(?![0-9])", text[i:])):
+            out.append((i, 5, i + m.end()))
+        if (m := re.match(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text[i:])) and at(i - 1) not in "0123456789-":
+            out.append((i, 6, i + m.end()))
+        if i >= free and unicodedata.category(text[i]) in ("Lu", "Lt") and not letter(at(i - 1)):
+            words = re.match(r"(\S+) (\S+)", text[i:])
+            def name(part, least):
+                n = 1
+                while n < len(part) and unicodedata.category(part[n]) in ("Ll", "Lm", "Lo", "Mn"):
+                    n += 1
+                return n if part and unicodedata.category(part[0]) in ("Lu", "Lt") and n > least else 0
+            def double(part, least):
+                n = name(part, least)
+                more = name(part[n + 1 :], 1) if n and part[n : n + 1] == "-" else 0
+                return n + 1 + more if more else n
+            if words and (n := double(words[1], 1)) == len(words[1]) and (k := double(words[2], 2)) and not letter(at(i + n + 1 + k)):
+                out.append((i, 8, i + n + 1 + k))
+                free = i + n + 1
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Anna", "Müller", "Hans-Peter", "X", "von", "É", "Élise", " ", " ", "-", "123-45-6789", "(212) 555-0199", "1", "(", "A\u0308nne", ".", "Jo"]), max_size=14).map("".join))
+def test_candidates_against_a_plain_version(text):
+    assert [(a, k, b) for a, k, b, *_ in pii.candidates(text, []) if k in (5, 6, 8)] == plain_candidates(text)
+
+
+def test_spans_against_a_plain_version():
+    """Base spans, and accepted candidates with those that touch them merged, character by character."""
+    texts = [t for t, _ in planted_pii(3, 300)] + ["SSN: 123-45-6789 token=" + "a1" * 2000, "key=10.0.0.1/abcdefgh", "", "by Anna Maria Weber"]
+    model = model_of(texts)
+    for text in texts:
+        base = plain_base(text)
+        judged = [(a, k, b, model[f]) for a, k, b, f, _ in pii.candidates(text, base) if model[f] >= 0.5]
+        owner = [0] * (len(text) + 1)
+        for a, _, b, _ in judged:
+            for i in range(a, b):
+                owner[i] |= 1 | 2 * any(x < i < y for x, _, y, _ in judged)  # in a span; not at the first character of all its spans
+        want, i = list(base), 0
+        while i < len(text):
+            if owner[i] and not owner[i] & 2:
+                end = i + 1
+                while end < len(text) and owner[end] & 2:
+                    end += 1
+                inside = [(p, b - a, k) for a, k, b, p in judged if i <= a < end]
+                want.append((i, max(inside)[2], end))
+                i = end
+            else:
+                i += 1
+        assert pii.spans_of(text, model) == (base, sorted(want))
+        safe, cover = pii.redacted(text, sorted(want)), [any(a <= i < b for a, _, b in want) for i in range(len(text))]
+        left = re.sub("|".join(rf"\[{k.upper()}\]" for k in pii.KINDS), "", safe)
+        assert left == "".join(c for c, hidden in zip(text, cover) if not hidden)
+
+
 def test_candidates_are_linear():
     for text in ("=" + "a" * 400_000, "Bearer " * 60_000, "bearer" * 60_000, "Ab " * 100_000, "Äb-" * 100_000, "DE89 " + "1234 " * 80_000, "AB12 CD34 " * 40_000, ":bearer " * 50_000):
         pii.spans_of(text, {(0,): 1.0})
@@ -564,10 +919,37 @@ def test_candidates_are_linear():
 # --- plumbing ----------------------------------------------------------------------------------
 
 
-def test_scratch_tables_go(spark):
-    point = mark()
-    a, b = cut(spark.range(3).toDF("x"), "a"), cut(spark.range(4).toDF("x"), "b")
-    drop_since(spark, point, (b,))
-    assert b.count() == 4
+def test_working_tables_go(spark):
+    work, other = Work(spark), Work(spark)
+    a, b, c = work.cut(spark.range(3).toDF("x"), "a"), work.cut(spark.range(4).toDF("x"), "b"), other.cut(spark.range(5).toDF("x"), "c")
+    path = a.inputFiles()[0]
+    work.drop(keep=(b,))
+    assert b.count() == 4 and c.count() == 5
     with pytest.raises(Exception):
-        spark.read.parquet(a.inputFiles()[0]).count()
+        spark.read.parquet(path).count()
+    release(b.join(c, "x"))
+    assert not Path(c.inputFiles()[0].removeprefix("file:")).exists()
+
+
+def left_by(spark, make):
+    """Folders that an operator leaves, when its result is there and when it is released."""
+    top = Path(scratch(spark, "x")).parent
+    before = set(top.iterdir()) if top.exists() else set()
+    frame = make()
+    frame.count()
+    after = set(top.iterdir()) - before
+    release(frame)
+    return len(after), len(set(top.iterdir()) - before)
+
+
+def test_operators_clean_up(spark, odd):
+    bench = spark.createDataFrame([(1, sentence(1, 60))], "item_id long, text string")
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.org/fr/1"), (3, "http://c.com")], "page_id long, url string")
+    piece, byte = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+    for make in (
+        lambda: near_duplicates.near_duplicates(odd), lambda: near_duplicates.keep_one(odd), lambda: quality_rules.quality_verdicts(odd), lambda: quality_rules.quality_filter(odd),
+        lambda: decontamination.contamination(odd, bench), lambda: decontamination.decontaminate(odd, bench), lambda: token_counts.count_tokens(odd, byte),
+        lambda: sentencepiece_codec.encode_texts(odd, piece, [F.col("doc_id")], size=100), lambda: url_filters.filter_urls(pages, queries.URL_RULES),
+    ):
+        there, rest = left_by(spark, make)
+        assert there <= 2 and rest == 0
