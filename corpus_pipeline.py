@@ -4,6 +4,14 @@ Each stage gets the documents that its predecessor kept, with the columns of `do
 decides takes effect: rejected documents go (quality rules), one document of each group of near
 duplicates stays, contaminated documents go, personal data is replaced in the texts, and the last
 stage returns the ids of the texts and what they decode to.
+
+Stages keep no state: what a stage decided is a small table that its result reads, and the larger
+working tables are gone when the stage returns. `run` also deletes those small tables, and each
+stage's result when the next one is written.
+
+Results in odd cases: documents without a text, or with an empty one, fail the quality rules; repeated
+rows stay once; an empty table gives an empty result; other columns, whatever their names, pass
+through, but for `ids` and `n_pieces`, which the last stage sets; texts of any length are handled whole.
 """
 
 from __future__ import annotations
@@ -13,48 +21,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, near_duplicates, pii, quality_rules, sentencepiece_codec
-from larkspur.llm.common import drop_since, mark, scratch
-
-#: Where the working tables of the stage before begin.
-_point: int | None = None
-
-
-def begin(spark: SparkSession) -> None:
-    """A stage begins when its predecessor's result is written, so what that one worked with goes."""
-    global _point
-    if _point is not None:
-        drop_since(spark, _point)
-    _point = mark()
+from larkspur.llm.common import release, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin(spark)
     return quality_rules.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin(spark)
     return near_duplicates.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text."""
-    begin(spark)
-    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """n_chars, if it is there, follows the text."""
+    safe = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        safe = safe.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return safe
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    begin(spark)
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    carry = [docs["doc_id"], docs["lang"], docs["source"], docs["n_chars"]]
-    encoded = sentencepiece_codec.encode_texts(docs, path, carry)
-    decoded = sentencepiece_codec.decode_ids(encoded, path, out_col="text")
-    return decoded.withColumn("n_pieces", F.size("ids").cast("long"))
+    """The documents with `ids`, the text that these decode to, and their number."""
+    carry = [docs[c] for c in docs.columns if c not in ("text", "ids", "n_pieces")]
+    encoded = sentencepiece_codec.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), carry, back="text")
+    return encoded.withColumn("n_pieces", F.size("ids").cast("long"))
 
 
 STAGES = [
@@ -71,12 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    global _point
-    _point = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
-        path = scratch(spark, name)
-        docs.write.parquet(path)
+        kept, path = stage(spark, docs, sf_dir), scratch(spark, name)
+        kept.write.parquet(path)
+        release(kept)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
