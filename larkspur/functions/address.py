@@ -17,6 +17,7 @@ COUNTRIES = {
 }
 POSTAL_PATTERNS = {"DE": "\\d{5}", "AT": "\\d{4}", "CH": "\\d{4}", "FR": "\\d{5}", "NL": "\\d{4} [A-Z]{2}"}
 OTHER_PATTERN = "[A-Z0-9 -]{3,10}"
+#: Fixed value: what a house number at the end of a street looks like.
 HOUSE = "^(.*?)[,\\s]+(\\d{1,5}(?:\\s*[-/]\\s*\\d{1,5})?\\s*[A-Za-z]?)\\z"
 
 

@@ -48,13 +48,13 @@ class Matching:
 
     def __post_init__(self) -> None:
         problems = {
-            "At least one comparison column is required": not self.comparison_columns,
-            "minimum_score must be between 0 and 100": not 0 <= self.minimum_score <= 100,
-            "review_threshold must be >= minimum_score and <= 100": not self.minimum_score <= self.review_threshold <= 100,
-            "maximum_group_size must be between 2 and 10000": not 2 <= self.maximum_group_size <= 10_000,
+            "nothing to compare: name a column": not self.comparison_columns,
+            "minimum_score lies outside 0 to 100": not 0 <= self.minimum_score <= 100,
+            "review_threshold lies outside minimum_score to 100": not self.minimum_score <= self.review_threshold <= 100,
+            "maximum_group_size lies outside 2 to 10000": not 2 <= self.maximum_group_size <= 10_000,
             "unknown mode": self.mode not in MODES,
             "unknown canonical strategy": self.canonical_strategy not in ("first", "most_complete"),
-            "Comparison weights must have a positive sum": bool(self.comparison_columns) and sum(self.weight(c) for c in self.comparison_columns) <= 0,
+            "the weights add up to nothing": bool(self.comparison_columns) and sum(self.weight(c) for c in self.comparison_columns) <= 0,
         }
         for message, wrong in problems.items():
             if wrong:

@@ -151,16 +151,23 @@ def quality_score(rows: int, columns: int, nulls: int, invalid: int, duplicates:
     return round(max(0.0, 100 * (0.45 * complete + 0.35 * valid + 0.2 * unique)), 2)
 
 
+#: The advice of a report, which its readers match by its words.
+ADVICE = {
+    "invalid": "Validate and quarantine invalid values",
+    "missing": "Define a missing-value strategy",
+    "repeated": "Consider categorical encoding or value normalization",
+    "text": "Trim whitespace and normalize Unicode",
+    "fine": "No transformation required",
+}
+
+
 def recommendation(null_ratio: float, unique_ratio: float, invalid: int, text: bool) -> str:
-    for holds, advice in (
-        (invalid > 0, "Validate and quarantine invalid values"),
-        (null_ratio > 0.2, "Define a missing-value strategy"),
-        (text and unique_ratio < 0.1, "Consider categorical encoding or value normalization"),
-        (text, "Trim whitespace and normalize Unicode"),
-    ):
-        if holds:
-            return advice
-    return "No transformation required"
+    """The first that applies: invalid values, over a fifth missing, few different texts, any text."""
+    if invalid:
+        return ADVICE["invalid"]
+    if null_ratio > 0.2:
+        return ADVICE["missing"]
+    return ADVICE["fine"] if not text else ADVICE["repeated"] if unique_ratio < 0.1 else ADVICE["text"]
 
 
 def jsonable(value):
