@@ -109,6 +109,12 @@ def ranked_values(frame: DataFrame, value: dict[str, Column], ranks: dict[str, l
         counts.unpersist()
 
 
+def at_ranks(value: Column, ranks: list[int]) -> Column:
+    """The values of a column at some ranks, as an aggregate that sorts them in one task."""
+    ordered = F.array(F.sort_array(F.collect_list(value)))
+    return F.get(F.transform(ordered, lambda v: F.array(*[F.get(v, F.lit(k)) for k in ranks]).cast("array<double>")), F.lit(0))
+
+
 def numeric_statistics(frame: DataFrame, columns: list[str]) -> dict[str, dict]:
     """min, max, mean, median, quartiles by nearest rank, and values outside 1.5 quartile distances."""
     if not columns:
@@ -120,9 +126,8 @@ def numeric_statistics(frame: DataFrame, columns: list[str]) -> dict[str, dict]:
     ranks = {c: [quarter(n, 0.25), quarter(n, 0.75), (n - 1) // 2, n // 2] if n else [] for c, n in counts.items()}
     if max(counts.values()) > SORTED_ROWS:
         at = ranked_values(frame, value, ranks)
-    else:  # one pass; all distinct values of a column are in one task
-        shares = {c: [k / max(counts[c] - 1, 1) for k in ranks[c]] or [0.0] for c in columns}
-        row = frame.agg(*[F.percentile(value[c], F.array(*map(F.lit, shares[c]))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    else:  # one pass; a column's values are in one task
+        row = frame.agg(*[at_ranks(value[c], ranks[c]).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         at = {c: row[f"q{i}"] for i, c in enumerate(columns)}
     bounds = {}
     for i, c in enumerate(columns):

@@ -1,6 +1,12 @@
 import datetime
+import hashlib
+import math
+import random
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.operators import cleaning, dedup, profile, validate
@@ -131,3 +137,73 @@ def test_profile(spark):
     assert profile.quality_score(10, 2, 0, 0, 0) == 100.0
     a = twice.withColumn(ROW, F.monotonically_increasing_id())
     assert profile.changed_rows(a, a.withColumn("b", F.upper("b"))) == 3 and profile.changed_rows(a, a.limit(1)) == 3
+
+
+def plain_block(m, members):
+    """Every pair of members scored, groups closed by passing labels on until nothing changes."""
+    label, best = list(range(len(members))), {}
+    weights = [m.weight(c) for c in m.comparison_columns]
+    links = []
+    for i, a in enumerate(members):
+        for j in range(i + 1, len(members)):
+            scores = [dedup.column_score(m.mode, x, y) for x, y in zip(a["values"], members[j]["values"])]
+            score = round(sum(s * w for s, w in zip(scores, weights)) / sum(weights), 2)
+            if score >= m.minimum_score:
+                mine = (score, [c for c, s in zip(m.comparison_columns, scores) if s >= m.minimum_score])
+                best[i], best[j] = max(best.get(i, mine), mine), max(best.get(j, mine), mine)
+                links.append((i, j))
+    for _ in members:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    out = {}
+    for i in best:
+        group = [k for k in best if label[k] == label[i]]
+        name = "dup-" + hashlib.sha256("|".join(sorted(members[k]["record"] for k in group)).encode()).hexdigest()[:12]
+        first = min(group) if m.canonical_strategy == "first" else min(group, key=lambda k: (-members[k]["there"], k))
+        out[i] = (name, members[first]["record"], *best[i])
+    return out
+
+
+TEXTS = st.sampled_from(["", "hauptstrasse1", "hauptstrasse12", "hauptstr1", "weg3", "weg4", "berlin", "berlim", "koeln"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(TEXTS, TEXTS, st.integers(0, 2)), max_size=9), st.sampled_from(dedup.MODES), st.sampled_from(["first", "most_complete"]), st.sampled_from([0.0, 60.0, 85.0, 100.0]))
+def test_blocks_against_a_plain_version(rows, mode, canonical, least):
+    m = dedup.Matching(["a", "b"], [], {"a": 0.7, "b": 0.3}, least, 100, mode=mode, canonical_strategy=canonical)
+    members = [{"record": f"r{i}", "there": there, "values": ((a, a.upper()), (b, b.upper()))} for i, (a, b, there) in enumerate(rows)]
+    assert dedup.match_block(m, members) == plain_block(m, members)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, "x", "y", "z"]), TEXTS), max_size=14), st.integers(1, 5))
+def test_blocks_over_batches(rows, size):
+    """Blocks come out whole, however the batches cut them, and rows without a block pass by."""
+    m = dedup.Matching(["a"], minimum_score=80)
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    made = [{"block": b, "record": f"r{i}", "there": 1, "values": [{"k": t, "r": None}], "doc": {"i": i}} for i, (b, t) in enumerate(rows)]
+    kind = pa.schema([("block", pa.string()), ("record", pa.string()), ("there", pa.int32()), ("values", pa.list_(pa.struct([("k", pa.string()), ("r", pa.string())]))), ("doc", pa.struct([("i", pa.int64())]))])
+    def run(n): return [x for i in range(0, len(made), n) for x in [pa.RecordBatch.from_pylist(made[i : i + n], schema=kind)]]
+    got = [x for batch in dedup.with_matches(m, run(size)) for x in batch.to_pylist()]
+    assert got == [x for batch in dedup.with_matches(m, run(100)) for x in batch.to_pylist()] and [x["doc"]["i"] for x in got] == list(range(len(rows)))
+    assert all(x["__match"]["group_id"] is None for x, (b, _) in zip(got, rows) if b is None)
+
+
+def test_blocks_that_are_too_large(spark):
+    rows = [(f"p{i}", "same" if i < 40 else f"name{i // 2}", "1" if i < 40 else f"b{i // 2}") for i in range(60)] + [("none", "x", None)]
+    frame = spark.createDataFrame(rows, "record_id string, name string, postal_code string").withColumns({"score": F.lit(1.5), "columns": F.lit("c"), "doc": F.lit("d"), "group_id": F.lit("g")})
+    got = {r["record_id"]: r for r in dedup.detect_duplicates(frame, dedup.Matching(["name"], ["postal_code"], maximum_group_size=10)).frame.collect()}
+    assert len(got) == 61 and {k for k, r in got.items() if r["duplicate_group_id"]} == {f"p{i}" for i in range(40, 60)}
+    assert all((r["score"], r["columns"], r["doc"], r["group_id"]) == (1.5, "c", "d", "g") for r in got.values()) and got["p41"]["canonical_record_id"] == "p40"
+
+
+def test_ranks_by_ranges(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.choice([None, r.gauss(0, 1), 5.0, -2.5]), r.randint(0, 9), None) for _ in range(501)]
+    frame = spark.createDataFrame(rows, "a double, b long, c double").repartition(5)
+    plain = profile.numeric_statistics(frame, ["a", "b", "c"])
+    monkeypatch.setattr(profile, "SORTED_ROWS", 10)
+    assert profile.numeric_statistics(frame, ["a", "b", "c"]) == plain and "c" not in plain
+    values = sorted(x for x, *_ in rows if x is not None)
+    n = len(values)
+    assert plain["a"]["quantiles"]["q25"] == values[math.floor((n - 1) * 0.25 + 0.5)] and plain["a"]["median"] == (values[(n - 1) // 2] + values[n // 2]) / 2
