@@ -916,6 +916,39 @@ def test_candidates_are_linear():
         pii.spans_of(text, {(0,): 1.0})
 
 
+# --- very long texts ---------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark, codec):
+    """A text of two million characters, and its near copy, go through every operator whole."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(17)
+    words = [r.choice(WORDS) + str(r.randint(0, 99_999)) for _ in range(200_000)]
+    long = " ".join(words) + "\nmail a.b@example.org Released under the MIT License."
+    near = " ".join(w if i % 400 else "other" for i, w in enumerate(words))
+    docs = [(1, long, "en", "s"), (2, near, "en", "s"), (3, sentence(1, 50), "en", "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    assert len(long) > 1_900_000
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    quality = {x["doc_id"]: x for x in quality_rules.quality_verdicts(frame).collect()}
+    assert all(tuple(quality[i][k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == plain_quality(t) for i, t, *_ in docs)
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    counts = {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(frame, byte).collect()}
+    assert counts[1] == len(Tokenizer.from_file(byte).encode(long, add_special_tokens=False).ids)
+    encoded = {x["doc_id"]: x for x in sentencepiece_codec.encode_texts(frame, codec.path, [F.col("doc_id")], back="back").collect()}
+    assert all(list(encoded[i]["ids"]) == codec.library.encode(t) and encoded[i]["back"] == t for i, t, *_ in docs)
+    spans = {x["doc_id"]: x for x in pii.find_pii(frame).collect()}
+    at = long.index("a.b@")
+    assert spans[1]["n_email"] == 1 and f"email:{at}:{at + 15}" in spans[1]["spans"]
+    found = {x["doc_id"]: x["licences"] for x in license_scan.scan_licences(frame.where("doc_id <> 2")).collect()}
+    assert found[3] == "" and language_id.identify(frame, frame).where("lang_pred = 'en'").count() == 3
+    out = scratch(spark, "test-files")
+    token_files.write_token_files(frame, out, public_tokenizers.path("word_bpe_49k.json"))
+    assert token_files.read_token_files(spark, out).count() == 3
+
+
 # --- plumbing ----------------------------------------------------------------------------------
 
 
