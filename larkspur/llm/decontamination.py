@@ -31,6 +31,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Windows up to this many bytes (their words, and WINDOW_BYTES each for the rest) are broadcast.
 BROADCAST_BYTES, WINDOW_BYTES = 100_000_000, 150
+#: Positions of hits up to this many bytes (about 32 each, and for each document) are broadcast to read
+#: the documents with hits again; beyond, that join shuffles.
+BROADCAST_HITS = 30_000_000
 #: Documents up to this many are broadcast to be removed (16 bytes each); beyond, the join shuffles.
 BROADCAST_DOCUMENTS = 500_000
 #: Windows of at least this many words are found by their first words.
@@ -122,7 +125,7 @@ def contamination(
     # verification, for documents with hits
     hits = seen.where(F.size("hits") > 0).select(F.col("id").alias("i"), F.col("th").alias("h"), "hits")
     rows, many = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()
-    there = base.join(F.broadcast(hits) if 32 * (rows + many) <= BROADCAST_BYTES else hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
+    there = base.join(F.broadcast(hits) if 32 * (rows + many) <= BROADCAST_HITS else hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
     there = there.select("id", "th", "hits", words_of(F.col("t")).alias("w"))
     each = there.select("id", "th", F.explode(F.transform("hits", lambda x: F.struct(x["class"], x["start"], x["key"], F.slice("w", x["start"], size).alias("found")))).alias("x")).select("id", "th", "x.*")
     real = each.join(F.broadcast(probes) if small else probes, ["key", "class"]).where(F.slice("found", 1, F.col("length")) == F.col("words"))

@@ -567,6 +567,7 @@ def test_decontamination_without_broadcast(spark, odd, monkeypatch):
     want = bag(map(tuple, decontamination.contamination(frame, bench).select(*columns).collect()))
     monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(decontamination, "BROADCAST_DOCUMENTS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_HITS", 0)
     found = decontamination.contamination(frame, bench)
     assert bag(map(tuple, found.select(*columns).collect())) == want
     big = found.where("doc_id = 40").first()
