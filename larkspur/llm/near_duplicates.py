@@ -218,9 +218,10 @@ class Groups:
         degrees = filled.groupBy(F.col("row").alias("k")).agg(F.sum(F.col("size") - 1).alias("degree"))
         ranked = cut(filled.join(degrees, F.col("row") == F.col("k")).select("key", "row", "degree"), "ranked")
         self.work.drop(shared, filled)
-        centres = ranked.groupBy(F.col("key").alias("k")).agg((-F.max(F.struct("degree", (-F.col("row")).alias("c")))["c"]).alias("centre"))
+        # written, like other sums that are joined back: a join right above a sum cannot be split at a hot key
+        centres = cut(ranked.groupBy(F.col("key").alias("k")).agg((-F.max(F.struct("degree", (-F.col("row")).alias("c")))["c"]).alias("centre")), "centres")
         self.buckets = cut(ranked.join(centres, F.col("key") == F.col("k")).select("key", "row", "centre"), "buckets")
-        self.work.drop(ranked)
+        self.work.drop(ranked, centres)
 
         members = self.buckets.select("row").distinct()
         wanted = cut(signed.select("row", F.col("id").alias("wid"), F.col("th").alias("wth"), "n", "sketch").join(members, "row", "left_semi"), "wanted")
@@ -244,14 +245,13 @@ class Groups:
         """Buckets with the component of each member, only those with two components or more."""
         named = self.buckets
         if self.labels is not None:
-            named = named.join(self.labels, F.col("row") == F.col("rep"), "left")
+            named = named.join(side(self.labels), F.col("row") == F.col("rep"), "left")
             named = self.work.cut(named.select("key", "row", "centre", F.coalesce("component", "row").alias("comp")), "labelled")
         else:
             named = named.withColumn("comp", F.col("row"))
-        open_keys = named.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("k")
-        out = self.work.cut(named.join(open_keys, F.col("key") == F.col("k"), "left_semi"), "open")
-        if self.labels is not None:
-            self.work.drop(named)
+        open_keys = self.work.cut(named.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("k"), "open-keys")
+        out = self.work.cut(named.join(side(open_keys), F.col("key") == F.col("k"), "left_semi"), "open")
+        self.work.drop(open_keys, *([named] if self.labels is not None else []))
         return out
 
     def link(self, facts: DataFrame) -> None:
@@ -279,13 +279,13 @@ class Groups:
         if rest.isEmpty():
             return
         counts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        largest = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x")).select(F.col("key").alias("k"), F.col("x.comp").alias("largest"))
+        largest = cut(counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x")).select(F.col("key").alias("k"), F.col("x.comp").alias("largest")), "largest")
         # shingles of no other open class are in no intersection, which bounds each one from above
         open_rows = rest.select("row").distinct()
         alone = self.sets.join(open_rows, "row", "left_semi").select("row", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("row").alias("k")).where("c = 1").groupBy("k").agg(F.count("*").alias("alone"))
         keys = rest.groupBy(F.col("row").alias("k2")).agg(F.collect_list("key").alias("keys"))  # BANDS at most
         bounded = facts.join(keys, F.col("row") == F.col("k2")).join(alone, F.col("row") == F.col("k"), "left").select("row", "n", "sketch", "keys", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-        full = rest.join(largest, F.col("key") == F.col("k")).drop("k").join(bounded, "row")
+        full = rest.join(side(largest), F.col("key") == F.col("k")).drop("k").join(bounded, "row")
         full = cut(full.select("key", "row", "comp", "largest", "n", "sketch", "keys", "most"), "open-facts")
         few = full.where("comp <> largest").select("key", *[F.col(x).alias(f"{x}2") for x in ("row", "comp", "n", "sketch", "keys", "most")])
         near = (F.col("comp") != F.col("comp2")) & ((100 + percent) * F.least("most", "most2") >= percent * (F.col("n") + F.col("n2"))) & (different_values() <= MOST_DIFFERENT)
@@ -298,7 +298,7 @@ class Groups:
         """The rows with `comp`, the row key that names their component."""
         if self.labels is None:
             return self.rows.withColumn("comp", F.col("rep"))
-        return self.rows.join(self.labels.withColumnRenamed("rep", "k"), F.col("rep") == F.col("k"), "left").select("row", "id", "th", "n", F.coalesce("component", "rep").alias("comp"))
+        return self.rows.join(side(self.labels.withColumnRenamed("rep", "k")), F.col("rep") == F.col("k"), "left").select("row", "id", "th", "n", F.coalesce("component", "rep").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -306,8 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the sketch are laid out for."""
     groups = Groups(docs, id_col, text_col, width, percent, by_id=True)
     rows = groups.work.cut(groups.named(), "named")
-    smallest = rows.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size"), F.min("id").alias("smallest")).where("size > 1")
-    out = rows.join(smallest, F.col("comp") == F.col("c"), "left")
+    smallest = groups.work.cut(rows.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size"), F.min("id").alias("smallest")).where("size > 1"), "smallest")
+    out = rows.join(side(smallest), F.col("comp") == F.col("c"), "left")
     component = F.coalesce("smallest", "id")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
     out = groups.work.cut(out, "near-duplicates")
@@ -322,7 +322,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     groups = Groups(docs, id_col, text_col, width, percent, by_id=False)
     rows = groups.work.cut(groups.named().where("n > 0 and id is not null"), "named")
     chosen = rows.groupBy("comp").agg(F.count("*").alias("size"), F.min(F.struct("id", "row")).alias("x")).where("size > 1").select(F.col("comp").alias("c"), F.col("x.row").alias("chosen"))
-    several = rows.join(chosen, F.col("comp") == F.col("c")).groupBy(F.col("id").alias("i"), "th").agg(F.max(F.col("row") == F.col("chosen")).alias("stays"), F.count("*").alias("times"))
+    chosen = groups.work.cut(chosen, "chosen")
+    several = rows.join(side(chosen), F.col("comp") == F.col("c")).groupBy(F.col("id").alias("i"), "th").agg(F.max(F.col("row") == F.col("chosen")).alias("stays"), F.count("*").alias("times"))
     several = groups.work.cut(several.where("not stays or times > 1"), "copies")
     groups.work.drop(keep=(several,))
 
