@@ -126,3 +126,40 @@ best AS (SELECT r, k, name, max({dice}) AS dice FROM (SELECT r, k, name, bigrams
 per AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, max(dice) AS best FROM (SELECT * FROM hit UNION ALL SELECT * FROM best) GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licences, '') AS licences, round(coalesce(best, 0)::DOUBLE, 6) AS best_dice FROM d LEFT JOIN per USING (r)
 """
+
+
+def repeats_sql(length: int = 35) -> str:
+    """op11."""
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i:i+{length - 1}], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {length - 2})) AS i FROM d WHERE len(w) >= {length})),
+rep AS (SELECT r, i FROM win JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g)),
+gone AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + {length})) AS p FROM rep),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def audit_sql() -> str:
+    """op12, document by document: every step of every order looks at the flags of each."""
+    letters = "['A', 'B', 'C', 'D', 'E']"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS MATERIALIZED (
+  SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL), false) AS toxic
+  FROM d
+),
+l AS (SELECT unnest({letters}) AS x),
+orders AS (SELECT a.x || b.x || c.x || e.x || g.x AS o FROM l a, l b, l c, l e, l g WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+steps AS (SELECT o, k::INT AS step, o[k] AS x, ascii(o[k]) - 64 AS own, [ascii(y) - 64 for y in string_split(o[:k - 1], '')] AS earlier FROM (SELECT o, unnest(range(1, 6)) AS k FROM orders)),
+hit AS (SELECT part, o, step, x, fails[own] AS failing, len(list_filter(earlier, lambda j: fails[j])) > 0 AS gone, len(list_filter(fails, lambda y: y)) AS failed, good, toxic FROM f, steps),
+per AS (
+  SELECT part, o AS filter_order, step, x, count(*) FILTER (NOT gone AND NOT failing) AS kept, count(*) FILTER (NOT gone AND failing) AS removed, count(*) FILTER (gone AND failing) AS redundant,
+    count(*) FILTER (failing AND failed = 1) AS unique_fails, count(*) FILTER (NOT gone AND failing AND good) AS good_lost, count(*) FILTER (NOT gone AND failing AND toxic) AS toxic_lost
+  FROM hit GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM per
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, near_duplicates, oracle, pii, quality_rules, sentencepiece_codec, token_counts, token_files, url_filters
+from . import decontamination, filter_audit, importance_sampling, language_id, license_scan, near_duplicates, oracle, pii, quality_rules, sentencepiece_codec, substring_dedup, token_counts, token_files, url_filters
 from .common import scratch
 
 
@@ -73,6 +73,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), length=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict = {
     "op1_token_files": op1_token_files,
     "op2_near_duplicates": op2_near_duplicates,
@@ -84,10 +97,15 @@ QUERIES: dict = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": oracle.near_duplicates_sql(),
     "op3_license_scan": oracle.licence_sql(),
     "op5_quality_rules": oracle.quality_sql(),
     "op7_decontamination": oracle.contamination_sql(),
+    "op11_substring_dedup": oracle.repeats_sql(),
+    "op12_filter_audit": oracle.audit_sql(),
 }
