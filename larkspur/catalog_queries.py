@@ -517,6 +517,33 @@ def _round_trips() -> None:
 _round_trips()
 
 
+@register("csv_documents", "SELECT doc_id, coalesce(nullif(lang, ''), '') AS lang, length(text)::BIGINT AS length, md5(text) AS digest FROM documents WHERE text <> ''")
+def csv_documents(spark, d):
+    """Texts with breaks and quotes, written in several files and read in splits."""
+    path = scratch_folder(spark, "csv-documents")
+    writers.write_dataset(table(spark, d, "documents").where("text <> ''").select("doc_id", "text", "lang").repartition(4, "doc_id"), path, "csv")
+    back = readers.read_dataset(spark, path, "csv")[0]
+    return back.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.char_length("text").cast("long").alias("length"), F.md5(F.encode("text", "utf-8")).alias("digest"))
+
+
+CSV_TYPES = """SELECT 'bigint,date,string,double,boolean,timestamp_ntz' AS kinds, o_orderkey::BIGINT AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS mixed,
+  o_totalprice::DOUBLE AS price, o_orderkey % 3 = 0 AS third, (o_orderdate::TIMESTAMP + INTERVAL 90 MINUTE) AS at FROM orders"""
+
+
+@register("csv_types", CSV_TYPES)
+def csv_types(spark, d):
+    """Every type that the fold over a file's values tells apart; dates in two forms stay text."""
+    day = F.col("o_orderdate").cast("date")
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.date_format(day, "yyyy-MM-dd").alias("day"), F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yyyy")).alias("mixed"),
+        F.col("o_totalprice").cast("double").cast("string").alias("price"), (F.col("o_orderkey") % 3 == 0).cast("string").alias("third"), F.date_format(day.cast("timestamp_ntz") + F.expr("interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss").alias("at"),
+    )
+    path = scratch_folder(spark, "csv-types")
+    o.write.option("header", True).csv(path)
+    back = readers.read_dataset(spark, path, "csv")[0]
+    return back.select(F.concat_ws(",", *[F.typeof(c) for c in o.columns]).alias("kinds"), "id", F.date_format("day", "yyyy-MM-dd").alias("day"), "mixed", "price", "third", "at")
+
+
 @register("read_json_records", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def read_json_records(spark, d):
     """A JSON document with `records`, over several lines."""
@@ -581,7 +608,7 @@ def profile_ranks(spark, d):
     f = table(spark, d, "lineitem").select("l_extendedprice")
     n = f.count()
     ranks = [int((n - 1) * 0.25 + 0.5), int((n - 1) * 0.75 + 0.5), (n - 1) // 2, n // 2]
-    low, high, a, b = profile.ranked_values(f, {"x": F.col("l_extendedprice")}, {"x": ranks})["x"]
+    low, high, a, b = profile.selected(f, {"x": F.col("l_extendedprice")}, {"x": ranks})["x"]
     return spark.createDataFrame([(round(low, 4), round(high, 4), round((a + b) / 2, 4))], "q25 double, q75 double, median double")
 
 

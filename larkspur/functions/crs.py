@@ -104,8 +104,11 @@ def _pair(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def _chained(x: Column, y: Column, step) -> Column:
-    return _bound({"x": x, "y": y}, lambda v: _pair(*step(v["x"], v["y"])))
+def _chained(pair: Column, step) -> Column:
+    """A step on a pair, which is there once however often the step uses it: chains grow by their
+    steps, not by powers of two."""
+    made = lambda v: step(v["x"], v["y"])
+    return F.get(F.transform(F.array(pair), lambda v: x if isinstance(x := made(v), Column) else _pair(*x)), F.lit(0))
 
 
 def _iterated(start: Column, times: int, step) -> Column:
@@ -139,7 +142,7 @@ def _transverse(lon: Column, lat: Column, s: System) -> tuple[Column, Column]:
     return s.east + s.scale * a * mean * x, s.north - _arc(s) + s.scale * a * mean * y
 
 
-def _transverse_back(x: Column, y: Column, s: System) -> tuple[Column, Column]:
+def _transverse_back(x: Column, y: Column, s: System) -> Column:
     a, f = ELLIPSOIDS[s.ellipsoid]
     mean, _, beta = _series(f)
     e2 = f * (2 - f)
@@ -157,8 +160,7 @@ def _transverse_back(x: Column, y: Column, s: System) -> tuple[Column, Column]:
         step = lambda t: F.sinh(F.asinh(v["t"]) + e2**0.5 * F.atanh(e2**0.5 * t / F.sqrt(1 + t * t)))
         return _pair(s.lon + F.degrees(v["turn"]), F.degrees(F.atan(_iterated(v["t"], 4, step))))
 
-    pair = _bound({"p": p, "q": q}, degrees)
-    return pair["x"], pair["y"]
+    return _bound({"p": p, "q": q}, degrees)
 
 
 def _cone(s: System) -> tuple[float, float, float, float]:
@@ -230,7 +232,7 @@ def _equal_area_back(x: Column, y: Column, s: System) -> tuple[Column, Column]:
     return s.lon + F.degrees(F.when(rho == 0, F.lit(0.0)).otherwise(turn)), F.degrees(lat)
 
 
-def _shift(lon: Column, lat: Column, datum: str, sign: int) -> tuple[Column, Column]:
+def _shift(lon: Column, lat: Column, datum: str, sign: int) -> Column:
     """Degrees from a datum to WGS84 (sign 1) or back (-1), by earth-centred coordinates."""
     (a, f), (to_a, to_f) = (ELLIPSOIDS[datum], ELLIPSOIDS["WGS84"])[::sign]
     dx, dy, dz, rx, ry, rz, ppm = (sign * v for v in SHIFTS[datum])
@@ -251,8 +253,7 @@ def _shift(lon: Column, lat: Column, datum: str, sign: int) -> tuple[Column, Col
         bowring = lambda p: F.atan2(v["z"] + to_e2 * to_a / F.sqrt(1 - to_e2 * F.sin(p) * F.sin(p)) * F.sin(p), flat)
         return _pair(F.degrees(F.atan2(v["y"], v["x"])), F.degrees(_iterated(F.atan2(v["z"], flat * (1 - to_e2)), 4, bowring)))
 
-    pair = _bound({"lon": lon, "lat": lat}, centred)
-    return pair["x"], pair["y"]
+    return _bound({"lon": lon, "lat": lat}, centred)
 
 
 def _mercator(lon: Column, lat: Column, s: System) -> tuple[Column, Column]:
@@ -273,21 +274,18 @@ def transform(x: Column, y: Column, source: str, target: str) -> tuple[Column, C
     """(x, y) in the target system; x is longitude or easting. Null where the result is not finite."""
     a, b = system(source), system(target)
     shifts = [(s.ellipsoid, sign) for s, sign in ((a, 1), (b, -1)) if s.ellipsoid in SHIFTS and a.ellipsoid != b.ellipsoid]
-    if a == b or {a.kind, b.kind} == {"geographic"}:
-        pass
-    elif a.kind == "geographic" and not shifts:
-        x, y = FORWARD[b.kind](x, y, b)
-    elif b.kind == "geographic" and not shifts:
-        x, y = BACK[a.kind](x, y, a)
-    else:  # step by step, each result computed once
-        steps = [partial(BACK[a.kind], s=a)] if a.kind in BACK else []
-        steps += [partial(_shift, datum=datum, sign=sign) for datum, sign in shifts]
-        steps += [partial(FORWARD[b.kind], s=b)] if b.kind in FORWARD else []
-        for step in steps:
-            pair = _chained(x, y, step)
-            x, y = pair["x"], pair["y"]
     finite = lambda u, v: F.coalesce(~F.isnan(u) & ~F.isnan(v) & (F.abs(u) < float("inf")) & (F.abs(v) < float("inf")), F.lit(False))
     if a.kind == "geographic" and not shifts:
+        if a != b and b.kind != "geographic":
+            x, y = FORWARD[b.kind](x, y, b)
         return F.when(finite(x, y), x), F.when(finite(x, y), y)
-    pair = _bound({"x": x, "y": y}, lambda v: F.when(finite(v["x"], v["y"]), v))
+    steps = []
+    if a != b and {a.kind, b.kind} != {"geographic"}:
+        steps += [partial(BACK[a.kind], s=a)] if a.kind in BACK else []
+        steps += [partial(_shift, datum=datum, sign=sign) for datum, sign in shifts]
+        steps += [partial(FORWARD[b.kind], s=b)] if b.kind in FORWARD else []
+    pair = _pair(x, y)
+    for step in steps:
+        pair = _chained(pair, step)
+    pair = F.get(F.transform(F.array(pair), lambda v: F.when(finite(v["x"], v["y"]), v)), F.lit(0))
     return pair["x"], pair["y"]

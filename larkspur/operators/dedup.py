@@ -3,27 +3,36 @@
 Rows get a block key and comparison keys. Only rows of blocks within the size limit meet, so the number
 of pairs is bounded by rows times the limit.
 
-There are two forms. The pair functions (`candidate_pairs`, `scored_pairs`) are plain joins with
+There are three forms. The pair functions (`candidate_pairs`, `scored_pairs`) are plain joins with
 built-in expressions but for the similarity of unequal keys; they serve reports. `detect_duplicates`
 reads the input twice: a count by block finds the blocks that are too large, and one shuffle of the
 rows brings each other block together. Rows without a block, or in one that is too large, are dealt
 out evenly by that shuffle and pass by. The blocks stream through Arrow, whole rows in columns; keys
 alone become Python values, each pair of different keys is scored once however many rows have them,
 and a pair is given up as soon as it cannot reach the least score. Nothing is joined back.
+
+In the modes `exact` and `normalized` a column of a pair is equal or not, so a pair matches if the columns
+that it agrees in are among the sets whose weights reach the least score. There every such set is one
+hash grouping of the distinct values of a block: a value's best set is the best one that it shares with
+another row, and the smallest sets (those with no other one inside) make the groups. With one smallest
+set they are its groups as they come; with several, labels travel through the groups until none changes.
+What a match adds depends on block and values alone and is joined to the rows by them. No Python
+compares, and no pairs are made.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import similarity, text
-from ..session import ship_package
+from ..session import scratch_folder, ship_package
 from .rows import ROW, dense_rows, named, require, visible, with_rows
 
 #: What a match adds to a row.
@@ -32,6 +41,8 @@ MATCH_SQL = "struct<group_id: string, canonical: string, score: double, columns:
 #: Blocks over the size limit up to this many are sent to all executors; beyond, the join shuffles.
 BROADCAST_BLOCKS = 10_000
 MODES = ("exact", "normalized", "fuzzy", "weighted")
+#: Sets of equal columns up to this many are grouped by; with more, pairs of values are compared.
+COLUMN_SETS = 64
 
 
 @dataclass(frozen=True)
@@ -237,12 +248,85 @@ def with_matches(m: Matching, batches):
         yield from done(held)
 
 
+def equal_sets(m: Matching) -> list[tuple[float, list[str], tuple[int, ...]]] | None:
+    """The sets of columns whose equality alone reaches the least score, as (score, names, positions)
+    from the worst to the best; None where pairs must be looked at: in other modes, if every pair
+    matches, if a weight adds nothing to the score, or if there are very many sets."""
+    weights, n = [m.weight(c) for c in m.comparison_columns], len(m.comparison_columns)
+    if m.mode not in ("exact", "normalized") or m.minimum_score <= 0 or n > 12:
+        return None
+    score = lambda some: round(sum((100.0 if i in some else 0.0) * w for i, w in enumerate(weights)) / sum(weights), 2)
+    every = [some for k in range(1, n + 1) for some in combinations(range(n), k)]
+    found = [(score(some), [m.comparison_columns[i] for i in some], some) for some in every if score(some) >= m.minimum_score]
+    rising = all(score(some) > score(tuple(x for x in some if x != i)) for _, _, some in found for i in some)
+    return sorted(found) if rising and len(found) <= COLUMN_SETS else None
+
+
+def travelled(edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that is reached from each through groups (block, s, part). Each round
+    is a small table; rounds end when no label falls."""
+    spark, now, total = edges.sparkSession, None, None
+    path = scratch_folder(spark, "edges")
+    edges.write.parquet(path)
+    edges = spark.read.parquet(path)
+    over = Window.partitionBy("block", "s", "part")
+    while True:
+        known = edges.withColumn("label", F.col("id")) if now is None else edges.join(now, "id")
+        path = scratch_folder(spark, "labels")
+        known.withColumn("least", F.min("label").over(over)).groupBy("id").agg(F.min("least").alias("label")).write.parquet(path)
+        now = spark.read.parquet(path)
+        before, total = total, now.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if before == total:
+            return now
+
+
+def equal_matches(rows: DataFrame, m: Matching, sets: list) -> DataFrame:
+    """(block, values, match) of the values that have a match. `rows` has (row, block, record, there,
+    values) of blocks within the limit."""
+    nodes = rows.groupBy("block", "values").agg(F.count("*").alias("n"), F.min("row").alias("id"), F.collect_list("record").alias("records"), F.min(F.struct("row", "record"))["record"].alias("first"), F.max(F.struct("there", (-F.col("row")).alias("r"), "record")).alias("fullest"))  # a block's rows at most
+    smallest = {k for k, (_, _, a) in enumerate(sets) if not any(set(b) < set(a) for _, _, b in sets)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.array(*[F.col("values")[i] for i in some]).alias("part")) for k, (_, _, some) in enumerate(sets)])).alias("x")
+    over = Window.partitionBy("block", "s", "part")
+    shared = nodes.select("id", "n", "block", each).select("id", "n", "block", "x.s", "x.part").withColumn("rows", F.sum("n").over(over)).withColumn("least", F.min("id").over(over)).where("rows > 1")
+    if len(smallest) == 1:  # it lies in every other set
+        labels = shared.where(F.col("s") == min(smallest)).select("id", F.col("least").alias("label"))
+    else:
+        labels = travelled(shared.where(F.col("s").isin(sorted(smallest))).select("id", "block", "s", "part"))
+    best = shared.groupBy("id").agg(F.max("s").alias("best")).join(labels, "id")
+    own = nodes.join(best, "id")
+    fullest = F.max("fullest")["record"]
+    groups = own.groupBy("label").agg(
+        F.concat(F.lit("dup-"), F.substring(F.sha2(F.encode(F.array_join(F.array_sort(F.flatten(F.collect_list("records"))), "|"), "utf-8"), 256), 1, 12)).alias("name"),
+        (F.min(F.struct("id", "first"))["first"] if m.canonical_strategy == "first" else fullest).alias("chosen"),
+    )
+    scores, names = F.lit([x[0] for x in sets]), F.array(*[F.array(*[F.lit(c) for c in x[1]]) for x in sets])
+    match = F.struct(F.col("name").alias("group_id"), F.col("chosen").alias("canonical"), F.get(scores, F.col("best")).alias("score"), F.get(names, F.col("best")).alias("columns"))
+    return own.join(groups, "label").select(F.col("block").alias("own_block"), F.col("values").alias("own_values"), match.alias("__match"))
+
+
 def as_text(value: Column, kind: T.DataType) -> Column:
     """The value as the text that names a record: null is "None", truth values are capitalised."""
     shown = F.initcap(value.cast("string")) if isinstance(kind, T.BooleanType) else value.cast("string")
     return F.coalesce(shown, F.lit("None"))
 
 
+def with_match_columns(joined: DataFrame, frame: DataFrame, m: Matching, record: Column) -> DataFrame:
+    """The frame's columns and those that a match adds, from rows with `__match`."""
+    match = F.col("__match")
+    hit = match["group_id"].isNotNull()
+    new = {
+        "duplicate_group_id": match["group_id"],
+        "record_id": record,
+        "canonical_record_id": match["canonical"],
+        "match_score": match["score"],
+        "match_reason": F.when(hit, f"blocked match on {', '.join(m.blocking_columns) or 'prefix'}"),
+        "review_required": F.coalesce(match["score"] < m.review_threshold, F.lit(False)),
+        "matched_columns": F.coalesce(match["columns"], F.array().cast("array<string>")),
+    }
+    order = [*[c for c in frame.columns if c not in new or c == "record_id"], *[c for c in new if c != "record_id" or c not in frame.columns]]
+    return joined.select(*[new[c].alias(c) if c in new else named(c) for c in order])
+
+
 def detect_duplicates(frame: DataFrame, m: Matching) -> Duplicates:
     """The frame with duplicate_group_id, record_id, canonical_record_id, match_score, match_reason,
     review_required and matched_columns; and the matched pairs and block sizes."""
@@ -272,26 +356,22 @@ def detect_duplicates(frame: DataFrame, m: Matching) -> Duplicates:
     if large:
         few = F.broadcast(big.sparkSession.createDataFrame(large, "big string")) if len(large) <= BROADCAST_BLOCKS else big
         meeting, apart = meeting.join(few, F.col("block") == F.col("big"), "left"), apart | F.col("big").isNotNull()
+    sets = equal_sets(m)
+    if sets is not None:
+        one = lambda i: F.when(F.col(f"k{i}") == "", "").otherwise(F.concat(F.lit("="), F.col(f"r{i}"))) if m.mode == "exact" else F.col(f"k{i}")
+        # rows apart have a key of their own, so they are dealt out evenly
+        values = F.when(apart, F.array(F.col("row").cast("string"))).otherwise(F.array(*[one(i) for i in range(len(m.comparison_columns))]))
+        meeting = meeting.select(F.when(~apart, F.col("block")).otherwise("").alias("block"), "row", "record", "there", values.alias("values"), "doc")
+        matches = equal_matches(meeting.where("block <> ''").drop("doc"), m, sets)
+        joined = meeting.join(matches, (F.col("block") == F.col("own_block")) & (F.col("values") == F.col("own_values")), "left").select("doc.*", "__match")
+        return Duplicates(with_match_columns(joined, frame, m, record), matched, blocks)
     values = F.array(*[F.struct(F.col(f"k{i}").alias("k"), (F.col(f"r{i}") if m.mode == "exact" else F.lit(None).cast("string")).alias("r")) for i in range(len(m.comparison_columns))])
     meeting = meeting.select(F.when(~apart, F.col("block")).alias("block"), "row", "record", "there", values.alias("values"), "doc")
     deal = F.when(F.col("block").isNotNull(), F.xxhash64("block")).otherwise(F.xxhash64("row", F.lit("apart")))
     meeting = meeting.repartition(deal).sortWithinPartitions("block", "row").drop("row")
     fields = meeting.select("doc", F.lit(None).cast(MATCH_SQL).alias("__match")).schema
     joined = meeting.mapInArrow(lambda batches: with_matches(m, batches), fields).select("doc.*", "__match")
-    match = F.col("__match")
-    hit = match["group_id"].isNotNull()
-    new = {
-        "duplicate_group_id": match["group_id"],
-        "record_id": record,
-        "canonical_record_id": match["canonical"],
-        "match_score": match["score"],
-        "match_reason": F.when(hit, f"blocked match on {', '.join(m.blocking_columns) or 'prefix'}"),
-        "review_required": F.coalesce(match["score"] < m.review_threshold, F.lit(False)),
-        "matched_columns": F.coalesce(match["columns"], F.array().cast("array<string>")),
-    }
-    order = [*[c for c in frame.columns if c not in new or c == "record_id"], *[c for c in new if c != "record_id" or c not in frame.columns]]
-    out = joined.select(*[new[c].alias(c) if c in new else named(c) for c in order])
-    return Duplicates(out, matched, blocks)
+    return Duplicates(with_match_columns(joined, frame, m, record), matched, blocks)
 
 
 def duplicate_groups(result: DataFrame) -> DataFrame:

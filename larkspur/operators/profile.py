@@ -2,7 +2,7 @@
 
 A fixed number of passes over the (sampled) rows, whatever the number of columns: one wide aggregation
 of counts, extremes and validity, one unpivot to (column, value) whose grouped counts give distinct and
-top values, three for the statistics of numbers, one for identical rows, and one look at the first
+top values, up to seven for the statistics of numbers, one for identical rows, and one look at the first
 rows. Only a column whose first values are rare costs another look. Only aggregates and the first rows
 reach the driver.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from ..functions import address, geo
 from .rows import ROW, named, visible
 
-#: Up to so many rows are ranked in one task; more are dealt out by range.
-SORTED_ROWS = 1_000_000
+#: Parts of a digit in radix selection, and how many values the driver takes when no more are left.
+DIGITS, FEW = 4096, 20_000
 #: First rows that are looked at for sample values, and how many of these a column gets.
 FIRST_ROWS, SAMPLE_VALUES = 200, 5
 #: Column names that hold postal codes or coordinates.
@@ -81,38 +81,63 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
     return counts.where("value is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def ranked_values(frame: DataFrame, value: dict[str, Column], ranks: dict[str, list[int]]) -> dict[str, list[float]]:
-    """The values of each column at some ranks (from 0, in ascending order without nulls). Values are
-    counted and dealt out by range; the driver gets one sum for each column and range, and only the
-    ranges that hold a rank are added up."""
-    names = list(value)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value[c].alias("v")) for i, c in enumerate(names)])).alias("x")
-    counts = frame.select(each).where("x.v is not null").groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
-    counts = counts.repartitionByRange("i", "v").withColumn("part", F.spark_partition_id()).persist()
-    try:
-        before: dict[str, int] = {}
-        wanted = []  # (column, range, rank, rank within the range)
-        for r in sorted(counts.groupBy("i", "part").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["i"], r["part"])):
-            c = names[r["i"]]
-            start = before.get(c, 0)
-            wanted += [(r["i"], r["part"], k, k - start) for k in set(ranks[c]) if start <= k < start + r["n"]]
-            before[c] = start + r["n"]
-        if not wanted:
-            return {c: [] for c in names}
-        picks = F.broadcast(frame.sparkSession.createDataFrame(wanted, "i int, part int, rank long, place long"))  # a few rows a column
-        running = F.sum("n").over(Window.partitionBy("i", "part").orderBy("v"))
-        some = counts.join(picks.select("i", "part").distinct(), ["i", "part"], "left_semi").withColumn("upto", running)
-        rows = some.join(picks, ["i", "part"]).where("place < upto and place >= upto - n").select("i", "rank", "v").collect()
-        found = {(r["i"], r["rank"]): r["v"] for r in rows}
-        return {c: [found[i, k] for k in ranks[c]] for i, c in enumerate(names)}
-    finally:
-        counts.unpersist()
+def first_digit(v: Column) -> Column:
+    """The octave of a number, with its sign: never falls as numbers grow (not a number is the largest)."""
+    octave = F.floor(F.log2(F.abs(v))).cast("int") + 1100
+    own = F.when(v > 0, octave).when(v < 0, -octave).otherwise(0)
+    return F.when(F.isnan(v), 4000).when(v == float("inf"), 3000).when(v == float("-inf"), -3000).otherwise(own)
 
 
-def at_ranks(value: Column, ranks: list[int]) -> Column:
-    """The values of a column at some ranks, as an aggregate that sorts them in one task."""
-    ordered = F.array(F.sort_array(F.collect_list(value)))
-    return F.get(F.transform(ordered, lambda v: F.array(*[F.get(v, F.lit(k)) for k in ranks]).cast("array<double>")), F.lit(0))
+def selected(frame: DataFrame, value: dict[str, Column], ranks: dict[str, list[int]]) -> dict[str, list[float]]:
+    """The values of each column at some ranks (from 0, in ascending order without nulls), by radix
+    selection. Each pass folds all columns to one histogram, with the least and greatest value of every
+    digit that occurs: first octaves, then DIGITS equal parts of the digit that a rank lies in. A rank
+    is found when its digit holds one value; a digit is at most 2^52 values wide at the start, so five
+    passes do. No values are sorted, listed or moved: the driver gets the histograms, and when no more
+    than FEW values are left in all open digits, those."""
+    names = list(value)
+    found: dict[tuple[int, int], float] = {}
+    want = {(i, k): k for i, c in enumerate(names) for k in ranks[c]}
+    same = lambda a, b: a == b or a != a and b != b
+
+    def settle(histogram, slots) -> tuple[list, int]:
+        """Find ranks in (slot, digit, n, low, high) rows; returns the digits that are still open."""
+        by_slot: dict[int, list] = {}
+        for r in histogram:
+            by_slot.setdefault(r["slot"], []).append(r)
+        wider: dict[tuple, list] = {}
+        left = 0
+        for slot, keys in slots.items():
+            before = 0
+            for r in sorted(by_slot.get(slot, []), key=lambda r: r["digit"]):
+                inside = [key for key in keys if before <= want[key] < before + r["n"]]
+                if inside and same(r["low"], r["high"]):
+                    found.update({key: r["low"] for key in inside})
+                elif inside:
+                    wider[inside[0][0], r["low"], r["high"]] = inside
+                    want.update({key: want[key] - before for key in inside})
+                    left += r["n"]
+                before += r["n"]
+        return list(wider.items()), left
+
+    def histogram(columns: list[int], digit) -> list:
+        """Of the values in the slots, a column each; the digit is one expression for all of them."""
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), value[names[i]].alias("v")) for s, i in enumerate(columns)])).alias("x")
+        rows = frame.select(each).select("x.slot", "x.v").where("v is not null").withColumn("digit", digit).where("digit is not null")
+        return rows.groupBy("slot", "digit").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+
+    some = [i for i, c in enumerate(names) if ranks[c]]
+    if some:
+        v = F.col("v")
+        spans, left = settle(histogram(some, first_digit(v)), {s: [key for key in want if key[0] == i] for s, i in enumerate(some)})
+        while spans:
+            low, high = (F.get(F.lit([float(span[0][k]) for span in spans]), F.col("slot")) for k in (1, 2))
+            place = v.cast("string") if left <= FEW else F.floor((v - low) / (high - low) * (DIGITS - 1)).cast("int")
+            rows = histogram([i for (i, _, _), _ in spans], F.when((v >= low) & (v <= high), place))
+            if left <= FEW:
+                rows = [{"slot": r["slot"], "digit": r["low"], "n": r["n"], "low": r["low"], "high": r["low"]} for r in rows]
+            spans, left = settle(rows, {s: keys for s, (_, keys) in enumerate(spans)})
+    return {c: [found[i, k] for k in ranks[c]] for i, c in enumerate(names)}
 
 
 def numeric_statistics(frame: DataFrame, columns: list[str]) -> dict[str, dict]:
@@ -124,11 +149,7 @@ def numeric_statistics(frame: DataFrame, columns: list[str]) -> dict[str, dict]:
     quarter = lambda n, q: math.floor((n - 1) * q + 0.5)
     counts = {c: first[f"n{i}"] for i, c in enumerate(columns)}
     ranks = {c: [quarter(n, 0.25), quarter(n, 0.75), (n - 1) // 2, n // 2] if n else [] for c, n in counts.items()}
-    if max(counts.values()) > SORTED_ROWS:
-        at = ranked_values(frame, value, ranks)
-    else:  # one pass; a column's values are in one task
-        row = frame.agg(*[at_ranks(value[c], ranks[c]).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        at = {c: row[f"q{i}"] for i, c in enumerate(columns)}
+    at = selected(frame, value, ranks)
     bounds = {}
     for i, c in enumerate(columns):
         if first[f"n{i}"]:

@@ -1,12 +1,17 @@
+import csv
+import datetime
 import io
+import random
 import zipfile
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.operators.rows import ROW
 from larkspur.plans import compiler, definition, examples
 from larkspur.plans.runs import Catalogue, execute_run, overview, run_figures
-from larkspur.sources import files, readers, writers
+from larkspur.sources import delimited, files, readers, writers
 from larkspur.streaming import stream_pipeline
 
 CSV = "record_id,street,city,postal_code,country,latitude,longitude,note\na,Hauptstr. 1,Berlin,10115,DE,52.5,13.4,=1+1\nb,Hauptstrasse 1,Berlin,10115,DE,52.5,13.4,x\nc,Weg 3,Köln,12,DE,50.9,6.9,y\n"
@@ -105,8 +110,87 @@ def test_fields_that_span_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,note\n1,"x\ny"\n2,"say ""hi"""\n3,plain\n')
     frame = readers.read_dataset(spark, str(tmp_path / "a.csv"), "csv")[0]
     assert [(r["id"], r["note"]) for r in frame.orderBy(ROW).collect()] == [(1, "x\ny"), (2, 'say "hi"'), (3, "plain")]
-    (tmp_path / "b.csv").write_text('id\n"1"\n')
-    assert readers.spans_lines(spark, str(tmp_path / "a.csv")) and not readers.spans_lines(spark, str(tmp_path / "b.csv"))
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few lines, so that records begin, go on and end in several."""
+    keys = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "64"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def plain_rows(files, sep):
+    """What the standard library makes of the files, without their headers."""
+    return [[v or None for v in row] for data in files for row in list(csv.reader(io.StringIO(data, newline=""), delimiter=sep))[1:] if row]
+
+
+@pytest.mark.parametrize("sep, end", [(",", "\n"), (";", "\r\n")])
+def test_records_over_splits(spark, tmp_path, small_splits, sep, end):
+    r = random.Random(ord(sep))
+    piece = lambda: r.choice(["x", "ü", '"', sep, "\n", "a b", "\n\n", "1", "'"])
+    files = []
+    for k in range(2):
+        out = io.StringIO()
+        writer = csv.writer(out, delimiter=sep, lineterminator=end)
+        writer.writerow(["id", "note", "long\nname"])
+        for i in range(12):
+            writer.writerow([k * 100 + i, "".join(piece() for _ in range(r.choice([0, 1, 6, 60]))) + "z", r.choice(["", "plain", "line\n" * 50])])
+        files.append(("\ufeff" if k == 0 else "") + out.getvalue())
+        (tmp_path / f"{k}.csv").write_text(files[-1], newline="")
+    found, encoding, delimiter = readers.read_dataset(spark, str(tmp_path), "csv")
+    assert delimiter == sep and found.columns == [ROW, "id", "note", "long\nname"] and dict(found.dtypes)["id"] == "bigint"
+    rows = found.orderBy(ROW).collect()
+    expected = plain_rows([f.removeprefix("\ufeff") for f in files], sep)
+    assert [[str(x[1]), x[2], x[3]] for x in rows] == expected
+    assert found.rdd.getNumPartitions() > 1
+    splits = delimited.lines(spark, str(tmp_path), "UTF-8").select("file", "block").distinct().count()
+    assert splits > 20
+
+
+def test_running_states():
+    r = random.Random(2)
+    for n in (0, 1, 2, 50):
+        outside, inside = (np.array([r.random() < 0.5 for _ in range(n)], bool) for _ in range(2))
+        for first in (False, True):
+            state, expected = first, [first]
+            for o, i in zip(outside, inside):
+                state = bool(i if state else o)
+                expected.append(state)
+            assert delimited.running(outside, inside, first).tolist() == expected
+
+
+def test_fields_left_open(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"x\ny\n')
+    with pytest.raises(ValueError, match="inside a quoted field"):
+        readers.read_dataset(spark, str(tmp_path / "a.csv"), "csv")
+    (tmp_path / "b.csv").write_text('id,inch\n1,5" pipe\n2,"6"" pipe"\n')  # a quote inside a bare field is a character
+    assert [tuple(r)[:2] for r in readers.read_dataset(spark, str(tmp_path / "b.csv"), "csv")[0].select("id", "inch").collect()] == [(1, '5" pipe'), (2, '6" pipe')]
+    long = '"' + 'a""' * 50_000 + "\n" + "b,c" * 50_000 + '"'
+    (tmp_path / "c.csv").write_text(f"id,note\n1,{long}\n")
+    assert readers.read_dataset(spark, str(tmp_path / "c.csv"), "csv")[0].select(F.char_length("note")).first()[0] == 250_001
+
+
+def test_types_in_one_fold(spark, tmp_path):
+    columns = {
+        "whole": (["1", "-20", "+3", ""], "bigint"), "big": (["123456789012345678901", "1", "2", ""], "double"), "number": (["1", "2.5", "1e3", "NaN"], "double"), "truth": (["true", "False", "", ""], "boolean"),
+        "date": (["2024-02-29", "2023-01-01", "", ""], "date"), "no_date": (["2023-02-29", "2023-01-01", "", ""], "string"), "mixed": (["2023-01-01", "01.02.2023", "", ""], "string"),
+        "time": (["2024-02-29T10:00:00", "2023-01-01 00:00:00.5", "", ""], "timestamp_ntz"), "both": (["2023-01-01", "2023-01-01 10:00:00", "", ""], "string"), "truth_or_one": (["true", "1", "", ""], "string"), "nothing": (["", "", "", ""], "string"), "text": (["a", "1", "2", "3"], "string"),
+    }
+    lines = [",".join(columns), *(",".join(c[0][k] for c in columns.values()) for k in range(4))]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    frame = readers.read_dataset(spark, str(tmp_path / "a.csv"), "csv")[0].drop(ROW)
+    assert dict(frame.dtypes) == {c: kind for c, (_, kind) in columns.items()}
+    assert [r["whole"] for r in frame.collect()] == [1, -20, 3, None] and frame.first()["date"] == datetime.date(2024, 2, 29)
+    (tmp_path / "b.csv").write_text("\n".join([lines[0], lines[0], *lines[1:]]) + "\n")  # a row like the header is a row
+    assert readers.read_dataset(spark, str(tmp_path / "b.csv"), "csv")[0].count() == 5
+    (tmp_path / "c.csv").write_text("a,b\n1,2\n3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_dataset(spark, str(tmp_path / "c.csv"), "csv")[0].collect()
 
 
 def test_encodings():

@@ -197,13 +197,55 @@ def test_blocks_that_are_too_large(spark):
     assert all((r["score"], r["columns"], r["doc"], r["group_id"]) == (1.5, "c", "d", "g") for r in got.values()) and got["p41"]["canonical_record_id"] == "p40"
 
 
-def test_ranks_by_ranges(spark, monkeypatch):
+def test_radix_selection(spark, monkeypatch):
     r = random.Random(4)
-    rows = [(r.choice([None, r.gauss(0, 1), 5.0, -2.5]), r.randint(0, 9), None) for _ in range(501)]
-    frame = spark.createDataFrame(rows, "a double, b long, c double").repartition(5)
-    plain = profile.numeric_statistics(frame, ["a", "b", "c"])
-    monkeypatch.setattr(profile, "SORTED_ROWS", 10)
-    assert profile.numeric_statistics(frame, ["a", "b", "c"]) == plain and "c" not in plain
-    values = sorted(x for x, *_ in rows if x is not None)
-    n = len(values)
-    assert plain["a"]["quantiles"]["q25"] == values[math.floor((n - 1) * 0.25 + 0.5)] and plain["a"]["median"] == (values[(n - 1) // 2] + values[n // 2]) / 2
+    odd = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, 1.0000000000000002, None]
+    rows = [(r.choice([None, r.gauss(0, 1), 5.0, -2.5]), r.randint(-9, 2**60), None, r.choice(odd), r.expovariate(1) * 10.0 ** r.randint(-300, 300), 7) for _ in range(501)]
+    frame = spark.createDataFrame(rows, "a double, b long, c double, d double, e double, f int").repartition(5)
+    columns = frame.columns
+    order = lambda x: (x != x, x if x == x else 0)  # noqa: E731  not a number comes last
+    plain = {c: sorted((float(x[k]) for x in rows if x[k] is not None), key=order) for k, c in enumerate(columns)}
+    every = {c: list(range(0, len(v), 7)) for c, v in plain.items()}
+    for few in (20_000, 0):
+        monkeypatch.setattr(profile, "FEW", few)
+        found = profile.selected(frame, {c: F.col(c).cast("double") for c in columns}, every)
+        for c in columns:
+            assert str(found[c]).replace("-0.0", "0.0") == str([plain[c][k] for k in every[c]]).replace("-0.0", "0.0"), (c, few)
+    whole = profile.numeric_statistics(frame, ["a", "b", "c", "f"])
+    n = len(plain["a"])
+    assert whole["a"]["quantiles"]["q25"] == plain["a"][math.floor((n - 1) * 0.25 + 0.5)] and whole["a"]["median"] == (plain["a"][(n - 1) // 2] + plain["a"][n // 2]) / 2
+    assert "c" not in whole and whole["f"]["quantiles"] == {"q25": 7.0, "q75": 7.0}
+
+
+def test_radix_selection_over_many_columns(spark):
+    wide = spark.range(300).select(*[((F.col("id") * (k + 3)) % 211 - k).alias(f"c{k}") for k in range(100)])
+    found = profile.numeric_statistics(wide, wide.columns)
+    for k in (0, 57, 99):
+        values = sorted(i * (k + 3) % 211 - k for i in range(300))
+        assert found[f"c{k}"]["median"] == (values[149] + values[150]) / 2 and found[f"c{k}"]["quantiles"]["q25"] == values[75]
+
+
+@pytest.mark.parametrize("mode, weights, least, strategy", [("exact", {}, 60.0, "first"), ("normalized", {"a": 3.0, "c": 0.5}, 55.0, "most_complete"), ("normalized", {}, 100.0, "most_complete"), ("exact", {"b": 2.0}, 50.0, "most_complete")])
+def test_equality_by_column_sets(spark, monkeypatch, mode, weights, least, strategy):
+    """Groupings by sets of columns give what comparing all pairs gives, without Python."""
+    r = random.Random(len(mode) + int(least))
+    rows = [(k, r.choice(["x", "y", "z", None]), r.choice(["Weg 1", "weg  1", "Platz", "", None, "!"]), r.choice(["p", "q", "P", "", "!", "?"]), r.choice(["u", "v", None])) for k in range(90)]
+    rows += [(k, "big", "Weg 1", "p", "u") for k in range(100, 145)]
+    frame = spark.createDataFrame(rows, "record_id long, area string, a string, b string, c string").repartition(4).withColumn(ROW, F.col("record_id"))
+    m = dedup.Matching(["a", "b", "c"], ["area"], weights, least, 93.0 if least <= 93 else least, 40, mode, canonical_strategy=strategy)
+    assert dedup.equal_sets(m) is not None
+    found = dedup.detect_duplicates(frame, m).frame
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # what is left of Python composes Unicode for the keys
+    mine = sorted(map(str, found.collect()))
+    monkeypatch.setattr(dedup, "equal_sets", lambda m: None)
+    plain = dedup.detect_duplicates(frame, m).frame
+    assert found.columns == plain.columns and mine == sorted(map(str, plain.collect()))
+    assert any("dup-" in x for x in mine) and any("group_id=None" in x for x in mine)
+
+
+def test_column_sets():
+    sets = lambda weights, least, mode="exact": dedup.equal_sets(dedup.Matching(["a", "b", "c"], ["a"], weights, least, 100.0, mode=mode))
+    assert [x[2] for x in sets({}, 60.0)] == [(0, 1), (0, 2), (1, 2), (0, 1, 2)]
+    assert [x[2] for x in sets({"a": 8.0}, 80.0)] == [(0,), (0, 1), (0, 2), (0, 1, 2)]
+    assert sets({"b": 0.0}, 60.0) is None and sets({}, 0.0) is None and sets({}, 60.0, "weighted") is None and sets({"b": -0.5}, 60.0) is None
