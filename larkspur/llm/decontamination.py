@@ -175,7 +175,19 @@ def decontaminate(
     # words and what stands between them, in turn; the word of index k follows separator k
     word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
     words, gaps = F.regexp_extract_all(text, F.lit(f"({word})")), F.split(text, word)
-    left = F.transform(words, lambda x, k: F.when(F.exists("_spans", lambda s: (k + 1 >= s["start"]) & (k + 1 < s["start"] + s["length"])), F.lit("")).otherwise(x))
-    cleaned = F.concat(F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), left.alias("w")), lambda z: F.concat(F.coalesce(z["g"], F.lit("")), F.coalesce(z["w"], F.lit("")))), ""))
+    hits = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    bound = F.struct(hits.cast("array<int>").alias("hits"), gaps.alias("gaps"), F.arrays_zip(gaps.alias("g"), words.alias("w")).alias("all"))
+
+    def walked(v):
+        """What lies before each hit word, and after the last: every word is looked at once."""
+        joined = lambda z: F.concat(F.coalesce(z["g"], F.lit("")), F.coalesce(z["w"], F.lit("")))
+
+        def piece(p, i):
+            last = F.coalesce(F.get(v["hits"], i - 1), F.lit(0))
+            return F.concat(F.array_join(F.transform(F.slice(v["all"], last + 1, p - last - 1), joined), ""), F.coalesce(F.get(v["gaps"], p - 1), F.lit("")))
+
+        return F.array_join(F.transform(F.concat(v["hits"], F.array(F.greatest(F.size(v["all"]), F.size(v["gaps"])))), piece), "")
+
+    cleaned = F.get(F.transform(F.array(bound), walked), F.lit(0))
     columns = [F.when(F.col("_spans").isNull(), F.col("_doc")[c]).otherwise(cleaned).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns]
     return joined.select(*columns)

@@ -202,6 +202,16 @@ def read_manifest(out_dir: str) -> Manifest:
         return [(m["name"], m["before"], m["tokens"], m["documents"]) for m in json.loads(file.read())]
 
 
+def in_order(shards: list[tuple[str, int, int]]) -> Manifest:
+    """Shards (name, tokens, documents) by their number, with the tokens before each. The order of the
+    names as text is another one beyond 99,999 shards."""
+    out, before = [], 0
+    for name, tokens, n in sorted(shards, key=lambda s: int(s[0].split("-")[1])):
+        out.append((name, before, tokens, n))
+        before += tokens
+    return out
+
+
 def write_token_files(
     docs: DataFrame,
     out_dir: str,
@@ -233,11 +243,7 @@ def write_token_files(
             writer.close()
             yield pa.RecordBatch.from_pydict({"name": pa.array([writer.name], pa.string()), "tokens": pa.array([writer.tokens], pa.int64()), "docs": pa.array([writer.docs], pa.int64())})
 
-    rows = sorted(tuple(r) for r in ordered.mapInArrow(tidy(write), "name string, tokens long, docs long").collect())
-    manifest, before = [], 0
-    for name, tokens, n in rows:
-        manifest.append((name, before, tokens, n))
-        before += tokens
+    manifest = in_order([tuple(r) for r in ordered.mapInArrow(tidy(write), "name string, tokens long, docs long").collect()])
     write_manifest(out_dir, manifest)
     return manifest
 

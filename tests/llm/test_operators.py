@@ -926,7 +926,7 @@ def test_very_long_texts(spark, codec):
 
     r = random.Random(17)
     words = [r.choice(WORDS) + str(r.randint(0, 99_999)) for _ in range(200_000)]
-    long = " ".join(words) + "\nmail a.b@example.org Released under the MIT License."
+    long = " ".join(words) + "\nmail a.b@example.org\nReleased under the MIT License."
     near = " ".join(w if i % 400 else "other" for i, w in enumerate(words))
     docs = [(1, long, "en", "s"), (2, near, "en", "s"), (3, sentence(1, 50), "en", "s")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
@@ -944,10 +944,26 @@ def test_very_long_texts(spark, codec):
     at = long.index("a.b@")
     assert spans[1]["n_email"] == 1 and f"email:{at}:{at + 15}" in spans[1]["spans"]
     found = {x["doc_id"]: x["licences"] for x in license_scan.scan_licences(frame.where("doc_id <> 2")).collect()}
-    assert found[3] == "" and language_id.identify(frame, frame).where("lang_pred = 'en'").count() == 3
+    assert "MIT" in found[1] and found[3] == "" and language_id.identify(frame, frame).where("lang_pred = 'en'").count() == 3
     out = scratch(spark, "test-files")
     token_files.write_token_files(frame, out, public_tokenizers.path("word_bpe_49k.json"))
-    assert token_files.read_token_files(spark, out).count() == 3
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start = 0
+    for x in token_files.read_token_files(spark, out).orderBy("doc_id").collect():
+        ids = [*library.encode(docs[x["doc_id"] - 1][1], add_special_tokens=False).ids, 1]
+        assert (x["start"], x["n_tokens"], x["ids_crc32"]) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        start += len(ids)
+    bench = spark.createDataFrame([(7, " ".join(words[1000:1040])), (8, words[5] + " " + words[6])], "item_id long, text string")
+    dirty = {x["doc_id"]: x for x in decontamination.contamination(frame, bench).collect()}
+    assert [(dirty[i]["n_hit"], dirty[i]["n_items"], dirty[i]["contaminated"]) for i in (1, 2, 3)] == [(42, 2, False), (42, 2, False), (0, 0, False)]
+    cut = {x["doc_id"]: x["text"] for x in decontamination.decontaminate(frame, bench, remove="spans").collect()}
+    bare = " ".join("" if k in (5, 6) or 1000 <= k < 1040 else w for k, w in enumerate(words))
+    assert cut[1] == bare + long[len(" ".join(words)) :] and cut[3] == docs[2][1]
+
+
+def test_order_of_shards():
+    shards = [("shard-100000-b", 5, 1), ("shard-99999-a", 7, 2), ("shard-00002-c", 1, 1)]
+    assert token_files.in_order(shards) == [("shard-00002-c", 0, 1, 1), ("shard-99999-a", 1, 7, 2), ("shard-100000-b", 8, 5, 1)]
 
 
 # --- plumbing ----------------------------------------------------------------------------------
