@@ -424,6 +424,26 @@ def group_differences(spark, d):
     return dedup.differences(dedup.duplicate_groups(found), ["street", "city", "country_normalized"])
 
 
+PARTS = """WITH RECURSIVE keys AS (SELECT p_partkey AS row, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || '|' || p_size AS block, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k0, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS k1 FROM part),
+matched AS (
+  SELECT a, b, CASE WHEN e0 AND e1 THEN 100.0 WHEN e0 THEN 65.0 ELSE 60.0 END::DOUBLE AS score, CASE WHEN e0 AND e1 THEN 'p_name,p_type,p_size' WHEN e0 THEN 'p_name,p_size' ELSE 'p_type,p_size' END AS columns
+  FROM (SELECT a.row AS a, b.row AS b, a.k0 = b.k0 AS e0, a.k1 = b.k1 AS e1 FROM keys a JOIN keys b ON a.block = b.block AND a.row < b.row WHERE a.block IN (SELECT block FROM keys GROUP BY block HAVING count(*) <= 500)) WHERE e0 OR e1
+),
+reach AS (SELECT a AS x, a AS y FROM matched UNION SELECT b, b FROM matched UNION SELECT r.x, CASE WHEN m.a = r.y THEN m.b ELSE m.a END FROM reach r JOIN matched m ON r.y IN (m.a, m.b)),
+roots AS (SELECT x AS row, min(y) AS root FROM reach GROUP BY x),
+summary AS (SELECT root, 'dup-' || sha256(string_agg(row::VARCHAR, '|' ORDER BY row::VARCHAR))[1:12] AS group_id FROM roots GROUP BY root),
+best AS (SELECT row, max(score) AS score, arg_max(columns, score) AS columns FROM (SELECT a AS row, score, columns FROM matched UNION ALL SELECT b, score, columns FROM matched) GROUP BY row)
+SELECT k.row AS id, group_id AS duplicate_group_id, root::VARCHAR AS canonical_record_id, score AS match_score, coalesce(columns, '') AS columns FROM keys k LEFT JOIN roots USING (row) LEFT JOIN summary USING (root) LEFT JOIN best USING (row)"""
+
+
+@register("detect_duplicates_normalized", PARTS)
+def detect_duplicates_normalized(spark, d):
+    """Parts of a brand and size that agree in name or type, by sets of equal columns."""
+    m = dedup.Matching(["p_name", "p_type", "p_size"], ["p_brand", "p_size"], {"p_name": 0.4, "p_type": 0.35, "p_size": 0.25}, 60, 94, 500, "normalized", "p_partkey", "first")
+    found = dedup.detect_duplicates(table(spark, d, "part").withColumn(ROW, F.col("p_partkey")), m).frame
+    return found.select(F.col("p_partkey").alias("id"), "duplicate_group_id", "canonical_record_id", "match_score", F.array_join("matched_columns", ",").alias("columns"))
+
+
 # --- profile -----------------------------------------------------------------------------------
 
 
