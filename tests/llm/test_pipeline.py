@@ -24,6 +24,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(top / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(top / "benchmark.parquet"))
     spark.createDataFrame([(1, "http://a.example.net/en/", "")], "page_id long, url string, html string").write.parquet(str(top / "pages.parquet"))
+    labels = [(i, r.randint(0, 1), r.randint(0, 1)) for i in range(0, len(rows), 3)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
     return str(top), rows, items
 
 
@@ -59,7 +61,7 @@ def test_stages_keep_columns(spark, folder):
 def test_queries_match_their_sql(spark, folder):
     top, *_ = folder
     base = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         base.execute(f"create view {t} as select * from '{top}/{t}.parquet/*.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         frame = queries.QUERIES[name](spark, top)
@@ -70,4 +72,4 @@ def test_queries_match_their_sql(spark, folder):
 
 def test_every_operator_is_registered():
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in found if k.startswith("op")} and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in found if k.startswith("op")} and "pipeline" in found
