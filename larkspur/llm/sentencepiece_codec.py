@@ -1,25 +1,27 @@
 """SentencePiece encoding and decoding with a max-plus parallel scan for giant texts (operator 4).
 
-Texts up to CHUNK characters go to the library whole. Longer ones are cut to chunks that are
-processed independently, in three steps over a table of chunks:
+Texts up to CHUNK characters go to the library whole. Longer ones are cut every CHUNK characters, and
+the chunks are processed independently, in three steps over a table of chunks:
 
 1. Each chunk gives a transfer matrix from the states at its start to the states at its end, over
    scores 0 (possible) and minus infinity. A state is where the first token boundary at or after the
    cut lies, and which token ends there.
 2. The matrices are combined associatively (max-plus products): blocks of BLOCK chunks each give one
-   product, independently; the products of a stretch are chained from its first state to its last,
-   which fixes the states at the blocks' borders, as only one path is finite; and between its two
-   states each block fixes those at its cuts, independently again.
+   product, independently; the products of a text (at most 1,024, as a text has at most 2^31
+   characters) are chained from its first state to its last, which fixes the states at the blocks'
+   borders, as only one path is finite; and between its two states each block fixes those at its
+   cuts, independently again.
 3. Each chunk is traced back on its own between its two states, which gives its ids.
 
 The model here is a byte-pair encoding, whose segmentation is not the best-scored path of a unigram
 lattice. The scan is exact for it all the same, because a sequence of tokens is the encoding of its
 text if and only if every two neighbours are the encoding of theirs (proved for merges by rank):
 with 0 for such neighbours and minus infinity for others, the only finite path of the lattice is the
-encoding. Most cuts are simple: no piece holds the two characters around a cut (as before a space),
-so a token boundary is sure there, the cut has one state, and the chunk between two such cuts is
-encoded by the library. Only a stretch without such a place for half a chunk needs the lattice. Models
-for which this does not hold (unigram, with user-defined pieces, or without byte fallback) are refused.
+encoding. For the same reason the only path between two states is the library's encoding of the text
+between them, which is what step 3 takes, and encodings of pieces of a chunk may be spliced wherever
+the two tokens that meet are such neighbours, so that a matrix costs one encoding of its chunk and
+some short ones around its cuts. Models for which this does not hold (unigram, with user-defined
+pieces, or without byte fallback) are refused.
 
 Results in odd cases: a null or empty text has no ids and decodes to an empty text; repeated rows
 give one result each; an empty table gives an empty result; columns that are not carried are ignored
@@ -30,8 +32,9 @@ is handled whole, in chunks.
 from __future__ import annotations
 
 import json
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from functools import cached_property, lru_cache, reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,7 +52,7 @@ REMEMBERED = 50_000
 SPACE = "▁"
 
 State = tuple[int, str]  # characters after the cut at which the token ends, and the token
-#: The state at a sure cut.
+#: The state at the start and the end of a text.
 SURE: State = (0, "")
 
 
@@ -135,82 +138,117 @@ class Codec:
             return True
         return self.bare.encode(left + right) == self.bare.encode(left) + self.bare.encode(right)
 
-    def sure(self, text: str, at: int) -> bool:
-        return text[at - 1 : at + 1] not in self.pairs
-
-    def cuts(self, text: str, size: int) -> list[tuple[int, bool]]:
-        """(position, whether a boundary is sure there), from 0 to the end of the text."""
-        out = [(0, True)]
-        while out[-1][0] + size < len(text):
-            want = out[-1][0] + size
-            found = next((p for p in range(want, want - size // 2, -1) if self.sure(text, p)), None)
-            out.append((want, False) if found is None else (found, True))
-        return [*out, (len(text), True)]
+    def cuts(self, text: str, size: int) -> list[int]:
+        """Positions of the cuts, from 0 to the end of the text."""
+        return [*range(0, len(text), size), len(text)]
 
     def states(self, text: str, at: int) -> list[State]:
-        """All states at an unsure cut: tokens that begin before it and end at it or later."""
-        found = []
+        """All states at a cut: tokens that begin before it and end at it or later."""
+        found = set()
         for start in range(max(0, at - self.longest), at):
             for end in range(at, min(len(text), start + self.longest) + 1):
-                if end - start == 1 or text[start:end] in self.pieces:
-                    found.append((end - at, text[start:end]))
-        return sorted(set(found))
-
-    def walk(self, text: str, start: int, before: str, stop: int, other: dict[int, str] | None = None) -> dict[int, str]:
-        """For each position up to `stop` that a valid sequence from `start` reaches, its last token.
-
-        What follows depends on as many positions as the longest piece has, so where these agree with
-        the walk `other`, from another state of the same cut, the rest is taken from it."""
-        last, same = {start: before}, 0
-        for end in range(start + 1, stop + 1):
-            for size in range(1, min(self.longest, end - start) + 1):
-                left = last.get(end - size)
-                if left is None:
-                    continue
-                token = text[end - size : end]
-                if (size == 1 or token in self.pieces) and self.itself(token) and (not left or self.fits(left, token)):
-                    last[end] = token
-                    break
-            if other is not None:
-                same = same + 1 if last.get(end) == other.get(end) else 0
-                if same > self.longest:
-                    last.update((p, t) for p, t in other.items() if p > end)
-                    break
-        return last
+                token = text[start:end]
+                if (end - start == 1 or token in self.pieces) and self.itself(token):
+                    found.add((end - at, token))
+        return sorted(found)
 
     def itself(self, token: str) -> bool:
         """Whether a piece is its own encoding (some pieces are never made)."""
         return len(token) == 1 or self.fits_alone(token)
 
-    def matrix(self, text: str, start: int, sure: bool, stop: int, sure_end: bool) -> list[tuple[State, State]]:
-        """The finite entries of a chunk's transfer matrix; `text` reaches over both cuts."""
-        if sure and sure_end:
-            return [((0, ""), (0, ""))]
-        entries = [(0, "")] if sure else self.states(text, start)
-        reach = stop if sure_end else min(len(text), stop + self.longest - 1)
-        out, last = [], None
+    def tokens(self, text: str) -> list[str]:
+        """The texts of the tokens; a character that is no piece is one token, whatever its bytes."""
+        found, at = [], 0
+        for n in map(self.steps.__getitem__, self.ids(text)):
+            if n:
+                found.append(text[at : at + n])
+                at += n
+        return found
+
+    @cached_property
+    def steps(self) -> list[int]:
+        """Characters that each id goes forward; of a character's bytes, the first one does."""
+        byte = pb_names(self.proto)["BYTE"]
+        return [int(int(p.piece[3:5], 16) & 0xC0 != 0x80) if p.type == byte else len(p.piece) for p in self.proto.pieces]
+
+    def matrix(self, text: str, start: int, stop: int, first: bool, last: bool) -> list[tuple[State, State]]:
+        """The finite entries of a chunk's transfer matrix; `text` reaches over both cuts, but for the
+        start of the first chunk and the end of the last one, where SURE is the only state."""
+        entries = [SURE] if first else self.states(text, start)
+        ends = [stop] if last else range(stop, min(len(text), stop + self.longest - 1) + 1)
+        middle = Path(self, text, start, ends[-1])
+        out = []
         for offset, token in entries:
-            last = self.walk(text, start + offset, token, reach, last)
-            for end in [stop] if sure_end else range(stop, reach + 1):
-                if end in last and (sure_end or end - len(last[end]) < stop):
-                    out.append(((offset, token), (0, "") if sure_end else (end - stop, last[end])))
+            begin = start + offset
+            for end in ends:
+                if begin > end:
+                    continue
+                opens, closes = middle.outer(begin, end) if begin < end else (None, token)
+                if opens and token and not self.fits(token, opens):
+                    continue
+                if last:
+                    out.append(((offset, token), SURE))
+                elif end - len(closes) < stop:
+                    out.append(((offset, token), (end - stop, closes)))
         return out
 
-    def trace(self, text: str, start: int, sure: bool, stop: int, sure_end: bool, entry: State, leave: State) -> list[int]:
+    def trace(self, text: str, start: int, stop: int, entry: State, leave: State) -> list[int]:
         """Ids of the chunk between two states."""
-        begin, end = start + entry[0], stop + leave[0]
-        if sure and sure_end:
-            return self.ids(text[begin:end])
-        last, tokens, at = self.walk(text, begin, entry[1], end), [], end
-        while at > begin:
-            tokens.append(last[at])
-            at -= len(last[at])
-        return [i for token in reversed(tokens) for i in self.ids(token)]
+        return self.ids(text[start + entry[0] : stop + leave[0]])
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
+class Path:
+    """The encoding of one stretch of a text, from which those of stretches a little shorter or longer
+    at either end are spliced."""
+
+    def __init__(self, known: Codec, text: str, start: int, stop: int):
+        self.known, self.text = known, text
+        self.tokens = known.tokens(text[start:stop])
+        self.starts = list(accumulate(map(len, self.tokens), initial=start))
+        self.margin = 4 * known.longest
+        self.heads: dict[int, tuple[str, int]] = {}
+        self.tails: dict[int, tuple[str, int]] = {}
+
+    def outer(self, begin: int, end: int) -> tuple[str, str]:
+        """First and last token of the encoding of text[begin:end]."""
+        (opens, low), (closes, high) = self.head(begin), self.tail(end)
+        if low < high:  # one token of the path at least lies between, and fits both
+            return opens, closes
+        tokens = self.known.tokens(self.text[begin:end])
+        return tokens[0], tokens[-1]
+
+    def head(self, begin: int) -> tuple[str, int]:
+        """First token of what begins at `begin`, and the token of the path from which on they agree."""
+        if begin not in self.heads:
+            found, margin = ("", len(self.tokens)), self.margin
+            while begin + margin < self.starts[-1]:
+                at = bisect_left(self.starts, begin + margin)
+                tokens = self.known.tokens(self.text[begin : self.starts[at]])
+                if at < len(self.tokens) and self.known.fits(tokens[-1], self.tokens[at]):
+                    found = (tokens[0], at)
+                    break
+                margin *= 2
+            self.heads[begin] = found
+        return self.heads[begin]
+
+    def tail(self, end: int) -> tuple[str, int]:
+        """Last token of what ends at `end`, and the token of the path before which they agree."""
+        if end not in self.tails:
+            found, margin = ("", 0), self.margin
+            while end - margin > self.starts[0]:
+                at = bisect_right(self.starts, end - margin) - 1
+                tokens = self.known.tokens(self.text[self.starts[at] : end])
+                if at and self.known.fits(self.tokens[at - 1], tokens[0]):
+                    found = (tokens[-1], at)
+                    break
+                margin *= 2
+            self.tails[end] = found
+        return self.tails[end]
+
+
 def pb_names(proto) -> dict[str, int]:
     """Numbers of the model and piece types by name."""
     enums = [*type(proto.trainer_spec).DESCRIPTOR.enum_types, *type(proto).DESCRIPTOR.nested_types_by_name["SentencePiece"].enum_types]
@@ -252,12 +290,11 @@ def settle_blocks(matrices: list[list[tuple[State, State]]], size: int = BLOCK)
 def encode_chunked(known: Codec, text: str, size: int, block: int = BLOCK) -> list[int]:
     """The scan in one process, for tests and for use without Spark."""
     whole = known.normal(text)
-    cuts = known.cuts(whole, size) if whole else [(0, True)]
-    parts = [(a, sa, b, sb) for (a, sa), (b, sb) in zip(cuts, cuts[1:])]
-    if not parts:
+    if not whole:
         return []
-    states = settle_blocks([known.matrix(whole, *p) for p in parts], block)
-    return [i for p, s, t in zip(parts, states, states[1:]) for i in known.trace(whole, *p, s, t)]
+    parts = [(x["text"], x["start"], x["stop"], x["first"], x["last"]) for x in chunks_of(known, text, size)]
+    states = settle_blocks([known.matrix(*p) for p in parts], block)
+    return [i for p, s, t in zip(parts, states, states[1:]) for i in known.trace(*p[:3], s, t)]
 
 
 def written(matrix: list[tuple[State, State]]) -> str:
@@ -268,50 +305,49 @@ def read(matrix: str) -> list[tuple[State, State]]:
     return [((s[0], s[1]), (t[0], t[1])) for s, t in json.loads(matrix)]
 
 
-#: A stretch is a run of chunks between two sure cuts; `at` is a chunk's place in it.
-CHUNKS = "row long, chunk int, stretch int, at int, n_chunks int, text string, first int, sure boolean, last int, sure_end boolean"
+CHUNKS = "row long, chunk int, text string, start int, stop int, first boolean, last boolean"
 
 
 def chunks_of(known: Codec, text: str, size: int) -> list[dict]:
+    """The chunks with what the states around them need of the text; `start` and `stop` are the cuts
+    in that part."""
     text = known.normal(text)
-    cuts, margin, out = known.cuts(text, size), known.longest, []
-    for k, ((a, sa), (b, sb)) in enumerate(zip(cuts, cuts[1:])):
-        low = max(0, a - margin)
-        stretch = k if sa else out[-1]["stretch"]
-        out.append({"chunk": k, "stretch": stretch, "at": k - stretch, "text": text[low : b + margin], "first": a - low, "sure": sa, "last": b - low, "sure_end": sb})
-    sizes = Counter(x["stretch"] for x in out)
-    return [x | {"n_chunks": sizes[x["stretch"]]} for x in out]
+    cuts, margin = known.cuts(text, size), known.longest
+    return [
+        {"chunk": k, "text": text[max(0, a - margin) : b + margin], "start": min(a, margin), "stop": min(a, margin) + b - a, "first": k == 0, "last": k == len(cuts) - 2}
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
+    ]
 
 
-def states_of(long: DataFrame, model_path: str) -> DataFrame:
-    """(row, chunk, entry, leave): the states around each chunk of stretches of two chunks or more."""
+def states_of(chunks: DataFrame, model_path: str) -> DataFrame:
+    """(row2, chunk2, entry, leave): the states around each chunk."""
 
     def matrices(batches):
         known = codec(model_path)
         for batch in batches:
-            found = [written(known.matrix(x["text"], x["first"], x["sure"], x["last"], x["sure_end"])) for x in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "chunk", "stretch", "at")], pa.array(found, pa.string())], ["row", "chunk", "stretch", "at", "matrix"])
+            found = [written(known.matrix(x["text"], x["start"], x["stop"], x["first"], x["last"])) for x in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(found, pa.string())], ["row", "chunk", "matrix"])
 
     def products(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda x: x["at"])
+        rows = sorted(table.to_pylist(), key=lambda x: x["chunk"])
         whole = reduce(product, [read(x["matrix"]) for x in rows])
-        return pa.table({"row": [rows[0]["row"]], "stretch": pa.array([rows[0]["stretch"]], pa.int32()), "block": [rows[0]["block"]], "matrix": [written(whole)]})
+        return pa.table({"row": [rows[0]["row"]], "block": [rows[0]["block"]], "matrix": [written(whole)]})
 
     def borders(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda x: x["block"])
         states = [json.dumps(x) for x in settle([read(x["matrix"]) for x in rows])]
-        return pa.table({"row2": [x["row"] for x in rows], "stretch2": pa.array([x["stretch"] for x in rows], pa.int32()), "block2": [x["block"] for x in rows], "from": states[:-1], "to": states[1:]})
+        return pa.table({"row2": [x["row"] for x in rows], "block2": [x["block"] for x in rows], "from": states[:-1], "to": states[1:]})
 
     def inner(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda x: x["at"])
+        rows = sorted(table.to_pylist(), key=lambda x: x["chunk"])
         states = [json.dumps(x) for x in settle([read(x["matrix"]) for x in rows], tuple(json.loads(rows[0]["from"])), tuple(json.loads(rows[0]["to"])))]
         return pa.table({"row2": [x["row"] for x in rows], "chunk2": pa.array([x["chunk"] for x in rows], pa.int32()), "entry": states[:-1], "leave": states[1:]})
 
-    found = long.mapInArrow(tidy(matrices), "row long, chunk int, stretch int, at int, matrix string").withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
-    blocks = found.groupBy("row", "stretch", "block").applyInArrow(products, "row long, stretch int, block long, matrix string")
-    ends = blocks.groupBy("row", "stretch").applyInArrow(borders, "row2 long, stretch2 int, block2 long, from string, to string")
-    joined = found.join(ends, (F.col("row") == F.col("row2")) & (F.col("stretch") == F.col("stretch2")) & (F.col("block") == F.col("block2"))).drop("row2", "stretch2", "block2")
-    return joined.groupBy("row", "stretch", "block").applyInArrow(inner, "row2 long, chunk2 int, entry string, leave string")
+    found = chunks.mapInArrow(tidy(matrices), "row long, chunk int, matrix string").withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("long"))
+    blocks = found.groupBy("row", "block").applyInArrow(products, "row long, block long, matrix string")
+    ends = blocks.groupBy("row").applyInArrow(borders, "row2 long, block2 long, from string, to string")
+    joined = found.join(ends, (F.col("row") == F.col("row2")) & (F.col("block") == F.col("block2"))).drop("row2", "block2")
+    return joined.groupBy("row", "block").applyInArrow(inner, "row2 long, chunk2 int, entry string, leave string")
 
 
 def encode_texts(docs: DataFrame, model_path: str, carry: list[Column], text_col: str = "text", size: int = CHUNK, back: str | None = None) -> DataFrame:
@@ -350,21 +386,17 @@ def encode_texts(docs: DataFrame, model_path: str, carry: list[Column], text_col
                 for x in chunks_of(known, text, size):
                     yield pa.RecordBatch.from_pylist([x | {"row": row}], schema)
 
-    schema = pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("stretch", pa.int32()), ("at", pa.int32()), ("n_chunks", pa.int32()), ("text", pa.string()), ("first", pa.int32()), ("sure", pa.bool_()), ("last", pa.int32()), ("sure_end", pa.bool_())])
+    schema = pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
     chunks = work.cut(giants.select("giant", "text").mapInArrow(tidy(split), CHUNKS).repartition("row", "chunk"), "chunks")
-    long = chunks.where("n_chunks > 1")
-    states = work.cut(states_of(long, model_path), "states") if not long.isEmpty() else None
+    states = work.cut(states_of(chunks, model_path), "states")
 
     def traced(batches):
         known = codec(model_path)
         for batch in batches:
-            ids = [known.trace(x["text"], x["first"], x["sure"], x["last"], x["sure_end"], tuple(json.loads(x["entry"])), tuple(json.loads(x["leave"]))) for x in batch.to_pylist()]
+            ids = [known.trace(x["text"], x["start"], x["stop"], tuple(json.loads(x["entry"])), tuple(json.loads(x["leave"]))) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["row", "chunk", "ids"])
 
-    sure = F.lit(json.dumps(SURE))
-    ready = chunks.where("n_chunks = 1").withColumns({"entry": sure, "leave": sure})
-    if states is not None:
-        ready = ready.unionByName(long.join(states, (F.col("row") == F.col("row2")) & (F.col("chunk") == F.col("chunk2"))).drop("row2", "chunk2"))
+    ready = chunks.join(states, (F.col("row") == F.col("row2")) & (F.col("chunk") == F.col("chunk2"))).drop("row2", "chunk2")
     parts = ready.mapInArrow(tidy(traced), "row long, chunk int, ids array<int>").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("x"))
     parts = parts.select("row", F.flatten(F.col("x.ids")).alias("ids"))
     done = work.cut(giants.drop("text").join(parts, F.col("giant") == F.col("row")).select("doc", "ids"), "giant-ids")

@@ -299,20 +299,46 @@ def test_scan_is_the_library(codec, text, size):
     assert sentencepiece_codec.encode_chunked(codec, text, size) == codec.library.encode(text)
 
 
-def test_scan_without_sure_cuts(codec):
+def test_scan_of_texts_without_spaces(codec):
     r = random.Random(1)
-    unsure = 0
+    inside = 0
     for i in range(60):
         text = "".join(r.choice(["er", "re", "in", "the", "ent", "on", "an", "tion"] if i % 2 else ["a", "aa", "=", "==", "0", "00", "-"]) for _ in range(300))
-        unsure += sum(not sure for _, sure in codec.cuts(codec.normal(text), 40))
+        states = sentencepiece_codec.settle_blocks([codec.matrix(*list(x.values())[1:]) for x in sentencepiece_codec.chunks_of(codec, text, 40)])
+        inside += sum(offset > 0 for offset, _ in states)
         assert sentencepiece_codec.encode_chunked(codec, text, 40) == codec.library.encode(text)
-    assert unsure > 100
+    assert inside > 100
+
+
+def plain_matrix(codec, text, start, stop, first, last):
+    """Every state at both cuts, and the library's encoding between them."""
+    ends = [stop] if last else range(stop, min(len(text), stop + codec.longest - 1) + 1)
+    found = set()
+    for offset, token in [sentencepiece_codec.SURE] if first else codec.states(text, start):
+        for end in ends:
+            between = codec.tokens(text[start + offset : end])
+            if start + offset > end or (token and between and codec.ids(token + between[0]) != codec.ids(token) + codec.ids(between[0])):
+                continue
+            closes = between[-1] if between else token
+            if last:
+                found.add(((offset, token), sentencepiece_codec.SURE))
+            elif end - len(closes) < stop:
+                found.add(((offset, token), (end - stop, closes)))
+    return found
+
+
+def test_spliced_matrices(codec):
+    r = random.Random(4)
+    for kind in (["er", "re", "in", "the", "ent", "on", "an", "tion"], ["a", "aa", "=", "==", "0"], ["the ", "and ", "of", " 日", "é"]):
+        text = "".join(r.choice(kind) for _ in range(900))
+        for x in sentencepiece_codec.chunks_of(codec, text, 500):
+            chunk = list(x.values())[1:]
+            assert set(codec.matrix(*chunk)) == plain_matrix(codec, *chunk)
 
 
 def test_products_are_associative(codec):
     text = codec.normal("erentheintionaner" * 30)
-    cuts = codec.cuts(text, 40)
-    a, b, c, *_ = [codec.matrix(text, p, s, q, t) for (p, s), (q, t) in zip(cuts, cuts[1:])]
+    a, b, c, *_ = [codec.matrix(*list(x.values())[1:]) for x in sentencepiece_codec.chunks_of(codec, text, 40)]
     product = sentencepiece_codec.product
     assert product(product(a, b), c) == product(a, product(b, c))
 
