@@ -1,7 +1,7 @@
 """Pipeline definitions to DataFrame plans.
 
 Compilation walks the ordered steps and threads one frame through them; no job runs for it, except
-that a duplicate step counts its blocks. `execute` adds metrics, cancel and timeout checks.
+that a duplicate step counts its blocks. `execute` adds metrics, and ends a run that is cancelled or over its time.
 """
 
 from __future__ import annotations
@@ -18,14 +18,7 @@ from ..operators.profile import row_hash
 from ..operators.rows import ROW, dense_rows, visible
 from ..session import ship_package
 from .definition import Pipeline, Step
-
-
-class RunCancelled(RuntimeError):
-    pass
-
-
-class RunTimedOut(TimeoutError):
-    pass
+from .watch import Watch
 
 
 @dataclass
@@ -149,21 +142,30 @@ def execute(
 ) -> Outcome:
     """Step by step, with row counts after each. A frame is persisted until the next one is there, so
     a count does not run the plan again; `Outcome.release` lets go of the last ones. Rows that a step
-    changed are counted in the same pass as its rows, by a hash that travels with each row. Without
-    metrics, use compile_plan. `metrics` may be given so that they are there after an error."""
-    began = time.perf_counter()
+    changed are counted in the same pass as its rows, by a hash that travels with each row. A run that
+    is cancelled or over its time ends inside a step too. After an error nothing stays persisted.
+    Without metrics, use compile_plan. `metrics` may be given so that they are there after an error."""
     ship_package(frame.sparkSession)
-    metrics = [] if metrics is None else metrics
+    kept: list[DataFrame] = []
+    try:
+        with Watch(frame.sparkSession, cancelled, timeout_seconds) as watch:
+            return _execute(frame, definition, watch, [] if metrics is None else metrics, kept)
+    except Exception:
+        for held in kept:
+            held.unpersist()
+        raise
+
+
+def _execute(frame: DataFrame, definition: Pipeline, watch: Watch, metrics: list[StepMetric], kept: list[DataFrame]) -> Outcome:
+    """`kept` lists every frame that was persisted."""
     current = dense_rows(frame).persist()
+    kept.append(current)
     height, aside, warnings, duplicates = current.count(), [], [], 0
     persisted, held = current, []
     for step in definition.ordered():
         if not step.enabled:
             continue
-        if cancelled and cancelled():
-            raise RunCancelled("Run cancellation requested")
-        if time.perf_counter() - began > timeout_seconds:
-            raise RunTimedOut(f"Run exceeded {timeout_seconds:g} seconds")
+        watch.check()
         started, before = time.perf_counter(), persisted
         metric = StepMetric(step.id, step.type, step.name, 0.0, height, height, 0, 0)
         metrics.append(metric)
@@ -173,10 +175,12 @@ def execute(
             if done.quarantined is not None:
                 done.quarantined.persist()
                 held.append(done.quarantined)
+                kept.append(done.quarantined)
                 metric.quarantined_rows = done.quarantined.count()
                 if metric.quarantined_rows:
                     aside.append(done.quarantined)
             persisted = done.frame.persist()
+            kept.append(persisted)
             same = [c for c in visible(persisted) if c != HASH] == names
             differs = F.count_if(F.col(HASH) != row_hash(names)) if same and HASH in persisted.columns else F.lit(0)
             metric.output_rows, changed = persisted.agg(F.count("*"), differs).first()
@@ -188,6 +192,7 @@ def execute(
                 if skipped:
                     metric.warnings.append(f"Skipped {skipped} oversized duplicate blocks")
         except Exception as e:
+            e = watch.reason or e
             metric.error = f"{type(e).__name__}: {e}"
             raise
         finally:

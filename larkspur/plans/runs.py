@@ -22,9 +22,10 @@ from ..operators.profile import Options, jsonable, profile
 from ..operators.rows import ROW
 from ..sources import files, readers, writers
 from ..sources.demo import demo_dataset
-from .compiler import RunCancelled, RunTimedOut, StepMetric, execute
+from .compiler import StepMetric, execute
 from .definition import Pipeline, to_yaml, warnings_of
 from .resources import ResourceMonitor
+from .watch import RunCancelled, RunTimedOut
 
 STATUSES = ("queued", "running", "completed", "cancelled", "timed_out", "failed")
 #: Columns of the catalogue's tables.

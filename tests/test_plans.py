@@ -2,6 +2,7 @@ import csv
 import datetime
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.operators.rows import ROW
 from larkspur.plans import compiler, definition, examples
 from larkspur.plans.runs import Catalogue, execute_run, overview, run_figures
+from larkspur.plans.watch import RunCancelled, RunTimedOut
 from larkspur.sources import delimited, files, readers, writers
 from larkspur.streaming import stream_pipeline
 
@@ -243,6 +245,34 @@ def test_run(spark, tmp_path):
     assert run_figures(10, 7, 2, 2.0, 80.0, 90.0, 100, 50) == {"rows_per_second": 5.0, "compression_ratio": 2.0, "quality_delta": 10.0, "quality_delta_percent": 12.5, "data_loss_rows": 1}
 
 
+@pytest.mark.parametrize("cause", ["cancel", "timeout", "error"])
+def test_ends_inside_a_step(spark, monkeypatch, cause):
+    plain, called = compiler.apply_step, []
+
+    def slow(frame, step):
+        done = plain(frame, step)
+        called.append(time.perf_counter())
+        done.frame = done.frame.withColumn("slept", F.expr("java_method('java.lang.Thread', 'sleep', 100L + 0 * id)"))  # 40 s
+        return done
+
+    def cancelled():
+        if cause == "error" and called:
+            raise LookupError("no catalogue")
+        return cause == "cancel" and bool(called) and time.perf_counter() - called[0] > 1
+
+    monkeypatch.setattr(compiler, "apply_step", slow)
+    p = definition.pipeline({"name": "x", "steps": [{"id": "s", "type": "filter_rows", "name": "s", "config": {"column": "id", "operator": "gte", "value": 0}}]})
+    frame, metrics, stored = spark.range(0, 1600, 1, 4), [], len(spark.sparkContext._jsc.getPersistentRDDs())
+    kind = {"cancel": RunCancelled, "timeout": RunTimedOut, "error": LookupError}[cause]
+    began = time.perf_counter()
+    with pytest.raises(kind):
+        compiler.execute(frame, p, cancelled, 6 if cause == "timeout" else 900, metrics)
+    assert time.perf_counter() - (began + 6 if cause == "timeout" else called[0]) < 5
+    assert len(called) == 1 and metrics[0].error.startswith(kind.__name__)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == stored
+    assert spark.range(10).count() == 10 and not spark.sparkContext.getJobTags()  # the session goes on
+
+
 def test_compile_is_lazy_and_disabled_steps_are_skipped(spark):
     p = definition.pipeline({"name": "x", "steps": [{"id": "s", "type": "filter_rows", "name": "s", "enabled": False, "config": {"column": "nope", "operator": "is_null"}}]})
     result, aside = compiler.compile_plan(spark.range(3), p)
