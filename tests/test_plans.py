@@ -2,7 +2,9 @@ import csv
 import datetime
 import io
 import random
+import re
 import time
+import uuid
 import zipfile
 
 import numpy as np
@@ -14,6 +16,7 @@ from larkspur.plans import compiler, definition, examples
 from larkspur.plans.runs import Catalogue, execute_run, overview, run_figures
 from larkspur.plans.watch import RunCancelled, RunTimedOut
 from larkspur.sources import delimited, files, readers, writers
+from larkspur.sources import workbook as workbooks
 from larkspur.streaming import stream_pipeline
 
 CSV = "record_id,street,city,postal_code,country,latitude,longitude,note\na,Hauptstr. 1,Berlin,10115,DE,52.5,13.4,=1+1\nb,Hauptstrasse 1,Berlin,10115,DE,52.5,13.4,x\nc,Weg 3,Köln,12,DE,50.9,6.9,y\n"
@@ -67,25 +70,57 @@ def test_sources(spark, tmp_path):
     assert readers.preview(readers.read_json(spark, str(tmp_path / "l.json")), 1) == [{"a": 1}]
 
 
-def workbook(rows: str) -> bytes:
-    out = io.BytesIO()
+def workbook(rows: str, texts=("name", "value")) -> bytes:
+    out, space = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>name</t></si><si><t>value</t></si></sst>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+        if texts:
+            z.writestr("xl/sharedStrings.xml", f"<sst {space}>{''.join(f'<si><t>{t}</t></si>' for t in texts)}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{rows}</sheetData><rowBreaks/></worksheet>")
     return out.getvalue()
 
 
+HEADER = '<row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
+
+
 def test_workbooks(spark, tmp_path):
-    head = '<row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row>'
-    (tmp_path / "a.xlsx").write_bytes(workbook(head + '<row><c r="A2" t="inlineStr"><is><t>x</t></is></c><c r="C2"><v>5</v></c></row>'))
-    frame = readers.read_dataset(spark, str(tmp_path / "a.xlsx"), "xlsx")[0].drop(ROW)
+    def read(data: bytes):
+        path = tmp_path / f"{uuid.uuid4().hex}.xlsx"
+        path.write_bytes(data)
+        return readers.read_dataset(spark, str(path), "xlsx")[0]
+
+    frame = read(workbook(HEADER + '<row><c r="A2" t="inlineStr"><is><t>x</t></is></c><c r="C2"><v>5</v></c></row>')).drop(ROW)
     assert frame.columns == ["name", "column_2", "value"] and [tuple(r) for r in frame.collect()] == [("x", None, 5)]
-    (tmp_path / "b.xlsx").write_bytes(workbook(head))
-    assert readers.read_dataset(spark, str(tmp_path / "b.xlsx"), "xlsx")[0].count() == 0
+    empty = read(workbook(HEADER))
+    assert empty.count() == 0 and empty.schema["value"].dataType.simpleString() == "string"
     with pytest.raises(ValueError, match="empty"):
-        readers.read_workbook(workbook(""))
+        read(workbook(""))
+    # a row left out, one without cells, kinds, a cell beyond the header, a name twice, a formula's empty text
+    head = '<row r="1"><c t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r><rPh><t>no</t></rPh></is></c><c t="s"><v>0</v></c><c t="s"><v>0</v></c><c t="str"><v>m</v></c><c t="str"><v>t</v></c></row>'
+    frame = read(workbook(head + '<row r="2"><c><v>1</v></c><c><v>9</v></c><c t="b"><v>1</v></c><c><v>2</v></c><c t="str"><v></v></c><c><v>7</v></c></row><row r="4"/><row r="5"><c r="A5"><v>2.5</v></c><c r="C5" t="b"><v>0</v></c><c r="D5" t="e"><v>#N/A</v></c></row>'))
+    assert [(r["ab"], r["name"], r["m"], r["t"], r[ROW]) for r in frame.collect()] == [(1.0, True, "2", "", 0), (None, None, None, None, 1), (None, None, None, None, 2), (2.5, False, "#N/A", None, 3)]
+    assert frame.columns == ["ab", "name", "m", "t", ROW]
+    late = read(workbook('<row r="2"><c><v>1</v></c><c><v>2</v></c></row>', texts=()))
+    assert late.drop(ROW).columns == ["column_1", "column_2"] and [tuple(r) for r in late.drop(ROW).collect()] == [(1, 2)]
+
+
+def test_workbook_of_several_pieces(spark, tmp_path, monkeypatch):
+    """Most cells share one text; rows go through several pieces and come back in order."""
+    n = 6000
+    texts = ["name", "value", "hot &amp; often", *[f"t{i}" for i in range(500)]]
+    rows = "".join(f'<row r="{i + 2}"><c r="A{i + 2}" t="s"><v>{2 if i % 3 else 3 + i % 500}</v></c><c r="C{i + 2}"><v>{i}</v></c><c r="B{i + 2}" t="inlineStr"><is><t>{"x" * 300}</t></is></c></row>' for i in range(n))
+    path = tmp_path / "big.xlsx"
+    path.write_bytes(workbook(HEADER.replace("<row>", '<row r="1">') + rows, texts))
+    with zipfile.ZipFile(path) as book, book.open("xl/worksheets/sheet1.xml") as stream:
+        runs = [(start, xml.count(b"<row ")) for start, xml in workbooks.cut(stream, "row", "sheetData")]
+    assert len(runs) > 1 and sum(k for _, k in runs) == n + 1 and all(a[0] + a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    for size in (7, 64, 1000):  # cuts at any byte
+        stream = io.BytesIO(b"<?xml?><x:sst xmlns:x='y'><x:si><x:t>a</x:t></x:si><x:si/><x:si>c</x:si></x:sst>")
+        found = list(workbooks.cut(stream, "si", "sst", size))
+        assert b"".join(re.findall(rb"<x:si.*(?=</x:sst>)", x)[0] for _, x in found) == b"<x:si><x:t>a</x:t></x:si><x:si/><x:si>c</x:si>" and found[0][0] == 1
+    frame = readers.read_dataset(spark, str(path), "xlsx")[0]
+    assert [(r["name"], r["value"]) for r in frame.collect()] == [("hot & often" if i % 3 else f"t{i % 500}", i) for i in range(n)]
 
 
 def test_files(tmp_path):
