@@ -6,16 +6,20 @@ The tables hold no addresses or coordinates, so `addr` and `geo` derive them fro
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import address, crs, geo, text
 from .operators import cleaning, dedup, profile, validate
 from .operators.rows import ROW
-from .plans import compiler, examples, runs
+from .plans import compiler, definition, examples, runs
 from .plans.definition import Step
 from .session import scratch_folder, ship_package
-from .sources import readers, writers
+from .sources import files, readers, store, writers
 from .sources.writers import safe_for_csv
 
 QUERIES: dict = {}
@@ -223,7 +227,52 @@ def matching_key(spark, d):
 
 @register("sha256_text", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
 def sha256_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    digest = F.udf(files.sha256_text, "string", useArrow=True)
+    return table(spark, d, "documents").select("doc_id", digest(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+#: Streets as people write them, and what they become: worked out by hand from the rules of the step.
+STREETS = (
+    ("Hauptstr.", "Hauptstraße"), ("BAHNHOFSTRASSE", "Bahnhofstraße"), ("bahnhofstraße", "Bahnhofstraße"), ("Lange Str.", "Lange Straße"), ("Lange Straße", "Lange Straße"), ("LANGE STR", "Lange Straße"),
+    ("Karl-Marx-Str.", "Karl-marx-straße"), ("Karl-Marx-Allee", "Karl-marx-allee"), ("Straße des 17. Juni", "Straße Des 17. Juni"), ("Str. des 17. Juni", "Straße Des 17. Juni"), ("Am Alten Markt", "Am Alten Markt"), ("am   alten  markt", "Am Alten Markt"),
+    ("An der Alster,", "An Der Alster"), ("Unter den Linden", "Unter Den Linden"), ("Königstr.", "Königstraße"), ("KÖNIGSTRASSE", "Königstraße"), ("Strassenbahnring", "Strassenbahnring"), ("Straßburger Weg", "Strassburger Weg"),
+    ("Große Gasse", "Grosse Gasse"), ("St.-Anna-Platz", "St.-anna-platz"), ("Platz der Republik;", "Platz Der Republik"), ("Weg | Hof", "Weg Hof"), ("Kirchstr.|", "Kirchstraße"), ("Ｒｉｎｇｓｔｒ．", "Ringstraße"),
+    ("Rue de l'Église", "Rue De L'église"), ("Prinsengracht", "Prinsengracht"), ("Mühlenstr. Nord", "Mühlenstraße Nord"), ("Dr.-Külz-Ring", "Dr.-külz-ring"),
+)
+#: House numbers after them, and what is kept; null: the street has none.
+HOUSES = ((" 12", "12"), (" 12 a", "12A"), (", 7b", "7B"), (" 3 - 5", "3-5"), (" 18/20", "18/20"), ("", None))
+
+
+def _streets() -> None:
+    text_of = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    street = f"[{', '.join(text_of(b) for _, b in STREETS)}][(c_custkey % {len(STREETS)} + 1)::INT]"
+    house = f"[{', '.join(text_of(b) for _, b in HOUSES)}][(c_custkey // {len(STREETS)} % {len(HOUSES)} + 1)::INT]"
+
+    @register("street_forms", f"SELECT c_custkey, {street} AS street_normalized, {house} AS house_number_normalized FROM customer")
+    def street_forms(spark, d):
+        """Every written form with every kind of house number, through the address step."""
+        pick = lambda some, at: F.get(F.array(*[F.lit(a) for a, _ in some]), (at % len(some)).cast("int"))
+        key = F.col("c_custkey")
+        c = table(spark, d, "customer").select(key, F.concat(pick(STREETS, key), pick(HOUSES, F.floor(key / len(STREETS)))).alias("street"), F.lit("Berlin").alias("city"), F.lit("10115").alias("postal_code"), F.lit("DE").alias("country"))
+        return step(c, "normalize_address").select("c_custkey", "street_normalized", "house_number_normalized")
+
+
+_streets()
+FILE_NAMES = r"""WITH named AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN '???' ELSE CASE WHEN c_custkey % 10 = 3 THEN repeat(c_name, 12) ELSE c_name END || ' ' || c_mktsegment || '?.' || ['CSV', 'Parquet', 'tar.JSONL'][(c_custkey % 3 + 1)::INT] END AS base FROM customer),
+plain AS (SELECT c_custkey, trim(regexp_replace(base, '[^A-Za-z0-9._-]+', '_', 'g'), '._') AS name FROM named)
+SELECT c_custkey, CASE WHEN name = '' THEN 'upload' ELSE regexp_extract(name, '^(.*)\.[^.]*$', 1)[:100] || '.' || lower(regexp_extract(name, '\.([^.]*)$', 1)) END AS stored, CASE WHEN name <> '' THEN lower(regexp_extract(name, '\.([^.]*)$', 1)) END AS kind FROM plain"""
+
+
+@register("file_names", FILE_NAMES)
+def file_names(spark, d):
+    """Names of uploads with folders, odd characters, two endings and great length, and their formats."""
+    key = F.col("c_custkey")
+    stem = F.concat(F.when(key % 10 == 3, F.repeat("c_name", 12)).otherwise(F.col("c_name")), F.lit(" "), "c_mktsegment", F.lit("?."), F.get(F.array(*map(F.lit, ("CSV", "Parquet", "tar.JSONL"))), (key % 3).cast("int")))
+    folder = F.when(key % 4 == 0, "..\\up\\").when(key % 4 == 1, "/a b/../").otherwise("")
+    given = F.concat(folder, F.when(key % 50 == 7, "???").otherwise(stem))
+    stored = table(spark, d, "customer").select("c_custkey", F.udf(files.sanitize_filename, "string", useArrow=True)(given).alias("stored"))
+    kind = F.udf(lambda name: files.validate_extension(name) if name != "upload" else None, "string", useArrow=True)
+    return stored.select("c_custkey", "stored", kind("stored").alias("kind"))
 
 
 # --- coordinates -------------------------------------------------------------------------------
@@ -573,6 +622,50 @@ def read_json_records(spark, d):
     return writers.without_rows(readers.read_dataset(spark, path, "json")[0])
 
 
+def write_file(spark, path: str, data: bytes) -> None:
+    """A file in any store that Spark writes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+@register("read_xlsx", "SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS n_name, n_nationkey / 2 AS half, n_nationkey % 2 = 0 AS even, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def read_xlsx(spark, d):
+    """A workbook of the nations, whose regions are shared texts."""
+    regions = {r["r_regionkey"]: (i, r["r_name"]) for i, r in enumerate(table(spark, d, "region").collect())}  # 5 rows
+    inline = lambda place, v: f'<c r="{place}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    rows = ["".join(inline(f"{c}1", v) for c, v in zip("ABCDE", ("n_nationkey", "n_name", "half", "even", "region")))]
+    for n in table(spark, d, "nation").collect():  # 25 rows
+        k, at = n["n_nationkey"], len(rows) + 1
+        name = inline(f"B{at}", n["n_name"]) if k % 4 else ""
+        rows.append(f'<c r="A{at}"><v>{k}</v></c>{name}<c r="C{at}"><v>{k / 2}</v></c><c r="D{at}" t="b"><v>{int(k % 2 == 0)}</v></c><c r="E{at}" t="s"><v>{regions[n["n_regionkey"]][0]}</v></c>')
+    space, relation = (f"http://schemas.openxmlformats.org/{x}" for x in ("spreadsheetml/2006/main", "officeDocument/2006/relationships"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{space}" xmlns:r="{relation}"><sheets><sheet name="nation" r:id="a"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{space}">{"".join(f"<si><t>{escape(name)}</t></si>" for _, name in regions.values())}</sst>')
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{space}"><sheetData>{"".join(f"""<row r="{i}">{x}</row>""" for i, x in enumerate(rows, 1))}</sheetData></worksheet>')
+    path = scratch_folder(spark, "workbook") + ".xlsx"
+    write_file(spark, path, out.getvalue())
+    return writers.without_rows(readers.read_dataset(spark, path, "xlsx")[0])
+
+
+@register("preview_rows", "SELECT c_custkey::BIGINT AS c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100")
+def preview_rows(spark, d):
+    """The first rows as the preview shows them (its limit is the feature)."""
+    shown = readers.preview(table(spark, d, "customer").orderBy("c_custkey"))
+    return spark.createDataFrame(shown, "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string")
+
+
+@register("schema_listing", "SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' END AS kind FROM (DESCRIBE customer)")
+def schema_listing(spark, d):
+    return spark.createDataFrame(list(readers.schema_payload(table(spark, d, "customer")).items()), "name string, kind string")
+
+
 # --- cases that the other queries do not reach ---------------------------------------------------
 
 
@@ -656,6 +749,30 @@ def flagship(spark, d):
     return both.groupBy(F.coalesce("quarantine_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
+@register("pipeline_from_yaml", f"WITH {ADDR}, {CLEAN} SELECT record_id, street_normalized, postal_code_normalized, coalesce(CASE WHEN NOT postal_code_valid THEN 'invalid_postal_code' END, 'kept') AS reason FROM norm")
+def pipeline_from_yaml(spark, d):
+    """The address clean-up as it comes back from its YAML, joined by edges in another order of steps."""
+    first = examples.GERMAN_ADDRESSES
+    edges = [{"id": f"{a.id}-{b.id}", "source": a.id, "target": b.id} for a, b in zip(first.steps, first.steps[1:])]
+    back = definition.from_yaml(definition.to_yaml(definition.pipeline({**first.payload(), "steps": first.payload()["steps"][::-1], "edges": edges})))
+    result, aside = compiler.compile_plan(addr(spark, d), back)
+    return validate.union_all([result, aside]).select("record_id", "street_normalized", "postal_code_normalized", F.coalesce("quarantine_reason", F.lit("kept")).alias("reason"))
+
+
+@register("run_artifacts", f"WITH {ADDR}, {CLEAN} SELECT record_id, street_normalized, postal_code_normalized, coalesce(CASE WHEN NOT postal_code_valid THEN 'invalid_postal_code' END, 'kept') AS reason, 'completed' AS status, 10 AS artifacts FROM norm")
+def run_artifacts(spark, d):
+    """A whole run of the address clean-up, its rows read back from the artifacts that the catalogue lists."""
+    root = scratch_folder(spark, "catalogue")
+    writers.write_dataset(addr(spark, d), f"{root}/addresses.parquet")
+    catalogue = runs.Catalogue(spark, root)
+    data = catalogue.append("datasets", name="addresses", path=f"{root}/addresses.parquet", format="parquet", size_bytes=store.checksum(spark, f"{root}/addresses.parquet")[1], status="ready")
+    run = runs.execute_run(catalogue, data["id"], examples.GERMAN_ADDRESSES, f"{root}/out")
+    found = {r["name"]: r["id"] for r in catalogue.table("artifacts").where(F.col("run_id") == run["id"]).collect()}  # ten
+    kept, aside = (spark.read.parquet(runs.artifact_path(catalogue, found[n], f"{root}/out")) for n in ("result.parquet", "quarantine.parquet"))
+    rows = validate.union_all([kept, aside])
+    return rows.select("record_id", "street_normalized", "postal_code_normalized", F.coalesce("quarantine_reason", F.lit("kept")).alias("reason"), F.lit(run["status"]).alias("status"), F.lit(len(found)).alias("artifacts"))
+
+
 @register("pipeline_coordinates", f"WITH {GEO}, {CHECKED} SELECT point_id, latitude_validated, longitude_validated, coordinate_issue, coordinates_valid FROM checked WHERE coordinates_valid")
 def pipeline_coordinates(spark, d):
     result, _ = compiler.compile_plan(geo_points(spark, d), examples.COORDINATES)

@@ -1,18 +1,16 @@
 """Runs: from a dataset file to results, reports and audit evidence.
 
 Metadata lives in small tables of a catalogue folder, written as JSON lines through Spark; results
-are written by Spark, reports by the driver next to them.
+are written by Spark, reports by the driver next to them, in any store that Spark reaches.
 """
 
 from __future__ import annotations
 
 import datetime
-import hashlib
 import json
 import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators.profile import Options, jsonable, profile
 from ..operators.rows import ROW
-from ..sources import files, readers, writers
+from ..sources import files, readers, store, writers
 from ..sources.demo import demo_dataset
 from .compiler import StepMetric, execute
 from .definition import Pipeline, to_yaml, warnings_of
@@ -72,7 +70,7 @@ class Catalogue:
         """Store, hash, decode and register an upload; a file that is there already is a duplicate."""
         safe, kind, key = files.sanitize_filename(name), files.validate_extension(name), uuid.uuid4().hex
         path = f"{self.root}/uploads/{key}/original.{kind}"
-        checksum, size = files.store_upload(stream, path, most_bytes)
+        checksum, size = store.put_stream(self.spark, stream, path, most_bytes)
         earlier = self.table("datasets").where((F.col("sha256") == checksum) & F.col("duplicate_of").isNull()).first()
         frame, encoding, delimiter = readers.read_dataset(self.spark, path, kind)
         return self.append(
@@ -137,20 +135,13 @@ def overview(runs: DataFrame) -> dict:
     return total.asDict() | {"by_status": {s: by_status.get(s, 0) for s in STATUSES}, "series": series}
 
 
-def checksum_of(folder: Path) -> tuple[str, int]:
-    """Digest and size of a file, or of the part files of a folder in order of their names."""
-    if folder.is_file():
-        return files.sha256_file(folder), folder.stat().st_size
-    parts = sorted(p for p in folder.rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
-    return hashlib.sha256("".join(files.sha256_file(p) for p in parts).encode()).hexdigest(), sum(p.stat().st_size for p in parts)
-
-
 def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out: str, cancelled: Callable[[], bool] | None = None, timeout_seconds: float = 900, pipeline_id: str | None = None, options: Options | None = None) -> dict:
     """Load, profile, run, profile again, write ten artifacts, and record it all. `out` is a folder
-    that driver and executors share."""
+    of any store that Spark writes. `checksums.sha256` is written last, with the digests of the others: a
+    folder without it is not whole."""
     spark, data = catalogue.spark, catalogue.get("datasets", dataset_id)
     run = catalogue.append("runs", dataset_id=dataset_id, pipeline_id=pipeline_id, status="running", started_at=now(), cancel_requested=False)
-    began, metrics, folder = time.perf_counter(), [], Path(out) / run["id"]
+    began, metrics, folder = time.perf_counter(), [], f"{out.rstrip('/')}/{run['id']}"
     stopped = lambda: bool(cancelled and cancelled()) or bool(catalogue.get("runs", run["id"])["cancel_requested"])
     try:
         frame, _, _ = readers.read_dataset(spark, data["path"], data["format"])
@@ -159,25 +150,25 @@ def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out
             done = execute(frame, definition, stopped, timeout_seconds, metrics)
         result, aside = done.frame.persist(), done.quarantine.persist()
         after = profile(result)
-        folder.mkdir(parents=True, exist_ok=True)
         for name, kind in (("result.parquet", "parquet"), ("result.csv", "csv"), ("result.jsonl", "jsonl")):
-            writers.write_dataset(result, str(folder / name), kind)
-        writers.write_dataset(aside, str(folder / "quarantine.parquet"))
+            writers.write_dataset(result, f"{folder}/{name}", kind)
+        writers.write_dataset(aside, f"{folder}/quarantine.parquet")
+        sums = {name: store.checksum(spark, f"{folder}/{name}") for name in store.names(spark, folder)}
         rows_out, quarantined, seconds = result.count(), aside.count(), time.perf_counter() - began
-        figures = run_figures(before["row_count"], rows_out, quarantined, seconds, before["quality_score"], after["quality_score"], data["size_bytes"], checksum_of(folder / "result.parquet")[1])
+        figures = run_figures(before["row_count"], rows_out, quarantined, seconds, before["quality_score"], after["quality_score"], data["size_bytes"], sums["result.parquet"][1])
         figures |= {"steps": done.metrics_payload(), "seconds": round(seconds, 6), "resources": used.report(), "result_preview": readers.preview(result, 25), "quarantine_preview": readers.preview(aside, 25)}
-        write = lambda name, text: (folder / name).write_text(text, encoding="utf-8")
+
+        def write(name: str, text: str) -> None:
+            sums[name] = store.put_text(spark, text, f"{folder}/{name}")
+
         write("quality-report.json", json.dumps(jsonable({"before": before, "after": after}), ensure_ascii=False, indent=2))
         write("performance-report.json", json.dumps(jsonable(figures), ensure_ascii=False, indent=2))
         write("pipeline.yaml", to_yaml(definition))
         write("audit-log.jsonl", "".join(json.dumps(jsonable(m)) + "\n" for m in done.metrics_payload()))
         write("run-manifest.json", json.dumps({"run_id": run["id"], "dataset_id": dataset_id, "dataset_sha256": data["sha256"], "pipeline": definition.name, "pipeline_checksum": definition.checksum, "finished_at": now()}, indent=2))
-        names = sorted(p.name for p in folder.iterdir())
-        sums = {n: checksum_of(folder / n) for n in names}
-        write("checksums.sha256", "".join(f"{sums[n][0]}  {n}\n" for n in names))
-        sums["checksums.sha256"] = checksum_of(folder / "checksums.sha256")
+        write("checksums.sha256", "".join(f"{sums[n][0]}  {n}\n" for n in sorted(sums)))
         for n, (digest, size) in sums.items():
-            catalogue.append("artifacts", run_id=run["id"], name=n, path=str(folder / n), sha256=digest, size_bytes=size)
+            catalogue.append("artifacts", run_id=run["id"], name=n, path=f"{folder}/{n}", sha256=digest, size_bytes=size)
         for held in (result, aside):
             held.unpersist()
         done.release()
@@ -192,11 +183,11 @@ def execute_run(catalogue: Catalogue, dataset_id: str, definition: Pipeline, out
     return catalogue.append("runs", **run | end | {"finished_at": now()})
 
 
-def artifact_path(catalogue: Catalogue, artifact_id: str, root: str) -> Path:
-    """The file of an artifact, if it lies below the artifact root and is there."""
-    path = files.contained(catalogue.get("artifacts", artifact_id)["path"], root)
-    if not path.exists():
-        raise FileNotFoundError(str(path))
+def artifact_path(catalogue: Catalogue, artifact_id: str, root: str) -> str:
+    """The full path of an artifact, if it lies below the artifact root and is there."""
+    path = store.contained(catalogue.spark, catalogue.get("artifacts", artifact_id)["path"], root)
+    if not readers.exists(catalogue.spark, path):
+        raise FileNotFoundError(path)
     return path
 
 

@@ -10,7 +10,6 @@ from itertools import groupby
 from pathlib import Path
 
 EXTENSIONS = ("csv", "json", "jsonl", "ndjson", "parquet", "xlsx")
-CHUNK = 1 << 20
 #: Characters of stored names, and the most of them before and after the last dot.
 PLAIN = frozenset(string.ascii_letters + string.digits + "._-")
 MOST_STEM, MOST_SUFFIX = 100, 15
@@ -49,21 +48,3 @@ def sha256_text(value: str) -> str:
 def sha256_file(path: str | Path) -> str:
     with open(path, "rb") as file:
         return hashlib.file_digest(file, "sha256").hexdigest()
-
-
-def store_upload(stream, target: str | Path, most_bytes: int = 100_000_000) -> tuple[str, int]:
-    """Copy a stream to a file, which appears only when it is whole: (checksum, size)."""
-    part, digest, size = Path(f"{target}.part"), hashlib.sha256(), 0
-    part.parent.mkdir(parents=True, exist_ok=True)
-    try:
-        with part.open("wb") as out:
-            while chunk := stream.read(CHUNK):
-                size += len(chunk)
-                if size > most_bytes:
-                    raise ValueError("Upload exceeds the size limit")
-                digest.update(chunk)
-                out.write(chunk)
-        os.replace(part, target)
-    finally:
-        part.unlink(missing_ok=True)
-    return digest.hexdigest(), size

@@ -1,5 +1,6 @@
 import csv
 import datetime
+import hashlib
 import io
 import random
 import re
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.rows import ROW
 from larkspur.plans import compiler, definition, examples
-from larkspur.plans.runs import Catalogue, execute_run, overview, run_figures
+from larkspur.plans.runs import Catalogue, artifact_path, execute_run, overview, run_figures
 from larkspur.plans.watch import RunCancelled, RunTimedOut
-from larkspur.sources import delimited, files, readers, writers
+from larkspur.sources import delimited, files, readers, store, writers
 from larkspur.sources import workbook as workbooks
 from larkspur.streaming import stream_pipeline
 
@@ -127,12 +128,37 @@ def test_files(tmp_path):
     assert files.sanitize_filename("../a b/ü?.CSV") == "u.csv" or files.sanitize_filename("../a b/x?.CSV") == "x_.csv"
     assert files.sanitize_filename("..") == "upload"
     assert files.validate_extension("a.JSONL") == "jsonl"
-    for wrong in (lambda: files.validate_extension("a.exe"), lambda: files.contained(tmp_path / ".." / "x", tmp_path), lambda: files.store_upload(io.BytesIO(b"12345"), tmp_path / "u", 3)):
+    for wrong in (lambda: files.validate_extension("a.exe"), lambda: files.contained(tmp_path / ".." / "x", tmp_path)):
         with pytest.raises(ValueError):
             wrong()
-    assert not (tmp_path / "u").exists() and not (tmp_path / "u.part").exists()
-    digest, size = files.store_upload(io.BytesIO(b"abc"), tmp_path / "u")
-    assert (digest, size) == (files.sha256_file(tmp_path / "u"), 3) and files.sha256_text("abc") == digest
+    (tmp_path / "u").write_bytes(b"abc")
+    assert files.sha256_file(tmp_path / "u") == files.sha256_text("abc") == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_store(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}"
+    with pytest.raises(ValueError):
+        store.put_stream(spark, io.BytesIO(b"12345"), f"{root}/a/u", 3)
+    assert store.names(spark, f"{root}/a") == []
+    data = bytes(range(256)) * 9000  # over two chunks
+    for content in (b"old", data, b"", data):  # replaced each time
+        assert store.put_stream(spark, io.BytesIO(content), f"{root}/a/u", 1 << 30) == (hashlib.sha256(content).hexdigest(), len(content))
+    assert (tmp_path / "a" / "u").read_bytes() == data == b"".join(store.read_bytes(spark, f"{root}/a/u")) and store.names(spark, f"{root}/a") == ["u"]
+    spark.range(50).selectExpr("id", "id % 3 AS k").repartition(4).write.partitionBy("k").parquet(f"{root}/b")
+    inside = sorted(p for p in (tmp_path / "b").rglob("*.parquet") if p.name[0] not in "._")
+    (inside[0].parent / "part-empty.parquet").touch()
+    inside = sorted([*inside, inside[0].parent / "part-empty.parquet"])
+    expected = hashlib.sha256("".join(files.sha256_file(p) for p in inside).encode()).hexdigest(), sum(p.stat().st_size for p in inside)
+    assert store.checksum(spark, f"{root}/b") == store.checksum(spark, str(tmp_path / "b")) == expected
+    monkeypatch.setattr(store, "PART", max(p.stat().st_size for p in inside) - 1)  # some or all through the driver
+    assert store.checksum(spark, f"{root}/b") == expected
+    (tmp_path / "c").mkdir()
+    assert store.checksum(spark, f"{root}/c") == (hashlib.sha256(b"").hexdigest(), 0)
+    assert store.contained(spark, f"{root}/a/x/../u", str(tmp_path)).endswith("/a/u")
+    (tmp_path / "c" / "link").symlink_to(tmp_path / "a")
+    for path in (f"{root}/c/../a/u", f"{root}/c2", f"{root}/c/link/u", "file:///etc"):
+        with pytest.raises(ValueError):
+            store.contained(spark, path, f"{root}/c")
 
 
 def test_writers(spark, tmp_path):
@@ -258,14 +284,20 @@ def test_demo_data(spark, tmp_path):
 
 
 def test_run(spark, tmp_path):
-    catalogue = Catalogue(spark, str(tmp_path / "catalogue"))
+    catalogue = Catalogue(spark, f"file://{tmp_path}/catalogue")
     data = catalogue.add_dataset("my data.csv", io.BytesIO(CSV.encode()))
     assert catalogue.add_dataset("copy.csv", io.BytesIO(CSV.encode()))["status"] == "duplicate"
     assert catalogue.profile_dataset(data["id"])["row_count"] == 3
-    run = execute_run(catalogue, data["id"], examples.FULL_QUALITY, str(tmp_path / "out"))
+    run = execute_run(catalogue, data["id"], examples.FULL_QUALITY, f"file://{tmp_path}/out")
     assert (run["status"], run["input_rows"], run["output_rows"], run["quarantined_rows"], run["duplicate_count"]) == ("completed", 3, 2, 1, 2), run.get("errors")
     names = {r["name"] for r in catalogue.table("artifacts").collect()}
     assert names == {"result.parquet", "result.csv", "result.jsonl", "quarantine.parquet", "quality-report.json", "performance-report.json", "pipeline.yaml", "audit-log.jsonl", "run-manifest.json", "checksums.sha256"}
+    listed = dict(line.split("  ")[::-1] for line in (tmp_path / "out" / run["id"] / "checksums.sha256").read_text().splitlines())
+    for r in catalogue.table("artifacts").collect():
+        assert listed.get(r["name"], r["sha256"]) == r["sha256"] and store.checksum(spark, artifact_path(catalogue, r["id"], f"{tmp_path}/out")) == (r["sha256"], r["size_bytes"])
+    assert set(listed) == names - {"checksums.sha256"}
+    with pytest.raises(ValueError):
+        artifact_path(catalogue, r["id"], str(tmp_path / "catalogue"))
     notes = {r["note"] for r in spark.read.option("header", True).csv(f"{tmp_path}/out/{run['id']}/result.csv").collect()}
     assert "'=1+1" in notes
     bad = definition.pipeline({"name": "x", "steps": [{"id": "s", "type": "select_columns", "name": "s", "config": {"columns": ["nope"]}}]})
