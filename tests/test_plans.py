@@ -170,6 +170,18 @@ def test_writers(spark, tmp_path):
         writers.write_dataset(frame, str(tmp_path / "x"), "xml")
 
 
+def test_files_of_text_are_bounded(spark, tmp_path, monkeypatch):
+    """However many rows a task has, the files that it writes have a limit, and keep the order of the rows."""
+    monkeypatch.setattr(writers, "ROWS_A_FILE", 10, raising=False)
+    frame = spark.range(45).coalesce(1).selectExpr("id", "concat('t', id) AS t")
+    for kind, own in (("csv", 11), ("jsonl", 10)):
+        path = str(tmp_path / kind)
+        writers.write_dataset(frame, path, kind)
+        assert [len(open(p).readlines()) for p, _ in ((f.removeprefix("file:"), n) for f, n in store.parts(spark, path))] == [own] * 4 + [own - 5]
+        back = readers.read_dataset(spark, path, kind)[0]
+        assert sorted((r["id"], r["t"]) for r in back.collect()) == [(k, f"t{k}") for k in range(45)]
+
+
 def test_documents_through_csv(spark, tmp_path):
     """Texts come back as they were: none is taken for a formula, none loses white space at its ends."""
     texts = ["+1 (389) 555", "=1", "-a\nb", "@x", "\tq", "'=x", " lead", "trail ", "\n", "a\r\nb", 'say "x", \\"', "\\", "plain", "", None]
